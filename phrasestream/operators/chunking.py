@@ -242,6 +242,12 @@ class PhraseMachine(Machine):
             committed += take
             book = [book[0] + 1, stop, False]
 
+    def after_finish(self, lane, state, book, emitted):
+        if not emitted:
+            return state, book
+        words = sum(row[7] for row in emitted)
+        return [state[0] + words, state[1], state[2]], [book[0] + len(emitted), emitted[-1][4], False]
+
     @staticmethod
     def _agree_now(n, pairs, row):
         if n == 1:

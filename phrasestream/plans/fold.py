@@ -67,6 +67,10 @@ class Machine:
     def finish(self, lane, state, book, row, out: list) -> None:
         """End of the key; `row` is the last prepared row."""
 
+    def after_finish(self, lane, state, book, emitted: list):
+        """(state, book) once `finish` emitted these rows and more rows come."""
+        return state, book
+
     def candidates(self, lane, rows: list) -> list:
         """States a piece may start in, given the prepared rows before it."""
         return []

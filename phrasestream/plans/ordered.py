@@ -49,7 +49,7 @@ class Cut:
 
 def cut_large_keys(df: DataFrame, keys: list[str], order: str, target_rows: int = TARGET_ROWS) -> Cut:
     kind = df.schema[order].dataType.typeName()
-    at = (F.unix_micros(order) if kind.startswith("timestamp") else F.col(order)).cast("double")
+    at = F.col(order).cast("timestamp" if kind.startswith("timestamp") else "double").cast("double")
     large = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
