@@ -1009,8 +1009,9 @@ def _(v):
 
 
 @register("s2_read_session_logs", """
-    SELECT TRY(json_extract_string(value, '$.message')) AS message,
-           CASE WHEN json_valid(value) THEN NULL ELSE value END AS corrupt, count(*) AS lines FROM fx_loglines GROUP BY ALL""")
+    SELECT message, corrupt, count(*) AS lines FROM (
+        SELECT CASE WHEN starts_with(value, '{') THEN regexp_extract(value, '"message":"([^"]*)"', 1) END AS message,
+               CASE WHEN starts_with(value, '{') THEN NULL ELSE value END AS corrupt FROM (SELECT value::varchar AS value FROM fx_loglines)) GROUP BY ALL""")
 def _(v):
     return files.parse_log_lines(v("fx_loglines")).groupBy("message", "corrupt").agg(F.count(F.lit(1)).alias("lines"))
 

@@ -15,6 +15,9 @@ def session(cores: str | None = None) -> SparkSession:
         .appName("phrasestream")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.ui.enabled", "false")
+        # Rows here cost much more to work on than to move: do not fold small
+        # shuffles into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.streaming.stateStore.providerClass",

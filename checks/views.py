@@ -36,7 +36,7 @@ DUCK = {
     "steps": "unnest(range(0, cast({0} as bigint)))",
     "bytes": "encode({0})",
     "text": "cast({0} as varchar)",
-    "json": "json_object({0})",
+    "json": "cast(json_object({0}) as varchar)",
 }
 
 VIEWS = {
@@ -237,7 +237,14 @@ def duck_with(sql: str) -> str:
 def load(spark, sf_dir: str, name: str):
     """A driver table or an fx_ view as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # The text tables come as one row group, which is one task however
+        # many cores there are. Deal such a small input out; a large one is
+        # already split by its files.
+        cores = spark.sparkContext.defaultParallelism
+        if name in ("documents", "conversations") and df.rdd.getNumPartitions() * 4 <= cores:
+            df = df.repartition(cores)
+        return df
     sql, inputs = _expand(VIEWS[name], SPARK), {}
     for source in [*TABLES, *VIEWS]:
         if source != name and re.search(rf"(FROM|JOIN)\s+{source}\b", sql):

@@ -16,7 +16,8 @@ from phrasestream.fixed_values import (
 )
 
 _SPACES = f"[{WHITESPACE}]+"
-_EDGES = f"^[^{EDGE_KEEP}]+|[^{EDGE_KEEP}]+$"
+# Punctuation at the start or the end of a word, in a text of single spaces.
+_WORD_EDGES = f"(?<![^ ])[^{EDGE_KEEP} ]+|[^{EDGE_KEEP} ]+(?![^ ])"
 
 # ASCII, Latin-1 letters and typographic quotes/dashes are fixed points of NFKC,
 # and their case folding is lower() plus sharp s.
@@ -25,11 +26,7 @@ _PLAIN = r"^[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF\x{2013}\x{2014}\x{2018}-\x{201
 
 def tokenise(text: Column) -> Column:
     """Whitespace tokens, punctuation attached, no empties."""
-    return F.filter(F.split(text, _SPACES), lambda t: t != "")
-
-
-def _fold_plain(token: Column) -> Column:
-    return F.replace(F.lower(F.regexp_replace(token, _EDGES, "")), F.lit("ß"), F.lit("ss"))
+    return F.array_remove(F.split(text, _SPACES), "")
 
 
 def python_normalise(token: str) -> str:
@@ -47,12 +44,23 @@ def _normalise_texts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [python_normalise(w) for w in t.split()])
 
 
-def normalise_tokens(text: Column) -> Column:
-    """P2 over a whole text. Latin text stays in the JVM; only other scripts
-    (sent to the Arrow UDF as non-null cells) pay for Python."""
+def normalise_words(tokens: Column) -> Column:
+    """P2 over an array of tokens. Latin text takes one pass of one pattern
+    over the joined tokens; tokens of nothing but punctuation become empty.
+    Only text in other scripts, the non-null cells sent to the Arrow UDF, pays
+    for Python."""
+    joined = F.array_join(tokens, " ")
     other_scripts = F.pandas_udf(_normalise_texts, "array<string>")
-    python_side = other_scripts(F.when(~text.rlike(_PLAIN), text))
-    return F.coalesce(python_side, F.transform(tokenise(text), _fold_plain))
+    folded = F.replace(F.lower(joined), F.lit("ß"), F.lit("ss"))
+    plain = F.split(F.regexp_replace(folded, _WORD_EDGES, ""), " ")
+    return F.coalesce(
+        other_scripts(F.when(~joined.rlike(_PLAIN), joined)),
+        F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(plain),
+    )
+
+
+def normalise_tokens(text: Column) -> Column:
+    return normalise_words(tokenise(text))
 
 
 def normalise_token(token: Column) -> Column:
@@ -101,12 +109,9 @@ def find_boundary(tokens: Column, norms: Column, min_words: Column, allow_weak:
 
 
 def common_prefix(left: Column, right: Column) -> Column:
-    """Number of leading elements two arrays share; 0 when either is null."""
-    first_difference = F.array_position(
-        F.zip_with(left, right, lambda a, b: a.eqNullSafe(b)), False
-    )
-    shared = F.when(first_difference == 0, F.size(left)).otherwise(first_difference - 1)
-    return F.when(left.isNull() | right.isNull(), 0).otherwise(shared).cast("int")
+    """Number of leading elements two arrays share; null if either is null."""
+    same = F.zip_with(left, right, lambda a, b: a.eqNullSafe(b))
+    return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
 
 
 def wer_tokens(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phrasestream.functions.scalars import python_word_end
 from phrasestream.functions.text import (
-    common_prefix, normalise_tokens, python_cuts_after, python_is_conjunction, tokenise,
+    common_prefix, normalise_words, python_cuts_after, python_is_conjunction, tokenise,
 )
 from phrasestream.plans.fold import Machine, fold_cut
 from phrasestream.plans.ordered import (
@@ -41,22 +41,25 @@ class ChunkerConfig:
 # --- W1, W2 -------------------------------------------------------------------
 
 
-def shared_prefixes(cut: Cut) -> Cut:
-    """Add `norm`, `words_n`, `shared` (leading normalised words in common
-    with the previous hypothesis, null on the first) and `previous_n`."""
-    return neighbours(
-        cut, ["seq"],
-        {
-            "previous_n": lambda w: F.lag("words_n").over(w),
-            "shared": lambda w: F.when(
-                F.lag("words_n").over(w).isNotNull(),
-                common_prefix(F.lag("norm").over(w), F.col("norm")),
-            ),
-        },
-        count=1,
-        before_windows=lambda df: df.withColumn("norm", normalise_tokens(F.col("text")))
-        .withColumn("words_n", F.size("norm")),
-    )
+def _words(df: DataFrame) -> DataFrame:
+    return df.withColumn("tokens", tokenise(F.col("text"))).withColumn("words_n", F.size("tokens"))
+
+
+def _after(taken: str, tokens: str):
+    return normalise_words(F.slice(tokens, F.col(taken) + 1, F.size(tokens)))
+
+
+# Words of the previous hypothesis, and leading normalised words shared with
+# it; null on a session's first hypothesis. Most of a transcript repeats word
+# for word, so only what follows the verbatim part is normalised.
+_SHARED = {
+    "_before": lambda w: F.lag("tokens").over(w),
+    "previous_n": lambda w: F.lag("words_n").over(w),
+    "_verbatim": lambda w: common_prefix(F.col("_before"), F.col("tokens")),
+    "_tail": lambda w: common_prefix(_after("_verbatim", "_before"), _after("_verbatim", "tokens")),
+    "shared": lambda w: F.col("_verbatim") + F.col("_tail"),
+}
+_SCRATCH = ("_before", "_verbatim", "_tail")
 
 
 def agreed_prefix(hyps: DataFrame, n: int = 2, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -68,33 +71,32 @@ def agreed_prefix(hyps: DataFrame, n: int = 2, target_rows: int = TARGET_ROWS) -
     """
     if n < 1:
         raise ValueError("agreement_n must be at least 1")
-    cut = shared_prefixes(cut_large_keys(hyps, SESSION, "seq", target_rows)).map(
-        lambda df: df.withColumn("tokens", tokenise(F.col("text")))
-    )
-    if n == 1:
-        return cut.plain().withColumn("agreed", F.col("words_n"))
     pair = F.struct(
-        F.col("seq").alias("seq"), F.col("is_final").alias("fin"),
+        F.col("seq").alias("seq"),
         F.when(F.col("is_final"), F.col("words_n")).otherwise(F.col("shared")).alias("pair"),
     )
 
     def agreed(w):
+        if n == 1:
+            return F.col("words_n")
+        last_n = w.rowsBetween(-(n - 1), 0)
         recent = F.collect_list(pair).over(w.rowsBetween(-(n - 2), 0))
-        last_final = F.max(F.when(F.col("is_final"), F.col("seq"))).over(w.rowsBetween(-(n - 1), 0))
-        final_n = F.max_by(
-            "words_n", F.when(F.col("is_final"), F.col("seq"))
-        ).over(w.rowsBetween(-(n - 1), 0))
+        final_seq = F.when(F.col("is_final"), F.col("seq"))
+        last_final = F.max(final_seq).over(last_n)
+        final_n = F.max_by("words_n", final_seq).over(last_n)
         since = F.filter(recent, lambda p: last_final.isNull() | (p["seq"] > last_final))
         least = F.array_min(F.transform(since, lambda p: p["pair"]))
-        whole = F.size(recent) == n - 1
-        open_pairs = F.exists(recent, lambda p: p["pair"].isNull())
+        unknown = (F.size(recent) < n - 1) | F.exists(recent, lambda p: p["pair"].isNull())
         return (
-            F.when(last_final.isNotNull(), F.coalesce(F.least(final_n, least), final_n))
-            .when(~whole | open_pairs, 0)
-            .otherwise(least)
+            F.when(last_final.isNotNull(), F.least(final_n, least)).when(unknown, 0).otherwise(least)
         )
 
-    return neighbours(cut, ["seq"], {"agreed": agreed}, count=n - 1).plain()
+    cut = cut_large_keys(hyps, SESSION, "seq", target_rows)
+    look = neighbours(
+        cut, ["seq"], {**_SHARED, "agreed": agreed}, count=max(1, n - 1), before_windows=_words,
+        drop=_SCRATCH,
+    )
+    return look.plain().withColumn("norm", normalise_words(F.col("tokens")))
 
 
 def first_seen(agreed: DataFrame) -> DataFrame:
@@ -284,7 +286,9 @@ def _fold_inputs(hyps: DataFrame, silence: bool, target_rows: int) -> Cut:
         )
     else:
         cut = cut.map(lambda df: df.withColumn("next_wall", F.lit(None).cast("double")))
-    return shared_prefixes(cut).map(lambda df: df.drop("norm"))
+    return neighbours(
+        cut, ["seq"], _SHARED, count=1, before_windows=_words, drop=(*_SCRATCH, "tokens")
+    )
 
 
 def commit_phrases(
@@ -492,7 +496,7 @@ def restamp_words(hyps: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
     slim = hyps.select("session_id", "seq", "text", "t_audio_end")
     cut = neighbours(
         cut_large_keys(slim, SESSION, "seq", target_rows), ["seq"],
-        {"kept": lambda w: common_prefix(F.lag("tokens").over(w), F.col("tokens"))},
+        {"kept": lambda w: F.coalesce(common_prefix(F.lag("tokens").over(w), F.col("tokens")), F.lit(0))},
         count=1, before_windows=lambda df: df.withColumn("tokens", tokenise(F.col("text"))),
     )
     return fold_cut(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasestream.fixed_values import SAMPLE_CAP, SLO_SECONDS, STAGES
 from phrasestream.plans.fold import Machine, ordered_fold
-from phrasestream.plans.ordered import TARGET_ROWS, running
+from phrasestream.plans.ordered import PIECE, PIECES, SHARE, TARGET_ROWS, cut_large_keys
 
 CHUNK = ["session_id", "chunk_id", "language"]
 PARTS = {
@@ -34,36 +34,47 @@ def anchor_clock(rows: DataFrame, frames: DataFrame, t_audio: str = "t_audio_end
     )
 
 
-def stage_first_marks(marks: DataFrame) -> DataFrame:
-    """The first mark of each stage of a chunk, by arrival.
+def first_marks_wide(marks: DataFrame) -> DataFrame:
+    """One row per opened chunk with the first (seq, t_wall) of each stage.
 
     A chunk opens at its first commit and closes at the first publication
-    after that; marks outside are ignored. Everything before the last step is
-    a pre-aggregation, so a chunk with a flood of retries shrinks on the map
-    side and reaches the final grouping as at most one row per stage.
+    after that. One pre-aggregated pass finds the first mark of every stage;
+    only chunks with a mark from before they were opened (normally none) have
+    their marks read again. A flood of retries shrinks on the map side.
     """
-    opened = marks.filter(F.col("stage") == "committed").groupBy(*CHUNK).agg(
-        F.min("seq").alias("opened")
-    )
-    firsts = (
-        marks.join(opened, CHUNK)
+    def firsts(rows: DataFrame) -> DataFrame:
+        mark = F.struct("seq", "t_wall")
+        return rows.groupBy(*CHUNK).agg(
+            *[F.min(F.when(F.col("stage") == s, mark)).alias(s) for s in STAGES]
+        )
+
+    summary = firsts(marks).filter(F.col("committed").isNotNull())
+    opened = F.col("committed.seq")
+    others = [F.coalesce(F.col(f"{s}.seq") < opened, F.lit(False)) for s in STAGES[1:]]
+    early = others[0] | others[1] | others[2]
+    again = firsts(
+        marks.join(summary.filter(early).select(*CHUNK, opened.alias("opened")), CHUNK)
         .filter(F.col("seq") >= F.col("opened"))
-        .groupBy(*CHUNK, "stage")
-        .agg(F.min(F.struct("seq", "t_wall")).alias("m"))
     )
-    closed = firsts.filter(F.col("stage") == "published").select(*CHUNK, F.col("m.seq").alias("closed"))
+    closed = F.col("published.seq")
+    inside = lambda s: F.when(closed.isNull() | (F.col(f"{s}.seq") <= closed), F.col(s))
+    return summary.filter(~early).unionByName(again).select(*CHUNK, *[inside(s).alias(s) for s in STAGES])
+
+
+def stage_first_marks(marks: DataFrame) -> DataFrame:
+    """The first mark of each stage of a chunk, by arrival; marks from
+    before a chunk opens or after it closes are ignored."""
+    each = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("m")) for s in STAGES])
     return (
-        firsts.join(closed, CHUNK, "left")
-        .filter(F.col("closed").isNull() | (F.col("m.seq") <= F.col("closed")))
-        .select(*CHUNK, "stage", F.col("m.seq").alias("seq"), F.col("m.t_wall").alias("t_wall"))
+        first_marks_wide(marks).select(*CHUNK, F.explode(each).alias("e"))
+        .filter("e.m is not null").select(*CHUNK, "e.stage", "e.m.seq", "e.m.t_wall")
     )
 
 
 def dropped_marks(marks: DataFrame) -> DataFrame:
     """Marks that came before a chunk was opened or after it was closed."""
-    bounds = stage_first_marks(marks).groupBy(*CHUNK).agg(
-        F.min(F.when(F.col("stage") == "committed", F.col("seq"))).alias("opened"),
-        F.min(F.when(F.col("stage") == "published", F.col("seq"))).alias("closed"),
+    bounds = first_marks_wide(marks).select(
+        *CHUNK, F.col("committed.seq").alias("opened"), F.col("published.seq").alias("closed")
     )
     outside = (
         F.col("opened").isNull() | (F.col("seq") < F.col("opened")) | (F.col("seq") > F.col("closed"))
@@ -78,11 +89,10 @@ def assemble_traces(marks: DataFrame, chunks: DataFrame, slo: float = SLO_SECOND
 
     `chunks` gives session_id, chunk_id, language and audio_end_wall.
     """
-    stages = [
-        F.max(F.when(F.col("stage") == s, F.col("t_wall"))).alias(s) for s in STAGES
-    ]
-    arrival = F.max(F.when(F.col("stage") == "published", F.col("seq"))).alias("published_seq")
-    wide = stage_first_marks(marks).groupBy(*CHUNK).agg(*stages, arrival)
+    wide = first_marks_wide(marks).select(
+        *CHUNK, *[F.col(f"{s}.t_wall").alias(s) for s in STAGES],
+        F.col("published.seq").alias("published_seq"),
+    )
     return trace_columns(wide.join(chunks.select(*CHUNK, "audio_end_wall"), CHUNK), slo)
 
 
@@ -102,17 +112,22 @@ def latest_samples(
 ) -> DataFrame:
     """The newest `cap` published traces of each session and language."""
     keys = ["session_id", "language"]
-    done = traces.filter("finished")
-    # A group can only lose rows if it has more than `cap`; the sequential
-    # numbering is needed for those alone.
-    sizes = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    over = sizes.filter(F.col("_n") > cap)
-    numbered = running(
-        done.join(over, keys), keys, ["published_seq", "chunk_id"],
-        {"_at": ("count", F.lit(1))}, target_rows=target_rows,
-    )
-    newest = numbered.filter(F.col("_n") - F.col("_at") < cap).drop("_n", "_at")
-    return done.join(over, keys, "left_anti").unionByName(newest)
+    cut = cut_large_keys(traces.filter("finished"), keys, "published_seq", target_rows)
+    newest_first = Window.partitionBy(*cut.place).orderBy(
+        F.col("published_seq").desc(), F.col("chunk_id").desc()
+    )
+    later = Window.partitionBy(*keys).orderBy(F.col(PIECE).desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    # A piece of a large group gives way to the rows in later pieces.
+    ahead = cut.large.groupBy(*cut.place).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_ahead", F.coalesce(F.sum("_n").over(later), F.lit(0))
+    ).drop("_n")
+    ranked = cut.rows.repartition(*cut.place).withColumn("_rank", F.row_number().over(newest_first))
+    kept = ranked.join(ahead, cut.place, "left").filter(
+        F.col("_rank") + F.coalesce("_ahead", F.lit(0)) <= cap
+    )
+    return kept.drop("_rank", "_ahead", PIECE, PIECES, SHARE)
 
 
 def latency_stats(traces: DataFrame, slo: float = SLO_SECONDS, cap: int = SAMPLE_CAP) -> DataFrame:

@@ -111,10 +111,11 @@ def repetition_flags(translations: DataFrame, max_ratio: float = 3.0, n: int = 3
     """output much longer than its source, or repeated n-grams."""
     said, source = tokenise(F.col("translated_text")), tokenise(F.col("source_text"))
     rows = translations.withColumn("_t", said).withColumn("_s", F.size(source))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("_t") - (n - 1)), lambda i: F.array_join(F.slice("_t", i, n), " ")
-    )
-    rows = rows.withColumn("_g", F.when(F.size("_t") >= n, grams).otherwise(F.array().cast("array<string>")))
+    size = F.greatest(F.lit(0), F.size("_t") - (n - 1))
+    grams = F.slice("_t", 1, size)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice("_t", k + 1, size), lambda a, b: F.concat(a, F.lit(" "), b))
+    rows = rows.withColumn("_g", grams)
     ratio = F.coalesce(F.try_divide(F.size("_t"), F.col("_s")), F.lit(0.0))
     repeated = F.size("_g") - F.size(F.array_distinct("_g"))
     return rows.select(

@@ -132,10 +132,13 @@ def neighbours(
     count: int,
     following: bool = False,
     before_windows: Callable[[DataFrame], DataFrame] = lambda df: df,
+    drop: tuple[str, ...] = (),
 ) -> Cut:
     """Window expressions that look at most `count` rows back (or ahead).
 
-    `outputs` maps a new column to a function of the window specification.
+    `outputs` maps a new column to a function of the window specification;
+    later ones may use earlier ones, as long as all of them together look no
+    further than `count` rows. Rows are shuffled once.
     Each piece of a cut key is given a copy of the `count` rows before it.
     `before_windows` adds row-local columns once the copies are in place, so
     that they need not be carried.
@@ -166,9 +169,13 @@ def neighbours(
     spec = Window.partitionBy(*place).orderBy(*order)
 
     def look(df: DataFrame) -> DataFrame:
-        together = before_windows(df.withColumn("_copy", F.lit(False)).unionByName(copies))
-        windows = {name: make(spec) for name, make in outputs.items()}
-        return together.repartition(*place).withColumns(windows).filter(~F.col("_copy")).drop("_copy")
+        together = df.withColumn("_copy", F.lit(False)).unionByName(copies)
+        # An explicit layout: one by key alone, left by an earlier step, would
+        # put a cut key back into one task.
+        out = before_windows(together.repartition(*place))
+        for name, make in outputs.items():
+            out = out.withColumn(name, make(spec))
+        return out.filter(~F.col("_copy")).drop("_copy", *drop)
 
     return cut.map(look)
 
