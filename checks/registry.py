@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.views import duck_with, load
+from phrasestream import fixed_values
 from phrasestream.functions import scalars, text
 from phrasestream.operators import (
     audio, chunking, flow, latency, ledger, quality, reports, routing,
 )
-from phrasestream.plans.stage import staged
+from phrasestream.plans.stage import shared_folder, staged
 from phrasestream.sources import files
+from phrasestream.streaming import folds, live
+from phrasestream.streaming.folds import use_rocksdb
 
 QUERIES: dict = {}
 SQL: dict = {}
+_WRITTEN: dict = {}
 
 
 def register(name: str, sql: str | None = None):
     def add(build):
         QUERIES[name] = lambda spark, sf_dir: build(lambda view: load(spark, sf_dir, view))
         if sql is not None:
-            SQL[name] = duck_with(sql)
+            _WRITTEN[name], SQL[name] = sql, duck_with(sql)
         return build
 
     return add
 
 
+def sql_of(name: str) -> str:
+    """A stream gives the rows of its batch form, so it has the same SQL."""
+    return _WRITTEN[name]
+
+
 def r6(df, *columns):
     """Round what two engines may add up in a different order."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -1074,3 +1085,97 @@ def _(v):
     return out.select(
         "session_id", "status", "failure_reason", "chunks", F.col("backlog.frames").alias("frames"),
         F.when(F.col("latency").isNotNull(), F.size("latency")).alias("languages"), F.when(F.col("drift").isNotNull(), F.size("drift")).alias("drifting"))
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+# Each reads a driver table as a stream, runs to the end of it and writes to
+# the shared folder. A marker row far in the future moves the watermark past
+# the last real row, as later traffic would.
+END = 5_000_000_000.0
+
+
+def register_stream(name: str, sql: str | None = None):
+    def add(build):
+        def query(spark, sf_dir):
+            use_rocksdb(spark)
+            folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            out = build(lambda view: load(spark, sf_dir, view, stream=True))
+            out.writeStream.format("parquet").option("path", f"{folder}/rows").option(
+                "checkpointLocation", f"{folder}/state"
+            ).trigger(availableNow=True).start().awaitTermination()
+            return spark.read.schema(out.schema).parquet(f"{folder}/rows").filter("session_id <> -1")
+
+        QUERIES[name] = query
+        if sql is not None:
+            SQL[name] = duck_with(sql)
+        return build
+
+    return add
+
+
+def _timed(v, rows, seconds, **marker):
+    """Add event_time and the marker row."""
+    end = v("nation").filter("n_nationkey = 0")
+    filled = {"session_id": F.lit(-1), seconds: F.lit(END), **{k: F.lit(x) for k, x in marker.items()}}
+    end = end.select(*[
+        filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema
+    ])
+    at = F.timestamp_millis(F.round(F.col(seconds) * 1000).cast("bigint") + 1000)
+    return rows.unionByName(end).withColumn("event_time", at).withWatermark("event_time", "0 seconds")
+
+
+@register_stream("t2_commit_phrases_stream")
+def _(v):
+    rows = _timed(v, v("fx_hyps"), "t_wall", text="", is_final=False, seq=0, t_audio_start=0.0, t_audio_end=0.0)
+    return folds.commit_phrases_stream(rows)
+
+
+@register_stream("t4_assemble_traces_stream", sql_of("t4_assemble_traces"))
+def _(v):
+    joined = v("fx_line").select("session_id", "chunk_id", "language", "base", "audio_end_wall", "d1", "d2", "d3", "d4", "state")
+    at = [F.col("audio_end_wall") + F.col("d1")]
+    for part in ("d2", "d3", "d4"):
+        at.append(at[-1] + F.col(part))
+    marks = F.array(*[F.struct((F.col("base") + i).alias("seq"), F.lit(s).alias("stage"), at[i].alias("t_wall")) for i, s in enumerate(fixed_values.STAGES)])
+    rows = joined.withColumn("m", F.explode(marks)).filter("m.stage <> 'published' or state <> 'O'").select(
+        "session_id", "chunk_id", "language", "audio_end_wall", "m.*")
+    # Arrival is by seq here, so that is the event clock too.
+    rows = rows.withColumn("arrival", F.col("seq") / 1e6)
+    timed = _timed(v, rows, "arrival", seq=0, stage="translated", chunk_id=0, language="")
+    return live.assemble_traces_stream(timed, 1e6)
+
+
+@register_stream("t5_anchor_clock_stream", """
+    SELECT session_id, seq, t_audio, epoch, epoch + t_audio AS wall FROM fx_anchor
+    JOIN (SELECT session_id, min_by(t_wall - t_audio, seq) AS epoch FROM fx_anchor GROUP BY session_id) USING (session_id)""")
+def _(v):
+    rows = v("fx_anchor").withColumn("arrival", F.col("seq") / 10)
+    return live.anchor_clock_stream(_timed(v, rows, "arrival", seq=0, t_audio=0.0, t_wall=0.0))
+
+
+@register_stream("t6_shed_backlog_stream")
+def _(v):
+    return folds.shed_backlog_stream(_timed(v, v("fx_pushlog"), "t_audio", seq=0, kind="push", duration=0.1))
+
+
+@register_stream("t8_session_watchdog_stream", sql_of("t8_session_watchdog"))
+def _(v):
+    rows = v("fx_beats").withColumn("started_at", F.col("session_id").cast("double"))
+    return live.session_watchdog_stream(_timed(v, rows, "t_wall", started_at=END))
+
+
+@register_stream("t10_utterances_stream")
+def _(v):
+    machine = audio.UtteranceMachine(0.7, 8.0, 0.005, 0.006, 1.0)
+    rows = _timed(v, v("fx_levels"), "t_audio", seq=0, t_wall=END, duration=0.1, rms=0.0)
+    return folds.utterances_stream(rows, machine, idle_s=1e6)
+
+
+@register_stream("t11_context_windows_stream", """
+    WITH w AS (SELECT session_id, unnest(range(0, (available + 55) // 56)) AS step, available FROM fx_available)
+    SELECT session_id, step, step * 56 AS start, least(step * 56 + 56, available) AS "end", greatest(step * 56 - 8, 0) AS cache_start,
+           CASE WHEN step = 0 THEN 0 ELSE 0 END::bigint AS zero_pad, CASE WHEN step = 0 THEN 0 ELSE 1 END::bigint AS drop FROM w""")
+def _(v):
+    rows = v("fx_available").select("session_id", F.col("available").alias("frames"), F.lit(0).cast("bigint").alias("seq"), (F.col("session_id") / 10).alias("arrival"))
+    return live.context_windows_stream(_timed(v, rows, "arrival", seq=0, frames=0), idle_s=1e6)

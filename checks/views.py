@@ -234,8 +234,12 @@ def duck_with(sql: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
-def load(spark, sf_dir: str, name: str):
-    """A driver table or an fx_ view as a DataFrame."""
+def load(spark, sf_dir: str, name: str, stream: bool = False):
+    """A driver table or an fx_ view as a DataFrame (or a streaming one)."""
+    if name in TABLES and stream:
+        # A stream reads a folder; the filter picks the table's files.
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     if name in TABLES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         # The text tables come as one row group, which is one task however
@@ -249,5 +253,5 @@ def load(spark, sf_dir: str, name: str):
     for source in [*TABLES, *VIEWS]:
         if source != name and re.search(rf"(FROM|JOIN)\s+{source}\b", sql):
             sql = re.sub(rf"(FROM|JOIN)(\s+){source}\b", rf"\1\2{{{source}}}", sql)
-            inputs[source] = load(spark, sf_dir, source)
+            inputs[source] = load(spark, sf_dir, source, stream)
     return spark.sql(sql, **inputs)

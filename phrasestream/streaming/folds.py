@@ -16,14 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import LongType, StringType, StructType, _parse_datatype_string
 
+from phrasestream.fixed_values import MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
 from phrasestream.functions.text import python_normalise
 from phrasestream.operators.audio import UtteranceMachine
 from phrasestream.operators.chunking import ChunkerConfig, PhraseMachine
 from phrasestream.operators.flow import BacklogMachine
 from phrasestream.plans.fold import Machine
 
+_FOLD = StructType().add("value", StringType())
+_WAITING = StructType().add("at", LongType()).add("row", StringType())
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,8 +49,8 @@ class FoldProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.saved = handle.getValueState("fold", _parse_datatype_string("value string"))
-        self.waiting = handle.getListState("waiting", _parse_datatype_string("at bigint, row string"))
+        self.saved = handle.getValueState("fold", _FOLD)
+        self.waiting = handle.getListState("waiting", _WAITING)
 
     def _load(self):
         if self.saved.exists():
@@ -102,7 +105,7 @@ class FoldProcessor(StatefulProcessor):
         fresh = []
         for frame in rows:
             frame = frame.astype(object).where(frame.notna(), None)
-            for order, at, *values in frame[["_order", "_at", *self.columns]].itertuples(index=False, name=None):
+            for order, at, *values in frame[["row_order", "at_ms", *self.columns]].itertuples(index=False, name=None):
                 fresh.append((int(at), json.dumps([int(order), int(at), *[_plain(v) for v in values]])))
         self.waiting.appendList(fresh)
         yield from self._advance(key, timerValues)
@@ -127,18 +130,26 @@ def _plain(value):
     return value
 
 
-def _run(stream: DataFrame, machine: Machine, order: str, event_time: str, columns: list[str],
-         enrich=None, quiet_ms=None) -> DataFrame:
+def fold_stream(
+    stream: DataFrame, machine: Machine, order: str, event_time: str,
+    columns: list[str] | None = None, enrich: Callable | None = None, quiet_s: float | None = None,
+) -> DataFrame:
+    """Run a machine over every session of a stream with a watermark on
+    `event_time`. `enrich` adds inputs the batch form gets from windows."""
+    columns = columns or machine.columns
+    quiet_ms = None if quiet_s is None else round(quiet_s * 1000)
     output = _parse_datatype_string(machine.output)
-    kinds = {"bigint": "int64", "int": "int32", "double": "float64", "boolean": "bool"}
+    kinds = {"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean"}
     types = {f.name: kinds[f.dataType.simpleString()] for f in output if f.dataType.simpleString() in kinds}
+    key = stream.schema["session_id"].dataType.simpleString()
     processor = FoldProcessor(machine, columns, output.names, types, enrich, quiet_ms)
     rows = stream.select(
-        "session_id", F.col(order).cast("bigint").alias("_order"),
-        F.unix_millis(event_time).alias("_at"), event_time, *columns,
+        "session_id", F.col(order).cast("bigint").alias("row_order"),
+        F.unix_millis(event_time).alias("at_ms"), event_time,
+        *[F.col(c) for c in columns],
     )
     return rows.groupBy("session_id").transformWithStateInPandas(
-        processor, "session_id string, " + machine.output, "Append", "EventTime"
+        processor, f"session_id {key}, " + machine.output, "Append", "EventTime"
     )
 
 
@@ -146,18 +157,19 @@ def _run(stream: DataFrame, machine: Machine, order: str, event_time: str, colum
 
 
 def _shared_with_previous(previous, values):
-    """Add what the batch form gets from its neighbour window."""
+    """Add what the batch form gets from its neighbour window. Words are only
+    normalised where they are not the same verbatim."""
     text, is_final, start, end, wall, ends = values[:6]
-    norm = [python_normalise(w) for w in text.split()]
+    words = text.split()
     shared = previous_n = None
     if previous is not None:
-        before = [python_normalise(w) for w in previous[0].split()]
+        before = previous[0].split()
         previous_n, shared = len(before), 0
-        for a, b in zip(before, norm):
-            if a != b:
+        for a, b in zip(before, words):
+            if a != b and python_normalise(a) != python_normalise(b):
                 break
             shared += 1
-    return [text, is_final, start, end, wall, shared, previous_n, len(norm), ends, None]
+    return [text, is_final, start, end, wall, shared, previous_n, len(words), ends, None]
 
 
 def commit_phrases_stream(
@@ -173,10 +185,10 @@ def commit_phrases_stream(
         else F.lit(None).cast("array<double>")
     )
     machine = PhraseMachine([config], False, "silence")
-    out = _run(
+    out = fold_stream(
         hyps.withColumn("word_ends", ends), machine, "seq", event_time,
         ["text", "is_final", "t_audio_start", "t_audio_end", "t_wall", "word_ends"],
-        enrich=_shared_with_previous, quiet_ms=round(config.silence_commit_s * 1000),
+        enrich=_shared_with_previous, quiet_s=config.silence_commit_s,
     )
     return out.drop("config_id")
 
@@ -186,16 +198,14 @@ def commit_phrases_stream(
 
 def shed_backlog_stream(events: DataFrame, event_time: str = "event_time", **limits) -> DataFrame:
     """T6 on a stream; state holds (start, duration) pairs, never audio."""
-    from phrasestream.fixed_values import MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
-
     machine = BacklogMachine(
         limits.get("max_lag", MAX_LAG_S), limits.get("recover_to", RECOVER_TO_S), limits.get("warn", WARN_LAG_S)
     )
-    return _run(events, machine, "seq", event_time, machine.columns)
+    return fold_stream(events, machine, "seq", event_time)
 
 
 def utterances_stream(
     levels: DataFrame, machine: UtteranceMachine, event_time: str = "event_time", idle_s: float = 5.0
 ) -> DataFrame:
     """T10 on a stream; an open utterance ends after `idle_s` without frames."""
-    return _run(levels, machine, "seq", event_time, machine.columns, quiet_ms=round(idle_s * 1000))
+    return fold_stream(levels, machine, "seq", event_time, quiet_s=idle_s)
