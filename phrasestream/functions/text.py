@@ -44,23 +44,27 @@ def _normalise_texts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [python_normalise(w) for w in t.split()])
 
 
-def normalise_words(tokens: Column) -> Column:
-    """P2 over an array of tokens. Latin text takes one pass of one pattern
-    over the joined tokens; tokens of nothing but punctuation become empty.
-    Only text in other scripts, the non-null cells sent to the Arrow UDF, pays
-    for Python."""
-    joined = F.array_join(tokens, " ")
+def _normalise(joined: Column, source: Column) -> Column:
+    """P2 over tokens joined by single spaces; `source` is any text with the
+    same tokens. Latin text takes one pass of one pattern; tokens of nothing
+    but punctuation become empty. Only text in other scripts, the non-null
+    cells sent to the Arrow UDF, pays for Python."""
     other_scripts = F.pandas_udf(_normalise_texts, "array<string>")
     folded = F.replace(F.lower(joined), F.lit("ß"), F.lit("ss"))
     plain = F.split(F.regexp_replace(folded, _WORD_EDGES, ""), " ")
     return F.coalesce(
-        other_scripts(F.when(~joined.rlike(_PLAIN), joined)),
-        F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(plain),
+        other_scripts(F.when(~source.rlike(_PLAIN), source)),
+        F.when(source.rlike(rf"^[{WHITESPACE}]*$"), F.array().cast("array<string>")).otherwise(plain),
     )
 
 
+def normalise_words(tokens: Column) -> Column:
+    joined = F.array_join(tokens, " ")
+    return _normalise(joined, joined)
+
+
 def normalise_tokens(text: Column) -> Column:
-    return normalise_words(tokenise(text))
+    return _normalise(F.array_join(tokenise(text), " "), text)
 
 
 def normalise_token(token: Column) -> Column:

@@ -121,7 +121,7 @@ class WatchdogMachine(Machine):
         if limit <= wall:
             self._end(start, last, out)
             return [start, last, True], book
-        return [start, wall, False], book
+        return [start, max(last, wall), False], book
 
     def finish(self, lane, state, book, row, out):
         start, last, ended = state
