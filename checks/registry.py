@@ -950,10 +950,10 @@ SAMPLES = """
 @register("g2_audio_levels", f"""WITH {SAMPLES},
     lengths AS (SELECT session_id, language, sum(octet_length(pcm) / 2 / sample_rate) AS seconds FROM fx_pcm GROUP BY ALL),
     levels AS (SELECT session_id, language, max(abs(x))::int AS peak, cast(floor(sqrt(sum(x * x) / count(*))) AS bigint) AS rms FROM samples GROUP BY ALL)
-    SELECT session_id, language, round(seconds, 6) AS seconds, peak, rms, CASE WHEN peak > 500 THEN 'SPEECH' ELSE 'SILENT' END AS verdict
+    SELECT session_id, language, round(seconds, 9) AS seconds, peak, rms, CASE WHEN peak > 500 THEN 'SPEECH' ELSE 'SILENT' END AS verdict
     FROM lengths JOIN levels USING (session_id, language)""")
 def _(v):
-    return r6(audio.audio_levels(v("fx_pcm"), ["session_id", "language"]), "seconds")
+    return audio.audio_levels(v("fx_pcm"), ["session_id", "language"]).withColumn("seconds", F.round("seconds", 9))
 
 
 @register("g1_resample_frames", """
@@ -968,9 +968,9 @@ def _(v):
     return r6(audio.energy_gate(audio.frame_levels(v("fx_pcm")), 0.76).select("session_id", "seq", "rms"), "rms")
 
 
-@register("a13_published_seconds", "SELECT session_id, language, count(*) AS frames, round(sum(octet_length(pcm) / 2 / sample_rate), 6) AS seconds FROM fx_pcm GROUP BY ALL")
+@register("a13_published_seconds", "SELECT session_id, language, count(*) AS frames, round(sum(octet_length(pcm) / 2 / sample_rate), 9) AS seconds FROM fx_pcm GROUP BY ALL")
 def _(v):
-    return r6(audio.published_seconds(v("fx_pcm")), "seconds")
+    return audio.published_seconds(v("fx_pcm")).withColumn("seconds", F.round("seconds", 9))
 
 
 @register("w8_quiet_runs", """

@@ -239,7 +239,8 @@ def session_watchdog(
     idle = gaps.filter(
         F.col("next").isNull() | (F.col("next") - F.col("t_wall") >= max_idle)
     ).join(base, "session_id").filter(
-        F.col("next").isNull() | (idle_end <= F.col("next"))
+        (F.col("t_wall") >= F.col("started_at"))  # earlier beats do not count
+        & (F.col("next").isNull() | (idle_end <= F.col("next")))
     ).groupBy("session_id").agg(F.min(idle_end).alias("idle_end"))
     capped = on_tick(F.col("started_at") + max_duration)
     limit = F.least(capped, F.col("idle_end"))

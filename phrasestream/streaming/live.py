@@ -136,8 +136,9 @@ def session_watchdog_stream(
     heartbeats: DataFrame, max_duration: float = MAX_DURATION_S, max_idle: float = MAX_IDLE_S,
     warn_at: float = WARN_AT_FRACTION, tick: float = WATCHDOG_TICK_S, event_time: str = "event_time",
 ) -> DataFrame:
-    """Heartbeats carry the session's started_at."""
-    rows = heartbeats.withColumn("beat_ms", F.unix_millis(event_time))
+    """Heartbeats carry the session's started_at; any from before it are
+    ignored."""
+    rows = heartbeats.filter(F.col("t_wall") >= F.col("started_at")).withColumn("beat_ms", F.unix_millis(event_time))
     machine = WatchdogMachine(max_duration, max_idle, warn_at, tick)
     return fold_stream(rows, machine, "beat_ms", event_time, quiet_s=max_idle + tick)
 
