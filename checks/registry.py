@@ -570,8 +570,7 @@ ACTIVE = "(SELECT tenant_id, slug FROM fx_tenants WHERE is_active)"
                  (version, coalesce(translated_text, ''), latency_s, revised) AS k2 FROM fx_transcripts) GROUP BY ALL""")
 def _(v):
     rows = v("fx_transcripts")
-    half = F.col("version") % 2 == 0
-    # Both halves of the log go through the upsert; the first is the target.
+    # The whole log goes through the upsert, into a table that starts empty.
     target = ledger.resolve_transcripts(rows.filter("false"), ["version"])
     return ledger.upsert_transcripts(target, rows, "version").select(
         "session_id", "chunk_id", "language", "tenant_id", "source_text", "t_audio_start", "translated_text", "latency_s", "revised")
