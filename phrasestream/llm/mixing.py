@@ -134,6 +134,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     hi = F.least(F.col("at") + F.col("size"), F.col("k") * block + F.col("words"))
     if pieces:
         return joined.filter(lo < hi).select("slot", "doc_id", "source", (lo - F.col("at")).alias("first"), (hi - F.col("at")).alias("last"))
-    taken = F.sum(F.greatest(F.lit(0), F.coalesce(hi - lo, F.lit(0))))
+    # Blocks that no slot takes have no words (least() would pass over the null).
+    taken = F.sum(F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), hi - lo)).otherwise(0))
     return joined.groupBy("no", "bucket", "rn", "doc_id", "source", "size", "source_size", "target").agg(
         taken.cast("long").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
