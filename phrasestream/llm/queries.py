@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasestream.llm import fingerprints, mixing, quality, substring_dedup, token_counts, toxicity
+from phrasestream.llm import fingerprints, jaccard_join, mixing, quality, substring_dedup, token_counts, toxicity
 from phrasestream.llm import words as W
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op3_toxicity(spark, sf_dir):
         "doc_id", held_out(0), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+@query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
