@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasestream.llm import fingerprints, jaccard_join, mixing, quality, substring_dedup, token_counts, toxicity
+from phrasestream.llm import decontaminate, fingerprints, jaccard_join, mixing, quality, substring_dedup, token_counts, toxicity
 from phrasestream.llm import words as W
 
 QUERIES: dict = {}
@@ -61,6 +61,11 @@ def op7_quality(spark, sf_dir):
         "doc_id", held_out(0), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+@query
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     docs = W.text_frame(table(spark, sf_dir, "documents"), "doc_id", "text")
