@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasestream.llm import decontaminate, fingerprints, jaccard_join, mixing, quality, substring_dedup, token_counts, toxicity
+from phrasestream.llm import decontaminate, fingerprints, jaccard_join, mixing, pii, quality, substring_dedup, token_counts, toxicity
 from phrasestream.llm import words as W
 
 QUERIES: dict = {}
@@ -71,3 +71,8 @@ def op9_token_counts(spark, sf_dir):
     docs = W.text_frame(table(spark, sf_dir, "documents"), "doc_id", "text")
     counted = token_counts.token_counts(docs, token_counts.load_pieces())
     return counted.select("doc_id", F.col("_words").alias("n_words"), F.col("_tokens").alias("n_tokens"))
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
