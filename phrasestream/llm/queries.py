@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasestream.llm import decontaminate, fingerprints, jaccard_join, mixing, pii, quality, substring_dedup, token_counts, toxicity
+from phrasestream.llm import decontaminate, fingerprints, jaccard_join, language_model, mixing, pii, quality, substring_dedup, token_counts, toxicity
 from phrasestream.llm import words as W
 
 QUERIES: dict = {}
@@ -43,6 +43,12 @@ def op3_toxicity(spark, sf_dir):
         "doc_id", held_out(0), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+@query
+def op4_lm_scoring(spark, sf_dir):
+    docs = W.text_frame(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return language_model.scores(docs.select("*", held_out(1)))
+
+
 @query
 def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
