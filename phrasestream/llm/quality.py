@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     used; of repeated labels the larger counts. Without labelled rows every score is 0.5."""
     rows = labelled_sample(docs, labels, label, train, sample).mapInArrow(
         _rows, "label int, at array<int>, value array<float>")
-    found = rows.coalesce(1).mapInArrow(_fit_rows(sample), "at long, w double").toArrow()
+    found = rows.repartition(1).mapInArrow(_fit_rows(sample), "at long, w double").toArrow()
     w = np.zeros(BUCKETS + 1)
     w[found.column("at").to_numpy()] = found.column("w").to_numpy()
     return w

@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     """
     rows = labelled_sample(docs, labels, label, train, sample).mapInArrow(
         _terms_of_rows, "label int, terms array<int>")
-    found = rows.coalesce(1).mapInArrow(
+    found = rows.repartition(1).mapInArrow(
         _fit_rows(sample), "bias double, buckets array<long>, weights array<double>, factors array<double>"
     ).collect()
     if not found:
