@@ -2,7 +2,9 @@
 copies stays, documents with benchmark passages go, personal data is taken out, and what
 is left is mixed from its sources by weight.
 
-Each stage reads what the one before it kept, written as Parquet in between.
+Each stage reads what the one before it kept, written as Parquet in between. All stages but
+the last return the columns of documents; further columns of the input are not carried. A
+stage takes null ids, texts and sources and empty tables as its operator does.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasestream.llm import mixing, toxicity
+from phrasestream.llm import decontaminate, jaccard_join, mixing, pii, toxicity
 from phrasestream.llm import words as W
 from phrasestream.plans.stage import shared_folder
 
@@ -27,17 +29,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).filter("_predicted = 0").select(*COLUMNS)
 
 
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies. Repeated rows of one
+    id stay together; documents without words or without id are no copies of anything."""
+    rows = W.text_frame(docs, *COLUMNS)
+    classes = jaccard_join.similar_documents(rows)
+    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
+    return rows.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no passage is a benchmark item's."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.clean(W.text_frame(docs, *COLUMNS), benchmark)
+
+
+def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with marks in place of personal data; n_chars is that of the new text."""
+    rows = pii.sanitised(W.text_frame(docs, *COLUMNS))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document left."""
+    """What the mix takes of each document left: doc_id, source, size, source_size, target, taken."""
     return mixing.mix(docs)
 
 
 STAGES = [
     ("drop_toxic", drop_toxic),
+    ("keep_one_of_group", keep_one_of_group),
+    ("drop_contaminated", drop_contaminated),
+    ("take_out_personal_data", take_out_personal_data),
     ("mix_sources", mix_sources),
 ]
 
-#: A fitted model and a recall target are not SQL; tests hold the stages against brute force.
+#: A fitted model and a recall aimed at are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

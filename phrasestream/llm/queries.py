@@ -45,8 +45,8 @@ def op3_toxicity(spark, sf_dir):
 
 @query
 def op4_lm_scoring(spark, sf_dir):
-    docs = W.text_frame(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return language_model.scores(docs.select("*", held_out(1)))
+    docs = W.text_frame(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return language_model.scores(docs.select("*", held_out(1)), group="lang")
 
 
 @query
