@@ -80,14 +80,9 @@ def _weigh(rows: DataFrame, key: list[str], weights: DataFrame, heaviest: Column
         F.sort_array(F.collect_list(F.struct("h", F.coalesce("w", heaviest).alias("w"), "n"))).alias("bag"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, at (first word of the window), words, hamming, similarity: for each
-    document and item the most similar window (the first of equal ones) of `least` or more.
-
-    Windows are of whole texts; a text shorter than an item is one window. Null or empty
-    texts and items match nothing; null ids are kept as they are. Rows of equal id and
-    text are one. Of `docs` only doc_id and text are read, of `benchmark` item_id and text.
-    """
+def matching_windows(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """doc_id, tid (hash of the text), item_id, at (first word of the window), words, hamming
+    and similarity of each window that was verified."""
     items, weights = items_of(benchmark)
     items, weights = staged(items, "bench-items"), staged(weights, "bench-weights")
     index = items.select("item_id", F.col("size").alias("item_size"), F.posexplode("hashes").alias("ipos", "h"))
@@ -126,13 +121,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, ra
     common = F.aggregate("bag", F.lit(0.0), lambda acc, x: acc + x["w"] * F.least(x["n"], F.coalesce(F.try_element_at(F.col("counts"), x["h"]), F.lit(0))))
     pairs = pairs.withColumn("common", common).withColumn(
         "similarity", F.col("common") / (n(F.col("bag")) + n(F.col("item_bag")) - F.col("common")))
-    best = pairs.filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("at", F.col("item_size").alias("words"), "hamming", "similarity"),
-                 F.struct("similarity", -F.col("at"))).alias("m"))
+    return pairs.filter(F.col("similarity") >= least).select(
+        "doc_id", "tid", "item_id", "at", F.col("item_size").alias("words"), "hamming", "similarity")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, at, words, hamming, similarity: for each document and item the most
+    similar window (the first of equal ones) of `least` or more.
+
+    Windows are of whole texts; a text shorter than an item is one window. Null or empty
+    texts and items match nothing; null ids are kept as they are. Rows of equal id and
+    text are one. Of `docs` only doc_id and text are read, of `benchmark` item_id and text.
+    """
+    found = matching_windows(docs, benchmark, least, radius)
+    best = found.groupBy("doc_id", "item_id").agg(
+        F.max_by(F.struct("at", "words", "hamming", "similarity"), F.struct("similarity", -F.col("at"))).alias("m"))
     return best.select("doc_id", "item_id", "m.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of `docs` without a benchmark passage; all columns stay."""
-    found = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of `docs` whose text has no benchmark passage; all columns stay."""
+    found = matching_windows(docs, benchmark, least).select("doc_id", "tid").distinct()
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["tid"])
+    return docs.join(found, same, "left_anti")

@@ -222,7 +222,9 @@ def sanitised(docs: DataFrame, remove_terms: bool = False, **thresholds) -> Data
     based = staged(with_base(docs), "pii-base")
     extra = _extra(docs, based, **thresholds)
     whole = F.coalesce("text", F.lit(""))
-    rows = _joined(docs.withColumn("tid", F.xxhash64(whole)).withColumn("spans", base_spans(whole)), extra)
+    # The row travels as one column, so its names meet none of those made here.
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "doc_id", "text")
+    rows = _joined(own.withColumn("tid", F.xxhash64(whole)).withColumn("spans", base_spans(whole)), extra)
 
     def keep(last, x):
         free = x["start"] >= last
@@ -242,4 +244,5 @@ def sanitised(docs: DataFrame, remove_terms: bool = False, **thresholds) -> Data
         return bound(free, pieces)
 
     text = F.when(F.size("all") == 0, F.col("text")).otherwise(bound(F.col("all"), rebuilt))
-    return rows.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    new = F.when(F.col("text").isNull(), F.col("text")).otherwise(text)
+    return rows.select(*((new if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns))

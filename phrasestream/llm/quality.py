@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
-    """`docs` with _score and _predicted; null texts are empty. All columns pass through."""
+    """`docs` with _score and _predicted; null texts are empty. All other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS + 1 numbers
 
     def run(batches):
@@ -125,5 +125,6 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
                 [*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 [*part.schema.names, "_score", "_predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _score double, _predicted int")
+    source = docs.drop("_score", "_predicted")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    return source.mapInArrow(run, f"{fields}, _score double, _predicted int")

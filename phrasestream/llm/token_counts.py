@@ -76,7 +76,7 @@ def trie_counts(found, pieces: dict[str, float], longest: int, byte_score: float
 
 def token_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
     """`docs` with _words and _tokens (long). A null or empty text has none of either.
-    All columns pass through."""
+    All other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # one vocabulary, tens of thousands of pieces
 
     def run(batches):
@@ -96,5 +96,6 @@ def token_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
                 [*part.columns, pa.array([t.total() for t in texts], pa.int64()), pa.array(tokens, pa.int64())],
                 [*part.schema.names, "_words", "_tokens"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _words long, _tokens long")
+    source = docs.drop("_words", "_tokens")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    return source.mapInArrow(run, f"{fields}, _words long, _tokens long")

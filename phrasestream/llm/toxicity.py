@@ -181,9 +181,9 @@ def score_texts(column: pa.Array, model: Model, place: np.ndarray) -> np.ndarray
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """`docs` with score and predicted. A null text is empty; an empty text has the
-    score of the bias. All columns pass through."""
+    score of the bias. All other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
-    source = docs.select(*docs.columns)
+    source = docs.drop("_score", "_predicted")
 
     def run(batches):
         m = shared.value
