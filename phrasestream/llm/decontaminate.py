@@ -67,9 +67,9 @@ def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = W.text_frame(benchmark, "item_id", "text").withColumn("words", word_list(F.col("text")))
     read = read.withColumn("hashes", shingles(F.col("words"))).withColumn("size", F.size("words"))
     read = read.filter("size > 0 and item_id is not null").select("item_id", "size", "hashes")
-    total = read.agg(F.count(F.lit(1)).alias("total"))
+    total = float(max(read.count(), 1))
     weights = read.select("item_id", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h").agg(
-        F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("h", F.log1p(F.col("total") / F.col("df")).alias("w"))
+        F.count(F.lit(1)).alias("df")).select("h", F.log1p(F.lit(total) / F.col("df")).alias("w"))
     return read, weights
 
 

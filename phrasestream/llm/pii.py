@@ -175,9 +175,9 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, disclosed: float = DISCL
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(docs["text"], F.lit(""))), r"[^\p{L}]+")).alias("term")).filter("term != ''")
     # One pass: candidates by name, all other terms as the null group.
     counted = staged(words.join(names, F.col("term") == F.col("known"), "left").groupBy("known").agg(F.count(F.lit(1)).alias("n_t")), "pii-counts")
-    total = counted.agg(F.sum("n_t").alias("total"))
-    scored = candidates.join(counted, F.col("term") == F.col("known")).join(by_kind, "kind").join(F.broadcast(total))
-    gain = F.log2(F.col("n_tk") * F.col("total") / (F.col("n_t") * F.col("n_k"))) / F.greatest(F.log2(F.col("total") / F.col("n_k")), F.lit(1e-9))
+    total = F.lit(float(counted.agg(F.sum("n_t")).first()[0] or 0))
+    scored = candidates.join(counted, F.col("term") == F.col("known")).join(by_kind, "kind")
+    gain = F.log2(F.col("n_tk") * total / (F.col("n_t") * F.col("n_k"))) / F.greatest(F.log2(total / F.col("n_k")), F.lit(1e-9))
     return scored.withColumn("disclosure", gain).filter(F.col("disclosure") >= disclosed).select("term", "kind", "disclosure")
 
 
