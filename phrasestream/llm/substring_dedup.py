@@ -110,19 +110,20 @@ def _ranges_together(batches, columns: dict[str, type]) -> Iterator[dict[str, np
         yield {k: np.concatenate(v) for k, v in have.items()}
 
 
-def _by_document(found: Iterator[tuple[np.ndarray, np.ndarray]], name: str) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, packed values) of (documents, values) pairs."""
+def _by_document(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(documents, values) pairs packed by buckets of documents: a task sends a row for
+    each bucket, not for each document."""
     have: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def rows():
         d, v = (np.concatenate(x) for x in zip(*have))
-        order = np.argsort(d, kind="stable")
-        d, v = d[order], v[order]
-        ids, at = np.unique(d, return_index=True)
-        cuts = np.append(at, len(d)) * v.dtype.itemsize
-        packed = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(v.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(ids), packed.cast(pa.binary())], ["doc_id", name])
+        where = (W.mix(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((d, where))
+        d, v, where = d[order], v[order], where[order]
+        cuts = np.flatnonzero(np.diff(where, prepend=-1))
+        out = [{"range": int(where[a]), "doc": pack(d[a:b]), "value": pack(v[a:b])} for a, b in zip(cuts, [*cuts[1:], len(d)])]
+        return pa.RecordBatch.from_pylist(out, pa.schema([("range", pa.int64()), ("doc", pa.binary()), ("value", pa.binary())]))
 
     for d, v in found:
         if len(d):
@@ -135,19 +136,45 @@ def _by_document(found: Iterator[tuple[np.ndarray, np.ndarray]], name: str) -> I
         yield rows()
 
 
-def _shared_halves(batches):
-    """(doc_id, halves) of halves that stand in more than one document."""
+PACKED = "range long, doc binary, value binary"
 
-    def found():
-        for got in _ranges_together(batches, {"hash": np.uint64, "doc": np.int64}):
-            order = np.argsort(got["hash"], kind="stable")
-            h, d = got["hash"][order], got["doc"][order]
-            first = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
-            low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-            keep = np.repeat(low < high, np.diff(np.append(first, len(h))))
-            yield d[keep], h[keep]
 
-    return _by_document(found(), "halves")
+def _lists(name: str, kind: type):
+    """(doc_id, values): one row for each document of a bucket."""
+
+    def run(batches):
+        for got in _ranges_together(batches, {"doc": np.int64, "value": kind}):
+            order = np.argsort(got["doc"], kind="stable")
+            d, v = got["doc"][order], got["value"][order]
+            ids, at = np.unique(d, return_index=True)
+            cuts = np.append(at, len(d)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array([v[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", name])
+
+    return run
+
+
+def _regrouped(packed: DataFrame, name: str, kind: type) -> DataFrame:
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(
+        _lists(name, kind), f"doc_id long, {name} binary")
+
+
+def _shared_halves(buckets: int):
+    """Documents and halves, of halves that stand in more than one document."""
+
+    def run(batches):
+        def found():
+            for got in _ranges_together(batches, {"hash": np.uint64, "doc": np.int64}):
+                order = np.argsort(got["hash"], kind="stable")
+                h, d = got["hash"][order], got["doc"][order]
+                first = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
+                low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
+                keep = np.repeat(low < high, np.diff(np.append(first, len(h))))
+                yield d[keep], h[keep]
+
+        return _by_document(found(), buckets)
+
+    return run
 
 
 def _full_windows(length: int, ranges: int):
@@ -160,8 +187,8 @@ def _full_windows(length: int, ranges: int):
             least, _ = picked_halves(h, places, length)
             keep = np.zeros(len(places), bool)
             cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-            for i, lists in enumerate(part.column("halves")):
-                got = np.frombuffer(b"".join(lists.as_py()), np.uint64)
+            for i, listed in enumerate(part.column("halves")):
+                got = np.frombuffer(listed.as_py(), np.uint64)
                 keep[cuts[i] : cuts[i + 1]] = np.isin(least[cuts[i] : cuts[i + 1]], got)
             if keep.any():
                 yield _emit_windows(h, first, places[keep], text[keep], ids, length, ranges)
@@ -169,8 +196,8 @@ def _full_windows(length: int, ranges: int):
     return run
 
 
-def _later_windows(firsts: bool):
-    """(doc_id, places) of windows that also start in a smaller document. With `firsts`
+def _later_windows(firsts: bool, buckets: int):
+    """Documents and places of windows that also start in a smaller document. With `firsts`
     also, as ~place, those of the smallest document if another has them."""
 
     def run(batches):
@@ -186,7 +213,7 @@ def _later_windows(firsts: bool):
                 keep = (low < high) if firsts else (d > low)
                 yield d[keep], np.where(d > low, at, ~at)[keep].astype(np.int32)
 
-        return _by_document(found(), "places")
+        return _by_document(found(), buckets)
 
     return run
 
@@ -207,8 +234,8 @@ def _doubled(length: int, ranges: int):
             *_, first, h, places, text = _hashes(part, length)
             keep = np.zeros(len(places), bool)
             cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-            for i, lists in enumerate(part.column("places")):
-                at = np.frombuffer(b"".join(lists.as_py()), np.int32)
+            for i, listed in enumerate(part.column("places")):
+                at = np.frombuffer(listed.as_py(), np.int32)
                 at = np.where(at < 0, ~at, at)
                 mine = places[cuts[i] : cuts[i + 1]] - first[i]
                 keep[cuts[i] : cuts[i + 1]] = np.isin(mine, at) & np.isin(mine + length // 2, at)
@@ -235,13 +262,12 @@ def _removed(length: int, with_text: bool):
             starts, lengths, first = W.words(data, offsets)
             counts = np.diff(first)
             kept, removed = [], []
-            for i, lists in enumerate(part.column("places")):
+            for i, listed in enumerate(part.column("places")):
                 n = int(counts[i])
                 cover = np.zeros(n + 1, np.int32)
-                for b in lists.as_py() or ():
-                    at = np.frombuffer(b, np.int32)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, np.minimum(at + length, n), -1)
+                at = np.frombuffer(listed.as_py() or b"", np.int32)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, np.minimum(at + length, n), -1)
                 stay = np.flatnonzero(np.cumsum(cover[:n]) == 0) + first[i]
                 removed.append(n - len(stay))
                 kept.append(b" ".join(data[s : s + k].tobytes() for s, k in zip(starts[stay].tolist(), lengths[stay].tolist())))
@@ -260,11 +286,16 @@ def _later_places(known: DataFrame, by_id: DataFrame, length: int, ranges: int,
     """doc_id and packed places of the windows of `length` words that stand in a smaller
     document too."""
     halves = known.mapInArrow(_halves(length, ranges), "range long, hash binary, doc binary")
-    shared = halves.repartition("range").sortWithinPartitions("range").mapInArrow(_shared_halves, "doc_id long, halves binary")
-    lists = staged(shared, "substring-halves").groupBy("doc_id").agg(F.collect_list("halves").alias("halves"))
+    shared = halves.repartition("range").sortWithinPartitions("range").mapInArrow(_shared_halves(ranges), PACKED)
+    lists = staged(_regrouped(shared, "halves", np.uint64), "substring-halves")
     full = by_id.join(lists, "doc_id").mapInArrow(
         _full_windows(length, ranges), "range long, hash binary, more binary, doc binary, at binary")
-    return full.repartition("range").sortWithinPartitions("range").mapInArrow(_later_windows(firsts), "doc_id long, places binary")
+    return _found(full, ranges, firsts)
+
+
+def _found(full: DataFrame, ranges: int, firsts: bool) -> DataFrame:
+    later = full.repartition("range").sortWithinPartitions("range").mapInArrow(_later_windows(firsts, ranges), PACKED)
+    return _regrouped(later, "places", np.int32)
 
 
 def _ready(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -285,9 +316,9 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, with_text: bool = Fals
     words. Only doc_id and text of `docs` are read.
     """
     known, by_id, others, ranges = _ready(docs)
-    places = _later_places(known, by_id, length, ranges).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = _later_places(known, by_id, length, ranges)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    whole = others.withColumn("places", F.lit(None).cast("array<binary>"))
+    whole = others.withColumn("places", F.lit(None).cast("binary"))
     return by_id.join(places, "doc_id", "left").mapInArrow(_removed(length, with_text), out).unionByName(
         whole.mapInArrow(_removed(length, with_text), out))
 
@@ -302,11 +333,9 @@ def repeated_runs(docs: DataFrame, length: int = WINDOW, levels: int = 20) -> Da
     while levels and places.limit(1).count():
         found.append(places.withColumn("words", F.lit(now)))
         now, levels = now * 2, levels - 1
-        lists = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-        longer = by_id.join(lists, "doc_id").mapInArrow(_doubled(now, ranges), "range long, hash binary, more binary, doc binary, at binary")
+        longer = by_id.join(places.select("doc_id", "places"), "doc_id").mapInArrow(_doubled(now, ranges), "range long, hash binary, more binary, doc binary, at binary")
         first = staged(longer, "substring-doubled")
-        places = staged(first.repartition("range").sortWithinPartitions("range").mapInArrow(
-            _later_windows(firsts=True), "doc_id long, places binary"), "substring-level")
+        places = staged(_found(first, ranges, firsts=True), "substring-level")
     if not found:
         return places.select("doc_id", F.lit(0).alias("at"), F.lit(now).alias("words")).limit(0)
     rows = found[0]
