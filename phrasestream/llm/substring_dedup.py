@@ -85,11 +85,18 @@ def _halves(length: int, ranges: int):
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             *_, h, places, text = _hashes(part, length)
             least, _ = picked_halves(h, places, length)
-            # Each half once for each document.
-            pairs = np.unique(np.rec.fromarrays([least, ids[text]], names="h,d")) if len(least) else None
-            if pairs is not None:
-                rows = list(_by_range(pairs["h"].copy(), ranges, doc=pairs["d"].astype(np.int64)))
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("range", pa.int64()), ("hash", pa.binary()), ("doc", pa.binary())]))
+            if not len(least):
+                continue
+            # Each half once for each text: neighbours mostly pick the same one.
+            new = np.ones(len(least), bool)
+            new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+            least, text = least[new], text[new]
+            order = np.lexsort((text, least))
+            least, text = least[order], text[order]
+            new = np.ones(len(least), bool)
+            new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+            rows = list(_by_range(least[new], ranges, doc=ids[text[new]].astype(np.int64)))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("range", pa.int64()), ("hash", pa.binary()), ("doc", pa.binary())]))
 
     return run
 
