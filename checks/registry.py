@@ -158,7 +158,12 @@ def _(v):
     return v("fx_pcm").select("session_id", "seq", scalars.audio_duration(F.col("pcm"), F.col("sample_rate")).alias("seconds"))
 
 
-HEARD = """(lower(trim(text)) = '' OR (no_speech_prob > 0.8 AND avg_logprob < -0.5) OR (lower(trim(text)) IN ('thank you.', 'bye.')
+def stripped(x: str) -> str:
+    spaces = rf"[{fixed_values.WHITESPACE}]+"
+    return f"regexp_replace({x}, '^{spaces}|{spaces}$', '', 'g')"
+
+
+HEARD = f"""(lower({stripped('text')}) = '' OR (no_speech_prob > 0.8 AND avg_logprob < -0.5) OR (lower({stripped('text')}) IN ('thank you.', 'bye.')
            AND (no_speech_prob > 0.5 OR avg_logprob < -0.7)))"""
 
 
@@ -371,7 +376,7 @@ DUCK_TRACES = """
                     max(CASE WHEN stage = 'tts_first_audio' THEN t_wall END) AS tts_first_audio,
                     max(CASE WHEN stage = 'published' THEN t_wall END) AS published,
                     max(CASE WHEN stage = 'published' THEN seq END) AS published_seq FROM firsts GROUP BY ALL),
-    traces AS (SELECT w.*, audio_end_wall, published - audio_end_wall AS g2g FROM wide w JOIN fx_ends USING (session_id, chunk_id, language))"""
+    traces AS (SELECT w.*, audio_end_wall, published - audio_end_wall AS g2g FROM wide w LEFT JOIN fx_ends USING (session_id, chunk_id, language))"""
 
 
 def _traces(v):
@@ -474,11 +479,14 @@ DUCK_POLICIES = """
                ('de', 0.3, 0.9, 3.0, 1.2, 'explicit'), ('hi', 0.5, 1.5, 6.0, 1.3, 'default'))"""
 
 
+def _explicit(v):
+    return v("fx_depths").sparkSession.createDataFrame(
+        [("de", 0.3, 0.9, 3.0, 1.2)], "language string, comfortable_s double, speedup_at_s double, skip_at_s double, max_speed double")
+
+
 def _policies(v):
     languages = v("fx_depths").select("language").distinct().filter("language <> 'xx'")
-    explicit = languages.sparkSession.createDataFrame(
-        [("de", 0.3, 0.9, 3.0, 1.2)], "language string, comfortable_s double, speedup_at_s double, skip_at_s double, max_speed double")
-    return flow.resolve_policy(languages, explicit)
+    return flow.resolve_policy(languages, _explicit(v))
 
 
 @register("j7_resolve_policy", f"WITH {DUCK_POLICIES} SELECT * FROM policies WHERE language IN (SELECT language FROM fx_depths)")
@@ -511,7 +519,7 @@ def _(v):
     return flow.drift_control(v("fx_depths"), _policies(v))
 
 
-@register("a10_drift_summary", f"""WITH {DUCK_DRIFT.replace("('de', 0.3, 0.9, 3.0, 1.2, 'explicit')", "('de', 0.5, 1.5, 6.0, 1.3, 'default')")},
+@register("a10_drift_summary", f"""WITH {DUCK_DRIFT},
     configured AS (SELECT DISTINCT user_id AS session_id, unnest(['fr', 'ar', 'de', 'hi']) AS language FROM events)
     SELECT c.session_id, c.language, {half_even('coalesce(max_by(d.queue_depth_s, seq), 0)', 2)} AS queue_depth_s, {half_even('coalesce(max(d.peak_depth_s), 0)', 2)} AS peak_depth_s,
            count(*) FILTER (action = 'skip') AS skipped_phrases, {half_even('coalesce(sum(skipped_s), 0)', 2)} AS skipped_seconds,
@@ -521,8 +529,7 @@ def _(v):
 def _(v):
     configured = v("fx_depths").select("session_id").distinct().select(
         "session_id", F.explode(F.array(*[F.lit(c) for c in ("fr", "ar", "de", "hi")])).alias("language"))
-    policies = flow.resolve_policy(configured.select("language").distinct())
-    return flow.drift_summary(flow.drift_control(v("fx_depths"), policies), configured)
+    return flow.drift_summary(flow.drift_control(v("fx_depths"), _policies(v)), configured, _explicit(v))
 
 
 @register("t8_session_watchdog", """
@@ -570,9 +577,10 @@ ACTIVE = "(SELECT tenant_id, slug FROM fx_tenants WHERE is_active)"
                  (version, coalesce(translated_text, ''), latency_s, revised) AS k2 FROM fx_transcripts) GROUP BY ALL""")
 def _(v):
     rows = v("fx_transcripts")
-    # The whole log goes through the upsert, into a table that starts empty.
-    target = ledger.resolve_transcripts(rows.filter("false"), ["version"])
-    return ledger.upsert_transcripts(target, rows, "version").select(
+    # The older part of the log is the table; the newer part is upserted into it.
+    middle = rows.agg(F.median("version")).scalar()
+    target = ledger.resolve_transcripts(rows.filter(F.col("version") <= middle), ["version"])
+    return ledger.upsert_transcripts(target, rows.filter(F.col("version") > middle), "version").select(
         "session_id", "chunk_id", "language", "tenant_id", "source_text", "t_audio_start", "translated_text", "latency_s", "revised")
 
 
@@ -719,7 +727,7 @@ def _(v):
     FROM fx_transcripts WHERE tenant_id = 1 AND session_id = (SELECT min(l_orderkey) FROM lineitem WHERE l_suppkey % 7 = 1 AND l_returnflag = 'N') AND language = 'N' ORDER BY chunk_id""")
 def _(v):
     rows = v("fx_transcripts")
-    first = rows.filter("tenant_id = 1 AND language = 'N'").agg(F.min("session_id")).first()[0]
+    first = rows.filter("tenant_id = 1 AND language = 'N'").agg(F.min("session_id")).scalar()
     return ledger.transcript(rows, 1, first, "N")
 
 
@@ -827,7 +835,7 @@ def _(v):
 @register("a12_expansion_ratio", """
     WITH said AS (SELECT session_id, sum(seconds) AS s FROM fx_said GROUP BY ALL),
     spoken AS (SELECT session_id, language, sum(seconds) AS o FROM fx_spoken GROUP BY ALL)
-    SELECT language, round(sum(o), 4) AS output_s, round(sum(s), 4) AS source_s, round(sum(o) / sum(s) - 1, 6) AS expansion FROM spoken JOIN said USING (session_id) GROUP BY language""")
+    SELECT language, round(sum(o), 4) AS output_s, round(sum(s), 4) AS source_s, round(sum(o) / sum(s) - 1, 6) AS expansion FROM spoken LEFT JOIN said USING (session_id) GROUP BY language""")
 def _(v):
     out = routing.expansion_ratio(v("fx_said"), v("fx_spoken"))
     return out.withColumns({"output_s": F.round("output_s", 4), "source_s": F.round("source_s", 4), "expansion": F.round("expansion", 6)})
@@ -839,7 +847,7 @@ def _(v):
     return routing.merge_translations([rows.filter("backend = 'opus-mt'"), rows.filter("backend = 'nllb-200'")])
 
 
-@register("u3_skip_empty", "SELECT session_id, backend, language FROM fx_translations WHERE trim(translated_text) <> ''")
+@register("u3_skip_empty", f"SELECT session_id, backend, language FROM fx_translations WHERE {stripped('translated_text')} <> ''")
 def _(v):
     return routing.skip_empty(v("fx_translations")).select("session_id", "backend", "language")
 
@@ -931,10 +939,14 @@ def _(v):
 
 @register("f4_script_leak", r"""
     SELECT session_id, chunk_id, language, backend, length(regexp_replace(translated_text, '\P{L}', '', 'g'))::int AS letters,
-           length(CASE WHEN language = 'hi' THEN regexp_replace(translated_text, '[\P{L}\p{Devanagari}]', '', 'g') ELSE regexp_replace(translated_text, '[\P{L}\p{Latin}]', '', 'g') END)::int AS foreign_letters,
-           round(coalesce(foreign_letters::double / nullif(letters, 0), 0), 6) AS leak FROM fx_translations""")
-def _(v):
-    return r6(quality.script_leak(v("fx_translations")), "leak")
+           length(CASE WHEN language = 'hi' THEN regexp_replace(translated_text, '[\P{L}\p{Devanagari}]', '', 'g')
+                       WHEN language IN ('en', 'fr', 'es') THEN regexp_replace(translated_text, '[\P{L}\p{Latin}]', '', 'g') END)::int AS foreign_letters,
+           CASE WHEN foreign_letters IS NOT NULL THEN round(coalesce(foreign_letters::double / nullif(letters, 0), 0), 6) END AS leak
+    FROM (SELECT * REPLACE (CASE WHEN language = 'de' THEN 'xx' ELSE language END AS language) FROM fx_translations)""")
+def _(v):
+    # German stands in for a language whose script is not known.
+    unknown = v("fx_translations").replace("de", "xx", ["language"])
+    return r6(quality.script_leak(unknown), "leak")
 
 
 # --- audio --------------------------------------------------------------------------------------

@@ -8,7 +8,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def share_package() -> None:
+    """Let Python workers of a local session find this package from any folder. A
+    cluster gets it as a wheel or with --py-files; see the README."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def session(cores: str | None = None) -> SparkSession:
+    share_package()
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")

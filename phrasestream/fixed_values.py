@@ -111,9 +111,13 @@ BACKEND_CREDIBILITY = [
 ]
 
 # script expected for a language, as a Unicode script name
+# The script (or scripts) a language is written in.
 TARGET_SCRIPTS = [
-    ("de", "Latin"), ("en", "Latin"), ("es", "Latin"), ("fr", "Latin"),
-    ("hi", "Devanagari"), ("ta", "Tamil"), ("te", "Telugu"),
+    ("ar", "Arabic"), ("de", "Latin"), ("en", "Latin"), ("es", "Latin"), ("fa", "Arabic"),
+    ("fr", "Latin"), ("he", "Hebrew"), ("hi", "Devanagari"), ("it", "Latin"),
+    ("ja", "Han+Hiragana+Katakana"), ("ko", "Han+Hangul"), ("ml", "Malayalam"), ("nl", "Latin"),
+    ("pt", "Latin"), ("ru", "Cyrillic"), ("ta", "Tamil"), ("te", "Telugu"), ("tr", "Latin"),
+    ("ur", "Arabic"), ("zh", "Han"),
 ]
 
 # --- flow control and sessions -------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from phrasestream.fixed_values import STOCK_PHRASES
+from phrasestream.functions.text import strip
 
 
 def word_end_time(word_ends: Column, start: Column, end: Column, words: Column, index: Column) -> Column:
@@ -21,12 +22,12 @@ def word_end_time(word_ends: Column, start: Column, end: Column, words: Column,
 
 
 def python_word_end(word_ends, start: float, end: float, words: int, index: int) -> float:
-    if word_ends and index <= len(word_ends):
-        return word_ends[index - 1]
-    span = end - start
-    if words <= 0 or span <= 0:
-        return end
-    return start + span * min(1.0, index / words)
+    """The same inside a task."""
+    timed = word_ends[index - 1 : index] if word_ends else ()
+    if len(timed):
+        return timed[0]
+    heard = min(1.0, index / words) if words > 0 and end > start else None
+    return end if heard is None else start + (end - start) * heard
 
 
 def audio_duration(pcm: Column, sample_rate: Column) -> Column:
@@ -36,7 +37,7 @@ def audio_duration(pcm: Column, sample_rate: Column) -> Column:
 
 def is_hallucination(text: Column, no_speech: Column, logprob: Column) -> Column:
     """P10: blank, confidently not speech, or a stock phrase that is doubtful."""
-    stripped = F.lower(F.trim(text))
+    stripped = F.lower(strip(text))
     return (
         (stripped == "")
         | ((no_speech > 0.8) & (logprob < -0.5))

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -124,8 +123,9 @@ def wer_tokens(text: Column) -> Column:
     return tokenise(cleaned)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def strip(text: Column) -> Column:
+    """`text` without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
 
 
 # --- the same clause rules inside a fold -----------------------------------------

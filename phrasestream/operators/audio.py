@@ -69,18 +69,15 @@ def energy_gate(windows: DataFrame, floor: float = SPEECH_WINDOW_RMS) -> DataFra
 def quiet_runs(
     levels: DataFrame, rms_floor: float = QUIET_FRAME_RMS, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """Seconds of quiet up to each frame since the last loud one: the
-    running quiet total less its value at that loud frame."""
-    quiet = F.when(F.col("rms") < rms_floor, F.col("duration")).otherwise(0.0)
-    total = running(levels, ["session_id"], ["seq"], {"_quiet": ("sum", quiet)}, target_rows=target_rows)
-    marked = running(
-        total, ["session_id"], ["seq"],
-        {"_at_loud": ("last", F.when(F.col("rms") >= rms_floor, F.col("_quiet")))},
-        target_rows=target_rows,
-    )
-    return marked.withColumn(
-        "quiet_s", F.col("_quiet") - F.coalesce("_at_loud", F.lit(0.0))
-    ).drop("_quiet", "_at_loud")
+    """Seconds of quiet up to each frame since the last loud one. Loud frames
+    number the islands between them; a total runs inside its island alone."""
+    loud = F.col("rms") >= rms_floor
+    numbered = running(
+        levels, ["session_id"], ["seq"], {"_island": ("count", F.when(loud, 1))}, target_rows=target_rows)
+    quiet = F.when(loud, 0.0).otherwise(F.col("duration"))
+    return running(
+        numbered, ["session_id", "_island"], ["seq"], {"quiet_s": ("sum", quiet)}, target_rows=target_rows
+    ).drop("_island")
 
 
 class UtteranceMachine(Machine):

@@ -30,7 +30,7 @@ class BacklogMachine(Machine):
 
     def __init__(self, max_lag: float, recover_to: float, warn: float):
         if recover_to >= max_lag:
-            raise ValueError("recover_to must be below max_lag, or shedding never settles")
+            raise ValueError("a backlog is shed down to recover_to, so that has to be less than max_lag")
         self.max_lag, self.recover_to, self.warn = max_lag, recover_to, warn
 
     def start(self, lane):
@@ -59,16 +59,20 @@ class BacklogMachine(Machine):
         newest = t_audio + duration
         buffer.append((t_audio, duration))
         lag = self._lag(buffer, newest)
-        raised = lag >= self.warn and not warned
-        dropped, seconds = 0, 0.0
-        if lag >= self.max_lag:
-            while len(buffer) > 1 and self._lag(buffer, newest) > self.recover_to:
-                seconds += buffer.popleft()[1]
-                dropped += 1
+        gone = self._surplus(buffer, newest) if lag >= self.max_lag else 0
+        seconds = 0.0
+        for _ in range(gone):
+            seconds += buffer.popleft()[1]
+        high = lag >= self.warn
         out.append((
-            seq, kind, t_audio, lag, self._lag(buffer, newest), dropped, seconds, dropped > 0, raised, False
+            seq, kind, t_audio, lag, self._lag(buffer, newest), gone, seconds, gone > 0, high and not warned, False
         ))
-        return [buffer, newest, lag >= self.warn], book
+        return [buffer, newest, high], book
+
+    def _surplus(self, buffer, newest) -> int:
+        """Frames before the first one that is recent enough; the last always stays."""
+        recent = (k for k, (start, _) in enumerate(buffer) if newest - start <= self.recover_to)
+        return next(recent, len(buffer) - 1)
 
     def candidates(self, lane, rows):
         pushes = [(row[2], row[3]) for row in rows if row[1] == "push"]
@@ -106,6 +110,7 @@ def backlog_summary(decisions: DataFrame) -> DataFrame:
 
 # --- J7, W6, T7, A10 -------------------------------------------------------------
 
+MAX_POLICIES = 10_000
 POLICY = ["comfortable_s", "speedup_at_s", "skip_at_s", "max_speed"]
 
 
@@ -170,6 +175,9 @@ def drift_control(
     seconds (the phrase's span); `policies` is keyed by language. A language
     without a policy is inert: normal speed, never skipped, not observed.
     """
+    # One row for each language: sent to all tasks if there are as few as expected.
+    if policies.limit(MAX_POLICIES + 1).count() <= MAX_POLICIES:
+        policies = F.broadcast(policies)
     known = running_peak(depths, target_rows).join(policies, "language", "left")
     inert = F.col("skip_at_s").isNull()
     skip = ~inert & should_skip(F.col("queue_depth_s"), F.col("skip_at_s"))
@@ -188,8 +196,11 @@ def drift_control(
     )
 
 
-def drift_summary(decisions: DataFrame, languages: DataFrame) -> DataFrame:
-    """A10: every configured (session_id, language) appears."""
+def drift_summary(
+    decisions: DataFrame, languages: DataFrame, explicit: DataFrame | None = None
+) -> DataFrame:
+    """A10: every configured (session_id, language) appears, with the thresholds
+    of the policy in force; `explicit` has those of the session's owner."""
     keys = ["session_id", "language"]
     totals = decisions.groupBy(*keys).agg(
         F.max(F.struct("seq", "queue_depth_s")).getField("queue_depth_s").alias("queue_depth_s"),
@@ -199,7 +210,7 @@ def drift_summary(decisions: DataFrame, languages: DataFrame) -> DataFrame:
         F.count_if("sped_up").alias("speedup_phrases"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return resolve_policy(languages).join(totals, keys, "left").select(
+    return resolve_policy(languages, explicit).join(totals, keys, "left").select(
         *keys,
         *[F.bround(F.coalesce(F.col(c), F.lit(0.0)), 2).alias(c) for c in ("queue_depth_s", "peak_depth_s")],
         zero("skipped_phrases").cast("bigint").alias("skipped_phrases"),

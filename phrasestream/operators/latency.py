@@ -93,7 +93,8 @@ def assemble_traces(marks: DataFrame, chunks: DataFrame, slo: float = SLO_SECOND
         *CHUNK, *[F.col(f"{s}.t_wall").alias(s) for s in STAGES],
         F.col("published.seq").alias("published_seq"),
     )
-    return trace_columns(wide.join(chunks.select(*CHUNK, "audio_end_wall"), CHUNK), slo)
+    # A chunk whose end is not known yet keeps its marks, without latencies.
+    return trace_columns(wide.join(chunks.select(*CHUNK, "audio_end_wall"), CHUNK, "left"), slo)
 
 
 def trace_columns(wide: DataFrame, slo: float = SLO_SECONDS) -> DataFrame:
@@ -130,10 +131,11 @@ def latest_samples(
     return kept.drop("_rank", "_ahead", PIECE, PIECES, SHARE)
 
 
-def latency_stats(traces: DataFrame, slo: float = SLO_SECONDS, cap: int = SAMPLE_CAP) -> DataFrame:
-    """A1: exact percentiles over at most `cap` samples per group."""
+def latency_stats(traces: DataFrame, slo: float = SLO_SECONDS, cap: int | None = None) -> DataFrame:
+    """A1: exact percentiles over all samples, or the newest `cap` of each group."""
     three = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    grouped = latest_samples(traces, cap).groupBy("session_id", "language").agg(
+    samples = traces.filter("finished") if cap is None else latest_samples(traces, cap)
+    grouped = samples.groupBy("session_id", "language").agg(
         F.count(F.lit(1)).alias("count"),
         F.percentile("glass_to_glass_s", three).alias("q"),
         F.max("glass_to_glass_s").alias("worst_s"),

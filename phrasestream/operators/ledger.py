@@ -17,7 +17,7 @@ TRANSCRIPT_KEY = ["session_id", "chunk_id", "language"]
 def tenant_scope(df: DataFrame, tenant_id) -> DataFrame:
     """Rows of one tenant. There is no default tenant."""
     if tenant_id is None or str(tenant_id).strip() == "":
-        raise ValueError("tenant_id is required; there is no default tenant")
+        raise ValueError("name the tenant whose rows are wanted")
     return df.filter(F.col("tenant_id") == tenant_id)
 
 
@@ -99,7 +99,7 @@ def live_session_in_room(tenants: DataFrame, sessions: DataFrame) -> DataFrame:
 def published_codes(tracks: DataFrame) -> DataFrame:
     """Language tracks (and the source track) published per session."""
     name = F.col("track_name")
-    code = F.when(name.startswith(TRACK_PREFIX), F.substring(name, len(TRACK_PREFIX) + 1, 1_000)).when(
+    code = F.when(name.startswith(TRACK_PREFIX), F.substr(name, F.lit(len(TRACK_PREFIX) + 1))).when(
         name == SOURCE_TRACK, name
     )
     return tracks.select("session_id", code.alias("code")).filter("code is not null").distinct()

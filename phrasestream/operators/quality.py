@@ -104,7 +104,13 @@ def score_sessions(transcripts: DataFrame, references: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("used"), F.first("total").alias("total"),
         F.first("looped").alias("looped"),
     )
-    return word_errors(wanted.join(heard, "session_id"))
+    # A session that was never heard is all deletions.
+    empty = F.array().cast("array<string>")
+    scored = wanted.join(heard, "session_id", "left").withColumns({
+        "hypothesis": F.coalesce("hypothesis", empty), "used": F.coalesce("used", F.lit(0)),
+        "total": F.coalesce("total", F.lit(0)), "looped": F.coalesce("looped", F.lit(False)),
+    })
+    return word_errors(scored)
 
 
 def repetition_flags(translations: DataFrame, max_ratio: float = 3.0, n: int = 3) -> DataFrame:
@@ -125,17 +131,19 @@ def repetition_flags(translations: DataFrame, max_ratio: float = 3.0, n: int = 3
 
 
 def script_leak(translations: DataFrame) -> DataFrame:
-    """share of letters outside the script expected for the language."""
+    """share of letters outside the script expected for the language; null for a
+    language without a known script."""
     text = F.col("translated_text")
     letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
     foreign = None
     for script in sorted({s for _, s in TARGET_SCRIPTS}):
         languages = [code for code, s in TARGET_SCRIPTS if s == script]
-        count = F.length(F.regexp_replace(text, rf"[\P{{L}}\p{{Is{script}}}]", ""))
+        own = "".join(rf"\p{{Is{name}}}" for name in script.split("+"))
+        count = F.length(F.regexp_replace(text, rf"[\P{{L}}{own}]", ""))
         test = F.col("language").isin(languages)
         foreign = F.when(test, count) if foreign is None else foreign.when(test, count)
     return translations.select(
         *[c for c in translations.columns if c not in ("translated_text", "source_text")],
         letters.alias("letters"), foreign.alias("foreign_letters"),
-        F.coalesce(F.try_divide(foreign, letters), F.lit(0.0)).alias("leak"),
+        F.when(foreign.isNotNull(), F.coalesce(F.try_divide(foreign, letters), F.lit(0.0))).alias("leak"),
     )

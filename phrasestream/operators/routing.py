@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from phrasestream.fixed_values import (
     BACKEND_CREDIBILITY, CLONED_VOICE_LANGUAGES, DEFAULT_BACKEND, DEFAULT_ROUTES, FLORES_CODES, VOICES,
 )
+from phrasestream.functions.text import strip
 
 # All lookup tables here are constants of the package (at most 25 rows), so
 # broadcasting them is bounded whatever the size of the data.
@@ -100,14 +101,14 @@ def expansion_ratio(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """Output seconds over source seconds, minus one, per language."""
     said = sources.groupBy("session_id").agg(F.sum("seconds").alias("source_s"))
     spoken = outputs.groupBy("session_id", "language").agg(F.sum("seconds").alias("output_s"))
-    return spoken.join(said, "session_id").groupBy("language").agg(
+    return spoken.join(said, "session_id", "left").groupBy("language").agg(
         F.sum("output_s").alias("output_s"), F.sum("source_s").alias("source_s")
     ).withColumn("expansion", F.try_divide("output_s", "source_s") - 1)
 
 
 def skip_empty(translations: DataFrame) -> DataFrame:
     """Blank translations are neither spoken nor stored."""
-    return translations.filter(F.trim(F.coalesce("translated_text", F.lit(""))) != "")
+    return translations.filter(strip(F.coalesce("translated_text", F.lit(""))) != "")
 
 
 # --- U1, U2 -----------------------------------------------------------------------
@@ -122,7 +123,7 @@ Translator = Callable[[list[str], str, str], list[str]]
 
 def translate_fanout(
     rows: DataFrame, backends: dict[str, Callable[[], Translator]],
-    routes: dict[str, str] | None = None, spread: int = 1,
+    routes: dict[str, str] | None = None, spread: int = 64,
 ) -> DataFrame:
     """Translate (source_language, language, text) rows through user functions.
 

@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TARGET_ROWS = 200_000
-# Bound on the broadcast table of cut keys. The largest keys are cut first; a
-# key left whole has at most 1/MAX_CUT_KEYS of all rows.
-MAX_CUT_KEYS = 100_000
+# Keys with more than 1/MAX_CUT_KEYS of all rows are cut, if they have more than
+# target_rows: so there are fewer than MAX_CUT_KEYS of them, and the broadcast
+# table of cut keys is bounded by that.
+MAX_CUT_KEYS = 10_000
+# A key is cut along its own distribution of the order column, known at so many
+# quantiles and taken as even between two of them.
+QUANTILES = 64
 PIECE, PIECES, SHARE = "_piece", "_pieces", "_share"
 
 
@@ -50,25 +54,34 @@ class Cut:
 def cut_large_keys(df: DataFrame, keys: list[str], order: str, target_rows: int = TARGET_ROWS) -> Cut:
     kind = df.schema[order].dataType.typeName()
     at = F.col(order).cast("timestamp" if kind.startswith("timestamp") else "double").cast("double")
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .filter((F.col("_n") > target_rows) & (F.col("_hi") > F.col("_lo")))
-        .orderBy(F.col("_n").desc())
-        .limit(MAX_CUT_KEYS)
-        .withColumn(PIECES, F.ceil(F.col("_n") / target_rows).cast("int"))
-        .drop("_n")
-    )
-    spot = (at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col(PIECES)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    share = F.coalesce(counts.agg(F.sum("_n") / MAX_CUT_KEYS).scalar(), F.lit(0.0))
+    many = counts.filter(
+        (F.col("_n") > target_rows) & (F.col("_n") > share) & (F.col("_hi") > F.col("_lo"))
+    ).select(*keys, F.ceil(F.col("_n") / target_rows).cast("int").alias(PIECES))
+    grid = F.percentile_approx(at, [i / QUANTILES for i in range(QUANTILES + 1)], F.lit(10_000))
+    large = df.join(F.broadcast(many), keys).groupBy(*keys).agg(
+        grid.alias("_grid"), F.first(PIECES).alias(PIECES), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    # The sketch may miss the ends.
+    ends = lambda g: F.concat(F.array("_lo"), F.slice(g, 2, QUANTILES - 1), F.array("_hi"))
+    large = large.withColumn("_grid", ends(F.col("_grid"))).drop("_lo", "_hi")
+    # The last quantile that is not above a row, by halving; then the way to the next.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((QUANTILES - 1).bit_length()))])
+    cell = F.aggregate(steps, F.lit(0), lambda i, s: i + F.when(
+        (i + s < QUANTILES) & (F.get("_grid", i + s) <= at), s).otherwise(0))
+    low, high = F.get("_grid", F.col("_cell")), F.get("_grid", F.col("_cell") + 1)
+    way = F.when(high > low, F.least(F.lit(1.0), (at - low) / (high - low))).otherwise(0.0)
+    spot = (F.col("_cell") + way) / QUANTILES * F.col(PIECES)
     piece = F.least(F.floor(spot), F.col(PIECES) - 1).cast("int")
 
     def mark(how: str) -> DataFrame:
         return (
             df.join(F.broadcast(large), keys, how)
+            .withColumn("_cell", F.when(F.col(PIECES).isNotNull(), cell))
             .withColumn(PIECE, F.coalesce(piece, F.lit(0)))
             .withColumn(SHARE, F.coalesce(spot - F.col(PIECE), F.lit(0.0)))
             .withColumn(PIECES, F.coalesce(PIECES, F.lit(1)))
-            .drop("_lo", "_hi")
+            .drop("_grid", "_cell")
         )
 
     return Cut(mark("left"), mark("inner"), keys, target_rows)

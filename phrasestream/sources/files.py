@@ -20,17 +20,26 @@ def _reader(spark: SparkSession, stream: bool):
     return spark.readStream if stream else spark.read
 
 
-def _session_from_path(column: str = "_metadata.file_name"):
-    return F.regexp_replace(F.col(column), r"\.[^.]*$", "")
+def _session_from_path(column: str = "_metadata.file_path"):
+    """The whole path without its ending: files of one name in two folders differ."""
+    return F.regexp_replace(F.col(column), r"\.[^./]*$", "")
 
 
 def read_hypotheses(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """JSON lines, one hypothesis each. Blank lines are skipped. Files
-    without session_id take the file's name, one recording per file."""
-    raw = _reader(spark, stream).schema(schemas.HYPOTHESES).json(path)
-    return raw.filter("text is not null").withColumn(
-        "session_id", F.coalesce("session_id", _session_from_path())
-    )
+    without session_id take the file's path, one recording per file. A line that
+    cannot be read, or has no text or seq, is kept whole in `corrupt`; readers of
+    hypotheses filter on its absence."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    lines = _reader(spark, stream).text(path).filter(F.trim("value") != "")
+    parsed = lines.select(
+        F.from_json("value", schemas.HYPOTHESES + ", corrupt string", options).alias("h"),
+        "value", _session_from_path().alias("_path"))
+    bad = F.col("h.corrupt").isNotNull() | F.col("h.text").isNull() | F.col("h.seq").isNull()
+    return parsed.select("h.*", "_path", "value", bad.alias("_bad")).withColumns({
+        "session_id": F.coalesce("session_id", "_path"),
+        "corrupt": F.when(F.col("_bad"), F.col("value")),
+    }).drop("_path", "value", "_bad")
 
 
 def read_session_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -103,7 +112,7 @@ def read_audio_frames(spark: SparkSession, path: str, frame_ms: int = 100) -> Da
                     if rows:
                         yield block(rows)
 
-    named = files.select(_session_from_path("_metadata.file_name").alias("session_id"), "content")
+    named = files.select(_session_from_path().alias("session_id"), "content")
     return named.mapInArrow(frames, schema)
 
 
@@ -123,7 +132,7 @@ def read_reference_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file with its words."""
     whole = spark.read.text(path, wholetext=True)
     return reference_words(whole.select(
-        _session_from_path("_metadata.file_name").alias("doc"), F.col("value").alias("text")
+        _session_from_path().alias("doc"), F.col("value").alias("text")
     ))
 
 

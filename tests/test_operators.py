@@ -1,5 +1,6 @@
 import math
 import random
+import os
 import tempfile
 import wave
 
@@ -221,7 +222,7 @@ def test_wav_frames(spark):
     with wave.open(f"{folder}/talk.wav", "wb") as out:
         out.setnchannels(1), out.setsampwidth(2), out.setframerate(16000)
         out.writeframes(b"\1\0" * 4000)
-    got = rows(files.read_audio_frames(spark, folder).select("session_id", "seq", F.octet_length("pcm"), "t_audio"), "seq")
+    got = rows(files.read_audio_frames(spark, folder).select(F.substring_index("session_id", "/", -1), "seq", F.octet_length("pcm"), "t_audio"), "seq")
     assert got == [("talk", 0, 3200, 0.0), ("talk", 1, 3200, 0.1), ("talk", 2, 1600, 0.2)]
 
 
@@ -248,6 +249,12 @@ def test_transcript_log_upserts_isolates_and_compacts(spark):
     assert transcripts.read_transcripts(spark, f"{folder}/t", "t2").count() == 0
     transcripts.compact(spark, f"{folder}/t", f"{folder}/t2")
     assert transcripts.read_transcripts(spark, f"{folder}/t2", "t1").count() == 3
+    # A stream with a new checkpoint adds to the snapshot, also with its batch 0.
+    make(transcript_row(2, "zwei", latency_s=3.0), transcript_row(7, "sept")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schemas.TRANSCRIPTS).parquet(f"{folder}/in")
+    transcripts.transcript_sink(stream, f"{folder}/t2", f"{folder}/new-checkpoint").awaitTermination()
+    got = transcripts.read_transcripts(spark, f"{folder}/t2", "t1").orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.translated_text) for r in got] == [(0, "zero"), (1, "un"), (2, "zwei"), (7, "sept")]
 
 
 def test_ledger_scan_is_pruned(spark):
@@ -264,8 +271,15 @@ def test_hypothesis_files_and_logs(spark):
     with open(f"{folder}/talk.jsonl", "w") as out:
         out.write('{"text": "a b", "is_final": false, "t_audio_start": 0, "t_audio_end": 0.7, "t_wall": 100.0, "seq": 0}\n\n')
         out.write('{"text": "a b c", "is_final": true, "t_audio_start": 0, "t_audio_end": 1.05, "t_wall": 100.2, "seq": 1}\n')
+    os.mkdir(f"{folder}/other")
+    with open(f"{folder}/other/talk.jsonl", "w") as out:
+        out.write('{"text": "no order"}\nnot json\n')
     hyps = files.read_hypotheses(spark, folder)
-    assert rows(hyps.select("session_id", "seq", "is_final"), "seq") == [("talk", 0, False), ("talk", 1, True)]
+    assert rows(hyps.selectExpr("session_id LIKE '%/talk'", "seq", "is_final"), "seq") == [(True, 0, False), (True, 1, True)]
+    bad = files.read_hypotheses(spark, f"{folder}/other")
+    assert {r.corrupt for r in bad.collect()} == {'{"text": "no order"}', "not json"}
+    both = hyps.unionByName(bad)
+    assert both.select("session_id").distinct().count() == 2
     logs = tempfile.mkdtemp(prefix="spark-")
     with open(f"{logs}/app.log", "w") as out:
         out.write('{"severity": "INFO", "message": "chunk published", "logger": "x", "time": "2024-01-01T00:00:00.000Z", "chunk_id": 3, "language": "fr", "glass_to_glass_s": 1.1, "slo_breach": false, "stage_tts_s": 0.3}\nbroken\n')
