@@ -448,14 +448,43 @@ def _(v):
 # --- flow control -----------------------------------------------------------------------
 
 
-@register("t6_shed_backlog")
+# One step of the recursion takes the next event of every session at once.
+DUCK_BACKLOG = f"""
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM fx_pushlog),
+    replay AS (
+        SELECT DISTINCT session_id, 0::bigint AS r, []::STRUCT(t DOUBLE, d DOUBLE)[] AS buf, 0.0::double AS newest, false AS high, NULL::bigint AS seq, NULL::varchar AS kind,
+               NULL::double AS t_audio, 0.0::double AS lag_before_s, 0.0::double AS lag_after_s, 0 AS dropped_frames, 0.0::double AS dropped_s, false AS shed, false AS warned, false AS taken
+        FROM fx_pushlog
+        UNION ALL
+        SELECT session_id, r, after, now, CASE WHEN kind = 'push' THEN lag >= {fixed_values.WARN_LAG_S} ELSE high END, seq, kind, t_audio, lag,
+               CASE WHEN len(after) > 0 THEN greatest(0.0, now - after[1].t) ELSE 0.0 END, CASE WHEN kind = 'push' THEN gone ELSE 0 END::int,
+               CASE WHEN kind = 'push' THEN coalesce(list_sum(list_transform(buf[1:gone], lambda x: x.d)), 0.0) ELSE 0.0 END,
+               kind = 'push' AND gone > 0, kind = 'push' AND lag >= {fixed_values.WARN_LAG_S} AND NOT high, kind <> 'push' AND len(buf) > 0
+        FROM (SELECT *, CASE WHEN kind = 'push' THEN buf[gone + 1:] ELSE buf[2:] END AS after
+              FROM (SELECT *, CASE WHEN lag >= {fixed_values.MAX_LAG_S} AND kind = 'push'
+                                   THEN coalesce(list_position(list_transform(buf, lambda x: now - x.t <= {fixed_values.RECOVER_TO_S}), true) - 1, len(buf) - 1) ELSE 0 END AS gone
+                    FROM (SELECT *, CASE WHEN len(buf) > 0 THEN greatest(0.0, now - buf[1].t) ELSE 0.0 END AS lag
+                          FROM (SELECT o.session_id, o.r, o.seq, o.kind, o.t_audio, p.high,
+                                       CASE WHEN o.kind = 'push' THEN o.t_audio + o.duration ELSE p.newest END AS now,
+                                       CASE WHEN o.kind = 'push' THEN list_append(p.buf, {{'t': o.t_audio, 'd': o.duration}}) ELSE p.buf END AS buf
+                                FROM replay p JOIN ordered o ON o.session_id = p.session_id AND o.r = p.r + 1)))))"""
+BACKLOG_SECONDS = ("t_audio", "lag_before_s", "lag_after_s", "dropped_s")
+
+
+@register("t6_shed_backlog", f"""WITH RECURSIVE {DUCK_BACKLOG}
+    SELECT session_id, seq, kind, {", ".join(f"round({c}, 6) AS {c}" for c in BACKLOG_SECONDS)}, dropped_frames, shed, warned, taken FROM replay WHERE r > 0""")
 def _(v):
-    return flow.shed_backlog(v("fx_pushlog"))
+    return r6(flow.shed_backlog(v("fx_pushlog")), *BACKLOG_SECONDS)
 
 
-@register("a9_backlog_of_log")
+@register("a9_backlog_of_log", f"""WITH RECURSIVE {DUCK_BACKLOG}
+    SELECT session_id, count(*) FILTER (kind = 'push') AS frames_in, count(*) FILTER (taken) AS frames_out, sum(dropped_frames)::bigint AS frames_dropped,
+           {half_even("round(sum(dropped_s), 6)", 2)} AS seconds_dropped, count(*) FILTER (shed) AS shed_events,
+           {half_even("round(coalesce(max(CASE WHEN kind = 'push' THEN lag_before_s END), 0), 6)", 2)} AS peak_lag_s,
+           {half_even("coalesce(sum(dropped_frames)::double / nullif(count(*) FILTER (kind = 'push'), 0), 0)", 4)} AS drop_rate
+    FROM replay WHERE r > 0 GROUP BY session_id""")
 def _(v):
-    return flow.backlog_summary(flow.shed_backlog(v("fx_pushlog")))
+    return flow.backlog_summary(r6(flow.shed_backlog(v("fx_pushlog")), *BACKLOG_SECONDS))
 
 
 @register("a9_backlog_summary", """
@@ -879,9 +908,34 @@ def _(v):
 # --- quality ----------------------------------------------------------------------------------
 
 
-@register("f1_word_errors")
+def edits_sql(pairs: str) -> str:
+    """Edit counts of each (id, reference, hypothesis): one line of the table of distances
+    for each word of the reference; a substitution comes before a deletion, an insertion
+    only where it is shorter."""
+    return f"""
+    pairs AS ({pairs}),
+    lines AS (
+        SELECT id, reference, hypothesis, 0::bigint AS i, list_transform(range(0, len(hypothesis) + 1), lambda j: {{'d': j, 's': 0::bigint, 'x': 0::bigint, 'n': j}}) AS line FROM pairs
+        UNION ALL
+        SELECT id, reference, hypothesis, i + 1, list_reduce(
+            list_transform(range(1, len(hypothesis) + 1), lambda j: {{'same': hypothesis[j] = reference[i + 1], 'diag': line[j], 'up': line[j + 1], 'row': line[1:0]}}),
+            lambda a, e: {{'same': e.same, 'diag': e.diag, 'up': e.up, 'row': list_append(a.row,
+                CASE WHEN e.same THEN e.diag
+                     WHEN a.row[-1].d < least(e.diag.d, e.up.d) THEN {{'d': a.row[-1].d + 1, 's': a.row[-1].s, 'x': a.row[-1].x, 'n': a.row[-1].n + 1}}
+                     WHEN e.diag.d <= e.up.d THEN {{'d': e.diag.d + 1, 's': e.diag.s + 1, 'x': e.diag.x, 'n': e.diag.n}}
+                     ELSE {{'d': e.up.d + 1, 's': e.up.s, 'x': e.up.x + 1, 'n': e.up.n}} END)}},
+            {{'same': false, 'diag': line[1], 'up': line[1], 'row': [{{'d': line[1].d + 1, 's': line[1].s, 'x': line[1].x + 1, 'n': line[1].n}}]}}).row
+        FROM lines WHERE i < len(reference)),
+    edits AS (SELECT id, line[-1].s::int AS sub, line[-1].x::int AS del, line[-1].n::int AS ins, line[-1].d::int AS distance, len(reference)::int AS reference_words,
+                     round(coalesce(line[-1].d::double / nullif(len(reference), 0), 0), 6) AS wer FROM lines WHERE i = len(reference))"""
+
+
+PAIR_EDITS = edits_sql("SELECT {'pair_id': pair_id, 'role': role} AS id, reference, hypothesis FROM fx_pairs")
+
+
+@register("f1_word_errors", f"WITH RECURSIVE {PAIR_EDITS} SELECT id.pair_id AS pair_id, id.role AS role, sub, del, ins, distance, reference_words, wer FROM edits")
 def _(v):
-    return quality.word_errors(v("fx_pairs"))
+    return r6(quality.word_errors(v("fx_pairs")), "wer")
 
 
 @register("a11_wer_report", """
@@ -894,9 +948,11 @@ def _(v):
     return r6(quality.wer_report(errors, ["language"]), "wer")
 
 
-@register("f1_a11_wer_of_pairs")
+@register("f1_a11_wer_of_pairs", f"""WITH RECURSIVE {PAIR_EDITS}
+    SELECT id.role AS role, sum(sub)::bigint AS sub, sum(del)::bigint AS del, sum(ins)::bigint AS ins, sum(distance)::bigint AS distance, sum(reference_words)::bigint AS reference_words,
+           round(sum(distance)::double / nullif(sum(reference_words), 0), 6) AS wer FROM edits GROUP BY id.role""")
 def _(v):
-    return quality.wer_report(quality.word_errors(v("fx_pairs")), ["role"])
+    return r6(quality.wer_report(quality.word_errors(v("fx_pairs")), ["role"]), "wer")
 
 
 @register("w4_distinct_chunks", "SELECT session_id, chunk_id, min(language) AS language, arg_min(source_text, language) AS source_text FROM fx_stored GROUP BY ALL")
@@ -918,9 +974,18 @@ def _(v):
     return quality.one_pass(quality.distinct_chunks(v("fx_stored")), refs).drop("words")
 
 
-@register("f2_score_sessions")
+SESSION_EDITS = edits_sql(f"""
+    SELECT {{'session_id': session_id, 'used': coalesce(used, 0), 'total': coalesce(total, 0), 'looped': coalesce(looped, false)}} AS id, reference, coalesce(hypothesis, []) AS hypothesis
+    FROM (SELECT session_id, {WER_TOKENS} AS reference FROM fx_refs) LEFT JOIN (
+        SELECT session_id, flatten(list(words ORDER BY chunk_id)) AS hypothesis, count(*) AS used, any_value(total) AS total, bool_or(stop IS NOT NULL) AS looped
+        FROM summed JOIN stops USING (session_id) JOIN (SELECT conv_id AS session_id, turn AS chunk_id, {WER_TOKENS} AS words FROM conversations) USING (session_id, chunk_id)
+        WHERE stop IS NULL OR chunk_id < stop GROUP BY session_id) USING (session_id)""")
+
+
+@register("f2_score_sessions", f"""WITH RECURSIVE {DUCK_PASS}, {SESSION_EDITS}
+    SELECT id.session_id AS session_id, id.used AS used, id.total AS total, id.looped AS looped, sub, del, ins, distance, reference_words, wer FROM edits""")
 def _(v):
-    return quality.score_sessions(v("fx_stored"), v("fx_refs"))
+    return r6(quality.score_sessions(v("fx_stored"), v("fx_refs")), "wer")
 
 
 @register("f3_repetition_flags", r"""
@@ -991,17 +1056,39 @@ def _(v):
     return r6(audio.quiet_runs(v("fx_levels")).select("session_id", "seq", "quiet_s"), "quiet_s")
 
 
-@register("t10_utterances")
+DUCK_UTTERANCES = f"""
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM fx_levels),
+    listened AS (
+        SELECT DISTINCT session_id, 0::bigint AS r, 1::bigint AS n, NULL::double AS start, 0.0::double AS secs, 0.0::double AS energy, 0 AS tries, 0.0::double AS quiet, 0.0::double AS due, 0::bigint AS made,
+               NULL::bigint AS utterance_id, NULL::double AS t_start, NULL::double AS t_end, NULL::varchar AS closed_by, NULL::double AS rms, 0 AS passes
+        FROM fx_levels
+        UNION ALL
+        SELECT session_id, r, n, CASE WHEN closed IS NULL THEN start END, CASE WHEN closed IS NULL THEN secs ELSE 0 END, CASE WHEN closed IS NULL THEN energy ELSE 0 END,
+               CASE WHEN closed IS NULL THEN tries + again::int ELSE 0 END, CASE WHEN closed IS NULL THEN quiet ELSE 0 END, CASE WHEN again THEN t_wall + 1.0 ELSE due END,
+               made + (closed IS NOT NULL)::int, CASE WHEN ended IS NOT NULL THEN made END, start, start + secs, ended, CASE WHEN secs > 0 THEN sqrt(energy / secs) ELSE 0 END,
+               tries + again::int + (ended = 'end')::int
+        FROM (SELECT *, closed IS NOT NULL OR t_wall >= due AS again, coalesce(closed, CASE WHEN r = n THEN 'end' END) AS ended
+              FROM (SELECT *, CASE WHEN quiet >= {fixed_values.UTTERANCE_QUIET_S} THEN 'quiet' WHEN secs >= {fixed_values.UTTERANCE_MAX_S} THEN 'cap' END AS closed
+                    FROM (SELECT o.session_id, o.r, o.n, o.t_wall, coalesce(p.start, o.t_audio) AS start, p.secs + o.duration AS secs, p.energy + o.rms * o.rms * o.duration AS energy,
+                                 CASE WHEN o.rms < {fixed_values.QUIET_FRAME_RMS} THEN p.quiet + o.duration ELSE 0 END AS quiet, p.tries, p.due, p.made
+                          FROM listened p JOIN ordered o ON o.session_id = p.session_id AND o.r = p.r + 1)))),
+    heard AS (SELECT session_id, utterance_id, t_start, t_end, closed_by, rms, rms < {fixed_values.SPEECH_WINDOW_RMS} AS gated, passes FROM listened WHERE closed_by IS NOT NULL)"""
+
+
+@register("t10_utterances", f"""WITH RECURSIVE {DUCK_UTTERANCES}
+    SELECT * REPLACE (round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, round(rms, 6) AS rms) FROM heard""")
 def _(v):
-    return audio.utterances(v("fx_levels"))
+    return r6(audio.utterances(v("fx_levels")), "t_start", "t_end", "rms")
 
 
-@register("u2_transcribe_segments")
+@register("u2_transcribe_segments", f"""WITH RECURSIVE {DUCK_UTTERANCES}
+    SELECT * REPLACE (round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, round(rms, 6) AS rms),
+           CASE WHEN gated THEN '' ELSE 'speech of ' || printf('%.1f', t_end - t_start) || ' s' END AS text, NULL::varchar AS error FROM heard""")
 def _(v):
     def recogniser():
         return lambda frame: [f"speech of {e - s:.1f} s" for s, e in zip(frame["t_start"], frame["t_end"])]
 
-    return routing.transcribe_segments(audio.utterances(v("fx_levels")), recogniser)
+    return r6(routing.transcribe_segments(audio.utterances(v("fx_levels")), recogniser), "t_start", "t_end", "rms")
 
 
 @register("t11_context_windows", """WITH RECURSIVE
@@ -1165,9 +1252,10 @@ def _(v):
     return live.anchor_clock_stream(_timed(v, rows, "arrival", seq=0, t_audio=0.0, t_wall=0.0))
 
 
-@register_stream("t6_shed_backlog_stream")
+@register_stream("t6_shed_backlog_stream", sql_of("t6_shed_backlog"))
 def _(v):
-    return folds.shed_backlog_stream(_timed(v, v("fx_pushlog"), "t_audio", seq=0, kind="push", duration=0.1))
+    out = folds.shed_backlog_stream(_timed(v, v("fx_pushlog"), "t_audio", seq=0, kind="push", duration=0.1))
+    return r6(out, *BACKLOG_SECONDS)
 
 
 @register_stream("t8_session_watchdog_stream", sql_of("t8_session_watchdog"))
@@ -1176,11 +1264,11 @@ def _(v):
     return live.session_watchdog_stream(_timed(v, rows, "t_wall", started_at=END))
 
 
-@register_stream("t10_utterances_stream")
+@register_stream("t10_utterances_stream", sql_of("t10_utterances"))
 def _(v):
     machine = audio.UtteranceMachine(0.7, 8.0, 0.005, 0.006, 1.0)
     rows = _timed(v, v("fx_levels"), "t_audio", seq=0, t_wall=END, duration=0.1, rms=0.0)
-    return folds.utterances_stream(rows, machine, idle_s=1e6)
+    return r6(folds.utterances_stream(rows, machine, idle_s=1e6), "t_start", "t_end", "rms")
 
 
 @register_stream("t11_context_windows_stream", """
