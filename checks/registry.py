@@ -274,9 +274,70 @@ def _(v):
 # --- T1, T3, A7, A8, O5, F5, F6 ---------------------------------------------------------
 
 
-@register("t1_commit_phrases")
+def phrases_sql(configs: list[tuple[int, int, float]], silence: float | None = None) -> str:
+    """Phrases under (config_id, agreement, wait) rows: the recursion takes the next
+    hypothesis of every session and configuration at once and carries how many words are
+    committed. 4 and 25 are the least and most words, 17.5 is 0.7 of the most."""
+    table = ", ".join(f"({i}, {n}, {w}::double)" for i, n, w in configs)
+    quiet = f"next_wall IS NOT NULL AND next_wall - wall >= {silence}" if silence else "false"
+    later = f"wall + {silence}" if silence else "wall"
+    ends = rf"""(CASE WHEN right(x, 1) = '.' THEN length(x) > 2 AND NOT regexp_matches(left(x, -1), '\d') AND {DUCK_NORM_LIST} NOT IN ({ABBR})
+                     ELSE right(x, 1) IN ('?', '!', '۔', '।', '॥', '。', '？', '！') END OR right(x, 1) IN (',', ';', ':', '،', '؛', '、', '，', '；', '：'))"""
+    stop = lambda at: f"CASE WHEN words <= 0 OR t_end <= 0 THEN t_end ELSE t_end * least(1.0, ({at})::double / words) END"
+    piece = lambda take, j: f"least(25, {take} - 25 * {j})"
+    part = lambda take, reason, now, base, words_before, first: f"""
+        SELECT config_id, session_id, made + {base} + j AS chunk_id, array_to_string(toks[was + {words_before} + 25 * j + 1:was + {words_before} + 25 * j + {piece(take, 'j')}], ' ') AS text,
+               CASE WHEN {first} AND j = 0 THEN cursor_was ELSE {stop(f'was + {words_before} + 25 * j')} END AS t_audio_start,
+               {stop(f'was + {words_before} + 25 * j + {piece(take, "j")}')} AS t_audio_end, {now} AS t_wall_committed, {reason} AS reason, {piece(take, 'j')}::int AS word_count,
+               greatest(0.0, {now} - first_seen) AS stability_lag, {first} AND j = 0 AND rev AS revised_after_commit
+        FROM (SELECT *, unnest(range(0, ceil({take} / 25.0)::bigint)) AS j FROM replay WHERE r > 0 AND {take} > 0)"""
+    return f"""{DUCK_STEPS},
+    configs AS (SELECT * FROM (VALUES {table}) AS t(config_id, agreement, wait)),
+    flagged AS MATERIALIZED (
+        SELECT session_id, seq, is_final, toks, len(toks) AS words, t_wall AS wall, t_audio_end AS t_end, lag(norm) OVER w AS pn, norm, row_number() OVER w AS r,
+               count(*) OVER (PARTITION BY session_id) AS final_r, lead(t_wall) OVER w AS next_wall,
+               list_filter(range(1, len(toks) + 1), lambda i: list_transform([toks[i]], lambda x: {ends})[1]) AS cuts,
+               list_filter(range(1, len(toks) + 1), lambda i: norm[i] IN ({CONJ})) AS conjunctions
+        FROM nt WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+    paired AS (
+        SELECT *, len(pn) AS previous_n, CASE WHEN pn IS NOT NULL THEN
+                  coalesce(list_min(list_filter(range(1, least(len(pn), words) + 1), lambda i: pn[i] <> norm[i])) - 1, least(len(pn), words)) END AS shared FROM flagged),
+    agreeing AS (
+        SELECT p.*, config_id, wait, CASE WHEN agreement = 1 OR is_final THEN words WHEN agreement = 2 THEN coalesce(least(shared, words), 0)
+                    WHEN r >= 3 THEN least(shared, lag(shared) OVER (PARTITION BY config_id, session_id ORDER BY r), words) ELSE 0 END AS agreed
+        FROM paired p, configs),
+    steps AS MATERIALIZED (SELECT *, min(wall) OVER (PARTITION BY config_id, session_id, agreed ORDER BY r) AS first_seen FROM agreeing),
+    replay AS (
+        SELECT config_id, session_id, 0::bigint AS r, 0::bigint AS was, 0::bigint AS committed, 0::bigint AS made, 0::bigint AS next_made, 0.0::double AS cursor_was, 0.0::double AS cursor_now,
+               false AS rev, false AS revised, 0::bigint AS take1, NULL::varchar AS reason1, 0::bigint AS take2, NULL::varchar AS reason2, NULL::double AS wall, NULL::double AS now2,
+               NULL::double AS first_seen, 0::bigint AS words, NULL::double AS t_end, []::varchar[] AS toks
+        FROM configs, (SELECT DISTINCT session_id FROM nt)
+        UNION ALL
+        SELECT config_id, session_id, r, committed, committed + take1 + take2, next_made, next_made + ceil(take1 / 25.0)::bigint + ceil(take2 / 25.0)::bigint, cursor_now,
+               CASE WHEN take1 + take2 > 0 THEN {stop('committed + take1 + take2')} ELSE cursor_now END, rev, rev AND take1 + take2 = 0, take1, reason1, take2, reason2, wall, now2,
+               first_seen, words, t_end, toks
+        FROM (SELECT *, CASE WHEN {quiet} OR r = final_r THEN greatest(0, pending - take1) ELSE 0 END AS take2, CASE WHEN {quiet} THEN 'silence' ELSE 'final' END AS reason2,
+                     CASE WHEN {quiet} THEN {later} ELSE wall END AS now2
+              FROM (SELECT *, CASE WHEN pending <= 0 THEN 0 WHEN is_final THEN pending WHEN pending >= 25 THEN 25 WHEN clause > 0 THEN clause
+                                   WHEN wall - first_seen >= wait AND pending >= 4 THEN pending ELSE 0 END AS take1,
+                           CASE WHEN is_final THEN 'final' WHEN pending >= 25 THEN 'max_words' WHEN clause > 0 THEN 'clause' ELSE 'stability_timeout' END AS reason1
+                    FROM (SELECT x.*, p.committed, p.next_made, p.cursor_now, x.agreed - p.committed AS pending,
+                                 p.revised OR (p.committed > 0 AND (x.words < p.committed OR coalesce(x.previous_n >= p.committed AND x.shared < p.committed, false))) AS rev,
+                                 coalesce(list_max(list_filter(x.cuts, lambda c: c >= p.committed + 4 AND c <= x.agreed)) - p.committed,
+                                          CASE WHEN x.agreed - p.committed >= 17.5 THEN list_max(list_filter(x.conjunctions, lambda c: c >= p.committed + 5 AND c <= x.agreed)) - 1 - p.committed END, 0) AS clause
+                          FROM replay p JOIN steps x ON x.config_id = p.config_id AND x.session_id = p.session_id AND x.r = p.r + 1)))),
+    phrases AS ({part('take1', 'reason1', 'wall', '0', '0', 'true')}
+        UNION ALL {part('take2', 'reason2', 'now2', 'ceil(take1 / 25.0)::bigint', 'take1', 'take1 = 0')})"""
+
+
+PHRASE_SECONDS = ("t_audio_start", "t_audio_end", "t_wall_committed", "stability_lag")
+SHOWN_PHRASES = ("session_id, chunk_id, text, reason, word_count, revised_after_commit, "
+                 + ", ".join(f"round({c}, 6) AS {c}" for c in PHRASE_SECONDS))
+
+
+@register("t1_commit_phrases", f"WITH RECURSIVE {phrases_sql([(0, 2, 1.0)])} SELECT {SHOWN_PHRASES} FROM phrases")
 def _(v):
-    return chunking.commit_phrases(v("fx_hyps"))
+    return r6(chunking.commit_phrases(v("fx_hyps")), *PHRASE_SECONDS)
 
 
 @register("t1_a8_entry")
@@ -286,14 +347,17 @@ def _(v):
     return chunking.replay_metrics(chunks, chunking.final_transcripts(hyps)).drop("reasons")
 
 
-@register("t1_commit_phrases_with_silence")
+@register("t1_commit_phrases_with_silence", f"WITH RECURSIVE {phrases_sql([(0, 1, 1.0)], 0.1)} SELECT {SHOWN_PHRASES} FROM phrases")
 def _(v):
-    return chunking.commit_phrases(v("fx_hyps"), chunking.ChunkerConfig(agreement_n=1, silence_commit_s=0.1), silence=True)
+    return r6(chunking.commit_phrases(v("fx_hyps"), chunking.ChunkerConfig(agreement_n=1, silence_commit_s=0.1), silence=True), *PHRASE_SECONDS)
+
+
+SWEEP = phrases_sql([(i, c.agreement_n, c.max_wait_s) for i, c in enumerate(chunking.sweep_configs())])
 
 
-@register("t3_sweep_chunker")
+@register("t3_sweep_chunker", f"WITH RECURSIVE {SWEEP} SELECT config_id::int AS config_id, {SHOWN_PHRASES} FROM phrases")
 def _(v):
-    return chunking.sweep_chunks(v("fx_hyps"), chunking.sweep_configs())
+    return r6(chunking.sweep_chunks(v("fx_hyps"), chunking.sweep_configs()), *PHRASE_SECONDS)
 
 
 def _metrics(v):
