@@ -340,11 +340,35 @@ def _(v):
     return r6(chunking.commit_phrases(v("fx_hyps")), *PHRASE_SECONDS)
 
 
-@register("t1_a8_entry")
+def phrase_metrics_sql(configs: str) -> str:
+    """Replay metrics of the phrases above, for every (config_id, session_id)."""
+    return rf"""
+    final_text AS (SELECT session_id, list_filter(string_split_regex(max_by(text, seq), '\s+'), lambda x: x <> '') AS truth FROM fx_hyps GROUP BY session_id),
+    kept AS MATERIALIZED (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS said FROM phrases),
+    spoken AS (SELECT config_id, session_id, unnest(said) AS t, chunk_id, generate_subscripts(said, 1) AS i FROM kept),
+    placed AS (SELECT config_id, session_id, t, row_number() OVER (PARTITION BY config_id, session_id ORDER BY chunk_id, i) AS p FROM spoken),
+    wrong AS (SELECT config_id, session_id, count(*) FILTER (p <= len(truth) AND t <> truth[p]) AS w, count(*) AS n FROM placed JOIN final_text USING (session_id) GROUP BY ALL),
+    stats AS (
+        SELECT config_id, session_id, count(*) AS chunks, avg(word_count) AS mean_words, quantile_cont(late, 0.5) AS p50, quantile_cont(late, 0.95) AS p95, max(late) AS max
+        FROM (SELECT *, greatest(0.0::double, t_wall_committed - t_audio_end) AS late FROM kept) GROUP BY ALL),
+    reasons AS (SELECT config_id, session_id, reason, count(*) AS n, min(chunk_id) AS first FROM kept GROUP BY ALL),
+    tops AS (SELECT config_id, session_id, reason AS top_reason FROM reasons QUALIFY row_number() OVER (PARTITION BY config_id, session_id ORDER BY n DESC, first) = 1),
+    metrics AS (
+        SELECT c.config_id::int AS config_id, t.session_id, coalesce(chunks, 0) AS chunks, coalesce(mean_words, 0) AS mean_words, coalesce(p50, 0) AS p50, coalesce(p95, 0) AS p95, coalesce(max, 0) AS max,
+               CASE WHEN len(truth) > 0 THEN (coalesce(w, 0) + abs(coalesce(n, 0) - len(truth)))::double / len(truth) ELSE 0 END AS wrong_word_rate, top_reason
+        FROM final_text t CROSS JOIN (SELECT unnest({configs}) AS config_id) c LEFT JOIN stats s ON s.session_id = t.session_id AND s.config_id = c.config_id
+        LEFT JOIN wrong w ON w.session_id = t.session_id AND w.config_id = c.config_id LEFT JOIN tops x ON x.session_id = t.session_id AND x.config_id = c.config_id)"""
+
+
+METRIC_DOUBLES = ("mean_words", "p50", "p95", "max", "wrong_word_rate")
+SHOWN_METRICS = "session_id, chunks, top_reason, " + ", ".join(f"round({c}, 6)::double AS {c}" for c in METRIC_DOUBLES)
+
+
+@register("t1_a8_entry", f"WITH RECURSIVE {phrases_sql([(0, 2, 1.0)])}, {phrase_metrics_sql('[0]')} SELECT {SHOWN_METRICS} FROM metrics")
 def _(v):
     hyps = v("fx_hyps")
     chunks = staged(chunking.commit_phrases(hyps), "chunks")
-    return chunking.replay_metrics(chunks, chunking.final_transcripts(hyps)).drop("reasons")
+    return r6(chunking.replay_metrics(chunks, chunking.final_transcripts(hyps)).drop("reasons"), *METRIC_DOUBLES)
 
 
 @register("t1_commit_phrases_with_silence", f"WITH RECURSIVE {phrases_sql([(0, 1, 1.0)], 0.1)} SELECT {SHOWN_PHRASES} FROM phrases")
@@ -367,9 +391,12 @@ def _metrics(v):
     return chunking.replay_metrics(chunks, chunking.final_transcripts(hyps), list(range(len(configs))))
 
 
-@register("t3_a8_sweep_metrics")
+SWEEP_METRICS = f"WITH RECURSIVE {SWEEP}, {phrase_metrics_sql(str(list(range(len(chunking.sweep_configs())))))}"
+
+
+@register("t3_a8_sweep_metrics", f"{SWEEP_METRICS} SELECT config_id, {SHOWN_METRICS} FROM metrics")
 def _(v):
-    return _metrics(v)
+    return r6(_metrics(v).drop("reasons"), *METRIC_DOUBLES)
 
 
 @register("a8_replay_metrics", r"""
@@ -391,10 +418,12 @@ def _(v):
     return r6(chunking.replay_metrics(v("fx_chunks"), truth).drop("reasons"), "mean_words", "p50", "p95", "wrong_word_rate")
 
 
-@register("o5_sweep_table")
+@register("o5_sweep_table", f"""{SWEEP_METRICS}
+    SELECT config_id, sum(chunks)::bigint AS chunks, round(avg(p95), 6) AS p95, round(avg(wrong_word_rate), 6) AS wrong_word_rate FROM metrics GROUP BY config_id
+    ORDER BY round(avg(p95), 6), round(avg(wrong_word_rate), 6), config_id LIMIT 5""")
 def _(v):
     means = _metrics(v).groupBy("config_id").agg(
-        F.avg("p95").alias("p95"), F.avg("wrong_word_rate").alias("wrong_word_rate"), F.sum("chunks").alias("chunks"))
+        F.round(F.avg("p95"), 6).alias("p95"), F.round(F.avg("wrong_word_rate"), 6).alias("wrong_word_rate"), F.sum("chunks").alias("chunks"))
     return chunking.sweep_table(means, 5)
 
 
