@@ -29,6 +29,8 @@ from phrasestream.plans.stage import staged
 
 PER_BLOCK, BLOCKS, CLASSES, PERIOD = 256, 40, 64, 4096
 BANDS, BAND_BITS = 16, 16
+#: As few walks as this go on one by one.
+FEW = 12
 
 
 def _tables():
@@ -38,7 +40,7 @@ def _tables():
     for row in moves:
         ahead = np.flatnonzero(np.concatenate([row, row]))
         stay.append((ahead[np.searchsorted(ahead, np.arange(PERIOD))] - np.arange(PERIOD) + 1).astype(np.uint8).tobytes())
-    written = [bytes(r) for r in rng.integers(0, 2, (CLASSES, PERIOD)).astype(np.uint8)]
+    written = rng.integers(0, 2, (CLASSES, PERIOD)).astype(np.uint8)
     at, begin = [0], []
     for a in range(BLOCKS):
         begin.append(len(at))
@@ -46,33 +48,54 @@ def _tables():
         picked = np.arange(span) if span <= PER_BLOCK else np.unique(rng.integers(0, span, PER_BLOCK))
         at += (span + picked).tolist()
     begin[0] = 0
-    return stay, written, at, begin
+    return stay, written, np.array(at, np.int64), begin
 
 
 STAY, WRITTEN, AT, BEGIN = _tables()
-SLOT = [(p * 2654435761 >> 7) % PERIOD for p in AT]
+STAY_TABLE = np.stack([np.frombuffer(r, np.uint8) for r in STAY]).astype(np.int64)
+SLOT = ((AT.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(PERIOD)).astype(np.int64)
 _BLOCK = np.searchsorted(np.array(BEGIN), np.arange(len(AT)), side="right") - 1
 _SIZES = np.bincount(_BLOCK, minlength=BLOCKS)
+#: For each block, which of its samples make up each band.
+PICKED = [np.stack([np.random.default_rng((a, b)).permutation(n)[:BAND_BITS] for b in range(BANDS)]) if n >= BAND_BITS else None
+          for a, n in enumerate(_SIZES.tolist())]
 WEIGHT = np.exp2(_BLOCK.astype(float)) / _SIZES[_BLOCK]
 
 
-def codes(text: str) -> bytes:
+def codes(text: str) -> np.ndarray:
     """The class of each character."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    return ((points * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(CLASSES)).astype(np.uint8).tobytes()
-
-
-def walk(chars: bytes, t: int = 0, bits: list[int] | None = None) -> tuple[int, list[int]]:
-    """Walk on from step t; `bits` has the sampled bits of the steps so far."""
-    bits = [] if bits is None else bits
-    sample = AT[len(bits)]
-    last = PERIOD - 1
-    for c in chars:
-        t += STAY[c][t & last]
-        while t > sample:
-            bits.append(WRITTEN[c][SLOT[len(bits)]])
-            sample = AT[len(bits)]
-    return t, bits
+    return ((points * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(CLASSES)).astype(np.uint8)
+
+
+def walks(chars: list[np.ndarray], start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The step at which each walk comes to each of its characters, and where it ends.
+    All texts walk side by side, the longest first; the last few go on one by one."""
+    sizes = np.array([len(c) for c in chars], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    offsets = np.cumsum(sizes[order]) - sizes[order]
+    flat_ = np.concatenate([chars[i] for i in order]) if len(order) else np.zeros(0, np.uint8)
+    times = np.zeros(len(flat_), np.int64)
+    t = start[order].astype(np.int64)
+    active = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+    last, stay = PERIOD - 1, STAY_TABLE.ravel()
+    for i, n in enumerate(active.tolist()):
+        if n <= FEW:
+            for k in range(n):
+                now, row = int(t[k]), []
+                for c in flat_[offsets[k] + i : offsets[k] + sizes[order[k]]].tobytes():
+                    row.append(now)
+                    now += STAY[c][now & last]
+                times[offsets[k] + i : offsets[k] + sizes[order[k]]] = row
+                t[k] = now
+            break
+        at = offsets[:n] + i
+        now = t[:n]
+        times[at] = now
+        t[:n] = now + stay[flat_[at].astype(np.int64) * PERIOD + (now & last)]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return [times[offsets[k] : offsets[k] + n] for k, n in zip(back, sizes)], t[back]
 
 
 def _lowest(t: int) -> int:
@@ -80,93 +103,109 @@ def _lowest(t: int) -> int:
     return 0 if top <= 8 else top - 3
 
 
-def pack(t: int, bits: list[int]) -> str:
-    kept = np.array(bits[BEGIN[_lowest(t)] :], np.uint8)
-    return f"{t:x}:{np.packbits(kept).tobytes().hex()}"
+def sampled(chars: np.ndarray, times: np.ndarray, t: int) -> np.ndarray:
+    """The sampled bits of a walk of t steps, from its lowest block on."""
+    begin, end = BEGIN[_lowest(t)], int(np.searchsorted(AT, t))
+    if end <= begin:
+        return np.zeros(0, np.uint8)
+    at = np.searchsorted(times, AT[begin:end], side="right") - 1
+    return WRITTEN[chars[at], SLOT[begin:end]]
+
+
+def pack(t: int, bits: np.ndarray) -> str:
+    return f"{t:x}:{np.packbits(bits).tobytes().hex()}"
 
 
 def unpack(fingerprint: str) -> tuple[int, np.ndarray]:
-    """Steps, and the sampled bits from the first block on; -1 where not kept."""
+    """Steps, and the sampled bits from the lowest block on."""
     head, _, tail = fingerprint.partition(":")
     t = int(head, 16)
-    begin, end = BEGIN[_lowest(t)], int(np.searchsorted(AT, t))
-    bits = np.full(end, -1, np.int8)
-    if end > begin:
-        bits[begin:] = np.unpackbits(np.frombuffer(bytes.fromhex(tail), np.uint8))[: end - begin]
-    return t, bits
+    n = int(np.searchsorted(AT, t)) - BEGIN[_lowest(t)]
+    return t, np.unpackbits(np.frombuffer(bytes.fromhex(tail), np.uint8))[: max(n, 0)]
 
 
 def fingerprint(text: str) -> str:
-    return pack(*walk(codes(text)))
+    chars = codes(text)
+    times, ends = walks([chars], np.zeros(1))
+    return pack(int(ends[0]), sampled(chars, times[0], int(ends[0])))
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1; 1 for equal fingerprints, 0 for an empty text beside another."""
-    if a == b:
+def likeness_of(ta: int, x: np.ndarray, tb: int, y: np.ndarray) -> float:
+    """0 to 1; 1 for equal walks, 0 for an empty text beside another."""
+    if ta == tb and np.array_equal(x, y):
         return 1.0
-    (ta, x), (tb, y) = unpack(a), unpack(b)
     if not ta or not tb:
         return 0.0
-    low = BEGIN[max(_lowest(ta), _lowest(tb))]
-    common, longer = min(len(x), len(y)), max(len(x), len(y))
+    begin_a, begin_b = BEGIN[_lowest(ta)], BEGIN[_lowest(tb)]
+    low = max(begin_a, begin_b)
+    common, longer = min(begin_a + len(x), begin_b + len(y)), max(begin_a + len(x), begin_b + len(y))
     if common <= low:
         return 0.0
-    w = WEIGHT[low:longer]
-    inside = w[: common - low]
-    same = inside @ (x[low:common] == y[low:common]) / inside.sum()
-    return float(max(0.0, 2 * same - 1) * inside.sum() / w.sum())
+    inside = WEIGHT[low:common]
+    same = inside @ (x[low - begin_a : common - begin_a] == y[low - begin_b : common - begin_b]) / inside.sum()
+    return float(max(0.0, 2 * same - 1) * inside.sum() / WEIGHT[low:longer].sum())
 
 
-def bands(fingerprint_: str) -> list[int]:
+def likeness(a: str, b: str) -> float:
+    return likeness_of(*unpack(a), *unpack(b))
+
+
+def bands_of(t: int, bits: np.ndarray) -> list[int]:
     """Keys of sampled bits of the two highest full blocks: near texts share some."""
-    t, bits = unpack(fingerprint_)
     top = max(t - 1, 1).bit_length() - 1
+    begin = BEGIN[_lowest(t)]
     keys = []
     for a in {max(top - 1, 0), max(top - 2, 0)}:
-        block = bits[BEGIN[a] : BEGIN[a] + _SIZES[a]]
-        if len(block) < BAND_BITS or (block < 0).any():
-            whole = hashlib.blake2b(f"{a}:{fingerprint_}".encode(), digest_size=7)
+        block = bits[BEGIN[a] - begin : BEGIN[a] - begin + _SIZES[a]] if BEGIN[a] >= begin else bits[:0]
+        if len(block) < _SIZES[a] or len(block) < BAND_BITS:
+            whole = hashlib.blake2b(f"{t}:{a}:".encode() + bits.tobytes(), digest_size=7)
             keys.append(int.from_bytes(whole.digest(), "big"))
-            continue
-        rng = np.random.default_rng(a)
-        for band in range(BANDS):
-            picked = block[rng.choice(len(block), BAND_BITS, replace=False)]
-            keys.append(a << 24 | band << 16 | int.from_bytes(np.packbits(picked.astype(np.uint8)).tobytes(), "big"))
+        else:
+            keys += ((a << 24) + (np.arange(BANDS) << 16) + block[PICKED[a]].astype(np.int64) @ (1 << np.arange(BAND_BITS))).tolist()
     return keys
 
 
+def bands(fingerprint_: str) -> list[int]:
+    return bands_of(*unpack(fingerprint_))
+
+
 def edited(text: str, following: str) -> str:
     """The last third of the characters gives way to the first as many of the next text."""
     third = len(text) // 3
     return text[: len(text) - third] + following[:third]
 
 
-def _both(text: str, following: str) -> tuple[str, str, str]:
-    """Fingerprint, fingerprint of the edited text, and that text; the walk over the
-    part both share is made once."""
-    third = len(text) // 3
-    head = len(text) - third
-    t, bits = walk(codes(text[:head]))
-    own = pack(*walk(codes(text[head:]), t, bits[:]))
-    new = edited(text, following)
-    return own, pack(*walk(codes(new[head:]), t, bits)), new
-
-
 _COLUMNS = {
-    "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
-    "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),
+    "doc_id": pa.int64(), "n_chars": pa.int64(), "sha": pa.binary(), "t": pa.int64(), "bits": pa.binary(),
+    "edited_t": pa.int64(), "edited_bits": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(),
     "bands_shared": pa.int64(), "part": pa.int32(), "first_text": pa.string(), "last_text": pa.string(),
 }
-_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_DDL = ("doc_id long, n_chars long, sha binary, t long, bits binary, edited_t long, edited_bits binary, "
         "near_edited double, near_next double, bands_shared long, part int, first_text string, last_text string")
 
 
-def _row(doc_id, text: str, following: str, next_fingerprint: str | None, made=None) -> dict:
-    own, new, new_text = made or _both(text, following)
-    nxt = next_fingerprint if next_fingerprint is not None else fingerprint(following)
-    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(new_text.encode("utf-8", "replace")).hexdigest(),
-            "fingerprint": own, "edited_fingerprint": new, "near_edited": likeness(own, new),
-            "near_next": likeness(own, nxt), "bands_shared": len({*bands(own)} & {*bands(new)})}
+def _rows(ids: list, texts: list[str], following: list[str], chained: bool) -> list[dict]:
+    """The results of texts beside the texts that follow them. `chained`: each following
+    text but the last is the next of `texts`, so its walk is at hand."""
+    news = [edited(a, b) for a, b in zip(texts, following)]
+    heads = [len(a) - len(a) // 3 for a in texts]
+    every = [codes(a) for a in texts] + [codes(b) for b in (following[-1:] if chained else following)]
+    times, ends = walks(every, np.zeros(len(every)))
+    tails = [codes(b[h:]) for b, h in zip(news, heads)]
+    begin = np.array([t[h] if h < len(t) else e for t, h, e in zip(times, heads, ends)], np.int64)
+    tail_times, tail_ends = walks(tails, begin)
+    prints = [(int(e), sampled(c, t, int(e))) for c, t, e in zip(every, times, ends)]
+    out = []
+    for i, new in enumerate(news):
+        own, nxt = prints[i], prints[i + 1 if chained else len(texts) + i]
+        t = int(tail_ends[i])
+        bits = sampled(np.concatenate([every[i][: heads[i]], tails[i]]), np.concatenate([times[i][: heads[i]], tail_times[i]]), t)
+        out.append({
+            "doc_id": ids[i], "n_chars": len(texts[i]), "sha": hashlib.sha256(new.encode("utf-8", "replace")).digest(),
+            "t": own[0], "bits": np.packbits(own[1]).tobytes(), "edited_t": t, "edited_bits": np.packbits(bits).tobytes(),
+            "near_edited": likeness_of(*own, t, bits), "near_next": likeness_of(*own, *nxt),
+            "bands_shared": len({*bands_of(*own)} & {*bands_of(t, bits)})})
+    return out
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -177,41 +216,29 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, each with the one behind it. The last row of a partition waits for
     the first of the next partition: both carry their texts."""
     part = TaskContext.get().partitionId()
-    before = None  # id, text, what `_both` made, is first
-    pending: dict | None = None
-    for batch in W.slices(batches):
-        done = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            text = text or ""
-            if before is not None:
-                b_id, b_text, first = before
-                made = _both(b_text, text)
-                row = _row(b_id, b_text, text, "0:", made)
-                if first:
-                    row |= {"part": part, "first_text": b_text}
-                if pending is not None:
-                    pending["near_next"] = likeness(pending["fingerprint"], row["fingerprint"])
-                    done.append(pending)
-                pending = row
-            before = doc_id, text, before is None
-        if done:
-            yield _batch(done)
-    if before is None:
-        return
-    b_id, b_text, first = before
-    own = fingerprint(b_text)
-    if pending is not None:
-        pending["near_next"] = likeness(pending["fingerprint"], own)
-        yield _batch([pending])
-    yield _batch([{"doc_id": b_id, "n_chars": len(b_text), "fingerprint": own, "part": part,
-                   "last_text": b_text, "first_text": b_text if first else None}])
+    waiting = None  # id and text
+    first = True
+    for batch in W.slices(batches, most=16 << 20):
+        ids = batch.column("doc_id").to_pylist()
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        if waiting is not None:
+            ids, texts = [waiting[0], *ids], [waiting[1], *texts]
+        waiting = ids[-1], texts[-1]
+        if len(ids) > 1:
+            rows = _rows(ids[:-1], texts[:-1], texts[1:], chained=True)
+            if first:
+                rows[0] |= {"part": part, "first_text": texts[0]}
+                first = False
+            yield _batch(rows)
+    if waiting is not None:
+        yield _batch([{"doc_id": waiting[0], "part": part, "last_text": waiting[1], "first_text": waiting[1] if first else None}])
 
 
 def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pylist()
         if rows:
-            yield _batch([_row(r["doc_id"], r["last_text"], r["first_text"], r["next_fingerprint"]) for r in rows])
+            yield _batch(_rows([r["doc_id"] for r in rows], [r["last_text"] for r in rows], [r["next_text"] for r in rows], chained=False))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -225,19 +252,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     seams between ranges.
     """
     rows = W.text_frame(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    made = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_along, _DDL), "fingerprints")
-    result = [c for c in made.columns if c not in ("part", "first_text", "last_text")]
+    by_id = F.col("doc_id").desc_nulls_last()
+    dealt = rows.repartitionByRange(by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
+    made = staged(dealt.mapInArrow(_along, _DDL), "fingerprints")
     # One row for each partition.
-    thin = made.filter("first_text is not null").select("part", F.col("part").alias("next_part"))
-    around = Window.orderBy("part").rowsBetween(1, 1)
-    behind = thin.select("part", F.coalesce(F.first("next_part").over(around), F.min("part").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_part"))
+    thin = made.filter("first_text is not null").select("part")
+    behind = thin.select("part", F.coalesce(
+        F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part"))
     lasts = made.filter("last_text is not null").select("doc_id", "last_text", "part")
-    firsts = made.filter("first_text is not null").select(
-        F.col("part").alias("next_part"), "first_text", F.col("fingerprint").alias("next_fingerprint"))
+    firsts = made.filter("first_text is not null").select(F.col("part").alias("next_part"), F.col("first_text").alias("next_text"))
     seams = lasts.join(behind, "part").join(firsts, "next_part").mapInArrow(_seams, _DDL)
-    return made.filter("last_text is null").select(result).unionByName(seams.select(result))
+    shown = lambda t, bits: F.lower(F.concat(F.hex(t), F.lit(":"), F.hex(bits)))
+    return made.filter("last_text is null").unionByName(seams).select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), shown("t", "bits").alias("fingerprint"),
+        shown("edited_t", "edited_bits").alias("edited_fingerprint"), "near_edited", "near_next", "bands_shared")
 
 
 def near_pairs(prints: DataFrame, least: float = 0.7) -> DataFrame:

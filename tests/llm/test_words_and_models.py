@@ -154,11 +154,25 @@ def test_fingerprints_of_near_texts_are_alike():
     assert set(fingerprints.bands(a)) & set(fingerprints.bands(near and a))
 
 
-def test_fingerprint_of_a_walk_in_two_parts_is_that_of_one():
+def test_walks_side_by_side_equal_walks_alone():
+    rng = random.Random(4)
+    texts = ["", "a", *("".join(rng.choice("abcdé😀 ") for _ in range(rng.randint(1, 900))) for _ in range(40))]
+    chars = [fingerprints.codes(t) for t in texts]
+    times, ends = fingerprints.walks(chars, np.arange(len(texts)))
+    for i, c in enumerate(chars):
+        t = i
+        for k, x in enumerate(c.tolist()):
+            assert times[i][k] == t
+            t += fingerprints.STAY[x][t % fingerprints.PERIOD]
+        assert ends[i] == t
+
+
+def test_an_edited_text_has_the_fingerprint_of_its_own():
     text, following = "some words é😀 " * 50, "other words"
-    own, new, made = fingerprints._both(text, following)
-    assert own == fingerprints.fingerprint(text) and new == fingerprints.fingerprint(made)
-    assert made == text[: len(text) - len(text) // 3] + following
+    row = fingerprints._rows([1], [text], [following], chained=False)[0]
+    made = text[: len(text) - len(text) // 3] + following
+    assert fingerprints.edited(text, following) == made
+    assert f"{row['edited_t']:x}:{row['edited_bits'].hex()}" == fingerprints.fingerprint(made)
 
 
 @pytest.mark.parametrize("parts", [1, 3])
