@@ -254,6 +254,16 @@ def test_language_model_equals_plain_ppm(spark, by):
     assert collections.Counter((*r[:5], f"{r[5]:.5g}", f"{r[6]:.4g}") for r in got) == want
 
 
+def test_rare_words_are_learned_beside_many_signs(spark):
+    """A text of more than 2^21 signs does not push out what was seen once: a word costs what
+    plain PPM says, with all counts."""
+    rows = [(1, "kalo miru " * 300_000), (2, "zyxq vutw"), (3, "zyxq vutw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") == 3)
+    got = {r["doc_id"]: r["score"] for r in language_model.scores(df).collect()}
+    cost = plain_ppm({"kalo": 300_000, "miru": 300_000, "zyxq": 1, "vutw": 1, None: 2}, language_model.ORDER)
+    assert got[3] == pytest.approx(cost("zyxq") + cost("vutw") + cost(None), rel=1e-4) and got[2] == got[3]
+
+
 def test_language_model_without_rows_or_training_texts(spark):
     df = frame(spark, [(1, "a b"), (2, None)]).withColumn("held_out", F.lit(True))
     got = language_model.scores(df).orderBy("doc_id").collect()
