@@ -4,9 +4,10 @@ Each distinct set of word shingles is embedded as `COORDINATES` min-hashes, whic
 tokens. A run of the join sends a set down one chosen path: a node samples, by its own
 hash, one coordinate, and splits its sets by the token they have there, so that sets that
 share sampled tokens stay together. Nodes of at most `SMALL` sets end as leaves and are
-compared by brute force; larger ones are split again, up to `DEPTH` times. Two sets of
+compared by brute force; larger ones are split again, as long as the recall aimed at
+(`RECALL`) is kept, which for 12 runs is 3 splits. Two sets of
 similarity s stay together through d splits with probability s^d, and `RUNS` runs repeat
-that until the recall aimed at (`recall`) is met for s = 0.8 at the depth in question.
+that, so that a pair of s = 0.8 meets in one of them with the chance `recall`.
 
 What is left large at the greatest depth (a group of near copies) is not cut off: its sets
 are dealt to blocks, and each pair of blocks is one unit of work, so no task holds a whole
@@ -31,8 +32,11 @@ SHINGLE = 5
 LEAST = 0.8
 COORDINATES = 64
 RUNS = 12
-DEPTH = 6
 SMALL = 128
+#: Most splits, whatever the recall aimed at (equal sets never part).
+DEPTH = 8
+#: Recall aimed at for pairs at LEAST. Paths end where one more split would fall below it.
+RECALL = 0.9995
 #: Signature similarity below which a pair is not looked at: more than three standard
 #: deviations under LEAST for 64 coordinates.
 SKETCH = LEAST - 3.3 * (LEAST * (1 - LEAST) / COORDINATES) ** 0.5
@@ -45,6 +49,16 @@ def recall(depth: int, similarity: float = LEAST, runs: int = RUNS) -> float:
     return 1 - (1 - similarity**depth) ** runs
 
 
+def depth_for(aim: float, similarity: float = LEAST, runs: int = RUNS) -> int:
+    """The most splits after which a pair is found with a chance of `aim` or more."""
+    depth = 0
+    while depth < DEPTH and recall(depth + 1, similarity, runs) >= aim:
+        depth += 1
+    if not depth:
+        raise ValueError(f"{runs} runs do not reach a recall of {aim} at similarity {similarity}")
+    return depth
+
+
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text and the n + 1 places where each text's begin.
     A text of fewer words than `size` has one shingle of all its words; one without
@@ -121,21 +135,21 @@ def _token(sig, coordinate):
     return F.substring(sig, (coordinate * 4 + 1).cast("int"), F.lit(4))
 
 
-def leaves(sets: DataFrame) -> DataFrame:
-    """set_id, run, leaf, members: where each set's path ends in each run, for leaves of
-    two and more sets. `sets`: set_id, sig."""
+def leaves(sets: DataFrame, depths: int) -> DataFrame:
+    """set_id, run, leaf, members: where each set's path ends in each run, after at most
+    `depths` splits, for leaves of two and more sets. `sets`: set_id, sig."""
     runs = sets.select("set_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
     # The first split: each run has a coordinate of its own.
     level = runs.select("set_id", "run", F.xxhash64("run", _token(F.col("sig"), F.col("run") * 5 % COORDINATES)).alias("node"))
     done = None
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, depths + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         counted = staged(level.join(sizes, "node"), f"jaccard-level{depth}")
-        ended = counted if depth == DEPTH else counted.filter(F.col("members") <= SMALL)
+        ended = counted if depth == depths else counted.filter(F.col("members") <= SMALL)
         ended = ended.select("set_id", "run", F.col("node").alias("leaf"), "members")
         done = ended if done is None else done.unionByName(ended)
         large = counted.filter(F.col("members") > SMALL)
-        if depth == DEPTH or not large.limit(1).count():
+        if depth == depths or not large.limit(1).count():
             break
         level = large.join(sets.select("set_id", "sig"), "set_id").select(
             "set_id", "run", F.xxhash64("node", _token(F.col("sig"), _node(F.col("node"), depth))).alias("node"))
@@ -296,7 +310,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the links are longer paths than the rounds reach")
 
 
-def similar_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def similar_documents(docs: DataFrame, least: float = LEAST, aim: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, class_size of each row.
 
     Two rows are linked if the Jaccard similarity of their sets of five-word shingles is
@@ -304,7 +318,8 @@ def similar_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     class_id is the smallest doc_id of its connected group. Rows with fewer than five
     words have one shingle of all their words; rows without words (or a null text) link to
     nothing and are classes of their own, as are rows of null id. Repeated rows, also of one
-    id, count as copies. Other columns of `docs` are not read.
+    id, count as copies. A pair at `least` meets in a leaf with a chance of `aim` or more,
+    however large its group. Other columns of `docs` are not read.
     """
     docs = W.text_frame(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
@@ -313,7 +328,7 @@ def similar_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # Equal sequences of words stand once, carried by the row of the smallest id.
     sets = staged(full.groupBy(F.col("key").alias("set_id"), "key2").agg(
         F.min("doc_id").alias("carrier"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")), "jaccard-sets")
-    ended = staged(leaves(sets.select("set_id", "sig")), "jaccard-leaves")
+    ended = staged(leaves(sets.select("set_id", "sig"), depth_for(aim, least)), "jaccard-leaves")
     paths = ended.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("m")).select(
         "set_id", F.concat(*(F.unhex(F.lpad(F.hex(F.coalesce(F.col("m")[r], F.lit(0))), 16, "0")) for r in range(RUNS))).alias("leaves"))
     dealt = ended.withColumn("blocks", F.ceil(F.col("members") / SMALL).cast("int"))

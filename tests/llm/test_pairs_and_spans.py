@@ -108,6 +108,20 @@ def test_recall_of_the_runs():
     assert jaccard_join.recall(1) > 0.999999 and jaccard_join.recall(3) > 0.999
 
 
+@pytest.mark.parametrize("aim", [0.9, 0.9995, 0.99999])
+def test_paths_end_before_recall_falls_below_the_aim(spark, aim, monkeypatch):
+    """Sets that no split tells apart go as deep as the aim lets them, and no deeper."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    depth = jaccard_join.depth_for(aim)
+    assert jaccard_join.recall(depth) >= aim > jaccard_join.recall(depth + 1)
+    assert jaccard_join.recall(jaccard_join.depth_for(jaccard_join.RECALL)) >= 0.999 > jaccard_join.recall(6)
+    sets = spark.createDataFrame([(i, b"\1" * 256) for i in range(5)], "set_id long, sig binary")
+    asked = []
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name: asked.append(name) or df)
+    jaccard_join.leaves(sets, depth)
+    assert asked == [f"jaccard-level{k}" for k in range(1, depth + 1)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in jaccard_join.components(edges).collect()}
