@@ -341,7 +341,9 @@ def page_records(chunks: DataFrame) -> DataFrame:
         F.regexp_replace("declared_digest", "^sha256:", "").alias("declared"))
     responses = done.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(
         F.min("page_id").alias("_page"), F.max("bytes_so_far").alias("_bytes"), F.max("digest_so_far").alias("_digest"))
-    revisits = done.filter("record_type = 'revisit'").join(responses, F.col("refers_to_id") == F.col("_id"), "left")
+    # What a plan over paths is thought to yield says nothing about the records in the files:
+    # without the hint their table would be broadcast whatever its size.
+    revisits = done.filter("record_type = 'revisit'").join(responses.hint("merge"), F.col("refers_to_id") == F.col("_id"), "left")
     return done.filter("record_type = 'response'").select(
         "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"),
         "record_type", F.lit(None).cast("long").alias("refers_to"),
