@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasestream.plans.stage import shared_folder
+from phrasestream.plans.stage import shared_folder, staged
 
 CHUNK_BYTES = 64 << 10
 #: A task begins another file when one has so many bytes.
@@ -336,9 +336,9 @@ def page_records(chunks: DataFrame) -> DataFrame:
 
     A response's figures are those of the bytes read. A revisit's are those of the response
     it refers to, found by record id; without one among the records, those it states."""
-    done = chunks.filter("last").select(
+    done = staged(chunks.filter("last").select(
         "page_id", "record_id", "record_type", "refers_to_id", "refers_to", "bytes_so_far", "digest_so_far", "declared_bytes",
-        F.regexp_replace("declared_digest", "^sha256:", "").alias("declared"))
+        F.regexp_replace("declared_digest", "^sha256:", "").alias("declared")), "warc-records")
     responses = done.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(
         F.min("page_id").alias("_page"), F.max("bytes_so_far").alias("_bytes"), F.max("digest_so_far").alias("_digest"))
     # What a plan over paths is thought to yield says nothing about the records in the files:

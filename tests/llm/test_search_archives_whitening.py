@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,7 @@ def test_readers_hold_one_piece_at_a_time():
 
 
 def test_files_of_lost_attempts_do_not_count(spark):
-    folder = f"{shared_folder(spark)}/warc-of-two"
+    folder = f"{shared_folder(spark)}/warc-of-two-{uuid.uuid4().hex}"
     files = warc.write_archives(frame(spark, page_rows()[:20], "page_id long, url string, html string"), folder)
     fs, at = warc.opened(folder)
     with fs.open_output_stream(f"{at}/part-00000-1-lost-00000.warc.gz", compression=None) as out:
