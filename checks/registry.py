@@ -13,7 +13,7 @@ from phrasestream.operators import (
     audio, chunking, flow, latency, ledger, quality, reports, routing,
 )
 from phrasestream.plans.stage import shared_folder, staged
-from phrasestream.sources import files
+from phrasestream.sources import files, wav
 from phrasestream.streaming import folds, live
 from phrasestream.streaming.folds import use_rocksdb
 
@@ -1210,6 +1210,33 @@ def _(v):
 # --- logs, reports ---------------------------------------------------------------------------------
 
 
+RECORDING_RATE = "CASE WHEN (conv_id // 50) % 2 = 0 THEN 16000 ELSE 22050 END"
+
+
+@register("s4_read_audio_frames", f"""
+    WITH said AS (
+        SELECT conv_id // 50 AS recording, {RECORDING_RATE} AS sample_rate, conv_id, turn,
+               hex(encode(CASE WHEN octet_length(encode(text)) % 2 = 1 THEN text || ' ' ELSE text END)) AS h FROM conversations),
+    whole AS (SELECT recording, sample_rate, string_agg(h, '' ORDER BY conv_id, turn) AS h FROM said GROUP BY ALL),
+    sized AS (SELECT *, sample_rate // 50 AS samples, length(h) // 4 AS n FROM whole),
+    cut AS (SELECT *, unnest(range(0, (n + samples - 1) // samples)) AS seq FROM sized)
+    SELECT recording::int AS recording, seq, sample_rate, least(2 * samples, 2 * (n - seq * samples))::int AS bytes,
+           md5(substr(h, seq * samples * 4 + 1, samples * 4)) AS sound, (seq * samples)::double / sample_rate AS t_audio FROM cut""")
+def _(v):
+    talk = v("conversations")
+    even = F.when(F.octet_length("text") % 2 == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    recording = F.floor(F.col("conv_id") / 50)
+    pieces = talk.select(
+        recording.cast("int").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.encode(even, "UTF-8").alias("pcm"),
+        F.when(recording % 2 == 0, 16000).otherwise(22050).alias("sample_rate"))
+    folder = f"{shared_folder(talk.sparkSession)}/recordings-{uuid.uuid4().hex}"
+    staged(wav.write_recordings(pieces, folder), "recordings-written")
+    frames = files.read_audio_frames(talk.sparkSession, folder, frame_ms=20, split_bytes=32 << 10)
+    name = F.regexp_extract("session_id", r"([0-9]+)$", 1).cast("int")
+    return frames.select(
+        name.alias("recording"), "seq", "sample_rate", F.octet_length("pcm").alias("bytes"), F.md5(F.hex("pcm")).alias("sound"), "t_audio")
+
+
 @register("s2_read_session_logs", """
     SELECT message, corrupt, count(*) AS lines FROM (
         SELECT CASE WHEN starts_with(value, '{') THEN regexp_extract(value, '"message":"([^"]*)"', 1) END AS message,

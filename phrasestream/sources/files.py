@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +9,7 @@ from phrasestream import schemas
 from phrasestream.functions.text import tokenise
 from phrasestream.operators.ledger import tenant_scope
 from phrasestream.operators.latency import PARTS
+from phrasestream.sources import wav
 
 
 def _reader(spark: SparkSession, stream: bool):
@@ -79,41 +75,13 @@ def traces_from_logs(logs: DataFrame) -> DataFrame:
     )
 
 
-def read_audio_frames(spark: SparkSession, path: str, frame_ms: int = 100) -> DataFrame:
+def read_audio_frames(spark: SparkSession, path: str, frame_ms: int = 100, split_bytes: int = wav.SPLIT_BYTES) -> DataFrame:
     """WAV files (16-bit mono) to frames of `frame_ms`; t_audio comes from
-    the number of samples before a frame. Each file is decoded in one task and
-    streamed out in blocks of frames."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    schema = schemas.FRAMES
-    arrow = pa.schema([
-        ("session_id", pa.string()), ("seq", pa.int64()), ("pcm", pa.binary()),
-        ("sample_rate", pa.int32()), ("t_audio", pa.float64()), ("t_wall", pa.float64()),
-    ])
-
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
-        return pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with wave.open(io.BytesIO(content)) as audio:
-                    if audio.getsampwidth() != 2 or audio.getnchannels() != 1:
-                        raise ValueError(f"{name}: expected 16-bit mono audio")
-                    rate = audio.getframerate()
-                    size = max(1, rate * frame_ms // 1000)
-                    seq, done, rows = 0, 0, []
-                    while pcm := audio.readframes(size):
-                        rows.append((name, seq, pcm, rate, done / rate, done / rate))
-                        seq, done = seq + 1, done + len(pcm) // 2
-                        if len(rows) == 1000:
-                            yield block(rows)
-                            rows = []
-                    if rows:
-                        yield block(rows)
-
-    named = files.select(_session_from_path().alias("session_id"), "content")
-    return named.mapInArrow(frames, schema)
+    the number of samples before a frame. Sessions are named by their file's
+    path. A file with more sound than `split_bytes` is read by several tasks."""
+    spark.dataSource.register(wav.WavDataSource)
+    options = {"frame_ms": frame_ms, "split_bytes": split_bytes}
+    return spark.read.format(wav.WavDataSource.name()).options(**options).load(path)
 
 
 def read_ledger(spark: SparkSession, path: str, kind: str, tenant_id) -> DataFrame:
