@@ -274,12 +274,14 @@ def _(v):
 # --- T1, T3, A7, A8, O5, F5, F6 ---------------------------------------------------------
 
 
-def phrases_sql(configs: list[tuple[int, int, float]], silence: float | None = None) -> str:
+def phrases_sql(configs: list[tuple[int, int, float]], silence: float | None = None, end: str = "final") -> str:
     """Phrases under (config_id, agreement, wait) rows: the recursion takes the next
     hypothesis of every session and configuration at once and carries how many words are
     committed. 4 and 25 are the least and most words, 17.5 is 0.7 of the most."""
     table = ", ".join(f"({i}, {n}, {w}::double)" for i, n, w in configs)
     quiet = f"next_wall IS NOT NULL AND next_wall - wall >= {silence}" if silence else "false"
+    if end == "silence":  # a timer goes off after the last hypothesis too
+        quiet = f"(next_wall IS NULL OR next_wall - wall >= {silence})"
     later = f"wall + {silence}" if silence else "wall"
     ends = rf"""(CASE WHEN right(x, 1) = '.' THEN length(x) > 2 AND NOT regexp_matches(left(x, -1), '\d') AND {DUCK_NORM_LIST} NOT IN ({ABBR})
                      ELSE right(x, 1) IN ('?', '!', '۔', '।', '॥', '。', '？', '！') END OR right(x, 1) IN (',', ';', ':', '،', '؛', '、', '，', '；', '：'))"""
@@ -1311,18 +1313,21 @@ def _(v):
 # the shared folder. A marker row far in the future moves the watermark past
 # the last real row, as later traffic would.
 END = 5_000_000_000.0
+#: Late rows and state rows of the last run of each.
+STREAMED: dict = {}
 
 
-def register_stream(name: str, sql: str | None = None):
+def register_stream(name: str, sql: str | None = None, key: str = "session_id"):
     def add(build):
         def query(spark, sf_dir):
             use_rocksdb(spark)
             folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
             out = build(lambda view: load(spark, sf_dir, view, stream=True))
-            out.writeStream.format("parquet").option("path", f"{folder}/rows").option(
-                "checkpointLocation", f"{folder}/state"
-            ).trigger(availableNow=True).start().awaitTermination()
-            return spark.read.schema(out.schema).parquet(f"{folder}/rows").filter("session_id <> -1")
+            query = out.writeStream.format("parquet").option("path", f"{folder}/rows").option(
+                "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+            STREAMED[name] = folds.counts_of(query)
+            return spark.read.schema(out.schema).parquet(f"{folder}/rows").filter(F.col(key) != -1)
 
         QUERIES[name] = query
         if sql is not None:
@@ -1332,10 +1337,10 @@ def register_stream(name: str, sql: str | None = None):
     return add
 
 
-def _timed(v, rows, seconds, **marker):
+def _timed(v, rows, seconds, key="session_id", **marker):
     """Add event_time and the marker row."""
     end = v("nation").filter("n_nationkey = 0")
-    filled = {"session_id": F.lit(-1), seconds: F.lit(END), **{k: F.lit(x) for k, x in marker.items()}}
+    filled = {key: F.lit(-1), seconds: F.lit(END), **{k: F.lit(x) for k, x in marker.items()}}
     end = end.select(*[
         filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema
     ])
@@ -1343,10 +1348,11 @@ def _timed(v, rows, seconds, **marker):
     return rows.unionByName(end).withColumn("event_time", at).withWatermark("event_time", "0 seconds")
 
 
-@register_stream("t2_commit_phrases_stream")
+@register_stream("t2_commit_phrases_stream", f"""WITH RECURSIVE {phrases_sql([(0, 2, 1.0)], 0.6, end='silence').replace('fx_hyps', 'fx_paused')}
+    SELECT {SHOWN_PHRASES} FROM phrases""")
 def _(v):
-    rows = _timed(v, v("fx_hyps"), "t_wall", text="", is_final=False, seq=0, t_audio_start=0.0, t_audio_end=0.0)
-    return folds.commit_phrases_stream(rows)
+    rows = _timed(v, v("fx_paused"), "t_wall", text="", is_final=False, seq=0, t_audio_start=0.0, t_audio_end=0.0)
+    return r6(folds.commit_phrases_stream(rows), *PHRASE_SECONDS)
 
 
 @register_stream("t4_assemble_traces_stream", sql_of("t4_assemble_traces"))
@@ -1369,19 +1375,19 @@ def _(v):
     JOIN (SELECT session_id, min_by(t_wall - t_audio, seq) AS epoch FROM fx_anchor GROUP BY session_id) USING (session_id)""")
 def _(v):
     rows = v("fx_anchor").withColumn("arrival", F.col("seq") / 10)
-    return live.anchor_clock_stream(_timed(v, rows, "arrival", seq=0, t_audio=0.0, t_wall=0.0))
+    return live.anchor_clock_stream(_timed(v, rows, "arrival", seq=0, t_audio=0.0, t_wall=0.0), expire_s=1e6)
 
 
 @register_stream("t6_shed_backlog_stream", sql_of("t6_shed_backlog"))
 def _(v):
-    out = folds.shed_backlog_stream(_timed(v, v("fx_pushlog"), "t_audio", seq=0, kind="push", duration=0.1))
+    out = folds.shed_backlog_stream(_timed(v, v("fx_pushlog"), "t_audio", seq=0, kind="push", duration=0.1), expire_s=1e6)
     return r6(out, *BACKLOG_SECONDS)
 
 
 @register_stream("t8_session_watchdog_stream", sql_of("t8_session_watchdog"))
 def _(v):
     rows = v("fx_beats").withColumn("started_at", F.col("session_id").cast("double"))
-    return live.session_watchdog_stream(_timed(v, rows, "t_wall", started_at=END))
+    return live.session_watchdog_stream(_timed(v, rows, "t_wall", started_at=END), expire_s=1e8)
 
 
 @register_stream("t10_utterances_stream", sql_of("t10_utterances"))
@@ -1398,3 +1404,33 @@ def _(v):
 def _(v):
     rows = v("fx_available").select("session_id", F.col("available").alias("frames"), F.lit(0).cast("bigint").alias("seq"), (F.col("session_id") / 10).alias("arrival"))
     return live.context_windows_stream(_timed(v, rows, "arrival", seq=0, frames=0), idle_s=1e6)
+
+
+@register_stream("t9_listeners_over_time_stream", sql_of("t9_listeners_over_time"))
+def _(v):
+    timed = _timed(v, v("fx_joinleave"), "t_event", language="", listener_id=0, kind="join")
+    return live.listeners_over_time_stream(timed, expire_s=1e6)
+
+
+@register_stream("j4_tenant_cache_stream", r"""
+    WITH RECURSIVE asked AS (
+        SELECT a.*, e.slug, e.schema_name, e.is_active, row_number() OVER (PARTITION BY a.tenant_id ORDER BY a.t) AS r
+        FROM fx_asked a ASOF LEFT JOIN fx_entries e ON a.tenant_id = e.tenant_id AND a.t >= e.t),
+    judged AS (
+        SELECT *, CASE WHEN slug IS NULL THEN 'unknown tenant'
+                       WHEN NOT regexp_matches(schema_name, '^[a-z][a-z0-9_]{0,62}$') OR schema_name IN ('public', 'information_schema', 'pg_catalog', 'pg_toast')
+                       THEN 'unsafe schema name' END AS bad FROM asked),
+    walk AS (
+        SELECT tenant_id, 0::bigint AS r, NULL::bigint AS request_id, NULL::double AS held_since, NULL::varchar AS slug, NULL::varchar AS schema_name, NULL::boolean AS active, NULL::varchar AS bad
+        FROM (SELECT DISTINCT tenant_id FROM asked)
+        UNION ALL
+        SELECT tenant_id, r, request_id, CASE WHEN fresh THEN held_since WHEN bad IS NULL THEN t END, CASE WHEN fresh THEN held_slug WHEN bad IS NULL THEN slug END,
+               CASE WHEN fresh THEN held_schema WHEN bad IS NULL THEN schema_name END, CASE WHEN fresh THEN held_active WHEN bad IS NULL THEN is_active END, CASE WHEN NOT fresh THEN bad END
+        FROM (SELECT j.*, w.held_since, w.slug AS held_slug, w.schema_name AS held_schema, w.active AS held_active, coalesce(j.t - w.held_since < 300, false) AS fresh
+              FROM walk w JOIN judged j ON j.tenant_id = w.tenant_id AND j.r = w.r + 1))
+    SELECT tenant_id, request_id, slug, schema_name, coalesce(active, false) AS accepted, CASE WHEN bad IS NOT NULL THEN bad WHEN NOT active THEN 'inactive tenant' END AS reason, held_since
+    FROM walk WHERE r > 0""", key="tenant_id")
+def _(v):
+    asked = _timed(v, v("fx_asked"), "t", key="tenant_id", request_id=0)
+    entries = _timed(v, v("fx_entries"), "t", key="tenant_id", slug="", schema_name="", is_active=False)
+    return live.tenant_cache_stream(asked, entries)

@@ -51,6 +51,9 @@ VIEWS = {
                cast(0.0 as double) AS t_audio_start, cast(w as double) * cast(0.35 as double) AS t_audio_end,
                cast(k as double) * cast(0.15 as double) AS t_wall
         FROM (SELECT *, least(3 * (k + 1), n) AS w FROM fx_steps)""",
+    "fx_paused": """
+        SELECT session_id, seq, is_final, text, t_audio_start, t_audio_end, t_wall + floor(seq / cast(4.0 as double)) * cast(0.9 as double) AS t_wall
+        FROM fx_hyps""",
     "fx_line": """
         SELECT l_orderkey AS session_id, cast(l_linenumber as bigint) AS chunk_id, l_returnflag AS language,
                cast(round(l_extendedprice * 100) as bigint) * 1000 + l_linenumber * 10 AS base,
@@ -93,6 +96,15 @@ VIEWS = {
                CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN n_name WHEN 2 THEN 'public' ELSE '' END AS schema_name,
                n_regionkey <> 0 AS is_active
         FROM nation""",
+    "fx_asked": "SELECT event_id AS request_id, user_id % 30 AS tenant_id, cast(event_id as double) AS t FROM events",
+    "fx_entries": """
+        SELECT cast(n_nationkey as bigint) AS tenant_id, lower(n_name) AS slug,
+               CASE n_nationkey % 6 WHEN 2 THEN 'public' WHEN 3 THEN n_name ELSE 'tenant_' || @text(n_nationkey) END AS schema_name,
+               n_regionkey <> 0 AS is_active, cast(0.0 as double) AS t
+        FROM nation
+        UNION ALL
+        SELECT n_nationkey, lower(n_name), 'tenant_' || @text(n_nationkey), n_regionkey = 0, cast(1000.5 as double) * (n_nationkey % 7 + 1)
+        FROM nation""",
     "fx_tracks": """
         SELECT o_orderkey AS session_id, CASE o_orderkey % 5 WHEN 0 THEN 'lang-fr' WHEN 1 THEN 'lang-ar' WHEN 2 THEN 'source-audio' WHEN 3 THEN 'lang-te' ELSE 'screen' END AS track_name FROM orders
         UNION ALL

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from phrasestream.fixed_values import STOCK_PHRASES
+from phrasestream.fixed_values import RESERVED_SCHEMA_NAMES, SCHEMA_NAME_PATTERN, STOCK_PHRASES
 from phrasestream.functions.text import strip
 
 
@@ -54,3 +56,8 @@ def playout_speed(depth: Column, speedup_at: Column, skip_at: Column, max_speed:
 def should_skip(depth: Column, skip_at: Column) -> Column:
     """P12."""
     return depth >= skip_at
+
+
+def safe_schema(name: str | None) -> bool:
+    """A schema name that may be put into a statement, inside a task."""
+    return bool(name and re.match(SCHEMA_NAME_PATTERN, name) and not name.endswith("\n") and name not in RESERVED_SCHEMA_NAMES)

@@ -4,7 +4,9 @@ The same machines run here on live rows, one state per session in the state
 store, so that a stream and a batch over the same rows give the same output.
 Rows are held back until the watermark passes them and are then taken in
 `order`; that makes the result independent of how rows arrive within the
-watermark delay. Rows later than the watermark are dropped by Spark.
+watermark delay. Rows later than the watermark are dropped by Spark, and
+counted (`StreamCounters`). What waits is kept by seconds of event time, so a
+micro-batch reads and writes the seconds it touches, not all that waits.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.types import LongType, StringType, StructType, _parse_datatype_string
 
-from phrasestream.fixed_values import MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
+from phrasestream.fixed_values import MAX_IDLE_S, MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
 from phrasestream.functions.text import python_normalise
 from phrasestream.operators.audio import UtteranceMachine
 from phrasestream.operators.chunking import ChunkerConfig, PhraseMachine
@@ -26,8 +28,11 @@ from phrasestream.operators.flow import BacklogMachine
 from phrasestream.plans.fold import Machine
 
 _FOLD = StructType().add("value", StringType())
-_WAITING = StructType().add("at", LongType()).add("row", StringType())
+_BUCKET = StructType().add("bucket", LongType())
+_ROWS = StructType().add("rows", StringType())
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Waiting rows are kept by the second of their event time.
+BUCKET_MS = 1000
 
 
 def use_rocksdb(spark) -> None:
@@ -40,86 +45,178 @@ class FoldProcessor(StatefulProcessor):
     `quiet_ms`, when set, ends the key with `machine.finish` after that much
     event time without a row, as a timer would in the live service; a later
     row continues from the state finish left behind.
+
+    A key is over at a row that `ends` it, or `expire_ms` after its last row.
+    Then it is finished (if it was not) and all of its state goes; rows that
+    come later begin a new one.
     """
 
-    def __init__(self, machine: Machine, columns: list[str], names: list[str], types: dict,
-                 enrich: Callable | None = None, quiet_ms: int | None = None):
+    def __init__(self, machine: Machine, columns: list[str], names: list[str], types: dict, expire_ms: int,
+                 enrich: Callable | None = None, quiet_ms: int | None = None, ties: Callable | None = None,
+                 keys: tuple[str, ...] = ("session_id",)):
         self.machine, self.columns, self.names, self.types = machine, columns, names, types
-        self.enrich, self.quiet_ms = enrich, quiet_ms
+        self.keys, self.place = keys, lambda row: (row[0], ties(row[3:]) if ties else 0)
+        self.enrich, self.quiet_ms, self.expire_ms = enrich, quiet_ms, expire_ms
 
     def init(self, handle):
-        self.handle = handle
+        self.handle, self.lane = handle, self.machine.lanes()[0]
         self.saved = handle.getValueState("fold", _FOLD)
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.waiting = handle.getMapState("waiting", _BUCKET, _ROWS)
+
+    def _begin(self):
+        """state, book and last row (order, at, values, whether finish was called) of a key at its start."""
+        return [self.machine.start(self.lane), self.machine.new_book(), None]
 
     def _load(self):
-        if self.saved.exists():
-            state, book, last = json.loads(self.saved.get()[0])
-            return self.machine.thaw(state), book, last
-        lane = self.machine.lanes()[0]
-        return self.machine.start(lane), self.machine.new_book(), None
-
-    def _advance(self, key, timers):
-        """Fold the rows the watermark has passed; keep the others waiting."""
-        mark = timers.getCurrentWatermarkInMs()
-        held = [(at, json.loads(row)) for at, row in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((row for at, row in held if at <= mark), key=lambda r: r[0])
-        later = [(at, row) for at, row in held if at > mark]
-        lane, out = self.machine.lanes()[0], []
-        state, book, last = self._load()
-        for order, at, *values in ready:
-            if self.enrich:
-                values = self.enrich(last[2] if last else None, values)
-            if self.quiet_ms is not None and last and at - last[1] >= self.quiet_ms:
-                state, book = self._quiet(lane, state, book, last, out)
-            state, book = self.machine.step(lane, state, book, self.machine.prepare(tuple(values)), out)
-            last = [order, at, values, False]
-        if self.quiet_ms is not None and last and not last[3] and mark >= last[1] + self.quiet_ms:
-            if not any(at <= last[1] + self.quiet_ms for at, _ in later):
-                state, book = self._quiet(lane, state, book, last, out)
-                last[3] = True
-        if ready or out:
-            self.saved.update((json.dumps([self.machine.freeze(state), book, last]),))
+        """The fold, the buckets that have waiting rows, and when the timer is set."""
+        saved = self.saved.get()
+        if saved is None:
+            return self._begin(), [], None
+        state, book, last, buckets, wake = json.loads(saved[0])
+        return [self.machine.thaw(state), book, last], buckets, wake
+
+    def _store(self, fold, buckets, wake, next_wake):
+        if wake is not None and wake != next_wake:
+            self.handle.deleteTimer(wake)
+        if next_wake is None:
+            self.saved.clear()  # no bucket is left either
+            return
+        if wake != next_wake:
+            self.handle.registerTimer(next_wake)
+        state, book, last = fold
+        self.saved.update((json.dumps([self.machine.freeze(state), book, last, buckets, next_wake]),))
+
+    def _due(self, buckets, mark):
+        """Rows the watermark has passed, in order, and the buckets left. Only buckets that
+        are due are read."""
+        ready, left = [], []
+        due = [bucket for bucket in buckets if bucket * BUCKET_MS <= mark]
+        whole = due and due == buckets and (due[-1] + 1) * BUCKET_MS - 1 <= mark
+        if whole:  # one read and one removal instead of two for each bucket
+            cells = [rows for _, (rows,) in self.waiting.iterator()]
             self.waiting.clear()
+            return sorted((json.loads(line) for cell in cells for line in cell.split("\n")), key=self.place), []
+        for bucket in due:
+            rows = [json.loads(line) for line in self.waiting.getValue((bucket,))[0].split("\n")]
+            later = [row for row in rows if row[1] > mark]
+            ready += [row for row in rows if row[1] <= mark]
             if later:
-                self.waiting.put([(at, json.dumps(row)) for at, row in later])
-        wake = [at for at, _ in later]
-        if self.quiet_ms is not None and last and not last[3]:
-            wake.append(last[1] + self.quiet_ms)
-        if wake:
-            self.handle.registerTimer(min(wake))
+                left.append(bucket)
+                self.waiting.updateValue((bucket,), ("\n".join(map(json.dumps, later)),))
+            else:
+                self.waiting.removeKey((bucket,))
+        return sorted(ready, key=self.place), left + buckets[len(due):]
+
+    def _finish(self, fold, out):
+        """Call `finish`, once for each last row."""
+        state, book, last = fold
+        if last is None or last[3]:
+            return fold
+        before = len(out)
+        self.machine.finish(self.lane, state, book, self.machine.prepare(tuple(last[2])), out)
+        state, book = self.machine.after_finish(self.lane, state, book, out[before:])
+        return [state, book, [*last[:3], True]]
+
+    def _until(self, fold, at, out):
+        """What the time up to `at` does to a key without rows in it."""
+        last = fold[2]
+        if last and at - last[1] >= self.expire_ms:
+            self._finish(fold, out)
+            return self._begin()
+        if last and self.quiet_ms is not None and at - last[1] >= self.quiet_ms:
+            return self._finish(fold, out)
+        return fold
+
+    def _advance(self, key, timers, fold, buckets, wake):
+        mark, out = timers.getCurrentWatermarkInMs(), []
+        ready, buckets = self._due(buckets, mark)
+        for order, at, ends, *values in ready:
+            fold = self._until(fold, at, out)
+            state, book, last = fold
+            if self.enrich:
+                values = self.enrich(last[2] if last else None, values)
+            state, book = self.machine.step(self.lane, state, book, self.machine.prepare(tuple(values)), out)
+            fold = [state, book, [order, at, values, False]]
+            if ends:
+                self._finish(fold, out)
+                fold = self._begin()
+        # Rows still waiting are later than the watermark.
+        fold = self._until(fold, mark, out)
+        times = [(buckets[0] + 1) * BUCKET_MS - 1] if buckets else []
+        if last := fold[2]:
+            times.append(last[1] + self.expire_ms)
+            if self.quiet_ms is not None and not last[3]:
+                times.append(last[1] + self.quiet_ms)
+        self._store(fold, buckets, wake, min(times, default=None))
         if out:
             frame = pd.DataFrame(out, columns=self.names).astype(self.types)
-            frame.insert(0, "session_id", key[0])
+            for name, value in zip(reversed(self.keys), reversed(key)):
+                frame.insert(0, name, value)
             yield frame
 
-    def _quiet(self, lane, state, book, last, out):
-        if last[3]:
-            return state, book
-        row = self.machine.prepare(tuple(last[2]))
-        before = len(out)
-        self.machine.finish(lane, state, book, row, out)
-        return self.machine.after_finish(lane, state, book, out[before:])
-
     def handleInputRows(self, key, rows, timerValues):
-        fresh = []
+        fold, buckets, wake = self._load()
+        fresh: dict[int, list[str]] = {}
         for frame in rows:
             frame = frame.astype(object).where(frame.notna(), None)
-            for order, at, *values in frame[["row_order", "at_ms", *self.columns]].itertuples(index=False, name=None):
-                fresh.append((int(at), json.dumps([int(order), int(at), *[_plain(v) for v in values]])))
-        self.waiting.appendList(fresh)
-        yield from self._advance(key, timerValues)
-        held = [at for at, _ in self.waiting.get()] if self.waiting.exists() else []
-        if held:
-            self.handle.registerTimer(min(held))
+            for order, at, ends, *values in frame[["row_order", "at_ms", "ends", *self.columns]].itertuples(index=False, name=None):
+                row = [int(order), int(at), bool(ends), *[_plain(v) for v in values]]
+                fresh.setdefault(int(at) // BUCKET_MS, []).append(json.dumps(row))
+        for bucket, lines in fresh.items():
+            if bucket in buckets:
+                lines = [self.waiting.getValue((bucket,))[0], *lines]
+            self.waiting.updateValue((bucket,), ("\n".join(lines),))
+        yield from self._advance(key, timerValues, fold, sorted({*buckets, *fresh}), wake)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._advance(key, timerValues)
+        fold, buckets, wake = self._load()
+        if wake == expiredTimerInfo.getExpiryTimeInMs():
+            wake = None  # a timer that has gone off is gone
+        yield from self._advance(key, timerValues, fold, buckets, wake)
 
     def close(self):
         pass
 
 
+class StreamCounters(StreamingQueryListener):
+    """Late rows and state rows of all streams of a session, by query name (or id).
+
+    Rows behind the watermark are dropped by Spark before a processor sees them; this keeps
+    their number, and how many rows the state has and had at most.
+
+        counters = StreamCounters(); spark.streams.addListener(counters)
+    """
+
+    def __init__(self):
+        self.counts: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.add(event.progress.name or str(event.progress.id), event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def add(self, name, operators) -> None:
+        mine = self.counts.setdefault(name, {"late_rows": 0, "state_rows": 0, "most_state_rows": 0})
+        mine["late_rows"] += sum(op.numRowsDroppedByWatermark for op in operators)
+        mine["state_rows"] = sum(op.numRowsTotal for op in operators)
+        mine["most_state_rows"] = max(mine["most_state_rows"], mine["state_rows"])
+
+
+def counts_of(query) -> dict[str, int]:
+    """The same numbers for one query, from the progress it still remembers."""
+    counters = StreamCounters()
+    for progress in query.recentProgress:
+        counters.add("", progress.stateOperators)
+    return counters.counts.get("", {"late_rows": 0, "state_rows": 0, "most_state_rows": 0})
+
+
 def _plain(value):
     if value is None or isinstance(value, (str, bool)):
         return value
@@ -133,23 +230,31 @@ def _plain(value):
 def fold_stream(
     stream: DataFrame, machine: Machine, order: str, event_time: str,
     columns: list[str] | None = None, enrich: Callable | None = None, quiet_s: float | None = None,
+    expire_s: float = MAX_IDLE_S, ends: str | None = None, ties: Callable | None = None,
+    keys: tuple[str, ...] = ("session_id",),
 ) -> DataFrame:
-    """Run a machine over every session of a stream with a watermark on
-    `event_time`. `enrich` adds inputs the batch form gets from windows."""
+    """Run a machine over every session (or other `keys`) of a stream with a
+    watermark on `event_time`. Rows are taken by `order`, then by what `ties`
+    makes of their columns. `enrich` adds inputs the batch form gets from windows. A
+    session's state goes at a row where the boolean column `ends` is true, and
+    `expire_s` (`quiet_s`, if that is longer) after its last row: by then the
+    watchdog has ended a session for want of audio."""
     columns = columns or machine.columns
     quiet_ms = None if quiet_s is None else round(quiet_s * 1000)
     output = _parse_datatype_string(machine.output)
     kinds = {"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean"}
     types = {f.name: kinds[f.dataType.simpleString()] for f in output if f.dataType.simpleString() in kinds}
-    key = stream.schema["session_id"].dataType.simpleString()
-    processor = FoldProcessor(machine, columns, output.names, types, enrich, quiet_ms)
+    named = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+    expire_ms = max(round(expire_s * 1000), quiet_ms or 0)
+    processor = FoldProcessor(machine, columns, output.names, types, expire_ms, enrich, quiet_ms, ties, keys)
+    over = F.lit(False) if ends is None else F.coalesce(F.col(ends), F.lit(False))
     rows = stream.select(
-        "session_id", F.col(order).cast("bigint").alias("row_order"),
-        F.unix_millis(event_time).alias("at_ms"), event_time,
+        *keys, F.col(order).cast("bigint").alias("row_order"),
+        F.unix_millis(event_time).alias("at_ms"), over.alias("ends"), event_time,
         *[F.col(c) for c in columns],
     )
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        processor, f"session_id {key}, " + machine.output, "Append", "EventTime"
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        processor, f"{named}, {machine.output}", "Append", "EventTime"
     )
 
 
@@ -173,13 +278,14 @@ def _shared_with_previous(previous, values):
 
 
 def commit_phrases_stream(
-    hyps: DataFrame, config: ChunkerConfig = ChunkerConfig(), event_time: str = "event_time"
+    hyps: DataFrame, config: ChunkerConfig = ChunkerConfig(), event_time: str = "event_time", **life
 ) -> DataFrame:
     """Committed phrases of a hypothesis stream with a watermark on
     `event_time`. Stable text is committed as "silence" once the watermark is
     `silence_commit_s` past the last hypothesis. The live service only looks
     for silence when a hypothesis arrives, so there such commits hardly ever
-    happen; the timer here is a deliberate difference."""
+    happen; the timer here is a deliberate difference. `life` is what
+    `fold_stream` takes on the end of a session (`expire_s`, `ends`)."""
     ends = (
         F.transform("words", lambda w: w["t_audio_end"]) if "words" in hyps.columns
         else F.lit(None).cast("array<double>")
@@ -188,7 +294,7 @@ def commit_phrases_stream(
     out = fold_stream(
         hyps.withColumn("word_ends", ends), machine, "seq", event_time,
         ["text", "is_final", "t_audio_start", "t_audio_end", "t_wall", "word_ends"],
-        enrich=_shared_with_previous, quiet_s=config.silence_commit_s,
+        enrich=_shared_with_previous, quiet_s=config.silence_commit_s, **life,
     )
     return out.drop("config_id")
 
@@ -196,16 +302,18 @@ def commit_phrases_stream(
 # --- T6, T10 -----------------------------------------------------------------------
 
 
-def shed_backlog_stream(events: DataFrame, event_time: str = "event_time", **limits) -> DataFrame:
+def shed_backlog_stream(
+    events: DataFrame, event_time: str = "event_time", expire_s: float = MAX_IDLE_S, ends: str | None = None, **limits
+) -> DataFrame:
     """T6 on a stream; state holds (start, duration) pairs, never audio."""
     machine = BacklogMachine(
         limits.get("max_lag", MAX_LAG_S), limits.get("recover_to", RECOVER_TO_S), limits.get("warn", WARN_LAG_S)
     )
-    return fold_stream(events, machine, "seq", event_time)
+    return fold_stream(events, machine, "seq", event_time, expire_s=expire_s, ends=ends)
 
 
 def utterances_stream(
-    levels: DataFrame, machine: UtteranceMachine, event_time: str = "event_time", idle_s: float = 5.0
+    levels: DataFrame, machine: UtteranceMachine, event_time: str = "event_time", idle_s: float = 5.0, **life
 ) -> DataFrame:
     """T10 on a stream; an open utterance ends after `idle_s` without frames."""
-    return fold_stream(levels, machine, "seq", event_time, quiet_s=idle_s)
+    return fold_stream(levels, machine, "seq", event_time, quiet_s=idle_s, **life)

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasestream.fixed_values import (
-    MAX_DURATION_S, MAX_IDLE_S, SLO_SECONDS, STAGES, WARN_AT_FRACTION, WATCHDOG_TICK_S,
+    MAX_DURATION_S, MAX_IDLE_S, SLO_SECONDS, STAGES, TENANT_TTL_S, WARN_AT_FRACTION, WATCHDOG_TICK_S,
 )
+from phrasestream.functions.scalars import safe_schema
 from phrasestream.operators.latency import trace_columns
 from phrasestream.operators.ledger import tenant_lookup
 from phrasestream.plans.fold import Machine
@@ -30,8 +31,9 @@ class AnchorMachine(Machine):
         return epoch, book
 
 
-def anchor_clock_stream(frames: DataFrame, event_time: str = "event_time") -> DataFrame:
-    return fold_stream(frames, AnchorMachine(), "seq", event_time)
+def anchor_clock_stream(frames: DataFrame, event_time: str = "event_time", **life) -> DataFrame:
+    """T5. `life`, here and below: how sessions end, see `fold_stream`."""
+    return fold_stream(frames, AnchorMachine(), "seq", event_time, **life)
 
 
 class TraceMachine(Machine):
@@ -77,11 +79,11 @@ class TraceMachine(Machine):
 
 
 def assemble_traces_stream(
-    marks: DataFrame, timeout_s: float, slo: float = SLO_SECONDS, event_time: str = "event_time"
+    marks: DataFrame, timeout_s: float, slo: float = SLO_SECONDS, event_time: str = "event_time", **life
 ) -> DataFrame:
     """T4: marks carry the chunk's audio_end_wall. A session without marks for
     `timeout_s` reports its open chunks as unfinished and is forgotten."""
-    rows = fold_stream(marks, TraceMachine(), "seq", event_time, quiet_s=timeout_s)
+    rows = fold_stream(marks, TraceMachine(), "seq", event_time, quiet_s=timeout_s, **life)
     return trace_columns(rows, slo)
 
 
@@ -135,12 +137,15 @@ class WatchdogMachine(Machine):
 def session_watchdog_stream(
     heartbeats: DataFrame, max_duration: float = MAX_DURATION_S, max_idle: float = MAX_IDLE_S,
     warn_at: float = WARN_AT_FRACTION, tick: float = WATCHDOG_TICK_S, event_time: str = "event_time",
+    expire_s: float | None = None, ends: str | None = None,
 ) -> DataFrame:
     """Heartbeats carry the session's started_at; any from before it are
-    ignored."""
+    ignored. Those of a session that was ended are ignored as long as they keep
+    coming within `expire_s` (what the limits allow a session, if not given)."""
     rows = heartbeats.filter(F.col("t_wall") >= F.col("started_at")).withColumn("beat_ms", F.unix_millis(event_time))
     machine = WatchdogMachine(max_duration, max_idle, warn_at, tick)
-    return fold_stream(rows, machine, "beat_ms", event_time, quiet_s=max_idle + tick)
+    return fold_stream(rows, machine, "beat_ms", event_time, quiet_s=max_idle + tick,
+                       expire_s=max_duration + max_idle if expire_s is None else expire_s, ends=ends)
 
 
 class WindowMachine(Machine):
@@ -177,11 +182,99 @@ class WindowMachine(Machine):
 
 def context_windows_stream(
     arrivals: DataFrame, chunk=(56, 56), shift=(56, 56), cache=(0, 8), drop: int = 1,
-    idle_s: float = 5.0, event_time: str = "event_time",
+    idle_s: float = 5.0, event_time: str = "event_time", **life,
 ) -> DataFrame:
     """`arrivals` has session_id, seq and `frames`, how many came."""
     machine = WindowMachine(chunk, shift, cache, drop)
-    return fold_stream(arrivals, machine, "seq", event_time, quiet_s=idle_s)
+    return fold_stream(arrivals, machine, "seq", event_time, quiet_s=idle_s, **life)
+
+
+class ListenerMachine(Machine):
+    """T9. State: the listeners of a session and language, with what is known of
+    each (1 joined, 2 left), and how many there are."""
+
+    columns = ["t_event", "listener_id", "kind"]
+
+    def __init__(self, listener_type: str):
+        self.output = f"listener_id {listener_type}, kind string, t_event double, listeners bigint"
+
+    def start(self, lane):
+        return [{}, 0]
+
+    def step(self, lane, state, book, row, out):
+        t_event, listener, kind = row
+        seen, bit = state[0].get(str(listener), 0), 1 if kind == "join" else 2
+        if not seen & bit:
+            state[0][str(listener)] = seen | bit
+            state[1] += 1 if kind == "join" else -1
+            out.append((listener, kind, t_event, state[1]))
+        return state, book
+
+
+def listeners_over_time_stream(join_leave: DataFrame, event_time: str = "event_time", **life) -> DataFrame:
+    """Concurrent listeners after each event, as the batch form has them: repeated
+    joins or leaves of one listener count once, and a count is a floor."""
+    machine = ListenerMachine(join_leave.schema["listener_id"].dataType.simpleString())
+    rows = join_leave.withColumn("_micros", F.round(F.col("t_event") * 1_000_000))
+    return fold_stream(rows, machine, "_micros", event_time, ties=lambda values: values[1:],
+                       keys=("session_id", "language"), **life)
+
+
+class TenantMachine(Machine):
+    """J4. State: the tenant's directory entry, and the copy of it that is held, with the
+    time it was taken. Tenants that are unknown or whose schema name is no safe identifier
+    are refused and not held."""
+
+    columns = ["kind", "t", "request_id", "slug", "schema_name", "is_active"]
+
+    def __init__(self, ttl_s: float, request_type: str):
+        self.ttl_s = ttl_s
+        self.output = f"request_id {request_type}, slug string, schema_name string, accepted boolean, reason string, held_since double"
+
+    def start(self, lane):
+        return [None, None]
+
+    def step(self, lane, state, book, row, out):
+        kind, t, request, *entry = row
+        directory, held = state
+        if kind == "directory":
+            return [entry, held], book
+        if held is None or t - held[0] >= self.ttl_s:
+            reason = "unknown tenant" if directory is None else None if safe_schema(directory[1]) else "unsafe schema name"
+            if reason:
+                out.append((request, None, None, False, reason, None))
+                return [directory, None], book
+            held = [t, directory]
+        slug, schema, active = held[1]
+        out.append((request, slug, schema, bool(active), None if active else "inactive tenant", held[0]))
+        return [directory, held], book
+
+
+def tenant_cache_stream(
+    requests: DataFrame, directory: DataFrame, ttl_s: float = TENANT_TTL_S, shards: int = 1,
+    event_time: str = "event_time", expire_s: float = float("inf"),
+) -> DataFrame:
+    """Each request (tenant_id, request_id, t) under the entry its tenant has held for
+    less than `ttl_s`; an older one is taken anew from `directory`, a stream of the entries
+    (tenant_id, slug, schema_name, is_active, t) as they come to hold. So a tenant that is
+    switched off is refused once the copy held is `ttl_s` old, and not before.
+
+    With `shards` above 1 a busy tenant's requests are dealt over so many tasks, each with
+    its own copy, as several instances of the service would have. Both inputs have a
+    watermark on `event_time`. An entry holds until the next one, so nothing expires
+    unless `expire_s` is given."""
+    kind = requests.schema["request_id"].dataType.simpleString()
+    key = requests.schema["tenant_id"].dataType.simpleString()
+    asked = requests.select(
+        F.col("tenant_id").cast(key).alias("tenant_id"), F.pmod(F.xxhash64("request_id"), F.lit(shards)).cast("int").alias("shard"),
+        F.lit("request").alias("kind"), "t", "request_id", *[F.lit(None).cast(c).alias(n) for n, c in (("slug", "string"), ("schema_name", "string"), ("is_active", "boolean"))],
+        event_time)
+    known = directory.select(
+        F.col("tenant_id").cast(key).alias("tenant_id"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+        F.lit("directory").alias("kind"), "t", F.lit(None).cast(kind).alias("request_id"), "slug", "schema_name", "is_active", event_time)
+    rows = known.unionByName(asked).withColumn("_micros", F.round(F.col("t") * 1_000_000))
+    return fold_stream(rows, TenantMachine(ttl_s, kind), "_micros", event_time, keys=("tenant_id", "shard"),
+                       ties=lambda values: values[0], expire_s=min(expire_s, 1e12)).drop("shard")
 
 
 def active_listeners_stream(join_leave: DataFrame, event_time: str = "event_time") -> DataFrame:
@@ -193,9 +286,8 @@ def active_listeners_stream(join_leave: DataFrame, event_time: str = "event_time
 
 
 def tenant_lookup_stream(rows: DataFrame, tenants_path: str) -> tuple[DataFrame, DataFrame]:
-    """The tenant table is listed and read again by every micro-batch, so
-    a tenant switched off is refused from the next batch on. Trigger at least
-    every TENANT_TTL_S seconds to keep the service's bound on stale entries."""
+    """J4 without a copy: the tenant table is listed and read again by every
+    micro-batch, so a tenant switched off is refused from the next batch on."""
     from phrasestream import schemas
 
     return tenant_lookup(rows, rows.sparkSession.read.schema(schemas.TENANTS).parquet(tenants_path))

@@ -13,7 +13,7 @@ from tests.test_chunking import DDL, random_session
 AT = "timestamp_millis(cast(round({} * 1000) as bigint) + 1000)"
 
 
-def play(spark, batches, schema, build, time_expr, delay="0 seconds", mode="append"):
+def play(spark, batches, schema, build, time_expr, delay="0 seconds", mode="append", whole=False):
     """Feed lists of rows as separate files, one per micro-batch; returns rows."""
     folder = tempfile.mkdtemp(prefix="spark-")
     for i, rows in enumerate(batches):
@@ -27,7 +27,8 @@ def play(spark, batches, schema, build, time_expr, delay="0 seconds", mode="appe
     if mode == "append":
         query = writer.format("parquet").start(f"{folder}/out")
         query.awaitTermination()
-        return spark.read.parquet(f"{folder}/out").collect()
+        out = spark.read.parquet(f"{folder}/out").collect()
+        return (out, query, f"{folder}/ck") if whole else out
     last = {}
     query = writer.foreachBatch(lambda df, _: last.update({(r[0], r[1]): r[2] for r in df.collect()})).start()
     query.awaitTermination()
@@ -146,3 +147,145 @@ def test_tenant_lookup_stream(spark, active):
     ddl = "tenant_id string, n int, t double"
     accepted = play(spark, [[("t1", 1, 0.0), ("t2", 2, 0.0)]], ddl, lambda s: live.tenant_lookup_stream(s, f"{folder}/tenants")[0], "t")
     assert [r.n for r in accepted] == ([1] if active else [])
+
+
+# --- the end of sessions --------------------------------------------------------------------------
+
+BEATS = "session_id string, seq bigint, kind string, t_audio double, duration double, over boolean"
+
+
+def state_rows(spark, checkpoint):
+    """Sessions that still have a fold, waiting rows or timers in the state store."""
+    read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    keys = {r["k"] for name in ("fold", "waiting") for r in read(name).selectExpr("key.session_id AS k").collect()}
+    timers = spark.read.format("statestore").option("path", checkpoint).option("readRegisteredTimers", True).load()
+    return keys | {r["k"] for r in timers.selectExpr("key.session_id AS k").collect()}
+
+
+def pushes(session, start, n, over_at=None):
+    return [(session, i, "push", start + 0.1 * i, 0.1, i == over_at) for i in range(n)]
+
+
+def test_state_of_ended_sessions_goes(spark):
+    folds.use_rocksdb(spark)
+    rows = [r for s in range(8) for r in pushes(f"s{s}", 10.0 * s, 12)]
+    flush = [[("flush1", 0, "push", 300.0, 0.1, False)], [("flush2", 0, "push", 600.0, 0.1, False)], [("flush3", 0, "push", 602.0, 0.1, False)]]
+    build = lambda s: folds.shed_backlog_stream(s, expire_s=60.0)
+    got, query, checkpoint = play(spark, [rows[:50], rows[50:], *flush], BEATS, build, "t_audio", whole=True)
+    want = flow.shed_backlog(spark.createDataFrame(rows, BEATS)).collect()
+    assert sorted(tuple(r) for r in got if r.session_id[0] == "s") == sorted(map(tuple, want))
+    assert state_rows(spark, checkpoint) <= {"flush2", "flush3"}
+    counts = folds.counts_of(query)
+    assert counts["state_rows"] < counts["most_state_rows"] and counts["late_rows"] == 0
+
+
+def test_a_row_ends_its_session_and_a_later_one_begins_another(spark):
+    rows = sorted(pushes("a", 0.0, 30, over_at=19) + pushes("b", 0.0, 30), key=lambda r: r[3])
+    flush = [("flush", 0, "push", 100.0, 0.1, False)]
+    build = lambda s: folds.shed_backlog_stream(s, ends="over", expire_s=1e6)
+    got, _, checkpoint = play(spark, in_batches(rows, 3, flush), BEATS, build, "t_audio", whole=True)
+    parts = [("a1", *r[1:]) if r[1] < 20 else ("a2", *r[1:]) for r in rows if r[0] == "a"]
+    want = flow.shed_backlog(spark.createDataFrame(parts + [r for r in rows if r[0] == "b"], BEATS)).collect()
+    assert sorted((r[0], *r[1:]) for r in got) == sorted((r[0][0], *r[1:]) for r in want)
+    assert state_rows(spark, checkpoint) == {"a", "b", "flush"}
+
+
+def test_every_stream_lets_go(spark):
+    """Each operator's state of a session is gone once the session has expired."""
+    folds.use_rocksdb(spark)
+    rng = random.Random(3)
+    plays = [
+        (DDL, [r for s in range(3) for r in random_session(f"s{s}", rng, 20)], lambda at: ("f", 0, "", False, 0.0, 0.0, at), "t_wall",
+         lambda s: folds.commit_phrases_stream(s, expire_s=30.0)),
+        ("session_id string, seq bigint, t_audio double, t_wall double", [("s", i, float(i), 50.0 + i) for i in range(9)],
+         lambda at: ("f", 0, 0.0, at), "t_wall", lambda s: live.anchor_clock_stream(s, expire_s=30.0)),
+        ("session_id string, seq bigint, chunk_id bigint, language string, stage string, t_wall double, audio_end_wall double",
+         [("s", i, i // 2, "fr", "committed" if i % 2 == 0 else "published", 1.0 + i, 1.0) for i in range(9)],
+         lambda at: ("f", 0, 0, "fr", "translated", at, at), "t_wall", lambda s: live.assemble_traces_stream(s, 20.0, expire_s=30.0)),
+        ("session_id string, t_wall double, started_at double", [("s", float(t), 0.0) for t in range(9)], lambda at: ("f", at, at), "t_wall",
+         lambda s: live.session_watchdog_stream(s, 100.0, 20.0, expire_s=30.0)),
+    ]
+    for ddl, rows, marker, clock, build in plays:
+        last = max(r[[c.split()[0] for c in ddl.split(", ")].index(clock)] for r in rows)
+        ends = [[marker(last + t)] for t in (1000.0, 2000.0, 2001.0)]
+        _, _, checkpoint = play(spark, [rows, *ends], ddl, build, clock, whole=True)
+        left = state_rows(spark, checkpoint)
+        assert not {k for k in left if k.startswith("s")}, (clock, left)
+
+
+def test_late_rows_are_counted(spark):
+    early = pushes("a", 100.0, 20)
+    late = pushes("a", 10.0, 7) + pushes("late", 20.0, 4)
+    counters = folds.StreamCounters()
+    build = lambda s: folds.shed_backlog_stream(s, expire_s=1e6)
+    _, query, _ = play(spark, [early, [("flush", 0, "push", 150.0, 0.1, False)], late, [("flush", 1, "push", 160.0, 0.1, False)]], BEATS, build, "t_audio", whole=True)
+    assert folds.counts_of(query)["late_rows"] == 11
+    for progress in query.recentProgress:
+        counters.onQueryProgress(type("Event", (), {"progress": progress})())
+    assert counters.counts[str(query.id)]["late_rows"] == 11
+
+
+# --- T9, J4 ---------------------------------------------------------------------------------------
+
+
+def test_listeners_over_time_stream_equals_batch(spark):
+    from phrasestream.operators import ledger
+
+    rng = random.Random(5)
+    ddl = "session_id string, language string, listener_id string, kind string, t_event double"
+    rows = []
+    for i in range(80):
+        who = (f"s{i % 2}", rng.choice(["fr", "ar"]), f"l{i}")
+        at = float(rng.randrange(40))
+        rows += [(*who, "join", at + k) for k in range(rng.choice([1, 1, 2]))]
+        rows += [(*who, "leave", at + rng.randrange(1, 9) + k) for k in range(rng.choice([0, 1, 2]))]
+    rng.shuffle(rows)
+    flush = [("flush", "fr", "x", "join", 500.0)]
+    got = play(spark, in_batches(rows, 3, flush), ddl, live.listeners_over_time_stream, "t_event", "60 seconds")
+    want = ledger.listeners_over_time(spark.createDataFrame(rows, ddl)).select(*got[0].__fields__).collect()
+    assert sorted(tuple(r) for r in got if r.session_id != "flush") == sorted(map(tuple, want))
+
+
+def cached(requests, entries, ttl):
+    """Plain form: one copy a tenant, taken anew when it is `ttl` old."""
+    held, out = {}, []
+    for t, tenant, request in sorted(requests):
+        copy = held.get(tenant)
+        if copy is None or t - copy[0] >= ttl:
+            known = [e for e in sorted(entries, key=lambda e: e[4]) if e[0] == tenant and e[4] <= t]
+            reason = "unknown tenant" if not known else "unsafe schema name" if known[-1][2] != known[-1][2].lower() else None
+            if reason:
+                held.pop(tenant, None)
+                out.append((tenant, request, None, None, False, reason, None))
+                continue
+            copy = held[tenant] = (t, known[-1])
+        _, slug, schema, active, _ = copy[1]
+        out.append((tenant, request, slug, schema, active, None if active else "inactive tenant", copy[0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_a_tenant_switched_off_is_refused_when_its_copy_is_old(spark, shards):
+    rng = random.Random(9)
+    entries = [("a", "acme", "acme", True, 0.0), ("a", "acme", "acme", False, 400.0), ("b", "bolt", "Bolt", True, 0.0), ("b", "bolt", "bolt", True, 900.0)]
+    requests = [(float(t) + 0.25, rng.choice("abc"), n) for n, t in enumerate(sorted(rng.sample(range(2000), 150)))]
+    if shards == 1:
+        requests = [(t, w, n) for t, w, n in requests if w != "a" or t > 800] + [(110.0, "a", 900), (409.0, "a", 901), (410.0, "a", 902), (709.5, "a", 903), (710.5, "a", 904)]
+    ddl = "kind string, tenant_id string, request_id bigint, slug string, schema_name string, is_active boolean, t double"
+    rows = [("e", e[0], None, *e[1:4], e[4]) for e in entries] + [("r", w, n, None, None, None, t) for t, w, n in requests]
+    rng.shuffle(rows)
+    flush = [("r", "flush", -1, None, None, None, 99_000.0)]
+
+    def build(stream):
+        return live.tenant_cache_stream(stream.filter("kind = 'r'"), stream.filter("kind = 'e'"), shards=shards)
+
+    got = sorted((tuple(r) for r in play(spark, in_batches(rows, 3, flush), ddl, build, "t", "1 hour") if r.tenant_id != "flush"), key=str)
+    if shards == 1:
+        assert got == cached(requests, entries, 300.0)
+        by_id = {r[1]: r for r in got}
+        assert by_id[901][4] and by_id[901][6] == 110.0          # switched off at 400, but the copy is 299 s old
+        assert not by_id[902][4] and by_id[902][5] == "inactive tenant"  # 300 s old: taken anew
+    else:
+        assert len(got) == len(requests)
+        assert not any(r[4] for r in got if r[0] == "a" and r[6] is not None and r[6] >= 400.0)
+        assert all(r[4] for r in got if r[0] == "a" and r[6] is not None and r[6] < 400.0)
