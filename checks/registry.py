@@ -922,15 +922,63 @@ def _(v):
     return both.select("session_id", "language", F.col("_default").alias("backend"), F.col("backend").alias("without_exceptions"))
 
 
+# Pairs of any two languages of the ledger: sources that nothing is loaded for, targets of a
+# family, targets with a pair of their own, codes nobody knows.
+ANY_PAIRS = """(SELECT session_id, CASE session_id % 5 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' ELSE 'en' END AS source_language, unnest(target_languages || ['ta', 'zh', 'it', 'kn', 'bn']) AS language
+                FROM fx_sessions)"""
+
+
+def resolved_sql(models: str, families: str, routed: str) -> str:
+    """Model and token of each pair, most specific first: (source, target) models, then the target's family."""
+    return f"""
+    models(name) AS (VALUES {models}), families(language, family, token) AS (VALUES {families}),
+    codes(language, flores) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in fixed_values.FLORES_CODES)}),
+    routed AS (SELECT *, CASE WHEN language IN ({routed}) THEN 'nllb-200' ELSE 'opus-mt' END AS backend FROM {ANY_PAIRS}),
+    found AS (
+        SELECT r.*, own.name AS own, f.token, fam.name AS fam, c.flores, s.flores AS source_code FROM routed r
+        LEFT JOIN models own ON own.name = r.source_language || '-' || r.language
+        LEFT JOIN families f ON f.language = r.language LEFT JOIN models fam ON fam.name = r.source_language || '-' || f.family
+        LEFT JOIN codes c ON c.language = r.language LEFT JOIN codes s ON s.language = r.source_language),
+    judged AS (
+        SELECT *, source_language = 'en' AND CASE backend WHEN 'nllb-200' THEN flores IS NOT NULL AND source_code IS NOT NULL ELSE coalesce(own, fam) IS NOT NULL END AS translated
+        FROM found),
+    resolved AS (
+        SELECT session_id, source_language, language, backend, flores, translated, CASE WHEN translated THEN CASE backend WHEN 'nllb-200' THEN backend ELSE coalesce(own, fam) END END AS model,
+               CASE WHEN translated AND backend = 'opus-mt' AND own IS NULL THEN token END AS target_token FROM judged)"""
+
+
+DEFAULT_MODELS = resolved_sql(
+    "('en-fr'), ('en-de'), ('en-es'), ('en-zh'), ('en-ar'), ('en-hi'), ('en-dra')",
+    "('te', 'dra', '>>tel<<'), ('ta', 'dra', '>>tam<<'), ('ml', 'dra', '>>mal<<'), ('kn', 'dra', '>>kan<<')",
+    "'hi', 'te', 'ta', 'ml', 'kn', 'bn', 'mr', 'ur'")
+VOICED = "language IN ('fr', 'de', 'es', 'ar', 'te', 'hi')"
+CLONED = "language IN ('ar', 'cs', 'da', 'de', 'en', 'es', 'fi', 'fr', 'he', 'hi', 'it', 'ja', 'ko', 'nl', 'no', 'pl', 'pt', 'ru', 'sv', 'tr', 'vi')"
+
+
+def _any_pairs(v):
+    source = F.expr("CASE session_id % 5 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' ELSE 'en' END")
+    targets = F.concat("target_languages", F.array(*[F.lit(c) for c in ("ta", "zh", "it", "kn", "bn")]))
+    return v("fx_sessions").select("session_id", source.alias("source_language"), F.explode(targets).alias("language"))
+
+
 @register("j8_backend_coverage", f"""
-    WITH known(language, flores, voiced, cloned) AS (
-        VALUES ('fr', 'fra_Latn', true, true), ('ar', 'arb_Arab', true, true), ('de', 'deu_Latn', true, true), ('es', 'spa_Latn', true, true),
-               ('te', 'tel_Telu', true, false), ('en', 'eng_Latn', false, true))
-    SELECT session_id, source_language, language, CASE WHEN language = 'te' THEN 'nllb-200' ELSE 'opus-mt' END AS backend, flores, true AS translated,
-           coalesce(voiced, false) AS voiced, coalesce(cloned, false) AS cloned_voice, coalesce(voiced OR cloned, false) AS supported
-    FROM {TARGETS} LEFT JOIN known USING (language)""")
+    WITH {DEFAULT_MODELS}
+    SELECT *, {VOICED} AS voiced, {CLONED} AS cloned_voice, translated AND ({VOICED} OR {CLONED}) AS supported FROM resolved""")
+def _(v):
+    return routing.backend_coverage(_any_pairs(v))
+
+
+@register("j8_family_models", "WITH " + resolved_sql(
+    "('en-dra'), ('en-ta'), ('en-fr'), ('fr-dra')",
+    "('te', 'dra', '>>tel<<'), ('ta', 'dra', '>>tam<<'), ('ml', 'dra', '>>mal<<'), ('kn', 'dra', '>>kan<<')", "''") + """
+    SELECT session_id, source_language, language, backend, model, target_token, translated FROM resolved""")
+def _(v):
+    return routing.resolve_models(_any_pairs(v), models=["en-dra", "en-ta", "en-fr", "fr-dra"], routes={})
+
+
+@register("j8_unsupported_pairs", f"WITH {DEFAULT_MODELS} SELECT DISTINCT source_language, language, backend FROM resolved WHERE NOT translated")
 def _(v):
-    return routing.backend_coverage(_targets(v))
+    return routing.unsupported_pairs(_any_pairs(v))
 
 
 @register("j9_flag_credible_sessions", """
@@ -991,11 +1039,11 @@ def _failing_translator():
     SELECT doc_id AS session_id, 0::bigint AS chunk_id, lang AS source_language, language, CASE WHEN language = 'hi' THEN 'nllb-200' ELSE 'opus-mt' END AS backend,
            CASE WHEN language = 'hi' OR trim(text) = '' THEN '' ELSE '<' || language || '> ' || text END AS translated_text,
            CASE WHEN language = 'hi' AND trim(text) <> '' THEN 'RuntimeError: model file missing' END AS error
-    FROM (SELECT *, unnest(['fr', 'hi']) AS language FROM documents)""")
+    FROM (SELECT *, unnest(['fr', 'hi', 'it', 'xx']) AS language FROM documents) WHERE lang = 'en' AND language IN ('fr', 'hi')""")
 def _(v):
     rows = v("documents").select(
         F.col("doc_id").alias("session_id"), F.lit(0).cast("bigint").alias("chunk_id"), F.col("lang").alias("source_language"), "text",
-        F.explode(F.array(F.lit("fr"), F.lit("hi"))).alias("language"))
+        F.explode(F.array(*[F.lit(c) for c in ("fr", "hi", "it", "xx")])).alias("language"))
     backends = {"opus-mt": _tagging_translator, "nllb-200": _failing_translator}
     return routing.translate_fanout(rows, backends, spread=8).drop("text")
 

@@ -85,6 +85,14 @@ DEFAULT_ROUTES = [
 ]
 DEFAULT_BACKEND = "opus-mt"
 
+# Translation models at hand, by name: source-target, or source-family.
+PAIR_MODELS = ["en-fr", "en-de", "en-es", "en-zh", "en-ar", "en-hi", "en-dra"]
+
+# target language, the family its model may belong to, the token that picks it there
+FAMILY_TARGETS = [
+    ("te", "dra", ">>tel<<"), ("ta", "dra", ">>tam<<"), ("ml", "dra", ">>mal<<"), ("kn", "dra", ">>kan<<"),
+]
+
 # language, synthesis voice
 VOICES = [
     ("fr", "fr_FR-siwis-medium"), ("de", "de_DE-thorsten-medium"),

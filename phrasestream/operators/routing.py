@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from phrasestream.fixed_values import (
-    BACKEND_CREDIBILITY, CLONED_VOICE_LANGUAGES, DEFAULT_BACKEND, DEFAULT_ROUTES, FLORES_CODES, VOICES,
+    BACKEND_CREDIBILITY, CLONED_VOICE_LANGUAGES, DEFAULT_BACKEND, DEFAULT_ROUTES, FAMILY_TARGETS, FLORES_CODES,
+    PAIR_MODELS, VOICES,
 )
 from phrasestream.functions.text import strip
 
@@ -44,22 +45,68 @@ def coverage_table(spark) -> DataFrame:
     return codes.join(voices, "language", "full").join(cloned, "language", "full")
 
 
-def backend_coverage(pairs: DataFrame, loaded_source: str = "en") -> DataFrame:
+def _model_table(spark, models: list[str]) -> DataFrame:
+    """source_language, language, _model, _token: what each model can translate. A model of
+    the very pair comes before its family's, as it need not share what it learnt."""
+    parts = [m.partition("-")[::2] for m in models]
+    families = {(source, family) for source, family in parts}
+    own = [(source, target, f"{source}-{target}", None) for source, target in parts]
+    taken = {row[:2] for row in own}
+    shared = [
+        (source, target, f"{source}-{family}", token)
+        for source in sorted({s for s, _ in parts}) for target, family, token in FAMILY_TARGETS
+        if (source, family) in families and (source, target) not in taken
+    ]
+    return spark.createDataFrame([*own, *shared], "source_language string, language string, _model string, _token string")
+
+
+def resolve_models(
+    pairs: DataFrame, models: list[str] | None = None, routes: dict[str, str] | None = None,
+    loaded_source: str = "en",
+) -> DataFrame:
+    """`pairs` (source_language, language) with `backend`, `model`, `target_token` and
+    `translated`: whether the backend the target is routed to can translate this pair.
+    The backends are loaded for one source language. Per-pair models need one for the pair
+    or its family; the multilingual model needs a code for both languages."""
+    spark = pairs.sparkSession
+    table = _model_table(spark, PAIR_MODELS if models is None else models)
+    coded = spark.createDataFrame(FLORES_CODES, "language string, _code string")
+    sources = coded.select(F.col("language").alias("source_language"), F.col("_code").alias("_source_code"))
+    rows = (
+        route_backend(pairs, routes).join(F.broadcast(table), ["source_language", "language"], "left")
+        .join(F.broadcast(coded), "language", "left").join(F.broadcast(sources), "source_language", "left")
+    )
+    large, own = F.col("backend") == "nllb-200", F.col("backend") == DEFAULT_BACKEND
+    able = F.when(large, F.col("_code").isNotNull() & F.col("_source_code").isNotNull()).when(own, F.col("_model").isNotNull()).otherwise(False)
+    loaded = F.coalesce(F.col("source_language") == loaded_source, F.lit(False))
+    return rows.select(
+        *pairs.columns, "backend", F.when(loaded & able & own, F.col("_model")).when(loaded & able, F.col("backend")).alias("model"),
+        F.when(loaded & able & own, F.col("_token")).alias("target_token"), (loaded & able).alias("translated"),
+    )
+
+
+def unsupported_pairs(
+    rows: DataFrame, models: list[str] | None = None, routes: dict[str, str] | None = None, loaded_source: str = "en"
+) -> DataFrame:
+    """The (source_language, language) pairs among `rows` that nothing loaded can translate."""
+    pairs = rows.select("source_language", "language").distinct()
+    return resolve_models(pairs, models, routes, loaded_source).filter("not translated").select("source_language", "language", "backend")
+
+
+def backend_coverage(
+    pairs: DataFrame, loaded_source: str = "en", models: list[str] | None = None, routes: dict[str, str] | None = None
+) -> DataFrame:
     """Which parts of the chain support a (source, language) pair. A pair
     is supported when its source is the loaded one, its backend covers the
-    target and there is a voice; others are to be dropped, not faked."""
-    rows = route_backend(pairs).join(F.broadcast(coverage_table(pairs.sparkSession)), "language", "left")
-    source_ok = F.col("source_language") == loaded_source
-    source_code = F.lit(loaded_source in dict(FLORES_CODES))
-    translated = source_ok & (
-        (F.col("backend") != "nllb-200") | (F.col("flores").isNotNull() & source_code)
-    )
+    pair and there is a voice; others are to be dropped, not faked."""
+    resolved = resolve_models(pairs, models, routes, loaded_source)
+    rows = resolved.join(F.broadcast(coverage_table(pairs.sparkSession)), "language", "left")
+    spoken = F.col("voice").isNotNull() | F.coalesce("cloned", F.lit(False))
     return rows.select(
-        *pairs.columns, "backend", "flores",
-        translated.alias("translated"),
+        *pairs.columns, "backend", "model", "target_token", "flores", "translated",
         F.col("voice").isNotNull().alias("voiced"),
         F.coalesce("cloned", F.lit(False)).alias("cloned_voice"),
-        (translated & (F.col("voice").isNotNull() | F.coalesce("cloned", F.lit(False)))).alias("supported"),
+        (F.col("translated") & spoken).alias("supported"),
     )
 
 
@@ -124,9 +171,13 @@ Translator = Callable[[list[str], str, str], list[str]]
 def translate_fanout(
     rows: DataFrame, backends: dict[str, Callable[[], Translator]],
     routes: dict[str, str] | None = None, spread: int = 64,
+    models: list[str] | None = None, loaded_source: str = "en",
 ) -> DataFrame:
     """Translate (source_language, language, text) rows through user functions.
 
+    Rows of pairs that no loaded model translates (`resolve_models`) give no rows: they
+    are gated before the fan-out, so no worker is asked for them; `unsupported_pairs`
+    names them.
     `backends` maps a name to a factory; the translator it returns is opened
     once per partition. Calls are batched by (backend, source, target). A call
     that raises gives "" and an error for its own rows only. Rows of a backend
@@ -136,7 +187,8 @@ def translate_fanout(
     `spread`, so one long session can be shared by several workers.
     """
     schema = _with_strings(rows, "backend", "translated_text", "error")
-    routed = route_backend(rows, routes).filter(F.col("backend").isin(list(backends)))
+    routed = resolve_models(rows, models, routes, loaded_source).filter("translated").drop("model", "target_token", "translated")
+    routed = routed.filter(F.col("backend").isin(list(backends)))
     salt = F.pmod(F.xxhash64("chunk_id", "language"), F.lit(spread))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -310,3 +310,33 @@ def test_fanout_isolates_failures(spark):
 def test_staged_tables_stay_in_the_shared_folder(spark):
     df = staged(spark.range(5), "numbers")
     assert spark.conf.get("spark.checkpoint.dir") + "/numbers-" in df.inputFiles()[0] and df.count() == 5
+
+
+def test_pairs_are_resolved_most_specific_first(spark):
+    pairs = [("en", "ta"), ("en", "te"), ("en", "fr"), ("fr", "te"), ("fr", "en"), ("en", "xx"), (None, "fr"), ("en", None)]
+    df = spark.createDataFrame(pairs, "source_language string, language string")
+    found = {(r[0], r[1]): tuple(r)[3:] for r in routing.resolve_models(df, models=["en-ta", "en-dra", "en-fr", "fr-dra"], routes={}).collect()}
+    assert found[("en", "ta")] == ("en-ta", None, True)
+    assert found[("en", "te")] == ("en-dra", ">>tel<<", True)
+    assert found[("en", "fr")] == ("en-fr", None, True)
+    for pair in [("fr", "te"), ("fr", "en"), ("en", "xx"), (None, "fr"), ("en", None)]:  # nothing is loaded for French
+        assert found[pair] == (None, None, False), pair
+    french = {(r[0], r[1]): r["model"] for r in routing.resolve_models(df, ["fr-dra"], {}, loaded_source="fr").collect()}
+    assert french[("fr", "te")] == "fr-dra" and french[("en", "te")] is None
+    routed = {(r[0], r[1]): tuple(r)[2:] for r in routing.resolve_models(df).collect()}
+    assert routed[("en", "ta")] == ("nllb-200", "nllb-200", None, True) and routed[("en", "xx")] == ("opus-mt", None, None, False)
+    assert not {r["language"] for r in routing.unsupported_pairs(df).collect()} & {"ta", "ml"}
+
+
+def test_unsupported_targets_reach_no_translator(spark):
+    asked = [("s", k, source, language, "one two") for k, (source, language) in enumerate([("en", "fr"), ("en", "it"), ("de", "fr"), ("en", "te")])]
+    df = spark.createDataFrame(asked, "session_id string, chunk_id bigint, source_language string, language string, text string")
+
+    def translator():
+        def run(texts, source, target):
+            assert (source, target) in {("en", "fr"), ("en", "te")}
+            return [t.upper() for t in texts]
+        return run
+
+    out = routing.translate_fanout(df, {"opus-mt": translator, "nllb-200": translator}).collect()
+    assert {(r.source_language, r.language, r.translated_text, r.error) for r in out} == {("en", "fr", "ONE TWO", None), ("en", "te", "ONE TWO", None)}
