@@ -15,9 +15,11 @@ A key above `target_rows` is cut into pieces that are folded in parallel:
    per key to find each piece's true starting state.
 3. *fold*: every piece is run from its true state and emits its rows.
 
-If a piece turns out to start in a state that was not probed, that piece and
-the rest of its key are folded as one stream from the last known state. So the
-result is the sequential one in every case.
+If a piece turns out to start in a state that was not probed, it is probed once
+more from just that state, and the pieces are linked again, until every piece
+has its true state. Each round settles at least one more piece of a key and
+works on one piece of it alone, so the result is the sequential one in every
+case and no task ever folds more than a piece.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from phrasestream.plans.ordered import PIECE, PIECES, SHARE, TARGET_ROWS, Cut, cut_large_keys
+from phrasestream.plans.stage import staged
 
 
 class Machine:
@@ -120,18 +123,17 @@ def ordered_fold(
 
 def fold_cut(cut: Cut, order: str, machine: Machine) -> DataFrame:
     keys, df = cut.keys, cut.rows
-    entries = _link(_probe(cut, order, machine), keys, machine)
+    if cut.any:
+        started = df.join(_entries(cut, order, machine), [*keys, PIECE], "left")
+    else:
+        started = df.withColumn("_states", F.lit(None).cast("string"))
     lead = len(keys) + 4
     result = StructType(
         [*_key_fields(df, keys).fields, *_parse_datatype_string(machine.output).fields]
     )
     arrow = _arrow(result)
-    placed = (
-        df.join(entries, [*keys, PIECE], "left")
-        .withColumn("_run", F.coalesce("_run", PIECE))
-        .withColumn("_last", F.col(PIECE) == F.col(PIECES) - 1)
-        .select(*keys, "_run", "_last", "_states", F.col(order).alias("_order"), *machine.columns)
-    )
+    placed = started.withColumn("_last", F.col(PIECE) == F.col(PIECES) - 1).select(
+        *keys, PIECE, "_last", "_states", F.col(order).alias("_order"), *machine.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = machine.lanes()
@@ -171,24 +173,47 @@ def fold_cut(cut: Cut, order: str, machine: Machine) -> DataFrame:
         yield from writer.take(1)
 
     return (
-        placed.repartition(*keys, "_run")
-        .sortWithinPartitions(*keys, "_run", "_order")
+        placed.repartition(*keys, PIECE)
+        .sortWithinPartitions(*keys, PIECE, "_order")
         .mapInArrow(run, result)
     )
 
 
-def _probe(cut: Cut, order: str, machine: Machine) -> DataFrame:
+def _entries(cut: Cut, order: str, machine: Machine) -> DataFrame:
+    """(keys, piece, states): the state and book of every lane at the start of every piece
+    of the cut keys."""
+    keys = cut.keys
+    probes = staged(_probe(cut, order, machine), "fold-probes")
+    while True:
+        linked = staged(_link(probes, keys, machine), "fold-links")
+        unknown = linked.filter("not _known").select(*keys, PIECE, "_states")
+        if unknown.isEmpty():
+            return linked.select(*keys, PIECE, "_states")
+        again = staged(_probe(cut, order, machine, unknown), "fold-probes")
+        probes = probes.unionByName(again)
+
+
+def _probe(cut: Cut, order: str, machine: Machine, known: DataFrame | None = None) -> DataFrame:
     """(keys, piece, pieces, lane, state in, state out, book) for all pieces
-    but the last of every cut key."""
+    but the last of every cut key; or for the pieces in `known` (keys, piece,
+    states) only, from the states given there."""
     keys = cut.keys
     large = cut.large.filter(F.col(PIECE) < F.col(PIECES) - 1)
+    if known is not None:
+        shown = large.join(known, [*keys, PIECE]).withColumn("_copy", F.lit(False))
+        return _probed(shown, cut, order, machine)
     near_end = (1 - F.col(SHARE)) * cut.target_rows <= machine.look_back * 1.5
     before = cut.large.filter(near_end & (F.col(PIECE) < F.col(PIECES) - 2)).withColumn(
         PIECE, F.col(PIECE) + 1
     )
     shown = large.withColumn("_copy", F.lit(False)).unionByName(before.withColumn("_copy", F.lit(True)))
-    shown = shown.select(*keys, PIECE, PIECES, "_copy", F.col(order).alias("_order"), *machine.columns)
-    lead = len(keys) + 4
+    return _probed(shown.withColumn("_states", F.lit(None).cast("string")), cut, order, machine)
+
+
+def _probed(shown: DataFrame, cut: Cut, order: str, machine: Machine) -> DataFrame:
+    keys = cut.keys
+    shown = shown.select(*keys, PIECE, PIECES, "_copy", "_states", F.col(order).alias("_order"), *machine.columns)
+    lead = len(keys) + 5
     result = StructType(
         [*_key_fields(cut.rows, keys).fields,
          *_parse_datatype_string(
@@ -222,11 +247,12 @@ def _probe(cut: Cut, order: str, machine: Machine) -> DataFrame:
                     del seen_before[0]
                 continue
             if tracks is None:
-                first = current[-1] == 0
+                first, given = current[-1] == 0, values[len(keys) + 3]
+                true = [machine.thaw(s) for s, _ in json.loads(given)] if given else None
                 tracks = [
-                    _Track(machine, lane, [machine.start(lane)] if first
+                    _Track(machine, lane, [true[i]] if true else [machine.start(lane)] if first
                            else machine.candidates(lane, seen_before))
-                    for lane in lanes
+                    for i, lane in enumerate(lanes)
                 ]
             for track in tracks:
                 track.step(row)
@@ -283,11 +309,11 @@ class _Track:
 
 
 def _link(probes: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
-    """(keys, piece, run, states): the run a piece belongs to and, at the
-    first piece of a run, the starting state and book of every lane."""
+    """(keys, piece, states, known): the state and book of every lane at the start of each
+    piece, as far as probes lead; `known` is false where the next piece's are missing."""
     result = StructType(
         [*_key_fields(probes, keys).fields,
-         *_parse_datatype_string(f"{PIECE} int, _run int, _states string").fields]
+         *_parse_datatype_string(f"{PIECE} int, _states string, _known boolean").fields]
     )
     arrow = _arrow(result)
     width = len(keys)
@@ -295,38 +321,33 @@ def _link(probes: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = machine.lanes()
         writer = _Writer(arrow)
-        key, pieces, at, table, now, done = None, 0, None, None, None, False
-
-        def pack():
-            return json.dumps([(json.loads(s), b) for s, b in now])
+        key, pieces, at, table, now = None, 0, None, None, None
 
         def apply():
             """Move `now` across piece `at`; give up when a state is unknown."""
-            nonlocal now, done
-            if done:
+            nonlocal now
+            if now is None:
                 return
-            writer.rows.append(key + (at, at, pack()))
-            moved = []
+            states, moved = json.dumps([(json.loads(s), b) for s, b in now]), []
             for i, (state, book) in enumerate(now):
                 found = table[i].get(state)
-                if found is None:
-                    writer.rows.extend(key + (p, at, None) for p in range(at + 1, pieces))
-                    done = True
-                    return
-                moved.append((found[0], machine.merge_books(book, json.loads(found[1]))))
-            now = moved
+                if found is not None:
+                    moved.append((found[0], machine.merge_books(book, json.loads(found[1]))))
+            known = len(moved) == len(lanes)
+            writer.rows.append(key + (at, states, known))
+            now = moved if known else None
 
         def close():
             if key is None:
                 return
             apply()
-            if not done:
-                writer.rows.append(key + (pieces - 1, pieces - 1, pack()))
+            if now is not None:
+                writer.rows.append(key + (pieces - 1, json.dumps([(json.loads(s), b) for s, b in now]), True))
 
         for values in _rows(batches):
             if values[:width] != key:
                 close()
-                key, at, done = values[:width], None, False
+                key, at = values[:width], None
                 now = [(json.dumps(machine.freeze(machine.start(lane))), machine.new_book())
                        for lane in lanes]
             piece, pieces, lane, start, end, book = values[width:]

@@ -4,9 +4,9 @@ A window partitioned by session alone puts a whole session in one task. Here a
 key with more than `target_rows` rows is cut into pieces along its order
 column; each piece is an ordinary window partition, and what has to flow from
 one piece to the next (a running total, the last few rows) is a small table
-with one row per piece. Keys below the limit form one piece, so ordinary data
-pays one pre-aggregated count per key: the branches that serve cut keys start
-with a join to an empty table and adaptive execution removes them.
+with one row per piece. Keys below the limit form one piece. The rows of each
+key are counted when the plan is built; where no key is above the limit, the
+plan has no branch for cut keys at all.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TARGET_ROWS = 200_000
-# Keys with more than 1/MAX_CUT_KEYS of all rows are cut, if they have more than
-# target_rows: so there are fewer than MAX_CUT_KEYS of them, and the broadcast
-# table of cut keys is bounded by that.
-MAX_CUT_KEYS = 10_000
-# A key is cut along its own distribution of the order column, known at so many
-# quantiles and taken as even between two of them.
-QUANTILES = 64
+# A key is cut along its own distribution of the order column, known at so many quantiles
+# (at least and at most; otherwise as many as there are pieces) and taken as even between
+# two of them.
+QUANTILES, MOST_QUANTILES = 64, 4096
+# The tables of cut keys are broadcast up to so many quantile values, else joined.
+BROADCAST_VALUES = 1_000_000
 PIECE, PIECES, SHARE = "_piece", "_pieces", "_share"
 
 
@@ -32,16 +31,18 @@ PIECE, PIECES, SHARE = "_piece", "_pieces", "_share"
 class Cut:
     """Rows with `_piece`, `_pieces` and `_share` (position inside the piece).
 
-    `rows` has every key, `large` only the keys that were cut.
+    `rows` has every key, `large` only the keys that were cut; without `any` there are none.
     """
 
     rows: DataFrame
     large: DataFrame
     keys: list[str]
     target_rows: int
+    any: bool
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Cut:
-        return Cut(change(self.rows), change(self.large), self.keys, self.target_rows)
+        large = change(self.large) if self.any else change(self.rows).filter(F.lit(False))
+        return Cut(change(self.rows), large, self.keys, self.target_rows, self.any)
 
     @property
     def place(self) -> list[str]:
@@ -55,28 +56,33 @@ def cut_large_keys(df: DataFrame, keys: list[str], order: str, target_rows: int
     kind = df.schema[order].dataType.typeName()
     at = F.col(order).cast("timestamp" if kind.startswith("timestamp") else "double").cast("double")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    share = F.coalesce(counts.agg(F.sum("_n") / MAX_CUT_KEYS).scalar(), F.lit(0.0))
-    many = counts.filter(
-        (F.col("_n") > target_rows) & (F.col("_n") > share) & (F.col("_hi") > F.col("_lo"))
-    ).select(*keys, F.ceil(F.col("_n") / target_rows).cast("int").alias(PIECES))
-    grid = F.percentile_approx(at, [i / QUANTILES for i in range(QUANTILES + 1)], F.lit(10_000))
-    large = df.join(F.broadcast(many), keys).groupBy(*keys).agg(
+    many = counts.filter((F.col("_n") > target_rows) & (F.col("_hi") > F.col("_lo"))).select(
+        *keys, F.ceil(F.col("_n") / target_rows).cast("int").alias(PIECES))
+    found = many.agg(F.count(F.lit(1)).alias("keys"), F.max(PIECES).alias("pieces")).first()
+    if not found["keys"]:
+        rows = df.withColumns({PIECE: F.lit(0), SHARE: F.lit(0.0), PIECES: F.lit(1)})
+        return Cut(rows, rows.filter(F.lit(False)), keys, target_rows, False)
+    quantiles = min(max(QUANTILES, 1 << (found["pieces"] - 1).bit_length()), MOST_QUANTILES)
+    few = found["keys"] * quantiles <= BROADCAST_VALUES
+    near = F.broadcast if few else lambda table: table
+    grid = F.percentile_approx(at, [i / quantiles for i in range(quantiles + 1)], F.lit(10_000))
+    large = df.join(near(many), keys).groupBy(*keys).agg(
         grid.alias("_grid"), F.first(PIECES).alias(PIECES), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
     # The sketch may miss the ends.
-    ends = lambda g: F.concat(F.array("_lo"), F.slice(g, 2, QUANTILES - 1), F.array("_hi"))
+    ends = lambda g: F.concat(F.array("_lo"), F.slice(g, 2, quantiles - 1), F.array("_hi"))
     large = large.withColumn("_grid", ends(F.col("_grid"))).drop("_lo", "_hi")
     # The last quantile that is not above a row, by halving; then the way to the next.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((QUANTILES - 1).bit_length()))])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((quantiles - 1).bit_length()))])
     cell = F.aggregate(steps, F.lit(0), lambda i, s: i + F.when(
-        (i + s < QUANTILES) & (F.get("_grid", i + s) <= at), s).otherwise(0))
+        (i + s < quantiles) & (F.get("_grid", i + s) <= at), s).otherwise(0))
     low, high = F.get("_grid", F.col("_cell")), F.get("_grid", F.col("_cell") + 1)
     way = F.when(high > low, F.least(F.lit(1.0), (at - low) / (high - low))).otherwise(0.0)
-    spot = (F.col("_cell") + way) / QUANTILES * F.col(PIECES)
+    spot = (F.col("_cell") + way) / quantiles * F.col(PIECES)
     piece = F.least(F.floor(spot), F.col(PIECES) - 1).cast("int")
 
     def mark(how: str) -> DataFrame:
         return (
-            df.join(F.broadcast(large), keys, how)
+            df.join(near(large), keys, how)
             .withColumn("_cell", F.when(F.col(PIECES).isNotNull(), cell))
             .withColumn(PIECE, F.coalesce(piece, F.lit(0)))
             .withColumn(SHARE, F.coalesce(spot - F.col(PIECE), F.lit(0.0)))
@@ -84,7 +90,7 @@ def cut_large_keys(df: DataFrame, keys: list[str], order: str, target_rows: int
             .drop("_grid", "_cell")
         )
 
-    return Cut(mark("left"), mark("inner"), keys, target_rows)
+    return Cut(mark("left"), mark("inner"), keys, target_rows, True)
 
 
 def running(
