@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phrasestream.functions.scalars import python_word_end
 from phrasestream.functions.text import (
-    common_prefix, normalise_words, python_cuts_after, python_is_conjunction, tokenise,
+    common_prefix, normalise_words, python_cuts_after, python_is_conjunction, python_normalise, tokenise,
 )
 from phrasestream.plans.fold import Machine, fold_cut
 from phrasestream.plans.ordered import (
@@ -123,6 +123,15 @@ def best_cut(cfg: ChunkerConfig, tokens: list[str], low: int, high: int) -> int:
     return taken
 
 
+def shared_words(before: list[str], words: list[str]) -> int:
+    """Leading words that two hypotheses agree on. Words are only normalised where they are
+    not the same verbatim."""
+    for n, (a, b) in enumerate(zip(before, words)):
+        if a != b and python_normalise(a) != python_normalise(b):
+            return n
+    return min(len(before), len(words))
+
+
 class PhraseMachine(Machine):
     """Commit rules for one session under one or more configurations.
 
@@ -146,6 +155,15 @@ class PhraseMachine(Machine):
     def lanes(self):
         return list(enumerate(self.configs))
 
+    def enrich(self, previous, row):
+        """Words shared with the previous hypothesis, where no window has counted them."""
+        if row[7] is not None:
+            return row
+        words = row[0].split()
+        before = None if previous is None else previous[0].split()
+        shared = None if before is None else shared_words(before, words)
+        return (*row[:5], shared, None if before is None else len(before), len(words), *row[8:])
+
     def prepare(self, row):
         return (row[0].split(), *row[1:])
 
@@ -284,6 +302,9 @@ def _fold_inputs(hyps: DataFrame, silence: bool, target_rows: int) -> Cut:
         )
     else:
         cut = cut.map(lambda df: df.withColumn("next_wall", F.lit(None).cast("double")))
+    if not cut.any:  # the machine sees the previous row itself: texts move once
+        missing = F.lit(None).cast("int")
+        return cut.map(lambda df: df.withColumns({"shared": missing, "previous_n": missing, "words_n": missing}))
     return neighbours(
         cut, ["seq"], _SHARED, count=1, before_windows=_words, drop=(*_SCRATCH, "tokens")
     )

@@ -54,6 +54,10 @@ class Machine:
     def lanes(self) -> list:
         return [None]
 
+    def enrich(self, previous: tuple | None, row: tuple) -> tuple:
+        """Fill in what a row takes from the one before it in its piece, if the plan has not."""
+        return row
+
     def prepare(self, row: tuple):
         return row
 
@@ -138,7 +142,7 @@ def fold_cut(cut: Cut, order: str, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = machine.lanes()
         writer = _Writer(arrow)
-        current, states, books, row, last = None, [], [], None, False
+        current, states, books, row, last, previous = None, [], [], None, False, None
 
         def close():
             if current is None or not last:
@@ -152,7 +156,7 @@ def fold_cut(cut: Cut, order: str, machine: Machine) -> DataFrame:
             key = values[: len(keys) + 1]
             if key != current:
                 close()
-                current = key
+                current, previous = key, None
                 known = values[len(keys) + 2]
                 if known is None:
                     states = [machine.start(lane) for lane in lanes]
@@ -162,7 +166,8 @@ def fold_cut(cut: Cut, order: str, machine: Machine) -> DataFrame:
                     states = [machine.thaw(s) for s, _ in pairs]
                     books = [b for _, b in pairs]
             last = values[len(keys) + 1]
-            row = machine.prepare(values[lead:])
+            row = machine.prepare(machine.enrich(previous, values[lead:]))
+            previous = values[lead:]
             for i, lane in enumerate(lanes):
                 out = []
                 states[i], books[i] = machine.step(lane, states[i], books[i], row, out)
@@ -172,11 +177,9 @@ def fold_cut(cut: Cut, order: str, machine: Machine) -> DataFrame:
         close()
         yield from writer.take(1)
 
-    return (
-        placed.repartition(*keys, PIECE)
-        .sortWithinPartitions(*keys, PIECE, "_order")
-        .mapInArrow(run, result)
-    )
+    # Rows that a window by keys and piece has just left are not moved again.
+    laid = placed if cut.laid_out and not cut.any else placed.repartition(*keys, PIECE)
+    return laid.sortWithinPartitions(*keys, PIECE, "_order").mapInArrow(run, result)
 
 
 def _entries(cut: Cut, order: str, machine: Machine) -> DataFrame:

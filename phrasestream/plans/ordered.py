@@ -12,7 +12,7 @@ plan has no branch for cut keys at all.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -39,10 +39,12 @@ class Cut:
     keys: list[str]
     target_rows: int
     any: bool
+    # Whether rows already lie by keys and piece, as `neighbours` leaves them.
+    laid_out: bool = False
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Cut:
         large = change(self.large) if self.any else change(self.rows).filter(F.lit(False))
-        return Cut(change(self.rows), large, self.keys, self.target_rows, self.any)
+        return replace(self, rows=change(self.rows), large=large)
 
     @property
     def place(self) -> list[str]:
@@ -196,7 +198,7 @@ def neighbours(
             out = out.withColumn(name, make(spec))
         return out.filter(~F.col("_copy")).drop("_copy", *drop)
 
-    return cut.map(look)
+    return replace(cut.map(look), laid_out=True)
 
 
 def with_neighbours(

@@ -21,7 +21,6 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.types import LongType, StringType, StructType, _parse_datatype_string
 
 from phrasestream.fixed_values import MAX_IDLE_S, MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
-from phrasestream.functions.text import python_normalise
 from phrasestream.operators.audio import UtteranceMachine
 from phrasestream.operators.chunking import ChunkerConfig, PhraseMachine
 from phrasestream.operators.flow import BacklogMachine
@@ -262,19 +261,9 @@ def fold_stream(
 
 
 def _shared_with_previous(previous, values):
-    """Add what the batch form gets from its neighbour window. Words are only
-    normalised where they are not the same verbatim."""
-    text, is_final, start, end, wall, ends = values[:6]
-    words = text.split()
-    shared = previous_n = None
-    if previous is not None:
-        before = previous[0].split()
-        previous_n, shared = len(before), 0
-        for a, b in zip(before, words):
-            if a != b and python_normalise(a) != python_normalise(b):
-                break
-            shared += 1
-    return [text, is_final, start, end, wall, shared, previous_n, len(words), ends, None]
+    """The machine's columns, without what it fills in from the row before."""
+    row = (*values[:5], None, None, None, values[5], None)
+    return list(PhraseMachine.enrich(None, previous, row))
 
 
 def commit_phrases_stream(
