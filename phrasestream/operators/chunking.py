@@ -19,6 +19,8 @@ from phrasestream.plans.ordered import (
 from phrasestream.plans.quantiles import exact_percentiles
 
 SESSION = ["session_id"]
+#: Words of a session's true text in one row, where chunks are compared with it.
+TRUTH_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -353,6 +355,13 @@ def final_transcripts(hyps: DataFrame) -> DataFrame:
     return last.select("session_id", tokenise(F.col("truth_text")).alias("truth"))
 
 
+def truth_blocks(truth: DataFrame) -> DataFrame:
+    """session_id, _block, _words: each session's words, `TRUTH_BLOCK` in a row."""
+    last = F.floor((F.size("truth") - 1) / TRUTH_BLOCK).cast("int")
+    blocks = truth.filter(F.size("truth") > 0).select("session_id", "truth", F.explode(F.sequence(F.lit(0), last)).alias("_block"))
+    return blocks.select("session_id", "_block", F.slice("truth", F.col("_block") * TRUTH_BLOCK + 1, F.lit(TRUTH_BLOCK)).alias("_words"))
+
+
 def replay_metrics(
     chunks: DataFrame, truth: DataFrame, config_ids: list[int] | None = None
 ) -> DataFrame:
@@ -369,18 +378,29 @@ def replay_metrics(
         chunks.withColumn("latency", late), keys, ["chunk_id"],
         {"_before": ("sum", F.col("word_count"))}, inclusive=False,
     ).withColumn("_before", F.coalesce("_before", F.lit(0)).cast("int"))
-    heard = F.slice("truth", F.col("_before") + 1, F.col("word_count"))
+    # A chunk meets the blocks of the truth that its words fall into, one or two of them.
+    start, end = F.col("_before"), F.col("_before") + F.col("word_count")
+    block_of = lambda word: F.floor(word / TRUTH_BLOCK).cast("int")
+    pieces = rows.select(
+        *keys, "word_count", "latency", "_before", tokenise(F.col("text")).alias("_tokens"),
+        F.explode(F.sequence(block_of(start), F.greatest(block_of(end - 1), block_of(start)))).alias("_block"),
+    ).withColumn("_first", F.col("_block") == block_of(start))
+    # Where the block begins in the chunk (below 0 if it began before), and the chunk in the block.
+    behind = F.col("_block") * TRUTH_BLOCK - start
+    heard = F.slice(F.col("_words"), F.greatest(F.lit(1), 1 - behind), F.lit(TRUTH_BLOCK))
+    said = F.slice(F.col("_tokens"), F.greatest(F.lit(1), 1 + behind), F.col("word_count"))
     wrong = F.size(F.filter(
-        F.zip_with(tokenise(F.col("text")), heard, lambda a, b: b.isNotNull() & (a != b)),
+        F.zip_with(said, heard, lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)),
         lambda differs: differs,
     ))
-    compared = rows.join(truth, "session_id").withColumn("_wrong", wrong)
+    compared = pieces.join(truth_blocks(truth), ["session_id", "_block"], "left")
+    once = lambda value: F.when(F.col("_first"), value)
     totals = compared.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("chunks"),
-        F.avg("word_count").alias("mean_words"),
+        F.count_if("_first").alias("chunks"),
+        F.avg(once(F.col("word_count"))).alias("mean_words"),
         F.max("latency").alias("max"),
-        F.sum("_wrong").alias("_wrong"),
-        F.sum("word_count").alias("_said"),
+        F.sum(F.when(F.col("_words").isNotNull(), wrong)).alias("_wrong"),
+        F.sum(once(F.col("word_count"))).alias("_said"),
     )
     sessions = truth.select("session_id", F.size("truth").alias("_truth"))
     if config_ids is not None:

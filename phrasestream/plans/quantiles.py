@@ -23,6 +23,9 @@ def exact_percentiles(
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > large_group)
     names, probs = list(probabilities), list(probabilities.values())
+    if large.isEmpty():
+        whole = values.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        return whole.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
     small = (
         values.join(large, keys, "left_anti")
