@@ -1,16 +1,18 @@
 """Personal data, and the terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. The corpus then says
-how strongly each term reveals such an entity: with N terms in the corpus, n(k) of them
-within `REACH` characters of an entity of kind k, n(t) the uses of term t and n(t, k) those
-near kind k,
-
-    disclosure(t, k) = log2(n(t, k) N / (n(t) n(k))) / log2(N / n(k)),
-
-the share of the information of "here is a k" that t gives away: 1 if t never stands
-elsewhere, 0 if it is as likely anywhere. Terms of `DISCLOSED` or more that stand near
-`SUPPORT` different entities of the kind are generalised (or removed) where they stand near
-one. Counts are over all documents. All of it is DataFrame operations.
+how strongly each term reveals an entity (one address, one number) or a kind of entity: with
+N terms in the corpus, n(e) of them within `REACH` characters of entity e, n(t) the uses of
+term t and n(t, e) those near e,
+
+    disclosure(t, e) = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e)),
+
+the share of the information of "here is e" that t gives away: 1 if t never stands
+elsewhere, 0 if it is as likely anywhere. Terms of `DISCLOSED` or more that stand near the
+entity in `SUPPORT` different places are generalised (or removed) wherever they stand, in
+all texts. A place in copies of one text counts once as support; a term discloses a kind only
+if it stands near `SUPPORT` different entities of it. Counts are over all documents. All of
+it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from phrasestream.plans.stage import staged
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 REACH = 40
-DISCLOSED = 0.9
+DISCLOSED = 0.95
 SUPPORT = 5
-#: Candidate terms that may be sent to all tasks; with more of them the join shuffles.
+#: Terms that may be sent to all tasks; with more of them the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 # Possessive forms of the patterns searched for: they match the same, but do not go back
@@ -161,40 +163,70 @@ def with_base(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.xxhash64("text").alias("tid"), "spans", near.alias("near"))
 
 
+WORD_BREAKS = r"[^\p{L}]+"
+#: Stands for all entities of a kind; no entity is an empty text.
+ANY = ""
+
+
+def _uses(near: Column) -> Column:
+    """Each use of a term near an entity, and near any of the entity's kind, once a text."""
+    use = lambda value: lambda t: F.struct(t["kind"], value(t).alias("value"), t["term"], t["start"])
+    return F.array_distinct(F.concat(F.transform(near, use(lambda t: t["value"])), F.transform(near, use(lambda t: F.lit(ANY)))))
+
+
+def _among(words: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """`words` (term) with the `names` (known) they are among."""
+    names = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    return words.join(names, F.col("term") == F.col("known"), how)
+
+
 def disclosing_terms(docs: DataFrame, based: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """term, kind, disclosure of the terms at or above the threshold."""
-    near = based.filter(F.size("near") > 0).select("doc_id", "tid", F.explode("near").alias("t")).select("doc_id", "tid", "t.*")
-    uses = near.groupBy("kind", "term").agg(
-        F.countDistinct("doc_id", "tid", "start").alias("n_tk"), F.countDistinct("value").alias("values"))
-    uses = staged(uses, "pii-uses")
-    by_kind = uses.groupBy("kind").agg(F.sum("n_tk").alias("n_k"))
-    candidates = uses.filter(F.col("values") >= support)
-    names = candidates.select(F.col("term").alias("known")).distinct()
-    if names.count() <= BROADCAST_ROWS:
-        names = F.broadcast(names)
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(docs["text"], F.lit(""))), r"[^\p{L}]+")).alias("term")).filter("term != ''")
+    """term, kind, value, disclosure of the terms at or above the threshold; value is the
+    entity, or empty where the term discloses the kind."""
+    near = based.filter(F.size("near") > 0).select("tid", F.explode(_uses(F.col("near"))).alias("u")).select("tid", "u.*")
+    uses = staged(near.groupBy("kind", "value", "term").agg(
+        F.count(F.lit(1)).alias("n_te"), F.count_distinct(F.xxhash64("tid", "start")).alias("places")), "pii-uses")
+    entities = uses.groupBy("kind", "value").agg(F.sum("n_te").alias("n_e"))
+    kinds = {r["kind"]: r["n_e"] for r in entities.filter(F.col("value") == ANY).collect()}  # one row a kind
+    of_kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in kinds.items()], F.lit(None).cast("long"))
+    one = uses.filter((F.col("value") != ANY) & (F.col("places") >= support)).join(entities.filter(F.col("value") != ANY), ["kind", "value"])
+    spread = uses.filter(F.col("value") != ANY).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities")).filter(F.col("entities") >= support)
+    several = uses.filter((F.col("value") == ANY) & (F.col("places") >= support)).join(spread, ["kind", "term"], "left_semi")
+    columns = ("kind", "value", "term", "n_te", "n_e")
+    candidates = staged(one.select(*columns).unionByName(several.withColumn("n_e", of_kind).select(*columns)), "pii-candidates")
+    words = docs.select(F.explode(F.split(F.coalesce(docs["text"], F.lit("")), WORD_BREAKS)).alias("term")).filter("term != ''").select(F.lower("term").alias("term"))
     # One pass: candidates by name, all other terms as the null group.
-    counted = staged(words.join(names, F.col("term") == F.col("known"), "left").groupBy("known").agg(F.count(F.lit(1)).alias("n_t")), "pii-counts")
+    names = candidates.select(F.col("term").alias("known")).distinct()
+    counted = staged(_among(words, names, "left").groupBy("known").agg(F.count(F.lit(1)).alias("n_t")), "pii-counts")
     total = F.lit(float(counted.agg(F.sum("n_t")).first()[0] or 0))
-    scored = candidates.join(counted, F.col("term") == F.col("known")).join(by_kind, "kind")
-    gain = F.log2(F.col("n_tk") * total / (F.col("n_t") * F.col("n_k"))) / F.greatest(F.log2(total / F.col("n_k")), F.lit(1e-9))
-    return scored.withColumn("disclosure", gain).filter(F.col("disclosure") >= disclosed).select("term", "kind", "disclosure")
+    scored = candidates.join(counted, F.col("term") == F.col("known"))
+    gain = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(total / F.col("n_e")), F.lit(1e-9))
+    return scored.withColumn("disclosure", gain).filter(F.col("disclosure") >= disclosed).select("term", "kind", "value", "disclosure")
 
 
 def _extra(docs: DataFrame, based: DataFrame, **thresholds) -> DataFrame:
-    """doc_id, tid, extra: spans of disclosing terms near what they disclose."""
-    terms = disclosing_terms(docs, based, **thresholds)
-    near = based.filter(F.size("near") > 0).select("doc_id", "tid", F.explode("near").alias("t")).select("doc_id", "tid", "t.*")
-    return near.join(terms, ["term", "kind"]).groupBy(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).agg(
-        F.array_distinct(F.collect_list(F.struct(
-            F.col("start"), F.lit(len(KINDS)).alias("no"), F.col("end"), F.lit(TERM).alias("kind")))).alias("extra"))
+    """_id, _tid, extra: every place of a disclosing term, in all texts. Which texts have
+    any is found by a join on their distinct words; only those are searched for places."""
+    names = staged(disclosing_terms(docs, based, **thresholds).select(F.col("term").alias("known")).distinct(), "pii-terms")
+    texts = W.text_frame(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held = texts.select(
+        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tid"), F.explode(F.array_distinct(F.split("text", WORD_BREAKS))).alias("term"),
+    ).withColumn("term", F.lower("term"))
+    marked = _among(held, names, "inner").groupBy("_id", "_tid").agg(F.collect_set("known").alias("marked"))
+    place = lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("no"), t["end"].alias("end"), F.lit(TERM).alias("kind"))
+    found = F.transform(F.filter(located(F.col("text"), LETTERS), lambda t: F.array_contains("marked", F.lower(t["value"]))), place)
+    met = texts.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid")))
+    # Repeated rows are one here, as each of them will meet it.
+    return met.select("_id", "_tid", found.alias("extra")).groupBy("_id", "_tid").agg(F.first("extra").alias("extra"))
 
 
 def _joined(rows: DataFrame, extra: DataFrame) -> DataFrame:
     met = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tid") == F.col("_tid")), "left")
     plain = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["end"].alias("end"), x["kind"].alias("kind")))
     none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
-    return met.withColumn("all", F.array_sort(F.concat(plain, F.coalesce("extra", none)))).drop("_id", "_tid", "extra")
+    # A term within an entity is part of it.
+    free = F.filter("extra", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    return met.withColumn("all", F.array_sort(F.concat(plain, F.coalesce(free, none)))).drop("_id", "_tid", "extra")
 
 
 def _listed(spans: str) -> Column:

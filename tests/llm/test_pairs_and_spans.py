@@ -203,6 +203,82 @@ def test_base_spans_equal_the_patterns(spark):
     assert pii.personal_data(frame(spark, rows).limit(0)).count() == 0
 
 
+def brute_disclosing(rows, disclosed, support):
+    """Terms at or above the threshold, by plain counting over all texts."""
+    address = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    letters = re.compile(r"[^\W\d_]+")
+    uses, places, n_t = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for _, text in rows:
+        text = text or ""
+        words = [(m.start(), m.end(), m.group().lower()) for m in letters.finditer(text)]
+        n_t.update(w for _, _, w in words)
+        spans = [(m.start(), m.end(), m.group()) for m in address.finditer(text)]
+        met = set()
+        for a, b, value in spans:
+            for x, y, w in words:
+                # A word that touches the end of the reach may go on there, and is left out.
+                left = y <= a and (x > a - pii.REACH or a <= pii.REACH)
+                if (left or (x >= b and y < b + pii.REACH)) and not any(x < d and c < y for c, d, _ in spans):
+                    met |= {(value, w, x), ("", w, x)}
+        for value, w, x in met:
+            uses[value, w] += 1
+            places[value, w].add((text, x))
+    total, n_e = sum(n_t.values()), collections.Counter()
+    for (value, _), n in uses.items():
+        n_e[value] += n
+    entities = collections.Counter(w for value, w in uses if value)
+    out = {}
+    for (value, w), n in uses.items():
+        gain = math.log2(n * total / (n_t[w] * n_e[value])) / max(math.log2(total / n_e[value]), 1e-9)
+        if len(places[value, w]) >= support and (value or entities[w] >= support) and gain >= disclosed:
+            out[w, value] = gain
+    return out
+
+
+def disclosing_rows():
+    rng = random.Random(4)
+    common = [f"{a}{b}" for a in "kstnhm" for b in ("a", "e", "ri", "un", "ol")]
+    text = lambda k: " ".join(rng.choice(common) for _ in range(k))
+    rows = [(i, text(rng.randrange(5, 60))) for i in range(80)]
+    for i in range(12):  # always beside one address; twice elsewhere, once in a row of its own
+        rows.append((100 + i, f"{text(9)} Marlowe writes from m.low@there.org {text(9)}"))
+    rows += [(150, text(30) + " Marlowe " + text(30)), (151, "marlowe")]
+    for i in range(9):  # a cue that stands near ever other addresses
+        rows.append((200 + i, f"{text(20)} mailto u{i}@x{i}.net {text(20)}"))
+    rows += [(300 + i, "rarepair a@b.co") for i in range(10)]  # copies are no support
+    return rows + [(400, None), (None, "Marlowe"), (401, ""), (402, "Marlowe m.low@there.org"), (402, "Marlowe m.low@there.org"), (403, text(20_000) + " MARLOWE")]
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rows = disclosing_rows()
+    df = frame(spark, rows)
+    got = {(r["term"], r["value"]): r["disclosure"] for r in pii.disclosing_terms(df, pii.with_base(df), disclosed=0.3, support=3).collect()}
+    want = brute_disclosing(rows, 0.3, 3)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {("marlowe", "m.low@there.org"), ("mailto", "")} <= set(want) and not any("rarepair" in k for k in want)
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    rows = disclosing_rows()
+    df = frame(spark, rows)
+    terms = {w for w, _ in brute_disclosing(rows, 0.9, pii.SUPPORT)}
+    assert {"marlowe", "writes", "from", "mailto"} == terms
+    names = re.compile(r"[^\W\d_]+")
+    address = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    want = collections.Counter()
+    for i, t in rows:
+        base = [(m.start(), 0, m.end(), "email") for m in address.finditer(t or "")]
+        more = [(m.start(), 4, m.end(), "term") for m in names.finditer(t or "") if m.group().lower() in terms and not any(m.start() < b and a < m.end() for a, _, b, _ in base)]
+        want[i, len(base), len(more), ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more))] += 1
+    got = collections.Counter((r["doc_id"], r["n_email"], r["n_term"], r["spans"]) for r in pii.personal_data(df, disclosed=0.9).collect())
+    assert got == want
+    clean = collections.defaultdict(list)
+    for r in pii.sanitised(df, disclosed=0.9).collect():
+        clean[r["doc_id"]].append(r["text"])
+    assert clean[151] == ["[TERM]"] and clean[None] == ["[TERM]"] and clean[402] == ["[TERM] [EMAIL]"] * 2 and clean[400] == [None]
+    assert clean[403][0].endswith(" [TERM]") and clean[0] == [rows[0][1]]
+
+
 def test_terms_that_disclose_are_found_and_generalised(spark):
     rows = [(i, f"noise words here {i} and call Contactperson +1 (555) 100-{1000 + i} okay noise") for i in range(30)]
     rows += [(100 + i, "noise words and okay here call it") for i in range(100)]
