@@ -212,7 +212,9 @@ def _extra(docs: DataFrame, based: DataFrame, **thresholds) -> DataFrame:
     held = texts.select(
         F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tid"), F.explode(F.array_distinct(F.split("text", WORD_BREAKS))).alias("term"),
     ).withColumn("term", F.lower("term"))
-    marked = _among(held, names, "inner").groupBy("_id", "_tid").agg(F.collect_set("known").alias("marked"))
+    marked = staged(_among(held, names, "inner").groupBy("_id", "_tid").agg(F.collect_set("known").alias("marked")), "pii-marked")
+    if (marked.agg(F.sum(F.size("marked") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)  # else all texts would be moved to meet a few rows
     place = lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("no"), t["end"].alias("end"), F.lit(TERM).alias("kind"))
     found = F.transform(F.filter(located(F.col("text"), LETTERS), lambda t: F.array_contains("marked", F.lower(t["value"]))), place)
     met = texts.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid")))
