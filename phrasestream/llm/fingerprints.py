@@ -4,8 +4,8 @@ A text is walked character by character; at step t all texts share one random ta
 says, for each class of characters, whether the walk moves on or writes the character once
 more. Texts a small edit apart fall back into step, so edit distance becomes Hamming
 distance of what the walks write. A fingerprint samples bits of that: up to `PER_BLOCK`
-steps of each doubling block [2^a, 2^(a+1)) of the four highest blocks (all blocks of a
-short text), one bit of the character written there. It is `length:bits`, in hexadecimal.
+steps of each doubling block [2^a, 2^(a+1)), so all of the first 512 steps and a share of
+later ones, one bit of the character written there. It is `length:bits`, in hexadecimal.
 
 Likeness estimates the share of steps at which two walks write the same character. Bands
 are keys of a few sampled bits each: texts that share a band are candidates, and the
@@ -98,18 +98,13 @@ def walks(chars: list[np.ndarray], start: np.ndarray) -> tuple[list[np.ndarray],
     return [times[offsets[k] : offsets[k] + n] for k, n in zip(back, sizes)], t[back]
 
 
-def _lowest(t: int) -> int:
-    top = max(t - 1, 1).bit_length() - 1
-    return 0 if top <= 8 else top - 3
-
-
 def sampled(chars: np.ndarray, times: np.ndarray, t: int) -> np.ndarray:
-    """The sampled bits of a walk of t steps, from its lowest block on."""
-    begin, end = BEGIN[_lowest(t)], int(np.searchsorted(AT, t))
-    if end <= begin:
+    """The sampled bits of a walk of t steps."""
+    end = int(np.searchsorted(AT, t))
+    if not end:
         return np.zeros(0, np.uint8)
-    at = np.searchsorted(times, AT[begin:end], side="right") - 1
-    return WRITTEN[chars[at], SLOT[begin:end]]
+    at = np.searchsorted(times, AT[:end], side="right") - 1
+    return WRITTEN[chars[at], SLOT[:end]]
 
 
 def pack(t: int, bits: np.ndarray) -> str:
@@ -117,11 +112,10 @@ def pack(t: int, bits: np.ndarray) -> str:
 
 
 def unpack(fingerprint: str) -> tuple[int, np.ndarray]:
-    """Steps, and the sampled bits from the lowest block on."""
+    """Steps, and the sampled bits."""
     head, _, tail = fingerprint.partition(":")
     t = int(head, 16)
-    n = int(np.searchsorted(AT, t)) - BEGIN[_lowest(t)]
-    return t, np.unpackbits(np.frombuffer(bytes.fromhex(tail), np.uint8))[: max(n, 0)]
+    return t, np.unpackbits(np.frombuffer(bytes.fromhex(tail), np.uint8))[: int(np.searchsorted(AT, t))]
 
 
 def fingerprint(text: str) -> str:
@@ -136,14 +130,10 @@ def likeness_of(ta: int, x: np.ndarray, tb: int, y: np.ndarray) -> float:
         return 1.0
     if not ta or not tb:
         return 0.0
-    begin_a, begin_b = BEGIN[_lowest(ta)], BEGIN[_lowest(tb)]
-    low = max(begin_a, begin_b)
-    common, longer = min(begin_a + len(x), begin_b + len(y)), max(begin_a + len(x), begin_b + len(y))
-    if common <= low:
-        return 0.0
-    inside = WEIGHT[low:common]
-    same = inside @ (x[low - begin_a : common - begin_a] == y[low - begin_b : common - begin_b]) / inside.sum()
-    return float(max(0.0, 2 * same - 1) * inside.sum() / WEIGHT[low:longer].sum())
+    common, longer = sorted((len(x), len(y)))
+    inside = WEIGHT[:common]
+    same = inside @ (x[:common] == y[:common]) / inside.sum()
+    return float(max(0.0, 2 * same - 1) * inside.sum() / WEIGHT[:longer].sum())
 
 
 def likeness(a: str, b: str) -> float:
@@ -153,10 +143,9 @@ def likeness(a: str, b: str) -> float:
 def bands_of(t: int, bits: np.ndarray) -> list[int]:
     """Keys of sampled bits of the two highest full blocks: near texts share some."""
     top = max(t - 1, 1).bit_length() - 1
-    begin = BEGIN[_lowest(t)]
     keys = []
     for a in {max(top - 1, 0), max(top - 2, 0)}:
-        block = bits[BEGIN[a] - begin : BEGIN[a] - begin + _SIZES[a]] if BEGIN[a] >= begin else bits[:0]
+        block = bits[BEGIN[a] : BEGIN[a] + _SIZES[a]]
         if len(block) < _SIZES[a] or len(block) < BAND_BITS:
             whole = hashlib.blake2b(f"{t}:{a}:".encode() + bits.tobytes(), digest_size=7)
             keys.append(int.from_bytes(whole.digest(), "big"))

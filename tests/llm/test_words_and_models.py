@@ -167,6 +167,33 @@ def test_walks_side_by_side_equal_walks_alone():
         assert ends[i] == t
 
 
+def test_texts_that_differ_in_one_place_have_different_fingerprints():
+    """Wherever the place is: at the head of a long text, too."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    whole, tail = text(4000), text(4000)
+    heads = {fingerprints.fingerprint(text(12) + tail) for _ in range(100)}
+    assert len(heads) >= 99
+    for at in (0, 40, 100, 200):
+        assert fingerprints.fingerprint(whole) != fingerprints.fingerprint(whole[:at] + "#############" + whole[at + 13:])
+
+
+def test_likeness_follows_edit_distance():
+    """The share of characters that are replaced, in one stretch, against the likeness."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    near = []
+    for share in (0, 5, 20, 50, 80, 100):
+        found = []
+        for _ in range(12):
+            a = text(1500)
+            n = 15 * share
+            at = rng.randrange(1500 - n + 1)
+            found.append(fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(a[:at] + text(n) + a[at + n:])))
+        near.append(sum(found) / len(found))
+    assert near[0] == 1 and near[-1] < 0.15 and all(a > b for a, b in zip(near, near[1:])), near
+
+
 def test_an_edited_text_has_the_fingerprint_of_its_own():
     text, following = "some words é😀 " * 50, "other words"
     row = fingerprints._rows([1], [text], [following], chained=False)[0]
