@@ -56,12 +56,7 @@ def half_even(x: str, digits: int) -> str:
 
 CLOCK = "%Y-%m-%d %H:%M:%S.%f"
 NORM = r"""replace(lower(regexp_replace(t, '^[^\p{L}\p{N}_\x{0600}-\x{06FF}\x{0900}-\x{097F}]+|[^\p{L}\p{N}_\x{0600}-\x{06FF}\x{0900}-\x{097F}]+$', '', 'g')), 'ß', 'ss')"""
-ABBR = ("'mr','mrs','ms','dr','prof','sr','jr','st','mt','inc','ltd','llc','co','corp','plc','eg','ie','etc','vs',"
-        "'approx','dept','est','jan','feb','mar','apr','jun','jul','aug','sep','sept','oct','nov','dec','mon','tue',"
-        "'wed','thu','fri','sat','sun','am','pm','no','vol','fig','pp'")
-CONJ = ("'and','but','or','so','yet','for','nor','because','although','though','while','whereas','since','if',"
-        "'unless','until','when','whenever','where','wherever','that','which','who','whom','whose','after','before',"
-        "'however','therefore','moreover','furthermore','meanwhile'")
+ABBR, CONJ = (", ".join(f"'{w}'" for w in words) for words in (fixed_values.ABBREVIATIONS, fixed_values.CONJUNCTIONS))
 # Words of every document with their normal form and boundary strength.
 DUCK_WORDS = rf"""
     words AS (
