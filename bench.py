@@ -20,14 +20,14 @@ HEADLINE = [
     "j3_language_availability", "t12_superseded_rooms", "f1_word_errors", "f2_score_sessions",
     "f3_repetition_flags", "p2_normalise_token", "p7_segment_clauses", "u1_translate_fanout",
     "g2_audio_levels", "t10_utterances", "t11_context_windows", "a14_session_scorecard",
-    "t6_shed_backlog_stream",
+    "t6_shed_backlog_stream", "t2_commit_phrases_stream", "s4_read_audio_frames",
 ]
 
 #: Rates the baseline promises: name, query, the view whose rows it works through, rows for each.
 RATES = [
     ("hypotheses_per_s", "t1_commit_phrases", "fx_hyps", 1), ("sweep_hypotheses_per_s", "t3_a8_sweep_metrics", "fx_hyps", 12),
     ("marks_per_s", "t4_assemble_traces", "fx_marks", 1), ("pairs_per_s", "f1_word_errors", "fx_pairs", 1),
-    ("stream_rows_per_s", "t6_shed_backlog_stream", "fx_pushlog", 1),
+    ("stream_rows_per_s", "t6_shed_backlog_stream", "fx_pushlog", 1), ("phrase_stream_rows_per_s", "t2_commit_phrases_stream", "fx_paused", 1),
 ]
 
 
@@ -48,7 +48,7 @@ def main() -> None:
              for rate, query, view, each in RATES if query in times}
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "rates": rates, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "queries": times, "rates": rates, "streams": {name: registry.STREAMED[name] for name in times if name in registry.STREAMED}, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
 
 
