@@ -132,9 +132,11 @@ def _(v):
         SELECT doc_id, 0 AS piece, s, e FROM hops WHERE s = 1
         UNION ALL
         SELECT h.doc_id, p.piece + 1, h.s, h.e FROM path p JOIN hops h ON h.doc_id = p.doc_id AND h.s = p.e + 1)
-    SELECT doc_id, cast(piece AS int) AS piece, cast(e - s + 1 AS int) AS word_count FROM path""")
+    SELECT doc_id, cast(piece AS int) AS piece, cast(e - s + 1 AS int) AS word_count, text
+    FROM path JOIN (SELECT p.doc_id, p.piece, string_agg(m.t, ' ' ORDER BY m.i) AS text FROM path p JOIN marked m ON m.doc_id = p.doc_id AND m.i BETWEEN p.s AND p.e GROUP BY ALL)
+    USING (doc_id, piece)""")
 def _(v):
-    return chunking.segment_clauses(v("documents"), "doc_id").drop("text")
+    return chunking.segment_clauses(v("documents"), "doc_id")
 
 
 @register("p8_word_end_time", """
