@@ -517,9 +517,12 @@ def _(v):
 
 @register("a2_session_latency_summary", f"""WITH {DUCK_TRACES}
     SELECT session_id, 2.0::double AS slo_seconds, count(*) FILTER (g2g > 2.0) AS slo_breaches, count(*) FILTER (published IS NULL) AS unfinished_chunks,
-           0::bigint AS revisions_after_commit FROM traces GROUP BY session_id""")
+           coalesce(any_value(revised), 0) AS revisions_after_commit
+    FROM traces LEFT JOIN (SELECT session_id, count(*) AS revised FROM fx_transcripts WHERE revised AND chunk_id > 1 GROUP BY session_id) USING (session_id) GROUP BY session_id""")
 def _(v):
-    return latency.session_latency_summary(_traces(v))
+    # Sessions of one chunk have no committed chunks here, so they are counted as 0.
+    chunks = v("fx_transcripts").filter("chunk_id > 1").select("session_id", F.col("revised").alias("revised_after_commit"))
+    return latency.session_latency_summary(_traces(v), chunks)
 
 
 @register("w11_latest_samples", f"""WITH {DUCK_TRACES}
