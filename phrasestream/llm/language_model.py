@@ -1,23 +1,19 @@
 """LM scoring by prediction by partial matching (PPM).
 
-Texts are lower-cased (A-Z) words and one end. The model codes them byte by byte: a word is
-its bytes and an end-of-word sign, a text its words and an end-of-text sign. A byte is
-predicted from the longest context seen (up to `ORDER` bytes back, not past the start of the
-word); a sign the context has not seen is coded by an escape (method C: as likely as the
-context has different signs) to the next shorter context, in which the signs that the longer
-ones would have predicted are excluded. Below the empty context all signs are equally likely.
-
-Texts of different languages follow different statistics, so there is one trie for each
-group of training texts (`group`; the `GROUPS` - 1 largest, and one for the rest), and a
-text's probability is the mixture of theirs, weighted by their shares of the training texts.
-A text's own group is not used.
-
-As contexts end at the word's start, a word costs the same wherever it stands, so distinct
-words are scored once. Texts are worked on in blocks; a block sends each of its distinct
-words once, with the block's training count. Counts of words and of contexts are over all
-training texts, and none is left out: the trie is a table of all contexts and signs, which grows with
-the input. It is worked on order by order, dealt out by the end of the context, and words
-meet their costs by a join; no task and not the driver holds it.
+Texts are lower-cased (A-Z) words and one end. The model codes them byte by byte: the words
+with a space between two, then an end-of-text sign. A byte is predicted from the `ORDER` bytes
+before it, across words (before a text's first byte stand start signs). A sign the context
+has not been followed by is coded by an escape (method D: half a use of each different sign
+is the escape's) to the next shorter context, in which the signs that the longer ones would
+have predicted are excluded. Below the empty context all signs are equally likely.
+
+A gram is a sign with its whole context. Texts are worked on in blocks; a block sends each of
+its distinct grams once, with its uses in the block's training texts. Counts are over all
+training texts and none is left out: the trie is a table of all contexts and signs, which grows
+with the input. It is worked on order by order, dealt out by the next shorter context, so a
+group has at most 256 x 257 rows. Costs go back to the blocks that asked, by shares of grams
+of bounded size, and a block adds up what its texts' signs cost. No task and not the driver
+holds the trie.
 """
 
 from __future__ import annotations
@@ -26,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,14 +31,16 @@ from phrasestream.llm import words as W
 from phrasestream.llm.toxicity import LOWER
 from phrasestream.plans.stage import staged
 
+#: Bytes of context; with the sign they have to fit in 63 bits.
 ORDER = 5
-#: Contexts of up to so many signs are worked on before the longer ones, which are dealt out by as many.
-SHORT = 3
 BLOCK_BYTES = 16 << 20
-GROUPS = 8
-#: Signs that no word has: start of a word, end of a word, end of a text.
-START, END_WORD, END_TEXT = 0x20, 0x09, 0x0A
-SIGNS = 258
+#: Signs worked on at once.
+PIECE = 4 << 20
+#: Distinct grams, and asked ones of all blocks, in a share of the costs.
+SHARE_GRAMS, SHARE_ASKED = 200_000, 4_000_000
+#: Signs that no word has: before a text, between words, end of a text.
+START, SPACE, END_TEXT = 0x09, 0x20, 0x0A
+SIGNS = 256
 #: The end as a word of the word table.
 END = b" "
 
@@ -67,174 +64,186 @@ def _strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
 
 
-def _blocks(groups: int):
+def signs_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+    """All texts as signs, one after the other: `order` start signs, the words with a space
+    between two, the end. Words are spans of `data`; `first`: where each text's words begin."""
+    counts = np.diff(first)
+    taken = np.append(0, np.cumsum(lengths + 1))
+    sizes = order + np.maximum(taken[first[1:]] - taken[first[:-1]], 1)
+    begin = np.cumsum(sizes) - sizes
+    out = np.full(int(sizes.sum()), SPACE, np.uint8)
+    out[(begin[:, None] + np.arange(order)).ravel()] = START
+    text = np.repeat(np.arange(len(counts)), counts)
+    to = begin[text] + order + taken[:-1] - taken[first[:-1][text]]
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(to, lengths) + inside] = data[np.repeat(starts, lengths) + inside]
+    out[begin + sizes - 1] = END_TEXT
+    return out
+
+
+def grams_of(signs: np.ndarray, a: int, b: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that end at places `a` to `b` of the signs (not at start signs), and these places."""
+    a = max(a, order)  # a text begins with start signs
+    at = a + np.flatnonzero(signs[a:b] != START)
+    gram = np.zeros(max(b - a, 0), np.uint64)
+    for j in range(order, -1, -1):
+        gram = (gram << np.uint64(8)) | signs[a - j : b - j]
+    return gram[at - a], at
+
+
+def _merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and their sums."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    cuts = np.flatnonzero(np.diff(grams, prepend=grams[:1] + np.uint64(1)))
+    return grams[cuts], np.add.reduceat(n, cuts) if len(cuts) else n
+
+
+def counted(signs: np.ndarray, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of some texts, sorted, and their uses in the training ones (`train`, by text)."""
+    found: list = []
+    text = 0
+    for a in range(0, len(signs), PIECE):
+        b = min(a + PIECE, len(signs))
+        gram, at = grams_of(signs, a, b, order)
+        ends = np.cumsum(signs[a:b] == END_TEXT)
+        who = text + ends[at - a] - (signs[at] == END_TEXT)
+        text += int(ends[-1])
+        keys = np.sort((gram << np.uint64(1)) | train[who].astype(np.uint64))
+        cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
+        uses = np.diff(np.append(cuts, len(keys)))
+        found.append((keys[cuts] >> np.uint64(1), np.where(keys[cuts] & np.uint64(1), uses, 0)))
+        if len(found) > 1:
+            found = [_merged(*(np.concatenate(x) for x in zip(*found)))]
+    return _merged(*found[0]) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+_BLOCKS = ("block long, ids array<long>, held array<boolean>, sizes binary, steps binary, words array<binary>, uses array<long>, "
+           "signs binary, asked long, grams binary, counts binary")
+
+
+def _blocks(order: int):
     """One row for each block of texts: their ids and sizes, their words as sorted places in
-    the block's word list, that list, and how often the training texts of each group use each."""
+    the block's word list, that list, how often the training texts use each, the texts' signs,
+    and their distinct grams with uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId() << 32
         for part in W.slices(batches, most=BLOCK_BYTES):
-            yield _block(part, no, groups)
+            yield _block(part, no, order)
             no += 1
 
     return run
 
 
-def _block(part: pa.RecordBatch, no: int, groups: int) -> pa.RecordBatch:
+def _block(part: pa.RecordBatch, no: int, order: int) -> pa.RecordBatch:
     data, offsets = W.flat(part.column("text"))
     data = LOWER[data]
     starts, lengths, first = W.words(data, offsets)
+    train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    signs = signs_of(data, starts, lengths, first, order)
+    grams, counts = counted(signs, train, order)
     h = W.hash_spans(data, starts, lengths)
     _, where, place = np.unique(h, return_index=True, return_inverse=True)
-    counts = np.diff(first)
-    group = part.column("grp").to_numpy(zero_copy_only=False)  # -1: held out
-    of_word = np.repeat(group, counts)
-    text = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-    order = np.sort(text << 32 | place)
-    at = (order & 0xFFFFFFFF).astype(np.int64)
+    sizes = np.diff(first)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    uses = np.append(np.bincount(place[train[text]], minlength=len(where)), train.sum()).astype(np.int64)
+    at = (np.sort(text << 32 | place) & 0xFFFFFFFF).astype(np.int64)
     step = np.diff(at, prepend=0)
-    heads = first[:-1][counts > 0]
+    heads = first[:-1][sizes > 0]
     step[heads] = at[heads]
     listed = pa.concat_arrays([_strings(data, starts[where], lengths[where]), pa.array([END], pa.binary())])
     one = pa.array([0, len(listed)], pa.int32())
     rows = pa.array([0, part.num_rows], pa.int32())
-    used = [np.append(np.bincount(place[of_word == g], minlength=len(where)), (group == g).sum()).astype(np.int64) for g in range(groups)]
     return pa.RecordBatch.from_arrays(
         [pa.array([no]), pa.ListArray.from_arrays(rows, part.column("doc_id")), pa.ListArray.from_arrays(rows, part.column("held_out")),
-         pa.array([_packed(counts.astype(np.int32))]), pa.array([_packed(step.astype(np.uint32))]),
-         pa.ListArray.from_arrays(one, listed), *(pa.ListArray.from_arrays(one, pa.array(u)) for u in used)],
-        ["block", "ids", "held", "sizes", "steps", "words", *(f"c{g}" for g in range(groups))])
-
-
-_BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, steps binary, words array<binary>"
-
-
-def _signs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The signs of a list of words one after the other (start, bytes, end of word), each
-    sign's place in its word, and the word it belongs to."""
-    data, offsets = W.flat(words)
-    lengths = np.diff(offsets)
-    is_end = (lengths == 1) & (data[offsets[:-1]] == END[0])
-    sizes = np.where(is_end, 2, lengths + 2)
-    begin = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(sizes.sum()) - begin[word]
-    out = np.full(len(word), END_WORD, np.uint64)
-    inner = (place > 0) & (place <= lengths[word]) & ~is_end[word]
-    out[inner] = data[(offsets[:-1][word] + place - 1)[inner]]
-    out[begin] = START
-    out[begin[is_end] + 1] = END_TEXT
-    return out, place, word
-
-
-def _contexts(signs: np.ndarray, order: int) -> np.ndarray:
-    """The `order` signs before each, the last one lowest, with the order above them."""
-    out = np.zeros(len(signs), np.uint64)
-    for j in range(1, order + 1):
-        out[j:] |= signs[:-j] << np.uint64(8 * (j - 1)) if j < len(signs) else np.uint64(0)
-    return out | np.uint64(order << 48)
-
-
-def _gram_counts(orders: range, groups: int):
-    """(gram, n0, n1, ...): uses of each sign in each of its contexts, by group. Words of held-out
-    texts alone give grams of no use, so that every gram to be scored has a row."""
-    names = ["gram", *(f"n{g}" for g in range(groups))]
-
-    def run(batches):
-        keys: list = []
-        counts: list = []
-        size = 0
-
-        def merged():
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.concatenate(counts, 1)
-            keys[:], counts[:] = [k], [np.stack([np.bincount(inverse, x, len(k)) for x in n])]
-
-        def rows():
-            merged()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[0].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in counts[0])], names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            signs, place, word = _signs(batch.column("word"))
-            n = np.stack([batch.column(f"c{g}").to_numpy().astype(np.float64) for g in range(groups)])[:, word]
-            for k in orders:
-                valid = place >= max(k, 1)
-                keys.append((_contexts(signs, k)[valid] << np.uint64(8)) | signs[valid])
-                counts.append(n[:, valid])
-                size += int(valid.sum())
-            if size > 3_000_000:
-                merged()
-                size = len(keys[0])
-                if size > 2_000_000:
-                    yield rows()
-                    keys, counts, size = [], [], 0
-        if keys:
-            yield rows()
-
-    return run
-
-
-def _shorter(context: np.ndarray) -> np.ndarray:
-    """The next shorter context of each, which has to have one."""
-    low = (context >> np.uint64(48)) - np.uint64(1)
-    return (low << np.uint64(48)) | (context & ((np.uint64(1) << (low * np.uint64(8))) - np.uint64(1)))
-
-
-def level(grams: np.ndarray, n: np.ndarray, above: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Logs of the grams of one order (sorted, whole contexts; `n`: uses, a row a group): what
-    the sign costs where this context is the longest looked for, and what it costs below
-    this context once that has been seen without it. `above`: the grams of the next shorter
-    contexts (sorted, whole), their uses and their two logs; none for the empty context."""
-    nodes, first, node = np.unique(grams >> np.uint64(8), return_index=True, return_inverse=True)
-    mass, width = (np.add.reduceat(x.astype(np.float64), first, axis=1) for x in (n, n > 0))
+         pa.array([_packed(sizes.astype(np.int32))]), pa.array([_packed(step.astype(np.uint32))]),
+         pa.ListArray.from_arrays(one, listed), pa.ListArray.from_arrays(one, pa.array(uses)),
+         pa.array([_packed(signs)]), pa.array([len(grams)]), pa.array([_packed(np.diff(grams, prepend=np.uint64(0)))]),
+         pa.array([_packed(counts.astype(np.int64))])],
+        [f.split()[0] for f in _BLOCKS.split(", ")])
+
+
+def _gram_rows(batches):
+    """(gram, n): grams of blocks and their uses, summed over the blocks at hand."""
+    for grams, n in _bunches(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def _bunches(batches, most: int = 2_000_000):
+    have, size = [], 0
+    for batch in batches:
+        for g, c in zip(batch.column("grams"), batch.column("counts")):
+            have.append((np.cumsum(_unpacked(g.as_py(), np.uint64)), _unpacked(c.as_py(), np.int64)))
+            size += len(have[-1][0])
+            if size > most:
+                have = [_merged(*(np.concatenate(x) for x in zip(*have)))]
+                size = len(have[0][0])
+                if size > most:
+                    yield have[0]
+                    have, size = [], 0
+    if size:
+        yield _merged(*(np.concatenate(x) for x in zip(*have)))
+
+
+def level(grams: np.ndarray, n: np.ndarray, order: int, above: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the grams of one order (sorted, whole contexts; `n`: uses): what the sign costs
+    where this context is the longest looked for, and what it costs below this context
+    once that has been seen without it. `above`: the grams of the next shorter contexts
+    (sorted, whole), their uses and their two logs; none for the empty context."""
+    _, first, node = np.unique(grams >> np.uint64(8), return_index=True, return_inverse=True)
+    mass, width = (np.add.reduceat(x.astype(np.float64), first) for x in (n, n > 0))
     if above is None:
-        below = -np.log(np.maximum(SIGNS - width, 1))[:, node]
+        below = -np.log(np.maximum(SIGNS - width, 1))[node]
         unseen = below
     else:
         parents, pn, pcost, pbelow = above
         _, pfirst, pnode = np.unique(parents >> np.uint64(8), return_index=True, return_inverse=True)
-        pmass, pwidth = (np.add.reduceat(x.astype(np.float64), pfirst, axis=1) for x in (pn, pn > 0))
-        at = np.searchsorted(parents, (_shorter(grams >> np.uint64(8)) << np.uint64(8)) | (grams & np.uint64(255)))
-        shared = np.add.reduceat(np.where(n > 0, pn[:, at], 0).astype(np.float64), first, axis=1)
+        pmass, pwidth = (np.add.reduceat(x.astype(np.float64), pfirst) for x in (pn, pn > 0))
+        at = np.searchsorted(parents, grams & np.uint64((1 << 8 * order) - 1))
+        shared = np.add.reduceat(np.where(n > 0, pn[at], 0).astype(np.float64), first)
         over_node = pnode[at[first]]
-        left = pwidth[:, over_node] - width
-        over = np.maximum(pmass[:, over_node] - shared + left, 1e-300)
-        step = np.where(left > 0, np.log(np.maximum(left, 1e-300) / over), 0.0)
-        below = np.where(pn[:, at] > 0, np.log(np.maximum(pn[:, at], 1)) - np.log(over)[:, node], step[:, node] + pbelow[:, at])
-        unseen = pcost[:, at]
-    total = np.maximum(mass + width, 1)
-    hit = np.log(np.maximum(n, 1)) - np.log(total)[:, node]
-    escape = np.log(np.maximum(width, 1) / total)[:, node] + below
-    return np.where(mass[:, node] > 0, np.where(n > 0, hit, escape), unseen), below
-
-
-def _trie(low: int, order: int, groups: int):
-    """(gram, n0, ..., cost0, ..., below0, ...) of the grams of orders `low` to `order`, which come
-    sorted by `key`, their shorter context of order `low` - 1 and, with logs, that context's
-    grams. Counts of one gram may come in many rows."""
-    ns = [f"n{g}" for g in range(groups)]
+        left = pwidth[over_node] - width
+        over = np.maximum(pmass[over_node] - shared, 1e-300)
+        step = np.where(left > 0, np.log(np.maximum(left, 1e-300) / 2 / over), 0.0)
+        below = np.where(pn[at] > 0, np.log(np.maximum(pn[at], 1) - 0.5) - np.log(over)[node], step[node] + pbelow[at])
+        unseen = pcost[at]
+    total = np.maximum(mass, 1)
+    hit = np.log(np.maximum(n, 1) - 0.5) - np.log(total)[node]
+    escape = np.log(np.maximum(width, 1) / 2 / total)[node] + below
+    return np.where(mass[node] > 0, np.where(n > 0, hit, escape), unseen), below
+
+
+def _dealt(grams: np.ndarray, shares: int):
+    """(share, places) of sorted grams, dealt out by hash; places keep their order."""
+    share = (W.mix(grams) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    cuts = np.flatnonzero(np.diff(share[order], prepend=-1))
+    return [(int(share[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+
+
+def _trie(order: int, shares: int | None = None):
+    """(gram, n, cost, below) of the grams of one order, which come sorted by `key`, their
+    next shorter context, with that context's grams, which have their logs. With `shares`, only
+    grams and costs, packed by share."""
 
     def solved(waiting):
-        gram = np.concatenate([b.column("gram").to_numpy() for b in waiting]).view(np.uint64)
-        n = np.stack([np.concatenate([b.column(x).to_numpy() for b in waiting]) for x in ns])
-        given = np.concatenate([b.column("logs").is_valid().to_numpy(zero_copy_only=False) for b in waiting])
-        logs = np.concatenate([b.column("logs").flatten().to_numpy() for b in waiting]).reshape(-1, 2 * groups).T
+        gram, n, cost, below = (np.concatenate([b.column(x).to_numpy(zero_copy_only=False) for b in waiting]) for x in ("gram", "n", "cost", "below"))
+        gram = gram.view(np.uint64)
+        given = ~np.isnan(cost)
         at = np.argsort(gram[given])
-        above = (gram[given][at], n[:, given][:, at], logs[:groups, at], logs[groups:, at]) if given.any() else None
-        keys, inverse = np.unique(gram[~given], return_inverse=True)
-        total = np.stack([np.bincount(inverse, x, len(keys)) for x in n[:, ~given]]).astype(np.int64)
-        for k in range(low, order + 1):
-            a, b = np.searchsorted(keys, np.array([k, k + 1], np.uint64) << np.uint64(56))
-            if a == b:
-                return
-            made = level(keys[a:b], total[:, a:b], above)
-            above = (keys[a:b], total[:, a:b], *made)
+        above = tuple(x[given][at] for x in (gram, n, cost, below)) if given.any() else None
+        at = np.argsort(gram[~given])
+        mine, uses = gram[~given][at], n[~given][at]
+        cost, below = level(mine, uses, order, above)
+        if shares is None:
+            yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64)), pa.array(uses), pa.array(cost), pa.array(below)],
+                                             ["gram", "n", "cost", "below"])
+            return
+        for share, at in _dealt(mine, shares):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[a:b].view(np.int64)), *map(pa.array, total[:, a:b]), *(pa.array(x.astype(np.float32)) for y in made for x in y)],
-                ["gram", *ns, *(f"{x}{g}" for x in ("cost", "below") for g in range(groups))])
+                [pa.array([share]), pa.array([_packed(np.diff(mine[at], prepend=np.uint64(0)))]), pa.array([_packed(cost[at].astype(np.float32))])],
+                ["share", "grams", "costs"])
 
     def run(batches):
         waiting, size, last = [], 0, None
@@ -255,190 +264,108 @@ def _trie(low: int, order: int, groups: int):
     return run
 
 
-def costs_of(words: DataFrame, order: int, groups: int) -> DataFrame:
-    """gram, cost0, cost1, ... (natural logs, by group) of all signs of `words` (word, c0, c1, ...)
-    in the longest contexts that `order` and the word's start allow.
-
-    Contexts of up to `SHORT` signs, few as they are, go order by order. The others are dealt
-    out by their last `SHORT` signs and meet the grams of that context; a task that has it has
-    all grams that end so, order upon order. No task holds more of the trie than its share.
-    """
-    ns, costs, belows = ([f"{x}{g}" for g in range(groups)] for x in ("n", "cost", "below"))
-    counted = "gram long" + "".join(f", {x} long" for x in ns)
-    ddl = counted + "".join(f", {x} float" for x in costs + belows)
-    context = F.shiftrightunsigned("gram", 8)
-    short = min(order, SHORT)
-    few = staged(words.mapInArrow(_gram_counts(range(short + 1), groups), counted).groupBy("gram").agg(
-        *(F.sum(n).alias(n) for n in ns)), "lm-grams")
-    made, found = None, []
-    for low in range(short + 2 if order > short else short + 1):
-        high = low if low <= short else order
-        mine = few.filter(F.shiftrightunsigned("gram", 56) == low) if low <= short else words.mapInArrow(
-            _gram_counts(range(low, high + 1), groups), counted)
-        size = max(low - 1, 0)
-        rows = mine.select("gram", *ns, F.lit(None).cast("array<float>").alias("logs"),
-                           context.bitwiseAND((1 << (8 * size)) - 1).bitwiseOR(size << 48).alias("key"))
+def costs_of(order: int, shares: int, grams: DataFrame) -> DataFrame:
+    """(share, grams, costs): natural logs of all grams, packed. `grams`: those of the longest contexts."""
+    tables = [grams]
+    for k in range(order - 1, -1, -1):
+        shorter = tables[0].groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+        tables.insert(0, staged(shorter, f"lm-grams{k}"))
+    made = None
+    for k, table in enumerate(tables):
+        context = F.shiftrightunsigned("gram", 8)
+        rows = table.select("gram", "n", *(F.lit(float("nan")).alias(x) for x in ("cost", "below")),
+                            context.bitwiseAND((1 << 8 * max(k - 1, 0)) - 1).alias("key"))
         if made is not None:
-            rows = rows.unionByName(made.select("gram", *ns, F.array(*costs, *belows).alias("logs"), context.alias("key")))
-        solved = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_trie(low, high, groups), ddl)
-        # The word's start is the first sign of a shorter context, if it is one of the longest.
-        depth = F.shiftrightunsigned("gram", 56)
-        first = F.expr("shiftrightunsigned(gram, cast(8 * shiftrightunsigned(gram, 56) as int)) & 255")
-        whole = (depth == order) | ((depth > 0) & (first == START))
-        if low <= short:
-            made = staged(solved, f"lm-level{low}")
-            found.append(made.filter(whole).select("gram", *costs))
-        else:
-            found.append(solved.filter(whole).select("gram", *costs))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return staged(out, "lm-costs")
-
-
-def _longest(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of each sign of each word with the longest context there, and its word."""
-    signs, place, word = _signs(words)
-    gram = np.zeros(len(signs), np.uint64)
-    for k in range(order + 1):
-        at = place == k if k < order else place >= k
-        gram[at] = (_contexts(signs, k)[at] << np.uint64(8)) | signs[at]
-    return gram[place > 0].view(np.int64), word[place > 0]
-
-
-def _asked(order: int):
-    """(chunk, gram): the different grams of the words of each chunk."""
+            rows = rows.unionByName(made.withColumn("key", context))
+        rows = rows.repartition("key").sortWithinPartitions("key")
+        if k == order:
+            return rows.mapInArrow(_trie(k, shares), "share long, grams binary, costs binary")
+        made = staged(rows.mapInArrow(_trie(k), "gram long, n long, cost double, below double"), f"lm-level{k}")
 
-    def run(batches):
-        asked: dict[int, list] = {}
-        size = 0
 
-        def rows():
-            chunks = [pa.array(np.full(len(v[0]), k)) for k, v in asked.items()]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(chunks), pa.array(np.concatenate([v[0] for v in asked.values()]))], ["chunk", "gram"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, word = _longest(batch.column("word"), order)
-            chunk = batch.column("chunk").to_numpy()[word]
-            for k in np.unique(chunk):
-                asked.setdefault(int(k), []).append(np.unique(gram[chunk == k]))
-                size += len(asked[int(k)][-1])
-            if size > 4_000_000:
-                asked.update({k: [np.unique(np.concatenate(v))] for k, v in asked.items()})
-                size = sum(len(v[0]) for v in asked.values())
-                if size > 2_000_000:
-                    yield rows()
-                    asked.clear()
-                    size = 0
-        if asked:
-            asked.update({k: [np.unique(np.concatenate(v))] for k, v in asked.items()})
-            yield rows()
-
-    return run
-
-
-def _answers(groups: int):
-    """(chunk, grams, costs): costs of grams, packed for each chunk."""
-    names = ["chunk", "gram", *(f"cost{g}" for g in range(groups))]
-
-    def run(batches):
-        have, size = [], 0
-
-        def rows():
-            chunk, gram, *costs = (np.concatenate(x) for x in zip(*have))
-            order = np.lexsort((gram, chunk))
-            chunk, gram, costs = chunk[order], gram[order], np.stack(costs)[:, order]
-            cuts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
-            out = [(int(chunk[a]), _packed(np.diff(gram[a:b], prepend=0)), _packed(np.ascontiguousarray(costs[:, a:b]).ravel()))
-                   for a, b in zip(cuts, [*cuts[1:], len(chunk)])]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["chunk", "grams", "costs"])
-
-        for batch in batches:
-            if batch.num_rows:
-                have.append([batch.column(k).to_numpy() for k in names])
-                size += batch.num_rows
-            if size > 1_000_000:
-                yield rows()
-                have, size = [], 0
-        if have:
-            yield rows()
-
-    return run
-
-
-def _coded(order: int, groups: int):
-    """Words with the logs (base 10) of their probabilities; a chunk's answers come before its words."""
+def _asks(shares: int):
+    """(share, block, grams): the grams of each block, by share."""
 
     def run(batches):
-        now, pieces, grams, costs = None, [], None, None
         for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(chunk)]):
-                if chunk[a] != now:
-                    now, pieces, grams = chunk[a], [], None
-                part = batch.slice(a, b - a)
-                is_word = part.column("word").is_valid()
-                answers = part.filter(pc.invert(is_word))
-                for x, y in zip(answers.column("grams"), answers.column("costs")):
-                    pieces.append((np.cumsum(_unpacked(x.as_py(), np.int64)), _unpacked(y.as_py(), np.float32).reshape(groups, -1)))
-                mine = part.filter(is_word)
-                if not mine.num_rows:
-                    continue
-                if grams is None:
-                    grams, costs = (np.concatenate(x, -1) for x in zip(*pieces))
-                    by = np.argsort(grams)
-                    grams, costs, pieces = grams[by], costs[:, by], []
-                gram, word = _longest(mine.column("word"), order)
-                at = np.searchsorted(grams, gram)
-                logs = [np.bincount(word, x[at], mine.num_rows) / np.log(10) for x in costs]
-                yield pa.RecordBatch.from_arrays([mine.column("word"), mine.column("c"), *(pa.array(x.astype(np.float32)) for x in logs)],
-                                                 ["word", "c", *(f"lp{g}" for g in range(groups))])
+            for block, packed in zip(batch.column("block"), batch.column("grams")):
+                grams = np.cumsum(_unpacked(packed.as_py(), np.uint64))
+                for share, at in _dealt(grams, shares):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([share]), pa.array([block.as_py()]), pa.array([_packed(np.diff(grams[at], prepend=np.uint64(0)))])],
+                        ["share", "block", "grams"])
 
     return run
 
 
-def _sent_back(groups: int):
-    """Rows (block, places, counts, logs) of the words' values, packed for each block."""
-    names = ["block", "pos", "c", *(f"lp{g}" for g in range(groups))]
-
-    def run(batches):
-        have, size = [], 0
-
-        def rows():
-            block, pos, c, *logs = (np.concatenate(x) for x in zip(*have))
-            order = np.lexsort((pos, block))
-            block, pos, c, logs = block[order], pos[order], c[order], np.stack(logs)[:, order]
-            cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-            out = []
-            for a, b in zip(cuts, [*cuts[1:], len(block)]):
-                out.append((int(block[a]), _packed(np.diff(pos[a:b], prepend=0).astype(np.uint32)), _packed(c[a:b]),
-                            _packed(np.ascontiguousarray(logs[:, a:b]).ravel())))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["block", "places", "counts", "logs"])
-
-        for batch in batches:
-            if batch.num_rows:
-                have.append([batch.column(k).to_numpy() for k in names])
-                size += batch.num_rows
-            if size > 1_000_000:
-                yield rows()
-                have, size = [], 0
-        if have:
+def _answers(batches):
+    """(block, share, costs): what is asked, in its order; a share's costs come before its asks."""
+    now, pieces, grams, costs = None, [], None, None
+    for batch in batches:
+        for share, block, g, c in zip(*(batch.column(x).to_pylist() for x in ("share", "block", "grams", "costs"))):
+            if share != now:
+                now, pieces, grams = share, [], None
+            g = np.cumsum(_unpacked(g, np.uint64))
+            if block is None:
+                pieces.append((g, _unpacked(c, np.float32)))
+                continue
+            if grams is None:
+                grams, costs = (np.concatenate(x) for x in zip(*pieces))
+                by = np.argsort(grams)
+                grams, costs, pieces = grams[by], costs[by], []
+            found = costs[np.searchsorted(grams, g)]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([share]), pa.array([_packed(found)])], ["block", "share", "costs"])
+
+
+def _sent_back(batches):
+    """Rows (block, places, counts) of the words' uses, packed for each block."""
+    have, size = [], 0
+
+    def rows():
+        block, pos, c = (np.concatenate(x) for x in zip(*have))
+        order = np.lexsort((pos, block))
+        block, pos, c = block[order], pos[order], c[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        out = [(int(block[a]), _packed(np.diff(pos[a:b], prepend=0).astype(np.uint32)), _packed(c[a:b]))
+               for a, b in zip(cuts, [*cuts[1:], len(block)])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["block", "places", "counts"])
+
+    for batch in batches:
+        if batch.num_rows:
+            have.append([batch.column(k).to_numpy() for k in ("block", "pos", "c")])
+            size += batch.num_rows
+        if size > 1_000_000:
             yield rows()
-
-    return run
-
-
-def _summed(train_tokens: int, distinct: int, shares: list[float]):
+            have, size = [], 0
+    if have:
+        yield rows()
+
+
+def coded(signs: np.ndarray, grams: np.ndarray, costs: np.ndarray, texts: int, order: int) -> np.ndarray:
+    """The cost of each text: the sum of its signs' costs."""
+    out = np.zeros(texts)
+    text = 0
+    for a in range(0, len(signs), PIECE):
+        b = min(a + PIECE, len(signs))
+        gram, at = grams_of(signs, a, b, order)
+        ends = np.cumsum(signs[a:b] == END_TEXT)
+        who = text + ends[at - a] - (signs[at] == END_TEXT)
+        text += int(ends[-1])
+        by = np.argsort(gram)
+        heads = np.flatnonzero(np.diff(gram[by], prepend=gram[by][:1] + np.uint64(1)))
+        each = np.repeat(costs[np.searchsorted(grams, gram[by[heads]])], np.diff(np.append(heads, len(by))))
+        cost = np.empty(len(by))
+        cost[by] = each  # in the order of the text, so that equal texts have equal sums
+        out += np.bincount(who, cost, texts)
+    return out
+
+
+def _summed(train_tokens: int, distinct: int, shares: int, order: int):
     norm = np.log10(train_tokens + 0.5 * (distinct + 1))
-    groups = len(shares)
-    prior = np.log10(np.maximum(shares, 1e-300))[:, None]
 
-    def texts(row, c, logs):
-        sizes = _unpacked(row["sizes"].as_py(), np.int32).astype(np.int64)
-        steps = _unpacked(row["steps"].as_py(), np.uint32).astype(np.int64)
+    def texts(row, c, answers):
+        sizes = _unpacked(row["sizes"], np.int32).astype(np.int64)
+        steps = _unpacked(row["steps"], np.uint32).astype(np.int64)
         n, end = len(sizes), len(c) - 1
         text = np.repeat(np.arange(n), sizes)
         total = np.cumsum(steps)
@@ -448,86 +375,63 @@ def _summed(train_tokens: int, distinct: int, shares: list[float]):
         base[full] = total[begin[full]] - steps[begin[full]]
         at = total - base[text]
         weigh = np.log10(c + 0.5)
-        by_group = np.stack([np.bincount(text, x[at], n) + x[end] for x in logs]) + prior
-        top = by_group.max(0)
-        score = top + np.log10((10.0 ** (by_group - top)).sum(0))
+        grams = np.cumsum(_unpacked(row["grams"], np.uint64))
+        costs = np.zeros(len(grams))
+        for share, places in _dealt(grams, shares):
+            costs[places] = answers[share]
+        score = coded(_unpacked(row["signs"], np.uint8), grams, costs, n, order) / np.log(10)
         return pa.RecordBatch.from_arrays(
-            [row["ids"].values, row["held"].values, pa.array(sizes + 1),
+            [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes + 1),
              pa.array(np.bincount(text, c[at] > 0, n).astype(np.int64) + int(c[end] > 0)), pa.array(np.full(n, train_tokens)),
              pa.array(np.bincount(text, weigh[at], n) + weigh[end] - (sizes + 1) * norm), pa.array(score)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches):
-        pieces = []
+        places, answers = [], {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                if not row["last"].as_py():
-                    pieces.append((np.cumsum(_unpacked(row["places"].as_py(), np.uint32), dtype=np.int64),
-                                   _unpacked(row["counts"].as_py(), np.int64),
-                                   _unpacked(row["logs"].as_py(), np.float32).reshape(groups, -1)))
-                    continue
-                size = sum(len(p) for p, _, _ in pieces)
-                c, logs = np.zeros(size, np.int64), np.zeros((groups, size))
-                for place, counts, lp in pieces:
-                    c[place], logs[:, place] = counts, lp
-                pieces = []
-                yield texts(row, c, logs)
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if row["kind"] == 0:
+                    places.append((np.cumsum(_unpacked(row["places"], np.uint32), dtype=np.int64), _unpacked(row["counts"], np.int64)))
+                elif row["kind"] == 1:
+                    answers[row["share"]] = _unpacked(row["costs"], np.float32)
+                else:
+                    c = np.zeros(sum(len(p) for p, _ in places), np.int64)
+                    for place, counts in places:
+                        c[place] = counts
+                    yield texts(row, c, answers)
+                    places, answers = [], {}
 
     return run
 
 
-def _groups(rows: DataFrame) -> tuple[list, bool]:
-    """The largest groups of training texts, fewer than GROUPS, and whether there are others."""
-    train = rows.filter(~F.col("held_out"))
-    found = train.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("group is not null")
-    named = found.orderBy(F.desc("n"), "group").limit(GROUPS - 1).collect()
-    return [r["group"] for r in named], train.count() > sum(r["n"] for r in named)
-
-
-def scores(docs: DataFrame, group: str | None = None, order: int = ORDER) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
-    `docs`: doc_id, text, held_out; texts that are not held out are the training texts.
-    `group`: a column by which training texts are told apart (null: the rest group). A null
+    `docs`: doc_id, text, held_out; texts that are not held out are the training texts. A null
     text is empty, which is one end. Null ids stay, repeated rows count by themselves. Without
     training texts all signs are equally likely. Other columns are not read.
     """
-    rows = docs.select("doc_id", "text", "held_out", (F.col(group) if group else F.lit(None)).cast("string").alias("group"))
-    named, others = _groups(rows) if group else ([], True)
-    grp = F.lit(len(named))
-    for i, name in enumerate(named):
-        grp = F.when(F.col("group") == name, i).otherwise(grp)
-    rows = rows.withColumn("grp", F.when(F.col("held_out"), -1).otherwise(grp).cast("int"))
-    groups = max(1, len(named) + others)
-    cs = [f"c{g}" for g in range(groups)]
-    blocks = staged(rows.select("doc_id", "text", "held_out", "grp").mapInArrow(
-        _blocks(groups), _BLOCKS + "".join(f", {c} array<long>" for c in cs)), "lm-blocks")
-    uses = blocks.select("block", F.posexplode(F.arrays_zip("words", *cs)).alias("pos", "x")).select(
-        "block", "pos", F.col("x.words").alias("word"), *(F.col(f"x.{c}").alias(c) for c in cs))
-    words = staged(uses.groupBy("word").agg(*(F.sum(c).alias(c) for c in cs)).withColumn(
-        "c", sum(map(F.col, cs))).withColumn(
-        "chunk", F.spark_partition_id().cast("long")), "lm-words")
+    blocks = staged(W.text_frame(docs, "doc_id", "text", "held_out").mapInArrow(_blocks(order), _BLOCKS), "lm-blocks")
+    used = blocks.select("block", F.posexplode(F.arrays_zip("words", "uses")).alias("pos", "x")).select(
+        "block", "pos", F.col("x.words").alias("word"), F.col("x.uses").alias("c"))
+    words = staged(used.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    ends = words.filter(F.col("word") == F.lit(END)).select(*cs).collect()  # training texts of each group
-    texts = [ends[0][c] for c in cs] if ends else [0] * groups
-    shares = [n / sum(texts) if sum(texts) else 1.0 / groups for n in texts]
-    lps = [f"lp{g}" for g in range(groups)]
-    priced = costs_of(words.select("word", *cs), order, groups)
-    # Words of a chunk ask for each of their grams once.
-    answers = words.select("chunk", "word").mapInArrow(_asked(order), "chunk long, gram long").join(priced, "gram").mapInArrow(
-        _answers(groups), "chunk long, grams binary, costs binary")
-    both = answers.select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("c"), "grams", "costs").unionByName(
-        words.select("chunk", "word", "c", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("costs")))
-    scored = staged(both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNotNull()).mapInArrow(
-        _coded(order, groups), "word binary, c long" + "".join(f", {x} float" for x in lps)), "lm-scored")
-    back = uses.select("block", "pos", "word").join(scored, "word").select("block", "pos", "c", *lps).mapInArrow(
-        _sent_back(groups), "block long, places binary, counts binary, logs binary")
+    grams = staged(blocks.select("grams", "counts").mapInArrow(_gram_rows, "gram long, n long").groupBy("gram").agg(
+        F.sum("n").alias("n")), "lm-grams")
+    asked = blocks.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+    shares = int(1 + max(grams.count() // SHARE_GRAMS, asked // SHARE_ASKED))
     none = F.lit(None)
-    first = back.select("block", F.lit(False).alias("last"), "places", "counts", "logs", none.cast("array<long>").alias("ids"),
-                        none.cast("array<boolean>").alias("held"), none.cast("binary").alias("sizes"), none.cast("binary").alias("steps"))
-    last = blocks.select("block", F.lit(True).alias("last"), *(none.cast("binary").alias(k) for k in ("places", "counts", "logs")),
-                         "ids", "held", "sizes", "steps")
-    return first.unionByName(last).repartition("block").sortWithinPartitions("block", "last").mapInArrow(
-        _summed(int(tokens), int(distinct), shares),
+    priced = costs_of(order, shares, grams).select("share", none.cast("long").alias("block"), "grams", "costs")
+    asks = blocks.select("block", "grams").mapInArrow(_asks(shares), "share long, block long, grams binary").withColumn(
+        "costs", none.cast("binary"))
+    answers = priced.unionByName(asks).repartition("share").sortWithinPartitions("share", F.col("block").isNotNull()).mapInArrow(
+        _answers, "block long, share long, costs binary")
+    back = used.select("block", "pos", "word").join(words, "word").select("block", "pos", "c").mapInArrow(
+        _sent_back, "block long, places binary, counts binary")
+    last = blocks.select("block", "ids", "held", "sizes", "steps", "signs", "grams")
+    rows = back.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(
+        last.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+        _summed(int(tokens), int(distinct), shares, order),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

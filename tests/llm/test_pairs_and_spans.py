@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,27 +295,27 @@ def test_terms_that_disclose_are_found_and_generalised(spark):
     assert gone[3] == "noise words here 3 and call  [PHONE] okay noise"
 
 
-def plain_ppm(counts, order):
+def plain_ppm(texts, order):
     table = collections.defaultdict(collections.Counter)
-    signs = lambda w: ["S", *w.encode(), "E"] if w is not None else ["S", "X"]
-    for w, c in counts.items():
-        s = signs(w)
-        for i in range(1, len(s)):
-            for k in range(min(order, i) + 1):
-                table[tuple(s[i - k : i])][s[i]] += c
-
-    def log10(w):
-        s, total = signs(w), 0.0
-        for i in range(1, len(s)):
+    signs = lambda ws: [*["S"] * order, *" ".join(ws).encode(), "E"]
+    for ws in texts:
+        s = signs(ws)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                table[tuple(s[i - k : i])][s[i]] += 1
+
+    def log10(ws):
+        s, total = signs(ws), 0.0
+        for i in range(order, len(s)):
             out = set()
-            for k in range(min(order, i), -1, -1):
+            for k in range(order, -1, -1):
                 seen = table.get(tuple(s[i - k : i]))
                 left = {a: n for a, n in (seen or {}).items() if a not in out}
                 if s[i] in left:
-                    total += math.log10(left[s[i]] / (sum(left.values()) + len(left)))
+                    total += math.log10((left[s[i]] - 0.5) / sum(left.values()))
                     break
                 if left:
-                    total += math.log10(len(left) / (sum(left.values()) + len(left)))
+                    total += math.log10(len(left) / 2 / sum(left.values()))
                 out |= set(left)
             else:
                 total += math.log10(1 / (language_model.SIGNS - len(out)))
@@ -322,43 +324,60 @@ def plain_ppm(counts, order):
     return log10
 
 
-@pytest.mark.parametrize("by", [None, "lang"])
-def test_language_model_equals_plain_ppm(spark, by):
-    rows = [(i, t, "ab"[i % 2] if i is not None and i % 3 else None) for i, t in corpus(seed=5, n=30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", *EXTRA).repartition(3)
-    got = language_model.scores(df.withColumn("held_out", W.fold_of(F.col("doc_id")) == 1), group=by, order=4).collect()
+@pytest.mark.parametrize("order, piece", [(4, 4 << 20), (2, 37), (5, 6)])
+def test_language_model_equals_plain_ppm(spark, monkeypatch, order, piece):
+    rows = corpus(seed=5, n=30)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *EXTRA).repartition(3)
+    got = language_model.scores(df.withColumn("held_out", W.fold_of(F.col("doc_id")) == 1), order=order).collect()
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    tokens = [(i, words_of(lower(t)) + [None], g if by else None) for i, t, g in rows]
-    counts = collections.Counter(w for i, ws, _ in tokens if not held(i) for w in ws)
+    texts = [(i, words_of(lower(t))) for i, t in rows]
+    counts = collections.Counter(w for i, ws in texts if not held(i) for w in [*ws, None])
     n, v = sum(counts.values()), len(counts)
-    groups = collections.Counter(g for i, _, g in tokens if not held(i))
-    models = [(math.log10(k / sum(groups.values())), plain_ppm(collections.Counter(w for i, ws, h in tokens if not held(i) and h == g for w in ws), 4))
-              for g, k in groups.items()]
+    model = plain_ppm([ws for i, ws in texts if not held(i)], order)
     want = collections.Counter()
-    for i, ws, _ in tokens:
-        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        each = [p + sum(map(m, ws)) for p, m in models]
-        score = max(each) + math.log10(sum(10 ** (x - max(each)) for x in each))
-        want[i, held(i), len(ws), sum(counts[w] > 0 for w in ws), n, f"{base:.5g}", f"{score:.4g}"] += 1
+    for i, ws in texts:
+        tokens = [*ws, None]
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
+        want[i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, f"{base:.5g}", f"{model(ws):.4g}"] += 1
     assert collections.Counter((*r[:5], f"{r[5]:.5g}", f"{r[6]:.4g}") for r in got) == want
+    # Texts cut into pieces have the grams and sums of texts in one piece.
+    data, offsets = W.flat(pa.array([t for _, t in rows]))
+    signs = language_model.signs_of(data, *W.words(data, offsets), order)
+    train = np.arange(len(rows)) % 2 == 0
+    grams, uses = language_model.counted(signs, train, order)
+    sums = language_model.coded(signs, grams, np.arange(len(grams), dtype=float), len(rows), order)
+    monkeypatch.setattr(language_model, "PIECE", piece)
+    again, uses2 = language_model.counted(signs, train, order)
+    assert (again == grams).all() and (uses2 == uses).all() and uses.sum() == sum(
+        len(" ".join(words_of(t or "")).encode()) + 1 for _, t in rows[::2])
+    assert language_model.coded(signs, grams, np.arange(len(grams), dtype=float), len(rows), order) == pytest.approx(sums)
+
+
+def test_order_of_words_counts(spark):
+    """Contexts run over a word's end: a text is likelier than its words in reverse."""
+    rows = [(i, "the cat sat on the mat and the dog lay on the rug") for i in range(20)]
+    rows += [(100, "the dog sat on the rug"), (101, "rug the on sat dog the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") >= 100)
+    got = {r["doc_id"]: r for r in language_model.scores(df).collect()}
+    assert got[100]["score"] > got[101]["score"] + 3 and got[100]["base_score"] == pytest.approx(got[101]["base_score"])
 
 
 def test_rare_words_are_learned_beside_many_signs(spark):
-    """A text of more than 2^21 signs does not push out what was seen once: a word costs what
+    """A text of more than 2^21 signs does not push out what was seen once: a text costs what
     plain PPM says, with all counts."""
     rows = [(1, "kalo miru " * 300_000), (2, "zyxq vutw"), (3, "zyxq vutw")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") == 3)
     got = {r["doc_id"]: r["score"] for r in language_model.scores(df).collect()}
-    cost = plain_ppm({"kalo": 300_000, "miru": 300_000, "zyxq": 1, "vutw": 1, None: 2}, language_model.ORDER)
-    assert got[3] == pytest.approx(cost("zyxq") + cost("vutw") + cost(None), rel=1e-4) and got[2] == got[3]
+    cost = plain_ppm([["kalo", "miru"] * 300_000, ["zyxq", "vutw"]], language_model.ORDER)
+    assert got[3] == pytest.approx(cost(["zyxq", "vutw"]), rel=1e-4) and got[2] == got[3]
 
 
 def test_language_model_without_rows_or_training_texts(spark):
     df = frame(spark, [(1, "a b"), (2, None)]).withColumn("held_out", F.lit(True))
     got = language_model.scores(df).orderBy("doc_id").collect()
     signs = math.log10(language_model.SIGNS)
-    assert [r["score"] for r in got] == pytest.approx([-5 * signs, -signs]) and got[0]["train_tokens"] == 0
+    assert [r["score"] for r in got] == pytest.approx([-4 * signs, -signs]) and got[0]["train_tokens"] == 0
     assert language_model.scores(df.limit(0)).count() == 0
 
 
