@@ -35,7 +35,7 @@ from phrasestream.plans.stage import staged
 ORDER = 5
 BLOCK_BYTES = 16 << 20
 #: Signs worked on at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Distinct grams, and asked ones of all blocks, in a share of the costs.
 SHARE_GRAMS, SHARE_ASKED = 200_000, 4_000_000
 #: Signs that no word has: before a text, between words, end of a text.
@@ -70,14 +70,21 @@ def signs_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: n
     counts = np.diff(first)
     taken = np.append(0, np.cumsum(lengths + 1))
     sizes = order + np.maximum(taken[first[1:]] - taken[first[:-1]], 1)
-    begin = np.cumsum(sizes) - sizes
-    out = np.full(int(sizes.sum()), SPACE, np.uint8)
-    out[(begin[:, None] + np.arange(order)).ravel()] = START
+    ends = np.cumsum(sizes) - 1
+    begin = ends + 1 - sizes
     text = np.repeat(np.arange(len(counts)), counts)
-    to = begin[text] + order + taken[:-1] - taken[first[:-1][text]]
-    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(to, lengths) + inside] = data[np.repeat(starts, lengths) + inside]
-    out[begin + sizes - 1] = END_TEXT
+    of_word = np.ones(int(sizes.sum()), bool)
+    of_word[(begin + order - taken[first[:-1]])[text] + taken[1:] - 1] = False  # the place after each word
+    of_word[ends] = False
+    for j in range(order):
+        of_word[begin + j] = False
+    out = np.full(len(of_word), SPACE, np.uint8)
+    for j in range(order):
+        out[begin + j] = START
+    out[ends] = END_TEXT
+    # The words' bytes stand in the same order in both.
+    to = int(starts[-1] + lengths[-1]) if len(starts) else 0
+    out[of_word] = data[:to][~W.SPACES[data[:to]]]
     return out
 
 
@@ -170,7 +177,7 @@ def _gram_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
 
 
-def _bunches(batches, most: int = 2_000_000):
+def _bunches(batches, most: int = 1_000_000):
     have, size = [], 0
     for batch in batches:
         for g, c in zip(batch.column("grams"), batch.column("counts")):
