@@ -45,9 +45,9 @@ SIGNS = 256
 END = b" "
 
 
-def _packed(a: np.ndarray) -> bytes:
+def _packed(a: np.ndarray, effort: int = 1) -> bytes:
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=effort).compress(planes.tobytes())
 
 
 def _unpacked(b: bytes, kind) -> np.ndarray:
@@ -164,9 +164,9 @@ def _block(part: pa.RecordBatch, no: int, order: int) -> pa.RecordBatch:
     rows = pa.array([0, part.num_rows], pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array([no]), pa.ListArray.from_arrays(rows, part.column("doc_id")), pa.ListArray.from_arrays(rows, part.column("held_out")),
-         pa.array([_packed(sizes.astype(np.int32))]), pa.array([_packed(step.astype(np.uint32))]),
+         pa.array([_packed(sizes.astype(np.int32))]), pa.array([_packed(step.astype(np.uint32), 6)]),
          pa.ListArray.from_arrays(one, listed), pa.ListArray.from_arrays(one, pa.array(uses)),
-         pa.array([_packed(signs)]), pa.array([len(grams)]), pa.array([_packed(np.diff(grams, prepend=np.uint64(0)))]),
+         pa.array([_packed(signs, 6)]), pa.array([len(grams)]), pa.array([_packed(np.diff(grams, prepend=np.uint64(0)))]),
          pa.array([_packed(counts.astype(np.int64))])],
         [f.split()[0] for f in _BLOCKS.split(", ")])
 
