@@ -6,6 +6,10 @@ miss, e.g. an insult beside the mention of a group. A term is a lower-cased run
 letters and digits, or the first four or five bytes of one, so that an inflected
 form meets its stem.
 
+Terms enter the machine in two ways: those that change the odds of the label alone, and
+those that, beside another term, explain what an additive model of the former leaves. A
+pair of neutral terms has no weight of its own and is found the second way.
+
 The model is fitted on a bounded sample of labelled rows (`sample`, the rows with
 the smallest hash of their id); everything else is done for all rows and whole texts.
 """
@@ -25,6 +29,12 @@ BUCKETS = 1 << 18
 SAMPLE = 8_000
 TERMS = 1_024
 FACTORS = 8
+#: Texts a term or a pair must stand in, in the sample.
+SEEN = 5
+#: Terms held against each other for pairs, beside those that are strong alone, and the
+#: z-value from which a pair counts: by chance one of 200 samples has one.
+PAIRED = 2_048
+PAIR_Z = 6.0
 PREFIXES = (4, 5)
 
 
@@ -88,30 +98,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return texts.join(F.broadcast(chosen), "_id").select("label", "text")
 
 
-def _fit(labels: np.ndarray, rows: list[np.ndarray], rounds: int = 150, rate: float = 0.05) -> Model:
-    """Adam on the log loss over the bounded sample, in one task."""
-    n = len(labels)
-    positive = labels > 0
-    counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for y, row in zip(positive, rows):
-        counts[int(y)][row] += 1
-    n1, n0 = max(positive.sum(), 1), max(n - positive.sum(), 1)
-    p1, p0 = (counts[1] + 0.5) / (n1 + 1), (counts[0] + 0.5) / (n0 + 1)
-    # Terms by how much their presence says about the label, in bits per row.
-    gain = (counts[0] + counts[1]) * np.abs(np.log(p1 / p0)) * (counts[0] + counts[1] >= 5)
-    strong = np.abs(np.log(p1 / p0)) > 0.7
-    order = np.lexsort((np.arange(BUCKETS), -gain * strong))[:TERMS]
-    buckets = np.sort(order[(gain * strong)[order] > 0])
+def _indicators(rows: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
+    """One row a text, one column a bucket: 1 where the text has the term."""
     place = np.full(BUCKETS, -1)
     place[buckets] = np.arange(len(buckets))
-    x = np.zeros((n, len(buckets)), np.float32)
+    x = np.zeros((len(rows), len(buckets)), np.float32)
     for i, row in enumerate(rows):
         at = place[row]
         x[i, at[at >= 0]] = 1
-    y = positive.astype(np.float32)
+    return x
+
+
+def _train(x: np.ndarray, y: np.ndarray, start: float, factors: int, rounds: int, rate: float) -> list[np.ndarray]:
+    """Bias, weights and factors by Adam on the log loss; without factors an additive model."""
+    n = len(y)
     rng = np.random.default_rng(7)
-    parts = [np.float32(np.log(n1 / n0)), np.zeros(len(buckets), np.float32),
-             rng.normal(0, 0.01, (len(buckets), FACTORS)).astype(np.float32)]
+    parts = [np.float32(start), np.zeros(x.shape[1], np.float32),
+             rng.normal(0, 0.01, (x.shape[1], factors)).astype(np.float32)]
     firsts, seconds = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for step in range(1, rounds + 1):
         b, w, v = parts
@@ -124,7 +127,53 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray], rounds: int = 150, rate: fl
             firsts[k] = 0.9 * firsts[k] + 0.1 * g
             seconds[k] = 0.99 * seconds[k] + 0.01 * g * g
             parts[k] = parts[k] - rate * (firsts[k] / (1 - 0.9**step)) / (np.sqrt(seconds[k] / (1 - 0.99**step)) + 1e-9)
-    return Model(float(parts[0]), buckets.astype(np.int64), np.asarray(parts[1], np.float64), np.asarray(parts[2], np.float64))
+    return parts
+
+
+def _paired(x: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each column the largest z-value of a product of it and another column against
+    what an additive model leaves of the labels. Pairs seen together, or one without the
+    other, in fewer than SEEN texts say nothing."""
+    n = len(left)
+    share = x.mean(0)
+    spread = np.sqrt(n * share * (1 - share))
+    centred = x - share
+    z = np.abs((centred * left[:, None]).T @ centred) * np.sqrt(n)
+    z /= np.maximum(left.std(), 1e-6) * np.maximum(spread[:, None] * spread, 1e-9)
+    both, seen = x.T @ x, x.sum(0)
+    z[(both < SEEN) | (np.minimum(seen[:, None], seen) - both < SEEN)] = 0
+    return z.max(1, initial=0.0)
+
+
+def _fit(labels: np.ndarray, rows: list[np.ndarray], rounds: int = 150, rate: float = 0.05) -> Model:
+    """The machine over terms that say something alone, and terms that say something
+    beside another one; over the bounded sample, in one task."""
+    n = len(labels)
+    positive = labels > 0
+    counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for y, row in zip(positive, rows):
+        counts[int(y)][row] += 1
+    n1, n0 = max(positive.sum(), 1), max(n - positive.sum(), 1)
+    p1, p0 = (counts[1] + 0.5) / (n1 + 1), (counts[0] + 0.5) / (n0 + 1)
+    seen = counts[0] + counts[1]
+    # Terms by how much their presence says about the label, in bits per row.
+    gain = seen * np.abs(np.log(p1 / p0)) * (seen >= SEEN)
+    strong = np.abs(np.log(p1 / p0)) > 0.7
+    order = np.lexsort((np.arange(BUCKETS), -gain * strong))[:TERMS]
+    alone = order[(gain * strong)[order] > 0]
+    # Terms as common as uncommon, and the strong ones, are held against each other.
+    odds = np.minimum(seen, n - seen)
+    order = np.lexsort((np.arange(BUCKETS), -odds))[:PAIRED]
+    tried = np.union1d(alone, order[odds[order] >= SEEN])
+    start, y = np.log(n1 / n0), positive.astype(np.float32)
+    b, w, _ = _train(_indicators(rows, np.sort(alone)), y, start, 0, rounds, rate)
+    x = _indicators(rows, tried)
+    left = y - 1 / (1 + np.exp(-np.clip(b + x[:, np.isin(tried, alone)] @ w, -30, 30)))
+    z = _paired(x, left)
+    order = np.lexsort((tried, -z))[:TERMS]
+    buckets = np.union1d(alone, tried[order[z[order] > PAIR_Z]]).astype(np.int64)
+    b, w, v = _train(_indicators(rows, buckets), y, start, FACTORS, rounds, rate)
+    return Model(float(b), buckets, np.asarray(w, np.float64), np.asarray(v, np.float64))
 
 
 def _fit_rows(sample: int):

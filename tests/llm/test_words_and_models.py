@@ -82,6 +82,39 @@ def test_pairs_of_terms_are_learned_beyond_their_single_weights(spark):
     assert all(got[i] == y for i, y in labels)
 
 
+@pytest.mark.parametrize("rule", ["either both or none", "insult beside a group"])
+def test_pairs_of_neutral_terms_are_found(rule):
+    """Among forty other terms; neither term of the pair is a feature by itself."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        others = rng.sample(range(100, 220), 40)
+        rows.append(np.unique([5, *([10] if a else []), *([11] if b else []), *others]))
+        labels.append(int(a == b) if rule.startswith("either") else int(a and b))
+    model = toxicity._fit(np.array(labels[:1200]), rows[:1200])
+    assert {10, 11} <= set(model.buckets.tolist())
+    for row, y in zip(rows[1200:], labels[1200:]):
+        at = [model.buckets.tolist().index(t) for t in row if t in model.buckets]
+        pairs = sum(model.factors[i] @ model.factors[j] for k, i in enumerate(at) for j in at[:k])
+        assert (model.bias + model.weights[at].sum() + pairs > 0) == bool(y)
+
+
+def test_scores_equal_the_plain_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(3)
+    texts = [None, "", "alpha", "alpha beta alpha", "Beta, gamma-DELTA alphabet " * 3, "x" * 30_000 + " beta", "é beta"]
+    terms = sorted({b for t in texts for b in toxicity.hashed_terms(pa.array([t or ""]))[1].tolist()})[::2]
+    model = toxicity.Model(-0.3, np.array(terms), rng.normal(0, 1, len(terms)), rng.normal(0, 0.4, (len(terms), toxicity.FACTORS)))
+    place = np.full(toxicity.BUCKETS, -1)
+    place[model.buckets] = np.arange(len(terms))
+    got = toxicity.score_texts(pa.array(texts), model, place)
+    for text, score in zip(texts, got):
+        have = [terms.index(b) for b in set(toxicity.hashed_terms(pa.array([text or ""]))[1].tolist()) if b in terms]
+        z = model.bias + sum(model.weights[i] for i in have) + sum(
+            model.factors[i] @ model.factors[j] for k, i in enumerate(have) for j in have[:k])
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_models_without_labels_or_rows(spark):
     df = table(spark, [(1, "a b")])
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
