@@ -42,6 +42,11 @@ def r6(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def written(spark, name: str) -> str:
+    """A new folder for files that a reader is to read."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def clock(df, *columns):
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in columns})
 
@@ -710,7 +715,11 @@ def _(v):
 
 @register("s6_read_ledger", "SELECT session_id, tenant_id, status, room_name FROM fx_sessions WHERE tenant_id = 4")
 def _(v):
-    return ledger.tenant_scope(v("fx_sessions"), 4).select(*SESSION_COLUMNS)
+    sessions = v("fx_sessions")
+    folder = written(sessions.sparkSession, "ledger")
+    files.write_ledger(sessions.select(*(F.col(c).cast("string").alias(c) for c in SESSION_COLUMNS)), folder, "sessions")
+    return files.read_ledger(sessions.sparkSession, folder, "sessions", 4).select(
+        F.col("session_id").cast("bigint"), F.col("tenant_id").cast("bigint"), "status", "room_name")
 
 
 @register("j1_find_sessions", f"""
@@ -1210,8 +1219,8 @@ DUCK_UTTERANCES = f"""
                CASE WHEN closed IS NULL THEN tries + again::int ELSE 0 END, CASE WHEN closed IS NULL THEN quiet ELSE 0 END, CASE WHEN again THEN t_wall + 1.0 ELSE due END,
                made + (closed IS NOT NULL)::int, CASE WHEN ended IS NOT NULL THEN made END, start, start + secs, ended, CASE WHEN secs > 0 THEN sqrt(energy / secs) ELSE 0 END,
                tries + again::int + (ended = 'end')::int
-        FROM (SELECT *, closed IS NOT NULL OR t_wall >= due AS again, coalesce(closed, CASE WHEN r = n THEN 'end' END) AS ended
-              FROM (SELECT *, CASE WHEN quiet >= {fixed_values.UTTERANCE_QUIET_S} THEN 'quiet' WHEN secs >= {fixed_values.UTTERANCE_MAX_S} THEN 'cap' END AS closed
+        FROM (SELECT *, quiet >= {fixed_values.UTTERANCE_QUIET_S} OR secs >= {fixed_values.UTTERANCE_MAX_S} OR t_wall >= due AS again, coalesce(closed, CASE WHEN r = n THEN 'end' END) AS ended
+              FROM (SELECT *, CASE WHEN quiet >= {fixed_values.UTTERANCE_QUIET_S} THEN 'quiet' WHEN secs >= {fixed_values.UTTERANCE_MAX_S} AND sqrt(energy / secs) >= {fixed_values.SPEECH_WINDOW_RMS} THEN 'cap' END AS closed
                     FROM (SELECT o.session_id, o.r, o.n, o.t_wall, coalesce(p.start, o.t_audio) AS start, p.secs + o.duration AS secs, p.energy + o.rms * o.rms * o.duration AS energy,
                                  CASE WHEN o.rms < {fixed_values.QUIET_FRAME_RMS} THEN p.quiet + o.duration ELSE 0 END AS quiet, p.tries, p.due, p.made
                           FROM listened p JOIN ordered o ON o.session_id = p.session_id AND o.r = p.r + 1)))),
@@ -1279,7 +1288,7 @@ def _(v):
     pieces = talk.select(
         recording.cast("int").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.encode(even, "UTF-8").alias("pcm"),
         F.when(recording % 2 == 0, 16000).otherwise(22050).alias("sample_rate"))
-    folder = f"{shared_folder(talk.sparkSession)}/recordings-{uuid.uuid4().hex}"
+    folder = written(talk.sparkSession, "recordings")
     staged(wav.write_recordings(pieces, folder), "recordings-written")
     frames = files.read_audio_frames(talk.sparkSession, folder, frame_ms=20, split_bytes=32 << 10)
     name = F.regexp_extract("session_id", r"([0-9]+)$", 1).cast("int")
@@ -1287,6 +1296,29 @@ def _(v):
         name.alias("recording"), "seq", "sample_rate", F.octet_length("pcm").alias("bytes"), F.md5(F.hex("pcm")).alias("sound"), "t_audio")
 
 
+@register("s1_read_hypotheses", """
+    SELECT session_id::varchar AS session_id, seq, text, is_final, round(t_wall, 6) AS t_wall, lang AS language, NULL::varchar AS corrupt FROM (
+        SELECT conv_id AS session_id, turn::bigint AS seq, text, turn % 3 = 0 AS is_final, turn * 1.5::double AS t_wall, role AS lang FROM conversations WHERE text IS NOT NULL)
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, NULL, NULL, '{"seq": ' || conv_id || ', "text": ' FROM conversations WHERE turn = 0""")
+def _(v):
+    talk = v("conversations")
+    folder = written(talk.sparkSession, "hypotheses")
+    line = F.to_json(F.struct(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "text", (F.col("turn") % 3 == 0).alias("is_final"),
+        (F.col("turn") * 1.5).alias("t_wall"), F.col("role").alias("language")))
+    # A line broken off for each recording, and a blank one.
+    cut = F.when(F.col("turn") == 0, F.concat(F.lit('{"seq": '), F.col("conv_id").cast("string"), F.lit(', "text": ')))
+    lines = talk.select(F.explode(F.array(F.when(F.col("text").isNotNull(), line), cut, F.lit("  "))).alias("value")).filter("value is not null")
+    lines.write.text(folder)
+    read = files.read_hypotheses(talk.sparkSession, folder)
+    whole = F.col("corrupt").isNull()
+    return read.select(
+        F.when(whole, F.col("session_id")).alias("session_id"), F.when(whole, F.col("seq")).alias("seq"), F.when(whole, F.col("text")).alias("text"),
+        F.when(whole, F.col("is_final")).alias("is_final"), F.when(whole, F.round("t_wall", 6)).alias("t_wall"),
+        F.when(whole, F.col("language")).alias("language"), "corrupt")
+
+
 @register("s2_read_session_logs", """
     SELECT message, corrupt, count(*) AS lines FROM (
         SELECT CASE WHEN starts_with(value, '{') THEN regexp_extract(value, '"message":"([^"]*)"', 1) END AS message,
@@ -1307,6 +1339,19 @@ def _(v):
     return files.reference_words(v("documents").select(F.col("doc_id").alias("doc"), "text")).select("doc", F.size("words").alias("words"))
 
 
+@register("s7_read_reference_texts", r"""
+    SELECT item_id AS doc, len(words)::int AS words, array_to_string(words, ' ') AS text
+    FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words FROM benchmark)""")
+def _(v):
+    items = v("benchmark")
+    folder = written(items.sparkSession, "reference-texts")
+    # A folder for each reference text, with its file.
+    items.select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(folder)
+    read = files.read_reference_texts(items.sparkSession, f"{folder}/item_id=*")
+    return read.select(
+        F.regexp_extract("doc", "item_id=([0-9]+)", 1).cast("bigint").alias("doc"), F.size("words").alias("words"), F.array_join("words", " ").alias("text"))
+
+
 @register("a14_session_scorecard", f"""
     WITH s AS (SELECT session_id, status, source_language, target_languages FROM fx_sessions),
     b AS (SELECT session_id, billed_seconds, billed_language_count FROM (

@@ -132,7 +132,8 @@ VIEWS = {
         FROM events""",
     "fx_levels": """
         SELECT user_id AS session_id, event_id AS seq, event_id * cast(0.001 as double) AS t_audio,
-               event_id * cast(0.001 as double) AS t_wall, cast(0.1 as double) AS duration, value / 4000 AS rms
+               event_id * cast(0.001 as double) AS t_wall, CASE WHEN user_id % 5 = 0 THEN cast(0.4 as double) ELSE cast(0.1 as double) END AS duration,
+               CASE WHEN user_id % 5 = 0 THEN cast(0.0052 as double) + value / 60000 ELSE value / 4000 END AS rms
         FROM events""",
     "fx_pushlog": """
         SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'drain' ELSE 'push' END AS kind,

@@ -110,8 +110,11 @@ class UtteranceMachine(Machine):
         start, seconds, energy, passes = utterance or [t_audio, 0.0, 0.0, 0]
         seconds, energy = seconds + duration, energy + rms * rms * duration
         quiet = quiet + duration if rms < self.frame_floor else 0.0
-        closed_by = "quiet" if quiet >= self.quiet_s else "cap" if seconds >= self.max_s else None
-        if closed_by or t_wall >= due:
+        silent, overlong = quiet >= self.quiet_s, seconds >= self.max_s
+        # A length cap closes what has something to say; a hum stays open.
+        spoken = energy >= self.window_floor**2 * seconds
+        closed_by = "quiet" if silent else "cap" if overlong and spoken else None
+        if silent or overlong or t_wall >= due:
             passes, due = passes + 1, t_wall + self.emit_interval
         if closed_by is None:
             return [[start, seconds, energy, passes], quiet, due], book
@@ -120,7 +123,7 @@ class UtteranceMachine(Machine):
 
     def _row(self, number, start, seconds, energy, passes, closed_by):
         rms = (energy / seconds) ** 0.5 if seconds > 0 else 0.0
-        return (number, start, start + seconds, closed_by, rms, rms < self.window_floor, passes)
+        return (number, start, start + seconds, closed_by, rms, energy < self.window_floor**2 * seconds, passes)
 
     def finish(self, lane, state, book, row, out):
         if state[0] is not None:
@@ -149,8 +152,9 @@ def utterances(
     emit_interval: float = 1.0, target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Utterances closed by quiet, by the length cap or by the end.
-    `gated` ones are too silent to recognise; `passes` counts the recognition
-    passes due while the utterance was open."""
+    `gated` ones are too silent to recognise; beyond the length cap they stay
+    open, with a pass at every frame, until they are loud enough or quiet.
+    `passes` counts the recognition passes due while the utterance was open."""
     machine = UtteranceMachine(quiet_s, max_s, frame_floor, window_floor, emit_interval)
     return ordered_fold(levels, ["session_id"], "seq", machine, target_rows)
 
