@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasestream.fixed_values import (
@@ -170,35 +170,72 @@ def context_windows(
     The start of step k is arithmetic, so steps are generated, not iterated:
     0, then shift[0] + (k-1) * shift[1].
     """
+    rows = _with_last_step(available, chunk, shift, flush)
+    steps = rows.filter(F.col("_last") >= 0).select(
+        "session_id", "available", "_full", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("step")
+    )
+    return steps.select("session_id", "step", *_window_of_step(chunk, shift, cache, drop))
+
+
+def _start_of(step: Column, shift: tuple[int, int]) -> Column:
+    return F.when(step == 0, 0).otherwise(shift[0] + (step - 1) * shift[1]).cast("bigint")
+
+
+def _with_last_step(
+    available: DataFrame, chunk: tuple[int, int], shift: tuple[int, int], flush: bool
+) -> DataFrame:
+    """`_full`, the number of whole steps, and `_last`, the last step (-1 for none)."""
     frames = F.col("available")
     later = F.floor((frames - chunk[1] - shift[0]) / shift[1]) + 1
     full = F.when(frames < chunk[0], 0).otherwise(1 + F.greatest(F.lit(0), later)).cast("bigint")
-    start_of = lambda k: F.when(k == 0, 0).otherwise(shift[0] + (k - 1) * shift[1]).cast("bigint")
-    rows = available.withColumn("_full", full).withColumn(
-        "_left", F.lit(flush) & (frames > start_of(F.col("_full")))
-    )
-    last = F.col("_full") - F.when(F.col("_left"), 0).otherwise(1)
-    steps = rows.filter(last >= 0).select(
-        "session_id", "available", "_full", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("step")
-    )
-    start = start_of(F.col("step"))
+    left = F.lit(flush) & (frames > _start_of(F.col("_full"), shift))
+    return available.withColumn("_full", full).withColumn("_last", F.col("_full") - F.when(left, 0).otherwise(1))
+
+
+def _window_of_step(
+    chunk: tuple[int, int], shift: tuple[int, int], cache: tuple[int, int], drop: int
+) -> list[Column]:
+    """start, end, cache_start, zero_pad and drop of the row's `step`."""
+    start = _start_of(F.col("step"), shift)
     width = F.when(F.col("step") == 0, cache[0]).otherwise(cache[1])
     end = F.when(F.col("step") == F.col("_full"), F.col("available")).otherwise(
         start + F.when(F.col("step") == 0, chunk[0]).otherwise(chunk[1])
     )
     held = F.least(width, start)
-    return steps.select(
-        "session_id", "step", start.alias("start"), end.cast("bigint").alias("end"),
+    return [
+        start.alias("start"), end.cast("bigint").alias("end"),
         (start - held).cast("bigint").alias("cache_start"), (width - held).cast("bigint").alias("zero_pad"),
         F.when(F.col("step") == 0, 0).otherwise(drop).cast("bigint").alias("drop"),
-    )
+    ]
+
+
+def covering_windows(
+    available: DataFrame, frames: DataFrame, chunk: tuple[int, int] = (56, 56),
+    shift: tuple[int, int] = (56, 56), cache: tuple[int, int] = (0, 8), drop: int = 1, flush: bool = True,
+) -> DataFrame:
+    """Each feature frame (session_id, frame) with every window of `context_windows` that
+    covers it, cache included. The few steps that may cover a frame are arithmetic too, so
+    sessions and frames are joined before any step is made, and steps without frames never
+    are."""
+    frame = F.col("frame")
+    first = F.floor((frame - max(chunk) - shift[0]) / shift[1]) + 1
+    final = F.floor((frame + max(cache) - shift[0]) / shift[1]) + 1
+    low = F.greatest(F.lit(0), first).cast("bigint")
+    high = F.least(F.col("_last"), F.greatest(F.lit(0), final)).cast("bigint")
+    known = _with_last_step(available.select("session_id", "available"), chunk, shift, flush)
+    met = frames.join(known, "session_id").withColumns({"_low": low, "_high": high})
+    steps = met.filter(F.col("_low") <= F.col("_high")).withColumn("step", F.explode(F.sequence("_low", "_high")))
+    columns = [c for c in frames.columns if c != "session_id"]
+    return steps.select("session_id", *columns, "step", *_window_of_step(chunk, shift, cache, drop)).filter(
+        (F.col("frame") >= F.col("cache_start")) & (F.col("frame") < F.col("end")))
 
 
 def window_frames(windows: DataFrame, frames: DataFrame, hop: int) -> DataFrame:
     """Attach feature frames (session_id, frame) to the windows that cover
     them, cache included. Both sides are put in cells of `hop` frames, so the
-    range join is an equality join on a key that is as fine as the data."""
-    cells = windows.withColumn(
+    range join is an equality join on a key that is as fine as the data. The windows
+    are many more than what they were made of, so they are not to be broadcast."""
+    cells = windows.hint("merge").withColumn(
         "_cell", F.explode(F.sequence(F.floor(F.col("cache_start") / hop), F.floor((F.col("end") - 1) / hop)))
     )
     return cells.join(
