@@ -38,3 +38,8 @@ def test_frames_meet_the_windows_that_cover_them(spark, flush):
         windows = audio.context_windows(available, chunk, shift, cache, 1, flush)
         want = windows.join(frames, "session_id").filter("frame >= cache_start and frame < end").select(*got.columns)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_recordings_of_conversations_of_many_turns(spark):
+    talk = "SELECT c::bigint AS conv_id, t::bigint AS turn, 'user' AS role, 'turn ' || t || ' of ' || c AS text FROM range(0, 3) a(c), range(0, 1100) b(t)"
+    assert not beside_sql(spark, "s4_read_audio_frames", conversations=talk)
