@@ -43,3 +43,15 @@ def test_frames_meet_the_windows_that_cover_them(spark, flush):
 def test_recordings_of_conversations_of_many_turns(spark):
     talk = "SELECT c::bigint AS conv_id, t::bigint AS turn, 'user' AS role, 'turn ' || t || ' of ' || c AS text FROM range(0, 3) a(c), range(0, 1100) b(t)"
     assert not beside_sql(spark, "s4_read_audio_frames", conversations=talk)
+
+
+def test_a_stream_reads_a_table_of_one_file_or_of_many(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.range(10).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    spark.range(10, 30).repartition(3).write.mode("append").parquet(f"{folder}/events.parquet")
+    duckdb.sql(f"COPY (SELECT range AS id FROM range(7)) TO '{folder}/orders.parquet'")
+    for table, rows in (("events", 30), ("orders", 7)):
+        query = load(spark, folder, table, stream=True).writeStream.format("parquet").option("path", f"{folder}/out-{table}").option(
+            "checkpointLocation", f"{folder}/ck-{table}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.read.parquet(f"{folder}/out-{table}").count() == rows
