@@ -226,13 +226,14 @@ def drift_summary(
 def session_watchdog(
     heartbeats: DataFrame, starts: DataFrame, max_duration: float = MAX_DURATION_S,
     max_idle: float = MAX_IDLE_S, warn_at: float = WARN_AT_FRACTION, tick: float = WATCHDOG_TICK_S,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int = TARGET_ROWS, early: bool = False,
 ) -> DataFrame:
     """When and why each session is ended by a limit.
 
     The limits are looked at every `tick` seconds after the start; duration is
     tested before idleness. `starts` has session_id, started_at (seconds) and
-    optionally closed_at, when the session ended by itself.
+    optionally closed_at, when the session ended by itself. Beats from before the
+    start are ignored, unless `early` has them count as signs of life.
     """
     beats = heartbeats.select("session_id", "t_wall")
     base = starts.select(
@@ -250,7 +251,7 @@ def session_watchdog(
     idle = gaps.filter(
         F.col("next").isNull() | (F.col("next") - F.col("t_wall") >= max_idle)
     ).join(base, "session_id").filter(
-        (F.col("t_wall") >= F.col("started_at"))  # earlier beats do not count
+        (F.lit(early) | (F.col("t_wall") >= F.col("started_at")))
         & (F.col("next").isNull() | (idle_end <= F.col("next")))
     ).groupBy("session_id").agg(F.min(idle_end).alias("idle_end"))
     capped = on_tick(F.col("started_at") + max_duration)

@@ -55,3 +55,13 @@ def test_a_stream_reads_a_table_of_one_file_or_of_many(spark):
             "checkpointLocation", f"{folder}/ck-{table}").trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.read.parquet(f"{folder}/out-{table}").count() == rows
+
+
+# Sessions start at their user_id and have a beat every 8 s an event_id counts: 5000 begins
+# after four beats and has a long pause before its start, 700 one across it, 3 is plain.
+BEATS = events((0, 5000, "view", 1), (2, 700, "view", 1), (100, 700, "view", 1), (9, 3, "view", 1), (500, 5000, "view", 1),
+               (510, 5000, "view", 1), (612, 5000, "view", 1), (715, 5000, "view", 1), (620, 4000, "view", 1), (400, 4000, "view", 1))
+
+
+def test_beats_from_before_a_start_as_the_sql_has_them(spark):
+    assert not beside_sql(spark, "t8_session_watchdog", events=BEATS)
