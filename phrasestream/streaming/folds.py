@@ -230,14 +230,15 @@ def fold_stream(
     stream: DataFrame, machine: Machine, order: str, event_time: str,
     columns: list[str] | None = None, enrich: Callable | None = None, quiet_s: float | None = None,
     expire_s: float = MAX_IDLE_S, ends: str | None = None, ties: Callable | None = None,
-    keys: tuple[str, ...] = ("session_id",),
+    keys: tuple[str, ...] = ("session_id",), at_ms: str | None = None,
 ) -> DataFrame:
     """Run a machine over every session (or other `keys`) of a stream with a
     watermark on `event_time`. Rows are taken by `order`, then by what `ties`
     makes of their columns. `enrich` adds inputs the batch form gets from windows. A
     session's state goes at a row where the boolean column `ends` is true, and
     `expire_s` (`quiet_s`, if that is longer) after its last row: by then the
-    watchdog has ended a session for want of audio."""
+    watchdog has ended a session for want of audio. `at_ms` names a column with
+    the time a row counts from, if it is later than its `event_time`."""
     columns = columns or machine.columns
     quiet_ms = None if quiet_s is None else round(quiet_s * 1000)
     output = _parse_datatype_string(machine.output)
@@ -249,7 +250,7 @@ def fold_stream(
     over = F.lit(False) if ends is None else F.coalesce(F.col(ends), F.lit(False))
     rows = stream.select(
         *keys, F.col(order).cast("bigint").alias("row_order"),
-        F.unix_millis(event_time).alias("at_ms"), over.alias("ends"), event_time,
+        F.unix_millis(event_time).alias("at_ms") if at_ms is None else F.col(at_ms).alias("at_ms"), over.alias("ends"), event_time,
         *[F.col(c) for c in columns],
     )
     return rows.groupBy(*keys).transformWithStateInPandas(

@@ -65,3 +65,7 @@ BEATS = events((0, 5000, "view", 1), (2, 700, "view", 1), (100, 700, "view", 1),
 
 def test_beats_from_before_a_start_as_the_sql_has_them(spark):
     assert not beside_sql(spark, "t8_session_watchdog", events=BEATS)
+
+
+def test_beats_from_before_a_start_on_a_stream(spark):
+    assert not beside_sql(spark, "t8_session_watchdog_stream", events=BEATS)
