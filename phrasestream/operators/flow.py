@@ -11,7 +11,7 @@ from phrasestream.fixed_values import (
     DEFAULT_POLICY, MAX_DURATION_S, MAX_IDLE_S, MAX_LAG_S, MEASURED_POLICIES, RECOVER_TO_S,
     WARN_AT_FRACTION, WARN_LAG_S, WATCHDOG_TICK_S,
 )
-from phrasestream.functions.scalars import playout_speed, should_skip
+from phrasestream.functions.scalars import playout_speed, round_even, should_skip
 from phrasestream.plans.fold import Machine, ordered_fold
 from phrasestream.plans.ordered import TARGET_ROWS, running, with_neighbours
 
@@ -290,10 +290,10 @@ def unsustainable_passes(
     wide = F.col("window_s") >= 1.0
     return first.select(
         "session_id", "seq",
-        F.bround("elapsed_s", 2).alias("pass_cost_s"),
+        round_even(F.col("elapsed_s"), 2).alias("pass_cost_s"),
         F.lit(float(emit_interval)).alias("emit_interval_s"),
-        F.bround("window_s", 1).alias("window_s"),
-        F.bround(F.col("elapsed_s") * 1.2, 1).alias("raise_emit_interval_to_s"),
-        F.when(wide, F.bround(ratio, 3)).alias("cost_per_audio_second"),
-        F.when(wide, F.bround(emit_interval / ratio, 1)).alias("or_lower_window_to_s"),
+        round_even(F.col("window_s"), 1).alias("window_s"),
+        round_even(F.col("elapsed_s") * 1.2, 1).alias("raise_emit_interval_to_s"),
+        F.when(wide, round_even(ratio, 3)).alias("cost_per_audio_second"),
+        F.when(wide, round_even(emit_interval / ratio, 1)).alias("or_lower_window_to_s"),
     )

@@ -76,3 +76,8 @@ def test_listeners_of_far_apart_events_and_of_close_ones(spark):
     far = events((1, 7, "view", 1.5), (3_000_000, 7, "view", 25.0), (5_000_000, 7, "view", 1.5),
                  (9, 8, "view", 22.0000002), (10, 8, "view", 21.0000001))
     assert not beside_sql(spark, "t9_listeners_over_time_stream", events=far)
+
+
+def test_passes_are_rounded_as_sql_does(spark):
+    passes = spark.createDataFrame([("s", 0, 4.0, 2.0), ("s", 1, 211.35 / 10, 41.3)], "session_id string, seq bigint, elapsed_s double, window_s double")
+    assert flow.unsustainable_passes(passes, 3.0).first().pass_cost_s == 21.14
