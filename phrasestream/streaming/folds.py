@@ -5,13 +5,20 @@ store, so that a stream and a batch over the same rows give the same output.
 Rows are held back until the watermark passes them and are then taken in
 `order`; that makes the result independent of how rows arrive within the
 watermark delay. Rows later than the watermark are dropped by Spark, and
-counted (`StreamCounters`). What waits is kept by seconds of event time, so a
-micro-batch reads and writes the seconds it touches, not all that waits.
+counted (`StreamCounters`). What waits is kept in chunks by event time, so a
+micro-batch reads and writes the chunks it touches, not all that waits.
+
+Each group of rows costs a number of calls to the state store, whatever is in it.
+With `shards`, sessions are dealt over so many groups, so that many short sessions
+cost no more than their rows; a group then works on the sessions a micro-batch
+touches, a few (`CELLS`) pieces of state at a time. Its rows that become due at once
+are held in memory.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,11 +34,16 @@ from phrasestream.operators.flow import BacklogMachine
 from phrasestream.plans.fold import Machine
 
 _FOLD = StructType().add("value", StringType())
-_BUCKET = StructType().add("bucket", LongType())
+_CHUNK = StructType().add("chunk", LongType())
+_CELL = StructType().add("cell", LongType())
 _ROWS = StructType().add("rows", StringType())
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Waiting rows are kept by the second of their event time.
-BUCKET_MS = 1000
+#: Rows wait for the end of their second.
+SECOND_MS = 1000
+#: Waiting rows in one piece of state.
+CHUNK_ROWS = 1000
+#: Pieces of state over which the keys of a group are dealt.
+CELLS = 64
 
 
 def use_rocksdb(spark) -> None:
@@ -39,7 +51,8 @@ def use_rocksdb(spark) -> None:
 
 
 class FoldProcessor(StatefulProcessor):
-    """Runs one single-lane machine per key with event-time ordering.
+    """Runs one single-lane machine per key with event-time ordering. The state of a group
+    is that of one key, or, with `shared`, of all keys dealt to a shard.
 
     `quiet_ms`, when set, ends the key with `machine.finish` after that much
     event time without a row, as a timer would in the live service; a later
@@ -52,59 +65,72 @@ class FoldProcessor(StatefulProcessor):
 
     def __init__(self, machine: Machine, columns: list[str], names: list[str], types: dict, expire_ms: int,
                  enrich: Callable | None = None, quiet_ms: int | None = None, ties: Callable | None = None,
-                 keys: tuple[str, ...] = ("session_id",)):
+                 keys: tuple[str, ...] = ("session_id",), shared: bool = False):
         self.machine, self.columns, self.names, self.types = machine, columns, names, types
-        self.keys, self.place = keys, lambda row: (row[0], ties(row[3:]) if ties else 0)
-        self.enrich, self.quiet_ms, self.expire_ms = enrich, quiet_ms, expire_ms
+        self.keys, self.place = keys, lambda row: (row[1], ties(row[4:]) if ties else 0)
+        self.enrich, self.quiet_ms, self.expire_ms, self.shared = enrich, quiet_ms, expire_ms, shared
 
     def init(self, handle):
         self.handle, self.lane = handle, self.machine.lanes()[0]
-        self.saved = handle.getValueState("fold", _FOLD)
-        self.waiting = handle.getMapState("waiting", _BUCKET, _ROWS)
+        self.index = handle.getValueState("fold", _FOLD)
+        self.cells = handle.getMapState("cells", _CELL, _ROWS)
+        self.waiting = handle.getMapState("waiting", _CHUNK, _ROWS)
 
     def _begin(self):
         """state, book and last row (order, at, values, whether finish was called) of a key at its start."""
         return [self.machine.start(self.lane), self.machine.new_book(), None]
 
     def _load(self):
-        """The fold, the buckets that have waiting rows, and when the timer is set."""
-        saved = self.saved.get()
+        """The chunks of waiting rows (number, first and last time), the cells with the time
+        their next key is due, and when the timer is set."""
+        saved = self.index.get()
         if saved is None:
-            return self._begin(), [], None
-        state, book, last, buckets, wake = json.loads(saved[0])
-        return [self.machine.thaw(state), book, last], buckets, wake
+            return [], {}, None
+        chunks, cells, wake = json.loads(saved[0])
+        return chunks, {int(cell): at for cell, at in cells.items()}, wake
 
-    def _store(self, fold, buckets, wake, next_wake):
+    def _store(self, chunks, cells, wake):
+        seconds = [(first // SECOND_MS + 1) * SECOND_MS - 1 for _, first, _ in chunks]
+        next_wake = min([*seconds, *cells.values()], default=None)
         if wake is not None and wake != next_wake:
             self.handle.deleteTimer(wake)
         if next_wake is None:
-            self.saved.clear()  # no bucket is left either
+            self.index.clear()  # no chunk and no cell is left either
             return
         if wake != next_wake:
             self.handle.registerTimer(next_wake)
-        state, book, last = fold
-        self.saved.update((json.dumps([self.machine.freeze(state), book, last, buckets, next_wake]),))
-
-    def _due(self, buckets, mark):
-        """Rows the watermark has passed, in order, and the buckets left. Only buckets that
-        are due are read."""
-        ready, left = [], []
-        due = [bucket for bucket in buckets if bucket * BUCKET_MS <= mark]
-        whole = due and due == buckets and (due[-1] + 1) * BUCKET_MS - 1 <= mark
-        if whole:  # one read and one removal instead of two for each bucket
-            cells = [rows for _, (rows,) in self.waiting.iterator()]
+        self.index.update((json.dumps([chunks, cells, next_wake]),))
+
+    def _wait(self, chunks, rows):
+        """Keep rows until the watermark has passed them, in chunks in order of time."""
+        rows.sort(key=lambda row: row[2])
+        number = max((chunk[0] for chunk in chunks), default=-1) + 1
+        for number, first in enumerate(range(0, len(rows), CHUNK_ROWS), number):
+            part = rows[first:first + CHUNK_ROWS]
+            self.waiting.updateValue((number,), (json.dumps(part),))
+            chunks.append([number, part[0][2], part[-1][2]])
+
+    def _due(self, chunks, mark):
+        """Rows the watermark has passed, and the chunks left. Only chunks that have such
+        rows are read."""
+        if chunks and all(last <= mark for _, _, last in chunks):  # one read and one removal
+            ready = [row for _, (rows,) in self.waiting.iterator() for row in json.loads(rows)]
             self.waiting.clear()
-            return sorted((json.loads(line) for cell in cells for line in cell.split("\n")), key=self.place), []
-        for bucket in due:
-            rows = [json.loads(line) for line in self.waiting.getValue((bucket,))[0].split("\n")]
-            later = [row for row in rows if row[1] > mark]
-            ready += [row for row in rows if row[1] <= mark]
+            return ready, []
+        ready, left = [], []
+        for number, first, last in chunks:
+            if first > mark:
+                left.append([number, first, last])
+                continue
+            rows = json.loads(self.waiting.getValue((number,))[0])
+            later = [row for row in rows if row[2] > mark]
+            ready += rows[:len(rows) - len(later)]
             if later:
-                left.append(bucket)
-                self.waiting.updateValue((bucket,), ("\n".join(map(json.dumps, later)),))
+                left.append([number, later[0][2], last])
+                self.waiting.updateValue((number,), (json.dumps(later),))
             else:
-                self.waiting.removeKey((bucket,))
-        return sorted(ready, key=self.place), left + buckets[len(due):]
+                self.waiting.removeKey((number,))
+        return ready, left
 
     def _finish(self, fold, out):
         """Call `finish`, once for each last row."""
@@ -126,10 +152,9 @@ class FoldProcessor(StatefulProcessor):
             return self._finish(fold, out)
         return fold
 
-    def _advance(self, key, timers, fold, buckets, wake):
-        mark, out = timers.getCurrentWatermarkInMs(), []
-        ready, buckets = self._due(buckets, mark)
-        for order, at, ends, *values in ready:
+    def _fold(self, fold, rows, mark, out):
+        """A key after the rows that are due and the time up to the watermark."""
+        for _, order, at, ends, *values in sorted(rows, key=self.place):
             fold = self._until(fold, at, out)
             state, book, last = fold
             if self.enrich:
@@ -140,38 +165,71 @@ class FoldProcessor(StatefulProcessor):
                 self._finish(fold, out)
                 fold = self._begin()
         # Rows still waiting are later than the watermark.
-        fold = self._until(fold, mark, out)
-        times = [(buckets[0] + 1) * BUCKET_MS - 1] if buckets else []
-        if last := fold[2]:
-            times.append(last[1] + self.expire_ms)
-            if self.quiet_ms is not None and not last[3]:
-                times.append(last[1] + self.quiet_ms)
-        self._store(fold, buckets, wake, min(times, default=None))
-        if out:
-            frame = pd.DataFrame(out, columns=self.names).astype(self.types)
-            for name, value in zip(reversed(self.keys), reversed(key)):
-                frame.insert(0, name, value)
-            yield frame
+        return self._until(fold, mark, out)
+
+    def _next(self, last):
+        """When time does something to a key."""
+        if self.quiet_ms is not None and not last[3]:
+            return last[1] + min(self.quiet_ms, self.expire_ms)
+        return last[1] + self.expire_ms
+
+    def _advance(self, key, mark, chunks, cells, wake, ready):
+        """Take the rows that are due (`ready`, key by key) and what time has brought to keys
+        without any, cell by cell."""
+        found: dict[int, dict[str, list]] = {}
+        for row in ready:
+            who = json.dumps(row[0])
+            found.setdefault(zlib.crc32(who.encode()) % CELLS, {}).setdefault(who, []).append(row)
+        columns: list = []
+        for cell in sorted({*found, *(cell for cell, at in cells.items() if at <= mark)}):
+            known = json.loads(self.cells.getValue((cell,))[0]) if cell in cells else {}
+            rows, kept, due = found.get(cell, {}), {}, []
+            for who in {**known, **rows}:
+                fold = self._begin()
+                if who in known:
+                    state, book, last = known[who]
+                    fold = [self.machine.thaw(state), book, last]
+                out: list = []
+                state, book, last = self._fold(fold, rows.get(who, ()), mark, out)
+                if last:
+                    kept[who] = [self.machine.freeze(state), book, last]
+                    due.append(self._next(last))
+                if out:
+                    place = tuple(json.loads(who)) if self.shared else tuple(key)
+                    columns += [place + tuple(row) for row in out]
+            if kept:
+                self.cells.updateValue((cell,), (json.dumps(kept),))
+                cells[cell] = min(due)
+            elif cell in cells:
+                self.cells.removeKey((cell,))
+                del cells[cell]
+        self._store(chunks, cells, wake)
+        if columns:
+            yield pd.DataFrame(columns, columns=[*self.keys, *self.names]).astype(self.types)
 
     def handleInputRows(self, key, rows, timerValues):
-        fold, buckets, wake = self._load()
-        fresh: dict[int, list[str]] = {}
+        chunks, cells, wake = self._load()
+        mark, width = timerValues.getCurrentWatermarkInMs(), len(self.keys) if self.shared else 0
+        wanted = [*self.keys[:width], "row_order", "at_ms", "ends", *self.columns]
+        fresh = []
         for frame in rows:
+            frame = frame[wanted]
             frame = frame.astype(object).where(frame.notna(), None)
-            for order, at, ends, *values in frame[["row_order", "at_ms", "ends", *self.columns]].itertuples(index=False, name=None):
-                row = [int(order), int(at), bool(ends), *[_plain(v) for v in values]]
-                fresh.setdefault(int(at) // BUCKET_MS, []).append(json.dumps(row))
-        for bucket, lines in fresh.items():
-            if bucket in buckets:
-                lines = [self.waiting.getValue((bucket,))[0], *lines]
-            self.waiting.updateValue((bucket,), ("\n".join(lines),))
-        yield from self._advance(key, timerValues, fold, sorted({*buckets, *fresh}), wake)
+            for values in frame.itertuples(index=False, name=None):
+                who, (order, at, ends) = [_plain(v) for v in values[:width]], values[width:width + 3]
+                fresh.append([who, int(order), int(at), bool(ends), *[_plain(v) for v in values[width + 3:]]])
+        ready, chunks = self._due(chunks, mark)
+        ready += [row for row in fresh if row[2] <= mark]
+        self._wait(chunks, [row for row in fresh if row[2] > mark])
+        yield from self._advance(key, mark, chunks, cells, wake, ready)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        fold, buckets, wake = self._load()
+        chunks, cells, wake = self._load()
         if wake == expiredTimerInfo.getExpiryTimeInMs():
             wake = None  # a timer that has gone off is gone
-        yield from self._advance(key, timerValues, fold, buckets, wake)
+        mark = timerValues.getCurrentWatermarkInMs()
+        ready, chunks = self._due(chunks, mark)
+        yield from self._advance(key, mark, chunks, cells, wake, ready)
 
     def close(self):
         pass
@@ -230,7 +288,7 @@ def fold_stream(
     stream: DataFrame, machine: Machine, order: str, event_time: str,
     columns: list[str] | None = None, enrich: Callable | None = None, quiet_s: float | None = None,
     expire_s: float = MAX_IDLE_S, ends: str | None = None, ties: Callable | None = None,
-    keys: tuple[str, ...] = ("session_id",), at_ms: str | None = None,
+    keys: tuple[str, ...] = ("session_id",), at_ms: str | None = None, shards: int | None = None,
 ) -> DataFrame:
     """Run a machine over every session (or other `keys`) of a stream with a
     watermark on `event_time`. Rows are taken by `order`, then by what `ties`
@@ -238,22 +296,27 @@ def fold_stream(
     session's state goes at a row where the boolean column `ends` is true, and
     `expire_s` (`quiet_s`, if that is longer) after its last row: by then the
     watchdog has ended a session for want of audio. `at_ms` names a column with
-    the time a row counts from, if it is later than its `event_time`."""
+    the time a row counts from, if it is later than its `event_time`. `shards`, for
+    sessions that are many and short: see above; their keys have to be plain values."""
     columns = columns or machine.columns
     quiet_ms = None if quiet_s is None else round(quiet_s * 1000)
     output = _parse_datatype_string(machine.output)
     kinds = {"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean"}
-    types = {f.name: kinds[f.dataType.simpleString()] for f in output if f.dataType.simpleString() in kinds}
+    fields = [*output, *(stream.schema[k] for k in keys)]
+    types = {f.name: kinds[f.dataType.simpleString()] for f in fields if f.dataType.simpleString() in kinds}
     named = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
     expire_ms = max(round(expire_s * 1000), quiet_ms or 0)
-    processor = FoldProcessor(machine, columns, output.names, types, expire_ms, enrich, quiet_ms, ties, keys)
+    processor = FoldProcessor(machine, columns, output.names, types, expire_ms, enrich, quiet_ms, ties, keys, shards is not None)
     over = F.lit(False) if ends is None else F.coalesce(F.col(ends), F.lit(False))
     rows = stream.select(
         *keys, F.col(order).cast("bigint").alias("row_order"),
         F.unix_millis(event_time).alias("at_ms") if at_ms is None else F.col(at_ms).alias("at_ms"), over.alias("ends"), event_time,
         *[F.col(c) for c in columns],
     )
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    group = keys
+    if shards is not None:
+        rows, group = rows.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards))), ("_shard",)
+    return rows.groupBy(*group).transformWithStateInPandas(
         processor, f"{named}, {machine.output}", "Append", "EventTime"
     )
 
@@ -293,13 +356,14 @@ def commit_phrases_stream(
 
 
 def shed_backlog_stream(
-    events: DataFrame, event_time: str = "event_time", expire_s: float = MAX_IDLE_S, ends: str | None = None, **limits
+    events: DataFrame, event_time: str = "event_time", expire_s: float = MAX_IDLE_S, ends: str | None = None,
+    shards: int | None = None, **limits
 ) -> DataFrame:
     """T6 on a stream; state holds (start, duration) pairs, never audio."""
     machine = BacklogMachine(
         limits.get("max_lag", MAX_LAG_S), limits.get("recover_to", RECOVER_TO_S), limits.get("warn", WARN_LAG_S)
     )
-    return fold_stream(events, machine, "seq", event_time, expire_s=expire_s, ends=ends)
+    return fold_stream(events, machine, "seq", event_time, expire_s=expire_s, ends=ends, shards=shards)
 
 
 def utterances_stream(

@@ -11,6 +11,8 @@ from checks import registry
 from checks.compare import compare
 from checks.views import load
 from phrasestream.operators import audio, flow
+from phrasestream.streaming import folds, live
+from tests.test_streaming import play
 
 
 def beside_sql(spark, name, **tables):
@@ -81,3 +83,30 @@ def test_listeners_of_far_apart_events_and_of_close_ones(spark):
 def test_passes_are_rounded_as_sql_does(spark):
     passes = spark.createDataFrame([("s", 0, 4.0, 2.0), ("s", 1, 211.35 / 10, 41.3)], "session_id string, seq bigint, elapsed_s double, window_s double")
     assert flow.unsustainable_passes(passes, 3.0).first().pass_cost_s == 21.14
+
+
+def test_sessions_that_share_their_state(spark):
+    """Streams with and without shards give the same rows, over several micro-batches, and
+    in chunks that are read and written in part."""
+    rng = random.Random(12)
+    ddl = "session_id string, seq bigint, kind string, t_audio double, duration double"
+    rows = [(f"s{rng.randrange(30)}", i, rng.choice(["push", "push", "drain"]), round(0.05 * i, 3), 0.1) for i in range(400)]
+    rows.sort(key=lambda r: r[3] + rng.random())  # out of order, within the delay
+    batches = [rows[:150], rows[150:290], rows[290:], [("flush", 0, "push", 900.0, 0.1)], [("flush", 1, "push", 910.0, 0.1)]]
+    out = {}
+    for shards in (None, 3):
+        build = lambda s: folds.shed_backlog_stream(s, expire_s=60.0, shards=shards)  # noqa: B023, E731
+        got = play(spark, batches, ddl, build, "t_audio", "2 seconds")
+        out[shards] = sorted(tuple(r) for r in got if r.session_id != "flush")
+    want = flow.shed_backlog(spark.createDataFrame(rows, ddl)).collect()
+    assert out[3] == out[None] == sorted(map(tuple, want))
+
+
+def test_quiet_sessions_of_one_shard_end_one_by_one(spark):
+    ddl = "session_id string, seq bigint, frames bigint, t double"
+    rows = [(f"s{i}", k, 30, 2.0 * i + 0.1 * k) for i in range(20) for k in range(4)]
+    rows.sort(key=lambda r: r[3])
+    batches = [rows[:30], rows[30:50], rows[50:], [("flush", 0, 1, 500.0)], [("flush", 1, 1, 502.0)]]
+    got = play(spark, batches, ddl, lambda s: live.context_windows_stream(s, idle_s=3.0, shards=2), "t")
+    want = audio.context_windows(spark.createDataFrame([(f"s{i}", 120) for i in range(20)], "session_id string, available bigint"))
+    assert sorted(tuple(r) for r in got if r.session_id != "flush") == sorted(map(tuple, want.collect()))
