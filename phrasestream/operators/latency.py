@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from phrasestream.fixed_values import SAMPLE_CAP, SLO_SECONDS, STAGES
 from phrasestream.plans.fold import Machine, ordered_fold
 from phrasestream.plans.ordered import PIECE, PIECES, SHARE, TARGET_ROWS, cut_large_keys
+from phrasestream.plans.stage import staged
 
 CHUNK = ["session_id", "chunk_id", "language"]
 PARTS = {
@@ -34,13 +36,16 @@ def anchor_clock(rows: DataFrame, frames: DataFrame, t_audio: str = "t_audio_end
     )
 
 
-def first_marks_wide(marks: DataFrame) -> DataFrame:
+def first_marks_wide(
+    marks: DataFrame, attach: Callable[[DataFrame], DataFrame] = lambda wide: wide
+) -> DataFrame:
     """One row per opened chunk with the first (seq, t_wall) of each stage.
 
     A chunk opens at its first commit and closes at the first publication
-    after that. One pre-aggregated pass finds the first mark of every stage;
-    only chunks with a mark from before they were opened (normally none) have
-    their marks read again. A flood of retries shrinks on the map side.
+    after that. One pre-aggregated pass finds the first mark of every stage and
+    is written once; only where a chunk has a mark from before it was opened
+    (normally none) are the marks read again, for such chunks. A flood of
+    retries shrinks on the map side. `attach` adds columns before the writing.
     """
     def firsts(rows: DataFrame) -> DataFrame:
         mark = F.struct("seq", "t_wall")
@@ -48,17 +53,19 @@ def first_marks_wide(marks: DataFrame) -> DataFrame:
             *[F.min(F.when(F.col("stage") == s, mark)).alias(s) for s in STAGES]
         )
 
-    summary = firsts(marks).filter(F.col("committed").isNotNull())
+    summary = staged(attach(firsts(marks).filter(F.col("committed").isNotNull())), "first-marks")
     opened = F.col("committed.seq")
     others = [F.coalesce(F.col(f"{s}.seq") < opened, F.lit(False)) for s in STAGES[1:]]
     early = others[0] | others[1] | others[2]
-    again = firsts(
-        marks.join(summary.filter(early).select(*CHUNK, opened.alias("opened")), CHUNK)
-        .filter(F.col("seq") >= F.col("opened"))
-    )
+    if not summary.filter(early).isEmpty():
+        from_opened = (
+            marks.join(summary.filter(early).select(*CHUNK, opened.alias("opened")).distinct(), CHUNK)
+            .filter(F.col("seq") >= F.col("opened"))
+        )
+        summary = summary.filter(~early).unionByName(attach(firsts(from_opened)))
     closed = F.col("published.seq")
     inside = lambda s: F.when(closed.isNull() | (F.col(f"{s}.seq") <= closed), F.col(s))
-    return summary.filter(~early).unionByName(again).select(*CHUNK, *[inside(s).alias(s) for s in STAGES])
+    return summary.withColumns({s: inside(s) for s in STAGES})
 
 
 def stage_first_marks(marks: DataFrame) -> DataFrame:
@@ -89,12 +96,12 @@ def assemble_traces(marks: DataFrame, chunks: DataFrame, slo: float = SLO_SECOND
 
     `chunks` gives session_id, chunk_id, language and audio_end_wall.
     """
-    wide = first_marks_wide(marks).select(
-        *CHUNK, *[F.col(f"{s}.t_wall").alias(s) for s in STAGES],
-        F.col("published.seq").alias("published_seq"),
-    )
     # A chunk whose end is not known yet keeps its marks, without latencies.
-    return trace_columns(wide.join(chunks.select(*CHUNK, "audio_end_wall"), CHUNK, "left"), slo)
+    wide = first_marks_wide(marks, lambda wide: wide.join(chunks.select(*CHUNK, "audio_end_wall"), CHUNK, "left"))
+    return trace_columns(wide.select(
+        *CHUNK, "audio_end_wall", *[F.col(f"{s}.t_wall").alias(s) for s in STAGES],
+        F.col("published.seq").alias("published_seq"),
+    ), slo)
 
 
 def trace_columns(wide: DataFrame, slo: float = SLO_SECONDS) -> DataFrame:

@@ -178,6 +178,25 @@ def test_trace_cases(spark):
     assert latency.dropped_marks(spark.createDataFrame(marks, schemas.MARKS)).agg(F.sum("dropped")).first()[0] == 1
 
 
+def test_marks_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    marks = [(s, c, "fr", 10 * c + i, stage, float(c + i)) for s in range(3) for c in range(4)
+             for i, stage in enumerate(("committed", "translated", "tts_first_audio", "published"))]
+    columns = "session_id long, chunk_id long, language string, seq long, stage string, t_wall double"
+    seen = spark.createDataFrame(marks, columns).mapInPandas(counted, columns)
+    ends = spark.createDataFrame([(s, c, "fr", float(c)) for s in range(3) for c in range(4)],
+                                 "session_id long, chunk_id long, language string, audio_end_wall double")
+    medians = latency.running_latency_p50(latency.assemble_traces(seen, ends)).collect()
+    assert len(medians) == 12 and {r.running_p50_s for r in medians} == {3.0}
+    assert read.value == len(marks)
+
+
 def test_latest_samples_and_median_survive_cutting(spark):
     rng = random.Random(3)
     ddl = "session_id string, chunk_id bigint, language string, published_seq bigint, glass_to_glass_s double, finished boolean"
