@@ -18,6 +18,9 @@ from phrasestream.functions.text import strip
 # All lookup tables here are constants of the package (at most 25 rows), so
 # broadcasting them is bounded whatever the size of the data.
 
+#: Characters of text whose translations a task holds at a time.
+CHARACTERS_AT_ONCE = 4_000_000
+
 
 def route_backend(rows: DataFrame, routes: dict[str, str] | None = None) -> DataFrame:
     """None means the default routes; {} means no exceptions at all."""
@@ -168,6 +171,13 @@ def _with_strings(df: DataFrame, *names: str) -> StructType:
 Translator = Callable[[list[str], str, str], list[str]]
 
 
+def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch, few enough at a time that their texts and translations stay small."""
+    sizes = frame["text"].fillna("").str.len().cumsum()
+    for _, part in frame.groupby((sizes // CHARACTERS_AT_ONCE).astype("int64"), sort=True):
+        yield part.reset_index(drop=True)
+
+
 def translate_fanout(
     rows: DataFrame, backends: dict[str, Callable[[], Translator]],
     routes: dict[str, str] | None = None, spread: int = 64,
@@ -193,7 +203,7 @@ def translate_fanout(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened: dict[str, Translator] = {}
-        for frame in frames:
+        for frame in (part for whole in frames for part in _slices(whole)):
             frame["translated_text"], frame["error"] = "", None
             spoken = frame[frame["text"].fillna("").str.strip() != ""]
             for (name, source, target), part in spoken.groupby(["backend", "source_language", "language"]):

@@ -12,7 +12,7 @@ from phrasestream import schemas
 from phrasestream.functions import text
 from phrasestream.functions.audio import resample
 from phrasestream.functions.wer import word_errors as count_errors
-from phrasestream.operators import audio, flow, latency, ledger, quality, routing
+from phrasestream.operators import audio, chunking, flow, latency, ledger, quality, routing
 from phrasestream.plans import fold, ordered
 from phrasestream.plans.quantiles import exact_percentiles
 from phrasestream.plans.stage import staged
@@ -391,3 +391,31 @@ def test_unsupported_targets_reach_no_translator(spark):
 
     out = routing.translate_fanout(df, {"opus-mt": translator, "nllb-200": translator}).collect()
     assert {(r.source_language, r.language, r.translated_text, r.error) for r in out} == {("en", "fr", "ONE TWO", None), ("en", "te", "ONE TWO", None)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fanout_holds_few_long_texts_at_a_time(spark):
+    long = [(1, 0, "en", "fr", "a" * 3_000_000)] * 3
+    df = spark.createDataFrame(long, "session_id long, chunk_id long, source_language string, language string, text string").coalesce(1)
+    counting = lambda: lambda texts, source, target: [str(len(texts))] * len(texts)
+    out = routing.translate_fanout(df, {"opus-mt": counting}).select("translated_text").collect()
+    assert len(out) == 3 and max(int(r[0]) for r in out) < 3
+
+
+def test_words_are_split_without_a_pattern_and_letters_counted_in_runs(spark):
+    df = spark.createDataFrame([("hi", "a b\x1c c \n", "")], "language string, translated_text string, source_text string")
+    words = df.select(text.tokenise(F.col("translated_text")).alias("t"))
+    assert words.first().t == ["a", "b", "c"] and "split(translate(" in _plan(words)
+    leak = quality.script_leak(df)
+    assert r"\P{L}+" in _plan(leak) and leak.first().letters == 3
+
+
+def test_clause_pieces_leave_the_task_as_rows(spark):
+    df = spark.createDataFrame([(i, None if i == 1 else "one two three four, five") for i in range(200)], "doc_id long, text string")
+    pieces = chunking.segment_clauses(df, "doc_id")
+    assert "Generate" not in _plan(pieces)
+    got = [tuple(r) for r in pieces.filter("doc_id in (0, 1)").orderBy("piece").collect()]
+    assert got == [(0, 0, "one two three four,", 4), (0, 1, "five", 1)] and pieces.count() == 2 * 199
