@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StringType, StructType, _parse_datatype_
 
 from phrasestream.fixed_values import MAX_IDLE_S, MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
 from phrasestream.operators.audio import UtteranceMachine
-from phrasestream.operators.chunking import ChunkerConfig, PhraseMachine
+from phrasestream.operators.chunking import ChunkerConfig, PhraseMachine, with_shared
 from phrasestream.operators.flow import BacklogMachine
 from phrasestream.plans.fold import Machine
 
@@ -327,7 +327,7 @@ def fold_stream(
 def _shared_with_previous(previous, values):
     """The machine's columns, without what it fills in from the row before."""
     row = (*values[:5], None, None, None, values[5], None)
-    return list(PhraseMachine.enrich(None, previous, row))
+    return list(with_shared(previous, row))
 
 
 def commit_phrases_stream(
