@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -111,9 +111,11 @@ def write_recordings(frames: DataFrame, folder: str) -> DataFrame:
     """One WAV file for each session of `frames` (session_id, seq, pcm, sample_rate) under
     `folder`, written frame by frame in order of seq; session_id, path, bytes. A file's name
     and content depend on its session alone, so a task that runs again writes it again."""
-    sizes = frames.groupBy("session_id").agg(F.sum(F.octet_length("pcm")).cast("long").alias("_bytes"))
-    ordered = frames.select("session_id", "seq", "pcm", "sample_rate").join(sizes, "session_id").repartition(
-        "session_id").sortWithinPartitions("session_id", "seq")
+    # The window keeps a session in one task. A repartition after a join by session does not: it is
+    # left out as done already, and the join gives its layout up if it becomes a broadcast one.
+    whole = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ordered = frames.select("session_id", "seq", "pcm", "sample_rate").filter("session_id is not null and pcm is not null").withColumn(
+        "_bytes", F.sum(F.octet_length("pcm")).over(whole)).sortWithinPartitions("session_id", "seq")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, {"session_id": [], "path": [], "bytes": []}

@@ -101,3 +101,31 @@ def test_recordings_round_trip(spark):
         str(s): b"".join(r[2] for r in rows if r[0] == s) for s in range(5)}
     with wave.open(folder[7:] + "/3.wav") as f:
         assert (f.getnframes(), f.getframerate()) == (1301, 16000)
+
+
+def test_recordings_are_whole_when_a_join_becomes_a_broadcast_one(spark):
+    rows = [(s, k, sound(50, s * 100 + k), 16000) for s in range(6) for k in range(40)]
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-") + "/made"
+    spark.createDataFrame(rows, "session_id int, seq bigint, pcm binary, sample_rate int").repartition(7).write.parquet(folder[:-4] + "frames")
+    frames = spark.read.parquet(folder[:-4] + "frames")
+    # As over a large table: joins are planned with sorts, and their small side is known only when it is there.
+    set_conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in set_conf.items():
+        spark.conf.set(name, value)
+    try:
+        made = wav.write_recordings(frames, folder).collect()
+    finally:
+        for name in set_conf:
+            spark.conf.unset(name)
+    assert sorted((r["session_id"], r["bytes"]) for r in made) == [(s, 4000) for s in range(6)]
+    assert {k: b"".join(bytes(r["pcm"]) for r in v) for k, v in read(spark, folder).items()} == {
+        str(s): b"".join(r[2] for r in rows if r[0] == s) for s in range(6)}
+
+
+def test_frames_without_sound_add_nothing_to_a_recording(spark):
+    rows = [(1, 0, b"ab", 8000), (1, 1, None, 8000), (1, 2, b"cd", 8000), (2, 0, None, 8000), (3, 0, b"", 8000)]
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-") + "/made"
+    made = wav.write_recordings(spark.createDataFrame(rows, "session_id int, seq bigint, pcm binary, sample_rate int"), folder).collect()
+    assert sorted((r["session_id"], r["bytes"]) for r in made) == [(1, 4), (3, 0)]
+    assert [bytes(r["pcm"]) for r in read(spark, folder)["1"]] == [b"abcd"]
