@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import registry
 from checks.compare import compare
 from checks.views import load
+from phrasestream.functions import text
 from phrasestream.operators import audio, flow
 from phrasestream.streaming import folds, live
 from tests.test_streaming import play
@@ -47,6 +48,16 @@ def test_recordings_of_conversations_of_many_turns(spark):
     assert not beside_sql(spark, "s4_read_audio_frames", conversations=talk)
 
 
+def test_boundaries_of_documents_without_words_and_of_repeated_ids(spark):
+    texts = [(1, "''"), (2, "NULL"), (3, "' \n '"), (4, "'one two.'"), (5, "'a b c d e, f and g'"), (5, "'a b c d e f and g'"), (5, "'h'"),
+             (6, "'a b c d e f and g'"), (6, "'a b c d and e'"), (7, "'a b'"), (7, "'c d'"), ("NULL", "'a b c done.'")]
+    docs = "SELECT * FROM (VALUES " + ", ".join(f"({i}::bigint, {t}::varchar)" for i, t in texts) + ") AS t(doc_id, text)"
+    assert not beside_sql(spark, "p6_find_boundary", documents=docs)
+    rows = spark.sql(docs.replace("::varchar", "::string")).withColumn("t", text.tokenise(F.col("text"))).withColumn("n", text.normalise_tokens(F.col("text")))
+    cuts = {weak: sorted(r[0] for r in rows.select(text.find_boundary(F.col("t"), F.col("n"), F.lit(4), F.lit(weak))).collect()) for weak in (True, False)}
+    assert cuts == {True: [0] * 7 + [4, 4, 5, 6, 6], False: [0] * 10 + [4, 5]}
+
+
 def test_a_stream_reads_a_table_of_one_file_or_of_many(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.range(10).coalesce(1).write.parquet(f"{folder}/events.parquet")
