@@ -18,14 +18,18 @@ are held in memory.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
-from pyspark.sql.types import LongType, StringType, StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType, _parse_datatype_string
 
 from phrasestream.fixed_values import MAX_IDLE_S, MAX_LAG_S, RECOVER_TO_S, WARN_LAG_S
 from phrasestream.operators.audio import UtteranceMachine
@@ -36,7 +40,8 @@ from phrasestream.plans.fold import Machine
 _FOLD = StructType().add("value", StringType())
 _CHUNK = StructType().add("chunk", LongType())
 _CELL = StructType().add("cell", LongType())
-_ROWS = StructType().add("rows", StringType())
+_FOLDS = StructType().add("folds", StringType())
+_ROWS = StructType().add("rows", BinaryType())
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows wait for the end of their second.
 SECOND_MS = 1000
@@ -46,6 +51,17 @@ CHUNK_ROWS = 1000
 CELLS = 64
 
 
+def _packed(rows: pa.Table) -> bytes:
+    """Rows as one compressed piece; their schema is known and not kept with them."""
+    whole = rows.combine_chunks().to_batches()[0].serialize()
+    return struct.pack("<q", whole.size) + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unpacked(piece: bytes, schema: pa.Schema) -> pa.Table:
+    whole = pa.decompress(piece[8:], struct.unpack("<q", piece[:8])[0], codec="zstd")
+    return pa.Table.from_batches([pa.ipc.read_record_batch(whole, schema)])
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
@@ -64,16 +80,19 @@ class FoldProcessor(StatefulProcessor):
     """
 
     def __init__(self, machine: Machine, columns: list[str], names: list[str], types: dict, expire_ms: int,
-                 enrich: Callable | None = None, quiet_ms: int | None = None, ties: Callable | None = None,
-                 keys: tuple[str, ...] = ("session_id",), shared: bool = False):
+                 schema: pa.Schema, enrich: Callable | None = None, quiet_ms: int | None = None, ties: Callable | None = None,
+                 keys: tuple[str, ...] = ("session_id",), shared: bool = False, apart: Callable | None = None):
         self.machine, self.columns, self.names, self.types = machine, columns, names, types
-        self.keys, self.place = keys, lambda row: (row[1], ties(row[4:]) if ties else 0)
+        self.keys, self.place = keys, lambda row: (row[0], ties(row[3]) if ties else 0)
         self.enrich, self.quiet_ms, self.expire_ms, self.shared = enrich, quiet_ms, expire_ms, shared
+        self.width, self.apart = len(keys) if shared else 0, apart
+        self.soon_ms = expire_ms if quiet_ms is None else min(quiet_ms, expire_ms)
+        self.schema = pa.schema([schema.field(c) for c in (*keys[:self.width], "row_order", "at_ms", "ends", *columns)])
 
     def init(self, handle):
         self.handle, self.lane = handle, self.machine.lanes()[0]
         self.index = handle.getValueState("fold", _FOLD)
-        self.cells = handle.getMapState("cells", _CELL, _ROWS)
+        self.cells = handle.getMapState("cells", _CELL, _FOLDS)
         self.waiting = handle.getMapState("waiting", _CHUNK, _ROWS)
 
     def _begin(self):
@@ -103,18 +122,18 @@ class FoldProcessor(StatefulProcessor):
 
     def _wait(self, chunks, rows):
         """Keep rows until the watermark has passed them, in chunks in order of time."""
-        rows.sort(key=lambda row: row[2])
+        rows = rows.sort_by("at_ms")
         number = max((chunk[0] for chunk in chunks), default=-1) + 1
-        for number, first in enumerate(range(0, len(rows), CHUNK_ROWS), number):
-            part = rows[first:first + CHUNK_ROWS]
-            self.waiting.updateValue((number,), (json.dumps(part),))
-            chunks.append([number, part[0][2], part[-1][2]])
+        for number, first in enumerate(range(0, rows.num_rows, CHUNK_ROWS), number):
+            part = rows.slice(first, CHUNK_ROWS)
+            self.waiting.updateValue((number,), (_packed(part),))
+            chunks.append([number, part["at_ms"][0].as_py(), part["at_ms"][-1].as_py()])
 
     def _due(self, chunks, mark):
         """Rows the watermark has passed, and the chunks left. Only chunks that have such
         rows are read."""
         if chunks and all(last <= mark for _, _, last in chunks):  # one read and one removal
-            ready = [row for _, (rows,) in self.waiting.iterator() for row in json.loads(rows)]
+            ready = [_unpacked(bytes(piece), self.schema) for _, (piece,) in self.waiting.iterator()]
             self.waiting.clear()
             return ready, []
         ready, left = [], []
@@ -122,12 +141,12 @@ class FoldProcessor(StatefulProcessor):
             if first > mark:
                 left.append([number, first, last])
                 continue
-            rows = json.loads(self.waiting.getValue((number,))[0])
-            later = [row for row in rows if row[2] > mark]
-            ready += rows[:len(rows) - len(later)]
-            if later:
-                left.append([number, later[0][2], last])
-                self.waiting.updateValue((number,), (json.dumps(later),))
+            rows = _unpacked(bytes(self.waiting.getValue((number,))[0]), self.schema)
+            ready.append(rows.filter(pc.field("at_ms") <= mark))
+            later = rows.filter(pc.field("at_ms") > mark)
+            if later.num_rows:
+                left.append([number, later["at_ms"][0].as_py(), last])
+                self.waiting.updateValue((number,), (_packed(later),))
             else:
                 self.waiting.removeKey((number,))
         return ready, left
@@ -154,18 +173,22 @@ class FoldProcessor(StatefulProcessor):
 
     def _fold(self, fold, rows, mark, out):
         """A key after the rows that are due and the time up to the watermark."""
-        for _, order, at, ends, *values in sorted(rows, key=self.place):
-            fold = self._until(fold, at, out)
-            state, book, last = fold
+        if self.apart:
+            rows = self.apart(rows)
+        step, prepare, lane = self.machine.step, self.machine.prepare, self.lane
+        state, book, last = fold
+        for order, at, ends, values in sorted(rows, key=self.place):
+            if last and at - last[1] >= self.soon_ms:
+                state, book, last = self._until([state, book, last], at, out)
             if self.enrich:
-                values = self.enrich(last[2] if last else None, values)
-            state, book = self.machine.step(self.lane, state, book, self.machine.prepare(tuple(values)), out)
-            fold = [state, book, [order, at, values, False]]
+                values = tuple(self.enrich(last[2] if last else None, values))
+            state, book = step(lane, state, book, prepare(values), out)
+            last = [order, at, values, False]
             if ends:
-                self._finish(fold, out)
-                fold = self._begin()
+                self._finish([state, book, last], out)
+                state, book, last = self._begin()
         # Rows still waiting are later than the watermark.
-        return self._until(fold, mark, out)
+        return self._until([state, book, last], mark, out)
 
     def _next(self, last):
         """When time does something to a key."""
@@ -176,10 +199,17 @@ class FoldProcessor(StatefulProcessor):
     def _advance(self, key, mark, chunks, cells, wake, ready):
         """Take the rows that are due (`ready`, key by key) and what time has brought to keys
         without any, cell by cell."""
+        dealt: dict[tuple, list] = {}
+        for rows in ready:
+            lists = [_values(column) for column in rows.columns]
+            whose = zip(*lists[:self.width]) if self.width else [()] * rows.num_rows
+            for who, row in zip(whose, zip(*lists[self.width:self.width + 3], zip(*lists[self.width + 3:]))):
+                dealt.setdefault(who, []).append(row)
         found: dict[int, dict[str, list]] = {}
-        for row in ready:
-            who = json.dumps(row[0])
-            found.setdefault(zlib.crc32(who.encode()) % CELLS, {}).setdefault(who, []).append(row)
+        while dealt:
+            place, rows = dealt.popitem()
+            who = json.dumps(place)
+            found.setdefault(zlib.crc32(who.encode()) % CELLS, {})[who] = rows
         columns: list = []
         for cell in sorted({*found, *(cell for cell, at in cells.items() if at <= mark)}):
             known = json.loads(self.cells.getValue((cell,))[0]) if cell in cells else {}
@@ -205,22 +235,19 @@ class FoldProcessor(StatefulProcessor):
                 del cells[cell]
         self._store(chunks, cells, wake)
         if columns:
-            yield pd.DataFrame(columns, columns=[*self.keys, *self.names]).astype(self.types)
+            # Column by column: whole numbers beside nulls would go through doubles otherwise.
+            yield pd.DataFrame({name: pd.Series(values, dtype=self.types.get(name, object))
+                                for name, values in zip([*self.keys, *self.names], zip(*columns))})
 
     def handleInputRows(self, key, rows, timerValues):
         chunks, cells, wake = self._load()
-        mark, width = timerValues.getCurrentWatermarkInMs(), len(self.keys) if self.shared else 0
-        wanted = [*self.keys[:width], "row_order", "at_ms", "ends", *self.columns]
-        fresh = []
-        for frame in rows:
-            frame = frame[wanted]
-            frame = frame.astype(object).where(frame.notna(), None)
-            for values in frame.itertuples(index=False, name=None):
-                who, (order, at, ends) = [_plain(v) for v in values[:width]], values[width:width + 3]
-                fresh.append([who, int(order), int(at), bool(ends), *[_plain(v) for v in values[width + 3:]]])
+        mark = timerValues.getCurrentWatermarkInMs()
+        fresh = [pa.Table.from_pandas(frame[self.schema.names], self.schema, preserve_index=False) for frame in rows]
         ready, chunks = self._due(chunks, mark)
-        ready += [row for row in fresh if row[2] <= mark]
-        self._wait(chunks, [row for row in fresh if row[2] > mark])
+        ready += [rows.filter(pc.field("at_ms") <= mark) for rows in fresh]
+        later = pa.concat_tables([rows.filter(pc.field("at_ms") > mark) for rows in fresh])
+        if later.num_rows:
+            self._wait(chunks, later)
         yield from self._advance(key, mark, chunks, cells, wake, ready)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -274,14 +301,13 @@ def counts_of(query) -> dict[str, int]:
     return counters.counts.get("", {"late_rows": 0, "state_rows": 0, "most_state_rows": 0})
 
 
-def _plain(value):
-    if value is None or isinstance(value, (str, bool)):
-        return value
-    if hasattr(value, "tolist"):
-        return value.tolist()
-    if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
-    return value
+def _values(column: pa.ChunkedArray) -> list:
+    """A column as Python's values."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_numpy().tolist()
+    return column.to_pylist()
 
 
 def fold_stream(
@@ -289,6 +315,7 @@ def fold_stream(
     columns: list[str] | None = None, enrich: Callable | None = None, quiet_s: float | None = None,
     expire_s: float = MAX_IDLE_S, ends: str | None = None, ties: Callable | None = None,
     keys: tuple[str, ...] = ("session_id",), at_ms: str | None = None, shards: int | None = None,
+    apart: Callable | None = None,
 ) -> DataFrame:
     """Run a machine over every session (or other `keys`) of a stream with a
     watermark on `event_time`. Rows are taken by `order`, then by what `ties`
@@ -297,7 +324,9 @@ def fold_stream(
     `expire_s` (`quiet_s`, if that is longer) after its last row: by then the
     watchdog has ended a session for want of audio. `at_ms` names a column with
     the time a row counts from, if it is later than its `event_time`. `shards`, for
-    sessions that are many and short: see above; their keys have to be plain values."""
+    sessions that are many and short: see above; their keys have to be plain values. `apart`,
+    for rows that stand for more than one, is given the rows of a key that are due, (order, time, ends,
+    values), and returns them as they are to be taken."""
     columns = columns or machine.columns
     quiet_ms = None if quiet_s is None else round(quiet_s * 1000)
     output = _parse_datatype_string(machine.output)
@@ -306,13 +335,14 @@ def fold_stream(
     types = {f.name: kinds[f.dataType.simpleString()] for f in fields if f.dataType.simpleString() in kinds}
     named = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
     expire_ms = max(round(expire_s * 1000), quiet_ms or 0)
-    processor = FoldProcessor(machine, columns, output.names, types, expire_ms, enrich, quiet_ms, ties, keys, shards is not None)
     over = F.lit(False) if ends is None else F.coalesce(F.col(ends), F.lit(False))
     rows = stream.select(
-        *keys, F.col(order).cast("bigint").alias("row_order"),
+        *keys, (F.col(order)).cast("bigint").alias("row_order"),
         F.unix_millis(event_time).alias("at_ms") if at_ms is None else F.col(at_ms).alias("at_ms"), over.alias("ends"), event_time,
         *[F.col(c) for c in columns],
     )
+    schema = to_arrow_schema(rows.drop(event_time).schema if event_time not in (*keys, *columns) else rows.schema)
+    processor = FoldProcessor(machine, columns, output.names, types, expire_ms, schema, enrich, quiet_ms, ties, keys, shards is not None, apart)
     group = keys
     if shards is not None:
         rows, group = rows.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards))), ("_shard",)

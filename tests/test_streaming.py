@@ -4,6 +4,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from phrasestream.fixed_values import STAGES
 from phrasestream.operators import audio, chunking, flow, latency
 from phrasestream.operators.audio import UtteranceMachine
 from phrasestream.streaming import folds, live
@@ -94,6 +95,34 @@ def test_traces_stream_equals_batch(spark):
     assert order(got) == order(want)
 
 
+def test_traces_of_marks_that_stay_together(spark):
+    """Rows with the marks of all stages of a chunk, some of them missing, out of order, of one
+    seq, or mixed with those of another row of the chunk; in a third of the state of single marks."""
+    folds.use_rocksdb(spark)
+    rng = random.Random(5)
+    ddl = "session_id bigint, chunk_id bigint, language string, audio_end_wall double, t double, " + ", ".join(f"{s}_seq bigint, {s} double" for s in STAGES)
+    rows, marks = [], []
+    for k in range(600):
+        session, chunk, base = rng.randrange(40), rng.randrange(9), 2**53 + 1 + 3 * rng.randrange(400)
+        seqs = [base + i for i in range(4)] if rng.random() < 0.7 else [base + rng.randrange(4) for _ in STAGES]
+        seqs = [s if rng.random() < 0.85 else None for s in seqs]
+        walls = [float(rng.randrange(90)) for _ in STAGES]
+        rows.append((session, chunk, "fr", 3.0 * chunk, 1.0, *[x for pair in zip(seqs, walls) for x in pair]))
+        marks += [(session, s, chunk, "fr", stage, w, 3.0 * chunk, 1.0) for s, stage, w in zip(seqs, STAGES, walls) if s is not None]
+    single = "session_id bigint, seq bigint, chunk_id bigint, language string, stage string, t_wall double, audio_end_wall double, t double"
+    want = latency.assemble_traces(*[spark.createDataFrame(marks, single).select(*c).distinct() for c in (
+        ["session_id", "seq", "chunk_id", "language", "stage", "t_wall"], ["session_id", "chunk_id", "language", "audio_end_wall"])]).collect()
+    order = lambda rs: sorted(map(lambda r: tuple(str(v) for v in r), rs))
+    waiting = {}
+    for name, table, schema, flush in (("together", rows, ddl, (-1, 0, "fr", 0.0, 99.0, *[None] * 8)), ("single", marks, single, (-1, 0, 0, "fr", "translated", 0.0, 0.0, 99.0))):
+        build = lambda s: live.assemble_traces_stream(s, 30.0, shards=2)  # noqa: B023, E731
+        got, _, checkpoint = play(spark, [table, [flush]], schema, build, "t", whole=True)
+        assert order(got) == order(want)
+        state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").option("batchId", 0).load()
+        waiting[name] = state.selectExpr("sum(octet_length(user_map_value.rows)) AS n").first().n
+    assert waiting["together"] < waiting["single"] and waiting["single"] < 40 * len(marks)
+
+
 def test_watchdog_stream_equals_batch(spark):
     rng = random.Random(7)
     ddl = "session_id string, t_wall double, started_at double"
