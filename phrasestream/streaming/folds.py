@@ -20,8 +20,9 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +48,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 SECOND_MS = 1000
 #: Waiting rows in one piece of state.
 CHUNK_ROWS = 1000
+#: Rows a task deals over shards at a time, where rows move in pieces.
+PIECE_ROWS = 1 << 19
 #: Pieces of state over which the keys of a group are dealt.
 CELLS = 64
 
@@ -62,6 +65,41 @@ def _unpacked(piece: bytes, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches([pa.ipc.read_record_batch(whole, schema)])
 
 
+def _in_pieces(rows: DataFrame, schema: pa.Schema, event_time: str) -> DataFrame:
+    """Rows with a `_shard` as compressed pieces of one shard: _shard, first and last time of
+    its rows, the latest event_time, and the piece."""
+    stamp = to_arrow_schema(rows.select(event_time).schema).field(0).type
+    kinds = [("_shard", pa.int64()), ("first_ms", pa.int64()), ("last_ms", pa.int64()), (event_time, stamp), ("piece", pa.binary())]
+    limit = PIECE_ROWS
+
+    def pieces(held: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        shard, at, event = (table[c].cast(pa.int64()).to_numpy() for c in ("_shard", "at_ms", event_time))
+        place = np.lexsort((at, shard))
+        shard, at, event = shard[place], at[place], event[place]
+        part = table.select(schema.names).take(place).cast(schema)
+        starts = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
+        ends = np.append(starts[1:], len(shard))
+        packed = [_packed(part.slice(a, b - a)) for a, b in zip(starts.tolist(), ends.tolist())]
+        columns = [shard[starts], at[starts], at[ends - 1], np.maximum.reduceat(event, starts), packed]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(k) if k != pa.binary() else pa.array(c, k)
+                                           for c, (_, k) in zip(columns, kinds)], schema=pa.schema(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= limit:
+                yield pieces(held)
+                held, count = [], 0
+        if held:
+            yield pieces(held)
+
+    return rows.mapInArrow(run, f"_shard bigint, first_ms bigint, last_ms bigint, {event_time} timestamp, piece binary")
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
@@ -207,8 +245,8 @@ class FoldProcessor(StatefulProcessor):
                 dealt.setdefault(who, []).append(row)
         found: dict[int, dict[str, list]] = {}
         while dealt:
-            place, rows = dealt.popitem()
-            who = json.dumps(place)
+            who, rows = dealt.popitem()
+            who = json.dumps(who)
             found.setdefault(zlib.crc32(who.encode()) % CELLS, {})[who] = rows
         columns: list = []
         for cell in sorted({*found, *(cell for cell, at in cells.items() if at <= mark)}):
@@ -242,11 +280,22 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         chunks, cells, wake = self._load()
         mark = timerValues.getCurrentWatermarkInMs()
-        fresh = [pa.Table.from_pandas(frame[self.schema.names], self.schema, preserve_index=False) for frame in rows]
         ready, chunks = self._due(chunks, mark)
+        fresh = []
+        for frame in rows:
+            if "piece" not in frame:
+                fresh.append(pa.Table.from_pandas(frame[self.schema.names], self.schema, preserve_index=False))
+                continue
+            for first, last, piece in zip(frame["first_ms"].tolist(), frame["last_ms"].tolist(), frame["piece"]):
+                if first > mark:  # waits as it came
+                    number = chunks[-1][0] + 1 if chunks else 0
+                    self.waiting.updateValue((number,), (bytes(piece),))
+                    chunks.append([number, first, last])
+                else:
+                    fresh.append(_unpacked(bytes(piece), self.schema))
         ready += [rows.filter(pc.field("at_ms") <= mark) for rows in fresh]
-        later = pa.concat_tables([rows.filter(pc.field("at_ms") > mark) for rows in fresh])
-        if later.num_rows:
+        later = pa.concat_tables([rows.filter(pc.field("at_ms") > mark) for rows in fresh]) if fresh else None
+        if later:
             self._wait(chunks, later)
         yield from self._advance(key, mark, chunks, cells, wake, ready)
 
@@ -315,7 +364,7 @@ def fold_stream(
     columns: list[str] | None = None, enrich: Callable | None = None, quiet_s: float | None = None,
     expire_s: float = MAX_IDLE_S, ends: str | None = None, ties: Callable | None = None,
     keys: tuple[str, ...] = ("session_id",), at_ms: str | None = None, shards: int | None = None,
-    apart: Callable | None = None,
+    apart: Callable | None = None, pieces: str | None = None,
 ) -> DataFrame:
     """Run a machine over every session (or other `keys`) of a stream with a
     watermark on `event_time`. Rows are taken by `order`, then by what `ties`
@@ -326,7 +375,11 @@ def fold_stream(
     the time a row counts from, if it is later than its `event_time`. `shards`, for
     sessions that are many and short: see above; their keys have to be plain values. `apart`,
     for rows that stand for more than one, is given the rows of a key that are due, (order, time, ends,
-    values), and returns them as they are to be taken."""
+    values), and returns them as they are to be taken.
+
+    `pieces`, for an archive that is read at once into `shards`: a task deals its rows over the
+    shards in compressed pieces, which move and wait as they are. It is the delay of the watermark,
+    which `stream` must not have yet; rows of one piece are late together."""
     columns = columns or machine.columns
     quiet_ms = None if quiet_s is None else round(quiet_s * 1000)
     output = _parse_datatype_string(machine.output)
@@ -346,6 +399,8 @@ def fold_stream(
     group = keys
     if shards is not None:
         rows, group = rows.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards))), ("_shard",)
+    if pieces is not None:
+        rows = _in_pieces(rows, processor.schema, event_time).withWatermark(event_time, pieces)
     return rows.groupBy(*group).transformWithStateInPandas(
         processor, f"{named}, {machine.output}", "Append", "EventTime"
     )

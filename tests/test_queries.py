@@ -121,3 +121,12 @@ def test_quiet_sessions_of_one_shard_end_one_by_one(spark):
     got = play(spark, batches, ddl, lambda s: live.context_windows_stream(s, idle_s=3.0, shards=2), "t")
     want = audio.context_windows(spark.createDataFrame([(f"s{i}", 120) for i in range(20)], "session_id string, available bigint"))
     assert sorted(tuple(r) for r in got if r.session_id != "flush") == sorted(map(tuple, want.collect()))
+
+
+def test_traces_of_lines_of_one_seq_and_in_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(folds, "PIECE_ROWS", 100, raising=False)
+    rng = random.Random(9)
+    rows = ", ".join(f"({rng.randrange(20)}::bigint, {rng.randrange(1, 4)}, '{rng.choice('AN')}', '{rng.choice('FO')}', {rng.choice(['10.0', '10.01', '20.0'])}::double, "
+                     f"{rng.randrange(11) / 100}::double, {rng.randrange(9) / 100}::double, {rng.randrange(1, 51)}.0::double)" for _ in range(700))
+    lines = f"SELECT * FROM (VALUES {rows}) AS t(l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_extendedprice, l_discount, l_tax, l_quantity)"
+    assert not beside_sql(spark, "t4_assemble_traces_stream", lineitem=lines)
